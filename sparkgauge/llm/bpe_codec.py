@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def split(joined: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> list[byt
 
 
 def groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, list[str]]]:
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     for part in text_groups(size, GROUP):
         yield part, [t or "" for t in batch.column(column)[part.start : part.stop].to_pylist()]
 
@@ -104,7 +105,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             ids = b.column(1)
             flat = ids.flatten().to_numpy()
-            counts = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codec.decode(flat, counts), pa.binary())], ["doc_id", "bytes"])
 
     return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, bytes binary")

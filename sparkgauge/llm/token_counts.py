@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         counter = TokenCounter(path)
         for b in batches:
             n = np.array(counter.counts(b.column(1).to_pylist()), np.int64)
-            size = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
