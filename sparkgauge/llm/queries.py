@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import round_trip
 from .common import read_table
+from .rans_files import file_round_trip
+from .secret_scan import scan
 from .token_counts import token_counts
 
 
@@ -18,6 +20,14 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op7_bpe_codec)}
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op7_bpe_codec, op8_secret_scan, op10_id_files)}
 
 ORACLES: dict[str, str] = {}
