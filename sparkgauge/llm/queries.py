@@ -7,12 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import round_trip
 from .common import read_table
+from .decontaminate import OVERLAPS_SQL, overlaps
+from .quality_rules import quality
 from .rans_files import file_round_trip
 from .secret_scan import scan
 from .simhash import near_duplicates
 from .token_counts import token_counts
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -21,6 +27,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -33,6 +43,6 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_simhash, op7_bpe_codec, op8_secret_scan, op10_id_files)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_simhash, op5_decontamination, op7_bpe_codec, op8_secret_scan, op10_id_files)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontamination": OVERLAPS_SQL}
