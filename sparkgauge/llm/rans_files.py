@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +37,11 @@ from .ragged import gather, starts_of, text_groups
 #: Ids of a block, but a document is never cut.
 BLOCK = 1 << 20
 #: Words a task remembers; beyond it the table starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
 #: Characters that are encoded at once.
-GROUP = 2_000_000
+GROUP = 4_000_000
 #: What needs the library's view of the whole text: separators that only some take for white space, special strings, letters whose lower case depends on their place.
-WHOLE = regex.compile("[\x1c-\x1fΣİ]|<\\|")
+WHOLE = ("<|", "\u03a3", "\u0130", "\x1c", "\x1d", "\x1e", "\x1f")
 STOPS = ".,;:!?"
 
 PACKS = "part int, seq int, before long, n long, doc_ids array<long>, counts array<int>, ids binary"
@@ -56,6 +56,9 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a piece
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     @classmethod
@@ -67,64 +70,107 @@ class WordCoder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.n_ids = np.empty(1 << 16, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), 0
+        self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
 
     def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.index.update(zip(words, range(len(self.counts), len(self.counts) + len(words))))
-        self.starts = np.concatenate((self.starts, starts_of(counts)[:-1] + len(self.ids)))
-        self.counts = np.concatenate((self.counts, counts))
-        self.ids = np.concatenate((self.ids, ids))
-
-    def learn(self, wanted: set[str]) -> None:
-        new = wanted - self.index.keys()
-        if len(self.index) + len(new) > KNOWN_WORDS:
+        at, n = len(self.index), len(self.index) + len(words)
+        self.index.update(zip(words, range(at, n)))
+        self.ids, self.starts, self.counts = room(self.ids, self.n_ids + len(ids)), room(self.starts, n), room(self.counts, n)
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.starts[at:n] = starts_of(counts)[:-1] + self.n_ids
+        self.counts[at:n] = counts
+        self.n_ids += len(ids)
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, flat, and the number of each, from the library."""
+        ids, counts = [], []
+        for i in range(0, len(words), 2000):
+            got = self.library.encode(words[i : i + 2000], is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(got.ids, np.int64))
+            counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(words[i : i + 2000])))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def look_up_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters only, which are one piece each: a token that ends a piece ends a word."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            return self.look_up(words)
+        return ids, np.diff(last, prepend=-1)
+
+    def learn(self, new: set[str]) -> bool:
+        """Add words that are not known; where they find no room, forget all known words instead and tell so."""
+        if self.index and len(self.index) + len(new) > KNOWN_WORDS:
             self.forget()
-            new = wanted
+            return False
         # a word of letters and a run of stops are two pieces: each is looked up alone
-        cut = {w: s for w in new if (s := w.rstrip(STOPS)) != w and s.isalpha()}
-        plain = list((new - cut.keys()) | ({*cut.values(), *(w[len(s) :] for w, s in cut.items())} - self.index.keys()))
-        if plain:
-            ids, counts = [], []
-            for i in range(0, len(plain), 2000):
-                got = self.library.encode(plain[i : i + 2000], is_pretokenized=True, add_special_tokens=False)
-                ids.append(np.array(got.ids, np.int32))
-                counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(plain[i : i + 2000])))
-            self.add(plain, np.concatenate(ids), np.concatenate(counts))
+        letters, cut, other = [], [], []
+        for w in new:
+            if w.isalpha():
+                letters.append(w)
+            elif (s := w.rstrip(STOPS)) != w and s.isalpha():
+                cut.append((w, s, w[len(s) :]))
+            else:
+                other.append(w)
+        stems = {s for _, s, _ in cut} - self.index.keys()
+        letters += stems.difference(letters)
+        other += {e for _, _, e in cut} - self.index.keys() - set(other)
+        if letters:
+            self.add(letters, *self.look_up_letters(letters))
+        if other:
+            self.add(other, *self.look_up(other))
         if cut:
-            halves = np.array([(self.index[s], self.index[w[len(s) :]]) for w, s in cut.items()], np.int64)
+            get = self.index.__getitem__
+            halves = np.array([[get(s) for _, s, _ in cut], [get(e) for _, _, e in cut]]).T
             n = self.counts[halves]
-            self.add(list(cut), gather(self.ids, self.starts[halves].ravel(), n.ravel()), n.sum(1))
+            self.add([w for w, _, _ in cut], gather(self.ids, self.starts[halves].ravel(), n.ravel()), n.sum(1))
+        return True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words: list[list[str] | None] = []
         for t in texts:
             low = t.lower()
-            plain = (low.isascii() or unicodedata.is_normalized("NFC", t) and unicodedata.is_normalized("NFC", low)) and not WHOLE.search(t)
+            plain = (low.isascii() or unicodedata.is_normalized("NFC", t) and unicodedata.is_normalized("NFC", low)) and not any(c in t for c in WHOLE)
             words.append(low.split() if plain else None)
-        self.learn(set().union(*(w for w in words if w is not None)))
-        look = self.index.__getitem__
-        at = np.fromiter((k for w in words if w is not None for k in map(look, w)), np.int64)
+        joined = [*chain.from_iterable(w for w in words if w is not None)]
+        at = np.fromiter(map(self.index.get, joined, repeat(-1)), np.int64, len(joined))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing and self.learn({joined[i] for i in missing}):
+            at[missing] = [self.index[joined[i]] for i in missing]
+        elif missing:
+            self.learn(set(joined))
+            at = np.fromiter(map(self.index.__getitem__, joined), np.int64, len(joined))
         n = self.counts[at]
         flat, ends = gather(self.ids, self.starts[at], n), starts_of(n)
         out, first = [], 0
         for t, w in zip(texts, words):
             if w is None:
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32))
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.int64))
             else:
                 out.append(flat[ends[first] : ends[first + len(w)]])
                 first += len(w)
         return out
 
 
+def room(x: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a longer copy that holds n entries."""
+    if n > len(x):
+        x = np.concatenate((x, np.empty(max(n, 2 * len(x)) - len(x), x.dtype)))
+    return x
+
+
 def squeeze(ids: np.ndarray) -> bytes:
-    """Bytes of the ids by place value, compressed."""
-    planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(1).compress(planes.tobytes())
+    """The ids as 16-bit or 32-bit numbers, their bytes by place value, compressed."""
+    wide = 2 if ids.max(initial=0) < 1 << 16 else 4
+    planes = np.ascontiguousarray(ids.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T)
+    return bytes([wide]) + zstandard.ZstdCompressor(1).compress(planes.tobytes())
 
 
 def unsqueeze(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    wide = blob[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(wide, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{wide}").ravel().astype(np.int64)
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -147,7 +193,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
             for piece in text_groups(sizes, GROUP):
                 texts = [t or "" for t in b.column(1)[piece.start : piece.stop].to_pylist()]
                 for i, ids in zip(b.column(0)[piece.start : piece.stop].to_pylist(), coder.encode(texts)):
-                    held.append((i, np.append(ids, np.int32(end_id))))
+                    held.append((i, np.append(ids, ids.dtype.type(end_id))))
                     size += len(ids) + 1
                     if size >= BLOCK:
                         yield pack()
