@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import round_trip
 from .common import read_table
 from .decontaminate import OVERLAPS_SQL, overlaps
+from .html_extract import main_text
+from .quality_classifier import scored
 from .quality_rules import quality
 from .rans_files import file_round_trip
 from .secret_scan import scan
@@ -31,6 +33,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -39,10 +45,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_simhash, op5_decontamination, op7_bpe_codec, op8_secret_scan, op10_id_files)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_simhash, op5_decontamination, op6_html_extract, op7_bpe_codec, op8_secret_scan, op9_quality_classifier, op10_id_files)}
 
 ORACLES: dict[str, str] = {"op5_decontamination": OVERLAPS_SQL}
