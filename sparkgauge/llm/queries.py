@@ -14,9 +14,14 @@ from .quality_rules import quality
 from .rans_files import file_round_trip
 from .secret_scan import scan
 from .simhash import near_duplicates
+from .suffix_dedup import deduplicated
 from .token_counts import token_counts
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -53,6 +58,6 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_simhash, op5_decontamination, op6_html_extract, op7_bpe_codec, op8_secret_scan, op9_quality_classifier, op10_id_files)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_token_counts, op4_simhash, op5_decontamination, op6_html_extract, op7_bpe_codec, op8_secret_scan, op9_quality_classifier, op10_id_files)}
 
 ORACLES: dict[str, str] = {"op5_decontamination": OVERLAPS_SQL}
