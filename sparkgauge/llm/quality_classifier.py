@@ -63,7 +63,7 @@ class Features:
         words = (text or "").split()
         counts = Counter(words)
         known = self.known
-        for w in counts.keys() - known.keys():
+        for w in [w for w in counts if w not in known]:
             known[w] = zlib.crc32(w.encode("utf-8", "replace")) % WORDS
         ids = np.fromiter(map(known.__getitem__, counts), np.int32, len(counts))
         if len(known) > KNOWN_WORDS:
