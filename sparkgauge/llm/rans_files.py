@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,10 @@ BLOCK = 1 << 20
 #: Words a task remembers; beyond it the table starts anew.
 KNOWN_WORDS = 1_000_000
 #: Characters that are encoded at once.
-GROUP = 4_000_000
+GROUP = 8_000_000
 #: What needs the library's view of the whole text: separators that only some take for white space, special strings, letters whose lower case depends on their place.
-WHOLE = ("<|", "\u03a3", "\u0130", "\x1c", "\x1d", "\x1e", "\x1f")
+WHOLE = ("\u03a3", "\u0130")
+WHOLE_ASCII = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 STOPS = ".,;:!?"
 
 PACKS = "part int, seq int, before long, n long, doc_ids array<long>, counts array<int>, ids binary"
@@ -99,57 +100,62 @@ class WordCoder:
             return self.look_up(words)
         return ids, np.diff(last, prepend=-1)
 
-    def learn(self, new: set[str]) -> bool:
-        """Add words that are not known; where they find no room, forget all known words instead and tell so."""
-        if self.index and len(self.index) + len(new) > KNOWN_WORDS:
+    def learn(self, words: pa.Array) -> bool:
+        """Add distinct words that are not known; where they find no room, forget all known words instead and tell so."""
+        if self.index and len(self.index) + 2 * len(words) > KNOWN_WORDS:
             self.forget()
             return False
         # a word of letters and a run of stops are two pieces: each is looked up alone
-        letters, cut, other = [], [], []
-        for w in new:
-            if w.isalpha():
-                letters.append(w)
-            elif (s := w.rstrip(STOPS)) != w and s.isalpha():
-                cut.append((w, s, w[len(s) :]))
-            else:
-                other.append(w)
-        stems = {s for _, s, _ in cut} - self.index.keys()
-        letters += stems.difference(letters)
-        other += {e for _, _, e in cut} - self.index.keys() - set(other)
-        if letters:
-            self.add(letters, *self.look_up_letters(letters))
+        stems = pc.utf8_rtrim(words, characters=STOPS)
+        letters = pc.utf8_is_alpha(stems)
+        whole = pc.equal(stems, words)
+        plain, other = words.filter(pc.and_(letters, whole)), words.filter(pc.invert(letters))
+        cut = pc.and_(letters, pc.invert(whole))
+        cuts, stems = words.filter(cut).to_pylist(), stems.filter(cut).to_pylist()
+        ends = [w[len(s) :] for w, s in zip(cuts, stems)]
+        plain, other = plain.to_pylist(), other.to_pylist()
+        plain += {s for s in stems if s not in self.index}.difference(plain)
+        other += {e for e in ends if e not in self.index}.difference(other)
+        if plain:
+            self.add(plain, *self.look_up_letters(plain))
         if other:
             self.add(other, *self.look_up(other))
-        if cut:
-            get = self.index.__getitem__
-            halves = np.array([[get(s) for _, s, _ in cut], [get(e) for _, _, e in cut]]).T
+        if cuts:
+            halves = np.empty((len(cuts), 2), np.int64)
+            halves[:, 0] = np.fromiter(map(self.index.__getitem__, stems), np.int64, len(cuts))
+            halves[:, 1] = np.fromiter(map(self.index.__getitem__, ends), np.int64, len(cuts))
             n = self.counts[halves]
-            self.add([w for w, _, _ in cut], gather(self.ids, self.starts[halves].ravel(), n.ravel()), n.sum(1))
+            self.add(cuts, gather(self.ids, self.starts[halves].ravel(), n.ravel()), n.sum(1))
         return True
 
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where the distinct words stand in the table; unknown ones are learned."""
+        listed = words.to_pylist()
+        at = np.fromiter(map(self.index.get, listed, repeat(-1)), np.int64, len(listed))
+        missing = np.flatnonzero(at < 0)
+        if len(missing) and not self.learn(words.take(pa.array(missing))):
+            self.learn(words)
+            missing = np.arange(len(listed))
+        at[missing] = np.fromiter((self.index[listed[i]] for i in missing.tolist()), np.int64, len(missing))
+        return at
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words: list[list[str] | None] = []
-        for t in texts:
-            low = t.lower()
-            plain = (low.isascii() or unicodedata.is_normalized("NFC", t) and unicodedata.is_normalized("NFC", low)) and not any(c in t for c in WHOLE)
-            words.append(low.split() if plain else None)
-        joined = [*chain.from_iterable(w for w in words if w is not None)]
-        at = np.fromiter(map(self.index.get, joined, repeat(-1)), np.int64, len(joined))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing and self.learn({joined[i] for i in missing}):
-            at[missing] = [self.index[joined[i]] for i in missing]
-        elif missing:
-            self.learn(set(joined))
-            at = np.fromiter(map(self.index.__getitem__, joined), np.int64, len(joined))
+        plain = [t.isascii() or not any(c in t for c in WHOLE) and unicodedata.is_normalized("NFC", t) and unicodedata.is_normalized("NFC", t.lower()) for t in texts]
+        plain = [p and not any(c in t for c in WHOLE_ASCII) for p, t in zip(plain, texts)]
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([t for t, p in zip(texts, plain) if p], pa.large_string())))
+        words = split.flatten().dictionary_encode()
+        n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        at = self.places(words.dictionary.cast(pa.string()))[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
         n = self.counts[at]
         flat, ends = gather(self.ids, self.starts[at], n), starts_of(n)
-        out, first = [], 0
-        for t, w in zip(texts, words):
-            if w is None:
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.int64))
+        bounds = ends[starts_of(n_words)].tolist()
+        out, k = [], 0
+        for t, p in zip(texts, plain):
+            if p:
+                out.append(flat[bounds[k] : bounds[k + 1]])
+                k += 1
             else:
-                out.append(flat[ends[first] : ends[first + len(w)]])
-                first += len(w)
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.int64))
         return out
 
 
@@ -213,8 +219,9 @@ def histogram(packs: DataFrame) -> rans.Table:
     def run(batches):
         for b in batches:
             for blob in b.column(0):
-                symbol, n = np.unique(unsqueeze(blob.as_py()), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(symbol, pa.int64()), pa.array(n, pa.int64())], ["symbol", "n"])
+                n = np.bincount(unsqueeze(blob.as_py()))
+                symbol = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(symbol, pa.int64()), pa.array(n[symbol], pa.int64())], ["symbol", "n"])
 
     got = packs.select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
     return rans.Table(got.column("symbol").to_numpy(), got.column("n").to_numpy())
