@@ -32,42 +32,44 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def seeds(words: str) -> Column:
-    """Hashes of every place under the first mask, then under the second."""
-    last = f"size({words}) - {SPAN}"
+def seeded(rows: DataFrame, words: str, place: str) -> DataFrame:
+    """A row for each place of the tokens and each mask, with the hash ``key`` of what the mask shows there.
 
-    def under(number: int, mask: str) -> str:
-        shown = ", ".join(f"get({words}, i + {k})" for k, one in enumerate(mask) if one == "1")
-        return f"transform(sequence(0, {last}), i -> xxhash64({number}, {shown}))"
-
-    every = ", ".join(under(i, m) for i, m in enumerate(MASKS))
-    return F.expr(f"if({last} < 0, array(), flatten(array({every})))")
+    Explode and hash run in generated code, which hands the tokens on by reference.
+    """
 
+    def under(number: int, mask: str) -> str:
+        shown = ", ".join(f"get({words}, {place} + {k})" for k, one in enumerate(mask) if one == "1")
+        return f"xxhash64({number}, {shown})"
 
-def placed(words: str, key: str, at: str) -> list[Column]:
-    """A row for each seed: its hash, and the place of its first token."""
-    return [F.col(key), (F.col(at) % (F.size(words) - SPAN + 1)).alias(at)]
+    kept = rows.columns
+    out = rows.select(*kept, F.posexplode_outer(words).alias(place, "_token")).where(F.expr(f"{place} <= size({words}) - {SPAN}"))
+    return out.select(*kept, place, F.explode(F.array(*(F.expr(under(i, m)) for i, m in enumerate(MASKS)))).alias("key"))
 
 
 def item_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, at, item_id, item): every seed of the benchmark with its item's tokens."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), tokens(F.col(text_col)).alias("item"))
-    rows = items.select("item_id", "item", F.posexplode(seeds("item")).alias("at", "key"))
-    return rows.select("item_id", "item", *placed("item", "key", "at"))
-
-
-def agreeing() -> list[Column]:
-    """For a hit, tokens of the item that agree on its diagonal, and whether a window of it agrees well enough."""
-    equal = F.expr("transform(item, (t, k) -> if(t <=> get(words, place - at + k), 1, 0))").alias("equal")
-    return [equal, F.expr(f"least(size(item), {WINDOW})").alias("width")]
+    """(item_id, item, at, key): every seed of the benchmark with its item's tokens."""
+    return seeded(benchmark.select(F.col(id_col).cast("long").alias("item_id"), tokens(F.col(text_col)).alias("item")), "item", "at")
 
 
 def verified(hits: DataFrame) -> DataFrame:
-    hits = hits.select("doc_id", "item_id", *agreeing())
+    """Documents and items with a hit whose diagonal has a window that agrees well enough.
+
+    The verdict is filtered after the aggregate: as a condition of the join it would
+    run outside generated code, and every place would copy its document's tokens.
+    """
+    equal = F.expr("transform(item, (t, k) -> if(t <=> get(words, place - at + k), 1, 0))").alias("equal")
+    hits = hits.select("doc_id", "item_id", equal, F.expr(f"least(size(item), {WINDOW})").alias("width"))
     best = "array_max(transform(sequence(0, size(equal) - width), s -> aggregate(slice(equal, s + 1, width), 0, (a, x) -> a + x)))"
-    hits = hits.where(F.expr(f"{best} >= ceil({SHARE}D * width)"))
-    n = hits.select("doc_id", "item_id", F.expr("aggregate(equal, 0, (a, x) -> a + x)").cast("long").alias("n_equal"), F.size("equal").cast("long").alias("n_item"))
-    return n.groupBy("doc_id", "item_id").agg(F.max("n_equal").alias("n_equal"), F.max("n_item").alias("n_item"))
+    hits = hits.select(
+        "doc_id",
+        "item_id",
+        F.expr(f"{best} >= ceil({SHARE}D * width)").alias("good"),
+        F.expr("aggregate(equal, 0, (a, x) -> a + x)").cast("long").alias("n_equal"),
+        F.size("equal").cast("long").alias("n_item"),
+    )
+    found = hits.groupBy("doc_id", "item_id").agg(F.max(F.expr("if(good, n_equal, null)")).alias("n_equal"), F.max(F.expr("if(good, n_item, null)")).alias("n_item"))
+    return found.where("n_equal is not null")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -75,12 +77,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.col(text_col)).alias("words"))
     known = item_seeds(benchmark, item_id_col, item_text_col)
     if known.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        # the tokens of a document are carried by reference through explode and join; only hits copy them
-        placed_rows = rows.select("doc_id", "words", F.posexplode(seeds("words")).alias("place", "key")).select("doc_id", "words", *placed("words", "key", "place"))
-        return verified(placed_rows.join(F.broadcast(known), "key"))
+        return verified(seeded(rows, "words", "place").join(F.broadcast(known), "key"))
     # beyond that: places alone meet the seeds, and only documents with hits fetch their tokens again
-    lean = rows.select("doc_id", F.size("words").alias("n"), F.posexplode(seeds("words")).alias("place", "key"))
-    lean = lean.select("doc_id", "key", (F.col("place") % (F.col("n") - SPAN + 1)).alias("place"))
+    lean = seeded(rows, "words", "place").select("doc_id", "place", "key")
     hits = lean.join(known, "key").drop("key").distinct()
     return verified(hits.join(rows, hits.doc_id.eqNullSafe(rows.doc_id)).select(hits.doc_id, "item_id", "item", "at", "place", "words"))
 
