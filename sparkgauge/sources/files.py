@@ -125,7 +125,7 @@ def scan(spark: SparkSession, folder: str, exclude: Iterable[str] = (), exclude_
     """(file_path, code) of a tree in any store Spark reads, listed and read by the executors."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").option("recursiveFileLookup", "true").load(folder)
     rows = rows.where(~excluded(F.col("path"), exclude, exclude_globs))
-    return rows.select(F.col("path").alias("file_path"), F.decode("content", F.lit("UTF-8")).alias("code"))
+    return rows.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("code"))
 
 
 def strings(spark: SparkSession, sources: Mapping[str, str] | Iterable[tuple[str, str]]) -> DataFrame:
