@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 log = logging.getLogger("sparkgauge")
 
 SUFFIX = ".swift"
-CONFIG_NAMES = (".swift-complexity.yml", ".swift-complexity.yaml")
+#: Names of rule files that a folder may hold; those that end in yml come first.
+CONFIG_NAMES = (r"\.[\w-]*complexity\.yml", r"\.[\w-]*complexity\.yaml")
+#: Environment variables that set the threshold end so.
+THRESHOLD_VARIABLE = "COMPLEXITY_THRESHOLD"
 SOURCES = "file_path string, code string"
 RULES = "prefix string, suffix string, threshold int"
 
@@ -177,17 +180,22 @@ def load_rules(path: str) -> Rules:
         raise RuleFileError(f"cannot read {path}: {e}") from e
 
 
-def discover_rules(folder: str) -> Rules | None:
-    """The rule file of a folder under its usual names, if there is one."""
-    for name in CONFIG_NAMES:
-        if os.path.exists(path := os.path.join(folder, name)):
-            return load_rules(path)
+def discover_rules(folder: str, names: Iterable[str] = CONFIG_NAMES) -> Rules | None:
+    """The rule file of a folder, if it has one under these names (regular expressions, in order)."""
+    listed = sorted(os.listdir(folder))
+    for name in names:
+        for found in listed:
+            if re.fullmatch(name, found):
+                return load_rules(os.path.join(folder, found))
     return None
 
 
 def env_threshold(default: int = 10) -> int:
     """The threshold that the environment asks for."""
-    try:
-        return int(os.environ.get("SWIFT_COMPLEXITY_THRESHOLD", default))
-    except ValueError:
-        return default
+    for name in sorted(os.environ):
+        if name.endswith(THRESHOLD_VARIABLE):
+            try:
+                return int(os.environ[name])
+            except ValueError:
+                log.warning("%s is not a number", name)
+    return default

@@ -191,7 +191,7 @@ def test_files(spark, tmp_path, caplog):
 
 def test_rule_files(tmp_path):
     assert files.discover_rules(str(tmp_path)) is None
-    path = tmp_path / ".swift-complexity.yaml"
+    path = tmp_path / ".team-complexity.yaml"
     path.write_text("rules:\n  - suffix: Repository\n    threshold: 5\n  - prefix: A\n    suffix: B\n    threshold: 7\n")
     assert files.discover_rules(str(tmp_path)) == sg.Rules(((None, "Repository", 5), ("A", "B", 7)), None)
     for bad in ("defaultThreshold: 3", "rules: 3", "rules: [{threshold: x}]", "rules: [", "rules: []\ndefaultThreshold: many"):
@@ -202,6 +202,16 @@ def test_rule_files(tmp_path):
         files.load_rules(str(tmp_path / "none.yml"))
 
 
+def test_rule_file_names_and_environment(tmp_path, monkeypatch):
+    (tmp_path / ".a-complexity.yaml").write_text("rules: []\ndefaultThreshold: 4")
+    (tmp_path / ".b-complexity.yml").write_text("rules: []\ndefaultThreshold: 3")
+    assert files.discover_rules(str(tmp_path)).default == 3
+    assert files.discover_rules(str(tmp_path), [r"\.a.*"]).default == 4
+    assert files.env_threshold() == 10
+    monkeypatch.setenv("MY_COMPLEXITY_THRESHOLD", "7")
+    assert files.env_threshold() == 7
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.swift").write_text(DEEP)
