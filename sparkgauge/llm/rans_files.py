@@ -19,6 +19,7 @@ result.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -182,8 +183,8 @@ def unsqueeze(blob: bytes) -> np.ndarray:
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Packs of about BLOCK ids in ascending order of the document id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tie = F.xxhash64("text")
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    ascending = F.col("doc_id").asc_nulls_first()
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), ascending).sortWithinPartitions(ascending, F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq, before, size = WordCoder.of(path), TaskContext.get().partitionId(), 0, 0, 0
@@ -250,25 +251,35 @@ BLOCKS = "part int, seq int, doc_ids array<long>, counts array<int>, start long,
 BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("start", pa.int64()), ("block", pa.binary())])
 
 
-def read_ids(spark: SparkSession, out: str) -> DataFrame:
-    """(doc_id, start, ids as little-endian u32) of every document in the files."""
+def documents_of(spark: SparkSession, out: str, columns: str, of) -> DataFrame:
+    """Rows of all documents in the files; ``of`` makes the columns after (doc_id, start) from the bytes of a block's ids and where each document's begin and end."""
     rows = spark.read.parquet(f"{out}/table").toArrow()
     table = rans.Table(rows.column("symbol").to_numpy(), rows.column("freq").to_numpy())
+    names = ["doc_id", "start", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 raw = rans.decode(table, r["block"]).astype("<u4").tobytes()
                 ends = starts_of(np.array(r["counts"], np.int64))
-                ids = [raw[4 * a : 4 * e] for a, e in zip(ends.tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(ends[:-1] + r["start"]), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(ends[:-1] + r["start"]), *of(raw, (4 * ends).tolist())], names)
+
+    return spark.read.parquet(f"{out}/blocks").select("doc_ids", "counts", "start", "block").mapInArrow(run, f"doc_id long, start long, {columns}")
+
 
-    return spark.read.parquet(f"{out}/blocks").select("doc_ids", "counts", "start", "block").mapInArrow(run, "doc_id long, start long, ids binary")
+def read_ids(spark: SparkSession, out: str) -> DataFrame:
+    """(doc_id, start, ids as little-endian u32) of every document in the files."""
+    return documents_of(spark, out, "ids binary", lambda raw, ends: [pa.array([raw[a:e] for a, e in zip(ends, ends[1:])], pa.binary())])
 
 
 def digests(spark: SparkSession, out: str) -> DataFrame:
     """What the files hold of each document: where its ids begin, how many they are, and their CRC-32."""
-    return read_ids(spark, out).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+    def of(raw, ends):
+        view = memoryview(raw)
+        return [pa.array(np.diff(ends) // 4), pa.array([zlib.crc32(view[a:e]) for a, e in zip(ends, ends[1:])], pa.int64())]
+
+    return documents_of(spark, out, "n_tokens long, ids_crc32 long", of)
 
 
 def file_round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
