@@ -20,12 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # The masks show the first, second, ... of SPAN tokens where they have a one.
 MASKS = ("11110011", "11010111")
 SPAN = 8
 WINDOW, SHARE = 13, 0.8
 #: Seeds of a benchmark that go to every executor (some 20 MB); more are joined by exchange.
 BROADCAST_SEEDS = 200_000
+#: Ids of leaked documents that go to every executor (some 8 MB); more are joined by exchange.
+BROADCAST_IDS = 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -86,8 +90,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` into which no item leaks."""
-    leaked = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, docs[id_col].cast("long").eqNullSafe(leaked.leaked_id), "left_anti")
+    found = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("leaked_id")).distinct()
+    leaked = stored(found, "leaked")
+    if leaked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        leaked = F.broadcast(leaked)  # else documents and ids meet by exchange
+    return docs.join(leaked, docs[id_col].cast("long").eqNullSafe(F.col("leaked_id")), "left_anti")
 
 
 #: The same rules without hashes, for DuckDB.
