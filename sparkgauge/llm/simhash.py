@@ -7,10 +7,12 @@ the same partition; a dynamic programme picks the thresholds with the least esti
 work.  Each distinct fingerprint is written under the variants of its partitions;
 those that meet under a variant are compared on all bits, so no pair is missed.
 
-Variants under which very many meet are refined before the exchange: of the other bits,
-cut into ``most + 2`` pieces, two at least must be equal, and each such pair of pieces
-becomes a key of its own.  Of the pairs found under a key only a spanning forest is
-kept, so the number of links follows the number of fingerprints.
+Variants under which more rows meet than a task should hold are refined before the
+exchange: of the other bits, cut into ``most + 1`` pieces, one at least must be equal, and
+each piece becomes a key of its own.  Under a key, fingerprints gather in balls around
+leaders; only those that could link two balls, by the triangle inequality, are compared
+further, and of the links a spanning forest is kept, so dense groups of copies cost about
+as much as they have members.
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero,
 linked like any other; equal ids are rows of their own that link like any others; a
@@ -37,8 +39,10 @@ from .components import components, forest
 BITS = 64
 ONE = np.uint64(1)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Rows under one key that are compared all with all; more are refined.
-HOT = 2048
+#: Rows of a key that may go to one task (16 bytes each); keys with more are refined.
+SPREAD = 1 << 20
+#: Rows of a key that are compared all with all; more gather in balls.
+SMALL = 64
 #: Cells of the sketch of how many rows each key has.
 CELLS = 1 << 14
 #: Estimated seconds to write one variant and to compare one pair.
@@ -173,71 +177,94 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def signatures(fp: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, fingerprints, roles and partitions of all variants.
+def signatures(fp: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, fingerprints and partitions of all variants.
 
-    Under threshold t one side moves up to ceil(t / 2) bits (role 1) and the other up to
-    floor(t / 2) (role 2); two rows are compared if their roles differ.
+    Under threshold t both sides move up to ceil(t / 2) bits, so two that differ in t bits meet halfway.
     """
-    keys, fps, roles, parts = [], [], [], []
+    keys, fps, parts = [], [], []
     for i, (mask, t) in enumerate(zip(plan.masks, plan.thresholds)):
         if t < 0:
             continue
         value = fp & np.uint64(mask)
-        for r, change in enumerate(flips(mask, (t + 1) // 2)):
+        for change in flips(mask, (t + 1) // 2):
             keys.append(mixed(value[:, None] ^ change[None, :], i + 1).ravel())
             fps.append(np.repeat(fp, len(change)))
-            roles.append(np.full(len(keys[-1]), 3 if r <= t // 2 else 1, np.int8))
             parts.append(np.full(len(keys[-1]), i, np.int8))
-    return tuple(np.concatenate(x) if x else np.empty(0, d) for x, d in ((keys, np.uint64), (fps, np.uint64), (roles, np.int8), (parts, np.int8)))
+    return tuple(np.concatenate(x) if x else np.empty(0, d) for x, d in ((keys, np.uint64), (fps, np.uint64), (parts, np.int8)))
 
 
 @lru_cache(64)
-def piece_pairs(mask: int, most: int) -> list[int]:
-    """Masks of two pieces each of the bits outside ``mask``, which are cut into most + 2 pieces."""
+def pieces(mask: int, most: int) -> list[int]:
+    """The bits outside ``mask`` in most + 1 pieces."""
     rest = [i for i in range(BITS) if not mask >> i & 1]
-    pieces = [sum(1 << i for i in rest[k :: most + 2]) for k in range(most + 2)]
-    return [a | b for a, b in combinations(pieces, 2) if a and b] or [0]
+    return [sum(1 << i for i in rest[k :: most + 1]) for k in range(most + 1)]
 
 
 def refined(key: np.ndarray, fp: np.ndarray, mask: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Finer keys, one row of them for each pair of pieces; and the index of each row."""
-    finer = [mixed(key ^ mixed(fp & np.uint64(m), 101 + j), 67) for j, m in enumerate(piece_pairs(mask, most))]
+    """Finer keys, one row of them for each piece; and the index of each row."""
+    finer = [mixed(key ^ mixed(fp & np.uint64(m), 101 + j), 67) for j, m in enumerate(pieces(mask, most))]
     return np.concatenate(finer), np.tile(np.arange(len(key)), len(finer))
 
 
-def linked(key: np.ndarray, fp: np.ndarray, role: np.ndarray, part: np.ndarray, plan: Plan, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y)
+
+
+def ball_links(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever chains of ``most`` bits connect among distinct fingerprints.
+
+    Leaders take what is near them.  What lies in no ball of two or more has been compared with
+    all by then; for each other ball the rest of the fingerprints that its reach allows,
+    and that are not connected to it yet, are compared with its members.
+    """
+    label, left, balls = np.arange(len(fp)), np.arange(len(fp)), []
+    while len(left):
+        leader = left[0]
+        near = apart(fp[left], fp[leader]) <= most
+        if near.sum() > 1:
+            balls.append(left[near])
+            label[left[near]] = leader
+        left = left[~near]
+    for members in balls:
+        from_leader = apart(fp, fp[members[0]])
+        reach = int(from_leader[members].max())
+        open_ = np.flatnonzero((from_leader <= most + reach) & (label != label[members[0]]))
+        for i in range(0, len(open_), 512):
+            part = open_[i : i + 512]
+            part = part[label[part] != label[members[0]]]
+            hit = np.zeros(len(part), bool)
+            for j in range(0, len(members), 4096):
+                hit |= (apart(fp[part][:, None], fp[members[j : j + 4096]][None, :]) <= most).any(1)
+            for other in np.unique(label[part[hit]]).tolist():
+                label[label == other] = label[members[0]]
+    moved = label != np.arange(len(fp))
+    return fp[moved], fp[label[moved]]
+
+
+def linked(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the rows that share a key; rows are sorted by key."""
     if not len(key):
         return fp[:0], fp[:0]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(first, len(key)))
     out_a, out_b = [fp[:0]], [fp[:0]]
-    if depth == 0 and size.max() > HOT:
-        big = np.repeat(size > HOT, size)
-        for i in np.unique(part[big]).tolist():
-            at = np.flatnonzero(big & (part == i))
-            finer, row = refined(key[at], fp[at], plan.masks[i], plan.most)
-            order = np.argsort(finer, kind="stable")
-            row = at[row[order]]
-            a, b = linked(finer[order], fp[row], role[row], part[row], plan, 1)
-            out_a.append(a), out_b.append(b)
-        key, fp, role = key[~big], fp[~big], role[~big]
+    for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        a, b = ball_links(fp[at : at + n], most)
+        out_a.append(a), out_b.append(b)
+    small = np.repeat(size <= SMALL, size)
+    key, fp = key[small], fp[small]
     at, step = np.arange(len(key)), 1
     while True:
         at = at[at + step < len(key)]
         at = at[key[at] == key[at + step]]
         if not len(at):
             break
-        x, y = fp[at], fp[at + step]
-        near = (np.bitwise_count(x ^ y) <= plan.most) & (x != y) & ((role[at] & 1) & (role[at + step] >> 1) | (role[at] >> 1) & (role[at + step] & 1)).astype(bool)
-        if near.any():
-            out_a.append(x[near]), out_b.append(y[near])
-            if sum(map(len, out_a)) > 1 << 20:
-                a, b = forest(np.concatenate(out_a), np.concatenate(out_b))
-                out_a, out_b = [a], [b]
+        near = apart(fp[at], fp[at + step]) <= most
+        out_a.append(fp[at[near]]), out_b.append(fp[at[near] + step])
         step += 1
-    return forest(np.concatenate(out_a), np.concatenate(out_b))
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return forest(a[a != b], b[a != b])
 
 
 def sketch(sigs: DataFrame) -> np.ndarray:
@@ -259,24 +286,24 @@ def sketch(sigs: DataFrame) -> np.ndarray:
 def links(fps: DataFrame, most: int) -> DataFrame:
     """(a, b): links among distinct fingerprints ``fp`` that differ in 1 to ``most`` bits; a spanning forest per task."""
     plan = make_plan(fps, most)
-    fields = "key long, fp long, role byte, part byte"
+    fields = "key long, fp long"
 
     def emit(cells):
         def run(batches):
             for b in batches:
                 fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 for i in range(0, len(fp), 4096):
-                    key, f, role, part = signatures(fp[i : i + 4096], plan)
+                    key, f, part = signatures(fp[i : i + 4096], plan)
                     if cells is not None:
-                        hot = cells[(key & np.uint64(CELLS - 1)).astype(np.int64)] > HOT + 4 * cells.mean()
+                        hot = cells[(key & np.uint64(CELLS - 1)).astype(np.int64)] > SPREAD + 16 * cells.mean()
                         if hot.any():
-                            kept = [(key[~hot], f[~hot], role[~hot], part[~hot])]
+                            kept = [(key[~hot], f[~hot])]
                             for p in np.unique(part[hot]).tolist():
                                 at = np.flatnonzero(hot & (part == p))
                                 finer, row = refined(key[at], f[at], plan.masks[p], plan.most)
-                                kept.append((finer, f[at][row], role[at][row], part[at][row]))
-                            key, f, role, part = (np.concatenate(x) for x in zip(*kept))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(f.view(np.int64)), pa.array(role), pa.array(part)], ["key", "fp", "role", "part"])
+                                kept.append((finer, f[at][row]))
+                            key, f = (np.concatenate(x) for x in zip(*kept))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(f.view(np.int64))], ["key", "fp"])
 
         return run
 
@@ -284,17 +311,16 @@ def links(fps: DataFrame, most: int) -> DataFrame:
         # a key's rows may go on in the next batch: the last key of a batch waits
         held: tuple[np.ndarray, ...] | None = None
         for b in batches:
-            new = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            new = (new[0], new[1].view(np.uint64), new[2], new[3])
+            new = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             if held is not None:
                 new = tuple(np.concatenate(x) for x in zip(held, new))
             cut = int(np.searchsorted(new[0], new[0][-1])) if len(new[0]) else 0
             held = tuple(x[cut:] for x in new)
-            a, c = linked(*(x[:cut] for x in new), plan)
+            a, c = linked(*(x[:cut] for x in new), plan.most)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["a", "b"])
         if held is not None:
-            a, c = linked(*held, plan)
+            a, c = linked(*held, plan.most)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["a", "b"])
 
     cells = sketch(fps.select("fp").mapInArrow(emit(None), fields))
