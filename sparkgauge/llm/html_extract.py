@@ -35,12 +35,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_P = frozenset("address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 LEFT_OUT_TAGS = frozenset("head nav header footer aside form button select script style noscript template iframe textarea title svg canvas object audio video dialog menu figcaption".split())
-#: Words that name page furniture in a class, an id or a role.
+#: Words that name menus, headers, footers, sidebars, notices, adverts, forms and comments in a class, an id or a role.
 FURNITURE = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments complementary consent cookie cookies discussion disqus footer header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices pagination paywall popup promo promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget".split()
+    "menu menubar nav navbar navigation breadcrumb breadcrumbs pagination toolbar skip tabs header masthead topbar footer colophon legal copyright sidebar aside complementary widget widgets related recommended recommendations trending teaser notice notices alert announcement cookie cookies consent gdpr disclaimer paywall popup modal newsletter subscribe subscription signup ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion form search login comment comments discussion disqus replies reply respond share sharing social".split()
 )
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+#: Beside these, a header is that of the article.
+OF_THE_ARTICLE = frozenset("article content entry post story".split())
+#: Pages on which a text must be the same to be taken for the template's.
+SAME_ON = 5
 #: The same for articles, of which a page's own may bear the other words.
 NOT_THE_ARTICLE = frozenset("ad ads advert comment comments promo related replies reply sponsored teaser".split())
 #: Elements nested deeper than this count as text of what holds them.
@@ -65,10 +69,14 @@ def label_of(tag: str, attributes: str) -> str:
 
 
 @lru_cache(20_000)
-def left_out(label: str) -> bool:
-    tag, _, names = label.partition(".")
+def left_out(label: str, in_article: bool = False) -> bool:
+    """Whether a label names page furniture; within an article a header holds its title."""
+    tag, _, rest = label.partition(".")
+    names = {*rest.split(".")}
+    if tag == "header" and in_article or not OF_THE_ARTICLE.isdisjoint(names):
+        names, tag = names - {"header"}, "div" if tag == "header" else tag
     furniture = {"html": (), "body": (), "main": (), "article": NOT_THE_ARTICLE}.get(tag, FURNITURE)
-    return tag in LEFT_OUT_TAGS or any(n in furniture for n in names.split("."))
+    return tag in LEFT_OUT_TAGS or any(n in furniture for n in names)
 
 
 def parse(page: str) -> Node:
@@ -208,16 +216,17 @@ def mark_regions(wrapper: list) -> list:
     """The wrapper as [label, keep, children]: keep is 0 left out, 1 path to the main region, 2 the region itself."""
     sums: dict[int, int] = {}
 
-    def template(node: list) -> bool:
+    def template(node: list, in_article: bool) -> bool:
         all_, links = total(node, CHARS), total(node, LINKS)
-        same = wrapper[PAGES] >= 3 and node[TEXT] not in (0, -1) and not node[KIDS] and node[PAGES] >= 3
-        return left_out(node[LABEL]) or same or all_ > 0 and links > 0.8 * all_ and not node[LABEL].startswith(("article", "main", "body", "html", "#root", "p"))
+        fixed = node[TEXT] not in (0, -1) and not node[KIDS] and node[PAGES] >= SAME_ON and not re.match(r"h[1-6]\b", node[LABEL])
+        return left_out(node[LABEL], in_article) or fixed or all_ > 0 and links > 0.8 * all_ and not node[LABEL].startswith(("article", "main", "body", "html", "#root", "p"))
 
-    def mass(node: list, strict: bool) -> int:
-        if template(node) if strict else left_out(node[LABEL]):
+    def mass(node: list, strict: bool, in_article: bool = False) -> int:
+        in_article = in_article or node[LABEL].partition(".")[0] == "article"
+        if template(node, in_article) if strict else left_out(node[LABEL], in_article):
             sums[id(node)] = 0
         else:
-            sums[id(node)] = (node[CHARS] - node[LINKS] // 2) + sum(mass(k, strict) for k in node[KIDS])
+            sums[id(node)] = (node[CHARS] - node[LINKS] // 2) + sum(mass(k, strict, in_article) for k in node[KIDS])
         return sums[id(node)]
 
     strict = mass(wrapper, True) > 0
@@ -225,12 +234,12 @@ def mark_regions(wrapper: list) -> list:
         mass(wrapper, False)
     region = find_region(wrapper, sums)
 
-    def marked(node: list, inside: bool) -> list:
-        inside = inside or node is region
-        out = not sums.get(id(node)) and (template(node) if strict else left_out(node[LABEL]))
-        return [node[LABEL], 0 if out else 2 if inside else 1, [] if out else [marked(k, inside) for k in node[KIDS]]]
+    def marked(node: list, inside: bool, in_article: bool) -> list:
+        inside, in_article = inside or node is region, in_article or node[LABEL].partition(".")[0] == "article"
+        out = not sums.get(id(node)) and (template(node, in_article) if strict else left_out(node[LABEL], in_article))
+        return [node[LABEL], 0 if out else 2 if inside else 1, [] if out else [marked(k, inside, in_article) for k in node[KIDS]]]
 
-    return marked(wrapper, False)
+    return marked(wrapper, False, False)
 
 
 def total(node: list, field: int) -> int:

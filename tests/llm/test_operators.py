@@ -235,27 +235,43 @@ def test_fingerprint_by_hand():
     assert simhash.fingerprint("É x") == xxhash.xxh64_digest("É x", 42) and simhash.fingerprint(" ") == simhash.fingerprint(None) == bytes(8)
 
 
-def test_hot_keys_are_refined_and_lose_nothing(monkeypatch):
-    monkeypatch.setattr(simhash, "HOT", 20)
-    r = np.random.default_rng(6)
-    center = r.integers(0, 2**63, 3, np.uint64)
-    fps = center[r.integers(0, 3, 500)]
+def clustered(seed, n=500):
+    r = np.random.default_rng(seed)
+    fps = r.integers(0, 2**63, 3, np.uint64)[r.integers(0, 3, n)]
     for _ in range(3):
-        fps ^= np.where(r.random(500) < 0.7, np.uint64(1) << r.integers(0, 64, 500).astype(np.uint64), np.uint64(0))
-    fps = np.unique(fps)
+        fps ^= np.where(r.random(n) < 0.7, np.uint64(1) << r.integers(0, 64, n).astype(np.uint64), np.uint64(0))
+    return np.unique(np.concatenate((fps, r.integers(0, 2**63, 50, np.uint64))))
+
+
+def true_labels(fps, most):
+    x, y = np.nonzero((np.bitwise_count(fps[:, None] ^ fps[None, :]) <= most) & (fps[:, None] != fps[None, :]))
+    return dict(zip(*components.forest(fps[x], fps[y])))
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 4, 8])
+def test_balls_lose_no_link(most):
+    for seed in range(5):
+        fps = clustered(seed)
+        assert dict(zip(*components.forest(*simhash.ball_links(fps, most)))) == true_labels(fps, most)
+
+
+@pytest.mark.parametrize("most, m", [(2, 3), (4, 3), (8, 4)])
+def test_variants_and_refined_keys_lose_no_link(monkeypatch, most, m):
+    monkeypatch.setattr(simhash, "SMALL", 20)
+    fps = clustered(6)
     both = np.full((64, 64), len(fps) / 4.0)
     np.fill_diagonal(both, len(fps) / 2.0)
-    for most, m in ((2, 3), (4, 3), (8, 4)):
-        parts = simhash.group_bits(len(fps), both, m)
-        plan = simhash.Plan(tuple(sum(1 << (63 - i) for i in g) for g in parts), simhash.allocate(len(fps), both, parts, most)[1], most)
-        assert sum(plan.thresholds) == most - m + 1
-        key, fp, role, part = simhash.signatures(fps, plan)
-        order = np.argsort(key.view(np.int64), kind="stable")
-        a, b = simhash.linked(key.view(np.int64)[order], fp[order], role[order], part[order], plan)
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= most
-        x, y = np.nonzero(near & (fps[:, None] != fps[None, :]))
-        want = dict(zip(*components.forest(fps[x], fps[y])))
-        assert dict(zip(*components.forest(a, b))) == want
+    parts = simhash.group_bits(len(fps), both, m)
+    plan = simhash.Plan(tuple(sum(1 << (63 - i) for i in g) for g in parts), simhash.allocate(len(fps), both, parts, most)[1], most)
+    assert sum(plan.thresholds) == most - m + 1
+    key, fp, part = simhash.signatures(fps, plan)
+    every = [(key, fp)]
+    fine = [simhash.refined(key[part == p], fp[part == p], plan.masks[p], most) for p in range(m)]
+    every.append((np.concatenate([k for k, _ in fine]), np.concatenate([fp[part == p][row] for p, (_, row) in enumerate(fine)])))
+    for key, fp in every:
+        order = np.argsort(key, kind="stable")
+        a, b = simhash.linked(key[order], fp[order], most)
+        assert dict(zip(*components.forest(a, b))) == true_labels(fps, most)
 
 
 def test_components(spark):
@@ -424,6 +440,21 @@ def test_html(spark):
     assert html_extract.main_text(df.where("false")).count() == 0
 
 
+ARTICLE = """<html><body><header><a href="/">Site</a></header><div class="alert">Old browser {i}</div><main><article class="post"><header class="entry-header"><h1>T{i}</h1></header>
+<p class="byline">By {i}</p><div class="entry-content"><p>One {i}</p><h2>Background</h2><p>Two {i}</p><table><tr><td>c{i}<td>d</table><div class="ad-slot">Buy {i}</div></div>
+<ol class="comment-list"><li>Nice {i}</ol></article><aside>More {i}</aside></main></body></html>"""
+
+
+def test_article_with_header_and_comments():
+    pages = [ARTICLE.format(i=i) for i in range(8)]
+    whole = None
+    for p in pages:
+        tree = html_extract.fold(html_extract.parse(p))
+        whole = html_extract.merged(whole, tree) if whole else tree
+    regions = html_extract.mark_regions(whole)
+    assert html_extract.extract(pages[3], regions) == "T3\nBy 3\nOne 3\nBackground\nTwo 3\nc3\nd"
+
+
 def test_wrapper_expression():
     trees = [html_extract.fold(html_extract.parse(p)) for p in ("<ul><li>a<li>b</ul>", "<h1>t</h1><ul><li>c</ul>")]
     assert html_extract.expression(html_extract.merged(*trees)) == "<#root>(<h1>#fixed</h1>)?<ul>(<li>#text</li>)+</ul></#root>"
