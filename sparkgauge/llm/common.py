@@ -30,7 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/sparkgauge/{tag}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one; it goes when the driver ends."""
+    out = f"{shared_dir(spark)}/sparkgauge/{tag}-{uuid.uuid4().hex}"
+    path, fs = hadoop(spark, out)
+    fs.deleteOnExit(path)
+    return out
+
+
+def hadoop(spark: SparkSession, name: str):
+    """A path and its file system, whatever store it is in."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -46,11 +56,10 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table that ``stored`` made and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/sparkgauge/" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = hadoop(spark, parent)
+            fs.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

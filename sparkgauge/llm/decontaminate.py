@@ -94,7 +94,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     leaked = stored(found, "leaked")
     if leaked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         leaked = F.broadcast(leaked)  # else documents and ids meet by exchange
-    return docs.join(leaked, docs[id_col].cast("long").eqNullSafe(F.col("leaked_id")), "left_anti")
+    return docs.join(leaked, docs[id_col].cast("long").eqNullSafe(leaked["leaked_id"]), "left_anti")
 
 
 #: The same rules without hashes, for DuckDB.

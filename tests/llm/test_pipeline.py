@@ -41,6 +41,27 @@ def test_stages(spark, kept):
         assert not any(scanner.kinds[k].name in ("access", "hex") for _, k, _ in scanner.spans(r.text))
 
 
+CLASHES = ["score", "kept", "words", "fp", "label", "component_id", "leaked_id", "item_id", "key", "place", "row", "w", "good", "low", "stays", "_w"]
+
+
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))
+def test_odd_rows_and_clashing_columns(spark, number):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, None, None, "s", None), (8, "", "en", None, 0), (8, "", "en", None, 0), (9, "a " * 30000, "en", "s", 60000)], docs.schema)
+    docs = docs.unionByName(odd).withColumns({c: F.lit(i) for i, c in enumerate(CLASHES)})
+    stage = corpus_pipeline.STAGES[number][1]
+    out = stage(spark, docs, SF)
+    if number < len(corpus_pipeline.STAGES) - 1:
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        assert all(tuple(r)[5:] == tuple(range(len(CLASHES))) for r in out.collect())
+        assert number in (0, 1) or out.where("doc_id is null").count() == 1
+    else:
+        assert out.count() == docs.count()
+    assert stage(spark, docs.where("false"), SF).count() == 0
+
+
 def test_run(spark, kept):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, kept[-1].collect()))
 
