@@ -18,6 +18,7 @@ result.
 
 from __future__ import annotations
 
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -40,11 +41,12 @@ BLOCK = 1 << 20
 #: Words a task remembers; beyond it the table starts anew.
 KNOWN_WORDS = 1_000_000
 #: Characters that are encoded at once.
-GROUP = 8_000_000
+GROUP = 16_000_000
 #: What needs the library's view of the whole text: separators that only some take for white space, special strings, letters whose lower case depends on their place.
 WHOLE = ("\u03a3", "\u0130")
 WHOLE_ASCII = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
-STOPS = ".,;:!?"
+#: Characters of which a run is one piece, wherever it stands; behind letters it ends their piece.
+STOPS = string.punctuation
 
 PACKS = "part int, seq int, before long, n long, doc_ids array<long>, counts array<int>, ids binary"
 
