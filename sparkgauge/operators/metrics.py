@@ -1,6 +1,7 @@
 """Cyclomatic and cognitive complexity of every function, as joins and sums over syntax rows.
 
-All steps are keyed by the file first, so that one exchange by file serves them all.
+Each row brings its depth and its run for every function around it, so nothing is joined:
+functions and their nodes meet in one exchange, and window and sums run where they are.
 """
 
 from __future__ import annotations
@@ -13,10 +14,6 @@ NESTING = ("while", "for", "repeat", "switch", "catch")
 LOGICAL = ("&&", "||")
 
 
-def by_file(syntax: DataFrame) -> DataFrame:
-    return syntax.repartition("file_path")
-
-
 def is_logical() -> Column:
     return (F.col("kind") == "binop") & F.col("name").isin(*LOGICAL)
 
@@ -49,32 +46,32 @@ def function_metrics(syntax: DataFrame, fold_operators: bool = False) -> DataFra
     A node counts for every function whose body contains it.  Cognitive complexity never
     sees what stands in the condition of an ``if`` within the function.
     """
-    functions = syntax.where("row = 'function'").select("file_path", F.col("pos").alias("fn_pos"), "name", "signature", "line", "column", F.col("enclosing").alias("enclosing_type"), F.col("nest").alias("fn_nest"), F.col("condition").alias("fn_condition"), F.col("body").alias("fn_body"))
+    info = F.struct("name", "signature", "line", "column", F.col("enclosing").alias("enclosing_type")).alias("info")
+    functions = syntax.where("row = 'function'").select("file_path", F.col("pos").alias("fn_pos"), "pos", info)
     nodes = syntax.where("row = 'node' and kind not in ('ident', 'call')")
-    nodes = nodes.select("file_path", "pos", "kind", F.col("name").alias("operator"), "nest", "condition", "scope", "is_else_if", F.explode("fns").alias("fn_pos"))
-    inside = nodes.join(functions.select("file_path", "fn_pos", "fn_nest", "fn_condition", "fn_body"), ["file_path", "fn_pos"])
-    inside = inside.withColumnRenamed("operator", "name")
-    seen = F.col("condition") <= F.col("fn_condition")
-    run = F.when(F.col("scope") > F.col("fn_body"), F.col("scope")).otherwise(-1)
-    # only operators take part in runs; others, and those in conditions, get a run of their own
-    in_run = (F.col("kind") == "binop") & seen
-    points = inside.select(
+    nodes = nodes.select("file_path", "pos", "kind", "name", "is_else_if", F.explode(F.arrays_zip("fns", "depths", "runs")).alias("f"))
+    nodes = nodes.select("file_path", F.col("f.fns").alias("fn_pos"), "pos", "kind", "name", "is_else_if", F.col("f.depths").alias("depth"), F.col("f.runs").alias("scope"))
+    rows = functions.unionByName(nodes, allowMissingColumns=True).repartition("file_path", "fn_pos")
+    seen = F.col("depth") >= 0
+    # only operators that are seen take part in runs; the rest gets a run of its own
+    in_run = F.coalesce((F.col("kind") == "binop") & seen, F.lit(False))
+    points = rows.select(
         "file_path",
         "fn_pos",
-        cyclomatic_points(fold_operators).cast("long").alias("cyclomatic"),
-        F.when(seen, cognitive_points(F.col("nest") - F.col("fn_nest"), fold_operators)).otherwise(0).alias("cognitive"),
-        F.when(in_run, continued(["file_path", "fn_pos", in_run, run], ["pos"], is_logical())).otherwise(0).alias("run"),
+        "info",
+        cyclomatic_points(fold_operators).cast("int").alias("cyclomatic"),
+        F.when(seen, cognitive_points(F.col("depth"), fold_operators)).otherwise(0).alias("cognitive"),
+        F.when(in_run, continued(["file_path", "fn_pos", in_run, "scope"], ["pos"], is_logical())).otherwise(0).alias("run"),
     )
-    sums = points.groupBy("file_path", "fn_pos").agg(F.sum("cyclomatic").alias("cyclomatic"), F.sum(F.col("cognitive") + F.col("run")).alias("cognitive"))
-    out = functions.join(sums, ["file_path", "fn_pos"], "left")
-    return out.select(
+    sums = points.groupBy("file_path", "fn_pos").agg(F.max("info").alias("info"), F.sum("cyclomatic").alias("cyclomatic"), F.sum(F.col("cognitive") + F.col("run")).alias("cognitive"))
+    return sums.select(
         "file_path",
         F.col("fn_pos").alias("pos"),
-        "name",
-        "signature",
-        (1 + F.coalesce("cyclomatic", F.lit(0))).cast("int").alias("cyclomatic"),
-        F.coalesce("cognitive", F.lit(0)).cast("int").alias("cognitive"),
-        "line",
-        "column",
-        "enclosing_type",
+        "info.name",
+        "info.signature",
+        (1 + F.col("cyclomatic")).cast("int").alias("cyclomatic"),
+        F.col("cognitive").cast("int").alias("cognitive"),
+        "info.line",
+        "info.column",
+        "info.enclosing_type",
     )

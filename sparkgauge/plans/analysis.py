@@ -73,7 +73,7 @@ def analyze_sources(
         raise SourceError(f"cohesion comes from 'syntax' or 'index', not {cohesion_from!r}")
     if cohesion_from == "index" and (symbols is None or occurrences is None):
         raise SourceError("cohesion from an index needs its symbols and occurrences")
-    rows = metrics.by_file(syntax(sources, idents=cohesion_from is not None)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = syntax(sources, idents=cohesion_from is not None).persist(StorageLevel.MEMORY_AND_DISK)
     listed = rows.where("row = 'file'").select("file_path").withColumn("has_types", F.lit(False))
     if cohesion_from:
         has = rows.where("row = 'type'").select("file_path").distinct().withColumn("any", F.lit(True))

@@ -44,7 +44,21 @@ class Row:
     scope: int = BODY
     body: int | None = None
     is_else_if: bool | None = None
-    fns: list[int] = field(default_factory=list)
+    inside: list[Row] = field(default_factory=list)  # the functions whose bodies hold it
+
+    @property
+    def fns(self) -> list[int]:
+        return [f.pos for f in self.inside]
+
+    @property
+    def depths(self) -> list[int]:
+        """How deep it nests in each of them; -1 where the condition of an ``if`` hides it."""
+        return [self.nest - f.nest if self.condition <= f.condition else -1 for f in self.inside]
+
+    @property
+    def runs(self) -> list[int]:
+        """The call that holds it in each of them, or BODY."""
+        return [self.scope if self.scope > f.body else BODY for f in self.inside]
 
 
 class Parser:
@@ -55,7 +69,7 @@ class Parser:
         self.starts = [0, *(i + 1 for i, c in enumerate(code) if c == "\n")]
         self.nest = self.condition = 0
         self.scope = BODY
-        self.fns: list[int] = []
+        self.fns: list[Row] = []
         self.types: list[str] = []
         self.bindings: list[str] = []
         self.owners: list[int | None] = [None]  # the type whose direct members are being read
@@ -124,13 +138,13 @@ class Parser:
     # ---- rows
 
     def emit(self, kind: str, t: Token, name: str | None = None, **more) -> Row:
-        row = Row("node", t.start, kind, name, nest=self.nest, condition=self.condition, scope=self.scope, fns=[*self.fns], **more)
+        row = Row("node", t.start, kind, name, nest=self.nest, condition=self.condition, scope=self.scope, inside=[*self.fns], **more)
         self.rows.append(row)
         return row
 
     def function(self, t: Token, kind: str, name: str, signature: str, place: int, has_body: bool) -> Row:
         line, column = self.place(place)
-        row = Row("function", t.start, kind, name, signature, line, column, self.types[-1] if self.types else None, has_body=has_body, nest=self.nest, condition=self.condition, fns=[*self.fns])
+        row = Row("function", t.start, kind, name, signature, line, column, self.types[-1] if self.types else None, has_body=has_body, nest=self.nest, condition=self.condition, inside=[*self.fns])
         self.rows.append(row)
         return row
 
@@ -144,7 +158,7 @@ class Parser:
             return
         if row is not None:
             row.body = self.t.start
-            self.fns.append(row.pos)
+            self.fns.append(row)
         self.block()
         if row is not None:
             self.fns.pop()

@@ -24,12 +24,10 @@ COLUMNS = {
     "has_body": "boolean",
     "is_static": "boolean",
     "has_accessor": "boolean",
-    "nest": "int",
-    "condition": "int",
-    "scope": "int",
-    "body": "int",
     "is_else_if": "boolean",
     "fns": "array<int>",
+    "depths": "array<int>",
+    "runs": "array<int>",
 }
 SCHEMA = "file_path string, " + ", ".join(f"`{c}` {t}" for c, t in COLUMNS.items())
 ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
@@ -57,7 +55,7 @@ def syntax(sources: DataFrame, idents: bool = True) -> DataFrame:
                 rows = parse(code.as_py() or "", idents)
                 paths += [path] * (len(rows) + 1)
                 for c, values in columns.items():
-                    values.append("file" if c == "row" else [] if c == "fns" else None)
+                    values.append("file" if c == "row" else [] if COLUMNS[c] == "array<int>" else None)
                     values += [getattr(r, c) for r in rows]
                 if len(paths) >= BATCH:
                     yield batch()
