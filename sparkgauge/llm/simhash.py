@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, distinct: bo
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     found = components(links(nodes, most)).withColumnRenamed("node", "fp")
     nodes = nodes.join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    lows = nodes.groupBy("label").agg(F.min("low").alias("component_id"))
+    lows = stored(nodes.groupBy("label").agg(F.min("low").alias("component_id")), "lows")  # read on its own, so that a join of a very large group can be split
     ids = nodes.join(lows, "label").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
