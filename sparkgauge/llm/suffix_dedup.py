@@ -435,3 +435,30 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+
+
+#: The same for DuckDB: every window by its digest.  For small tables only, as it writes each byte 200 times.
+DEDUPLICATED_SQL = f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), place AS (
+  SELECT rid, h, unnest(range(length(h) // 2 - {LENGTH - 1})) AS s FROM doc WHERE length(h) >= {2 * LENGTH}
+), window_ AS (
+  SELECT rid, s, md5_number(substr(h, 2 * s + 1, {2 * LENGTH})) AS k FROM place
+), many AS (
+  SELECT k FROM window_ GROUP BY k HAVING count(*) > 1
+), again AS (
+  SELECT rid, s, s - lag(s) OVER (PARTITION BY rid ORDER BY s) AS step FROM window_ JOIN many USING (k)
+), island AS (
+  SELECT rid, s, sum(CASE WHEN step <= {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY s) AS number FROM again
+), run AS (
+  SELECT rid, number, min(s) AS a, max(s) + {LENGTH} AS b FROM island GROUP BY rid, number
+), gap AS (
+  SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM run
+), kept AS (
+  SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest
+  FROM gap JOIN doc USING (rid) GROUP BY rid
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM doc LEFT JOIN kept USING (rid)
+"""
