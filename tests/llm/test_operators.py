@@ -223,6 +223,10 @@ def test_near_duplicates(spark, docs, empty, words, most, distinct):
     fps = [int.from_bytes(simhash.fingerprint(t, words, distinct), "big") for _, t in every]
     want = collections.Counter((i, f"{f:016x}", g) for (i, _), f, g in zip(every, fps, groups([i for i, _ in every], fps, most)))
     assert rows_of(simhash.near_duplicates(df, words, most, distinct)) == want
+    stays = {i for i, _, g in want if i is not None and i == g}
+    left = simhash.one_of_each(df, words, most, distinct)
+    assert left.columns == df.columns
+    assert collections.Counter(r.doc_id for r in left.collect()) == collections.Counter([*stays, *(i for i, _ in every if i is None)])
     assert simhash.near_duplicates(empty, words, most, distinct).count() == 0
 
 
@@ -424,7 +428,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><style>p{{}}</style></h
 <form><label>Mail</label></form><section class="comments"><p>Great post {i} indeed, I have so much to say about this one and that one</p></section><footer>&copy; site {i}</footer>"""
 
 
-def test_html(spark):
+def test_html(spark, monkeypatch):
     pages = [(i, f"https://Host.example:80/{i}", PAGE.format(i=i, extra="<ul><li>one {0}</li><li>two</li></ul>".format(i) if i % 2 else "")) for i in range(12)]
     pages += [(100, None, None), (101, "nonsense", ""), (102, "http://a.b", "plain &lt; text"), (103, "http://a.b", "<p>" * 3000 + "deep" + "<"), (0, "https://host.example/0", pages[0][2])]
     df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, text string").repartition(5)
@@ -438,6 +442,8 @@ def test_html(spark):
     texts = {r.page_id: r.text for r in got}
     assert (texts[100], texts[101], texts[102]) == ("", "", "plain < text") and texts[103].startswith("deep")
     assert html_extract.main_text(df.where("false")).count() == 0
+    monkeypatch.setattr(html_extract, "BROADCAST_CHARS", 0)
+    assert rows_of(html_extract.main_text(df)) == collections.Counter(tuple(r) for r in got)
 
 
 ARTICLE = """<html><body><header><a href="/">Site</a></header><div class="alert">Old browser {i}</div><main><article class="post"><header class="entry-header"><h1>T{i}</h1></header>
