@@ -53,7 +53,7 @@ class TokenCounter:
         return len(parts) - 1, [p for part in parts for p in PIECES.findall(part)]
 
     def learn(self, wanted: set[str]) -> None:
-        new = list(wanted - self.known.keys())
+        new = [p for p in wanted if p not in self.known]
         if len(self.known) + len(new) > KNOWN_PIECES:
             self.known, new = {}, list(wanted)
         if new:
