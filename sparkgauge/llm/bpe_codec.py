@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ class Codec:
         self.ids, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(self, wanted: set[str]) -> None:
-        new = list(wanted - self.index.keys())
+        new = [p for p in wanted if p not in self.index]
         if len(self.index) + len(new) > KNOWN_PIECES or len(self.ids) > KNOWN_IDS:
             self.forget()
             new = list(wanted)
@@ -53,11 +54,10 @@ class Codec:
         """Ids of all texts, flat, and the number of each."""
         pieces = [PIECES.findall(t) for t in texts]
         self.learn(set().union(*pieces))
-        look = self.index.__getitem__
-        at = np.fromiter((k for p in pieces for k in map(look, p)), np.int64)
+        ends = starts_of(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(pieces)), np.int64, ends[-1])
         n = self.counts[at]
         total = starts_of(n)
-        ends = starts_of(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         return gather(self.ids, self.starts[at], n), np.diff(total[ends])
 
     def decode(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
