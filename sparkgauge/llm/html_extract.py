@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea noscript template iframe title".split())
@@ -52,6 +54,10 @@ DEPTH = 150
 PLAIN = ("div", "span", "section", "table", "body", "html", "#root")
 
 
+#: Characters of all wrappers that go to every executor; more are joined by exchange.
+BROADCAST_CHARS = 16_000_000
+
+
 class Node:
     """An element: its label, its children (elements and strings), and after folding its place in a wrapper."""
 
@@ -369,6 +375,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
-    known = wrappers(pages, url_col, html_col)
+    known = stored(wrappers(pages, url_col, html_col), "wrappers")
+    if (known.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS:
+        known = F.broadcast(known)  # else pages and wrappers meet by exchange, where Spark splits large hosts
     joined = rows.withColumn("host", host(F.col("url"))).join(known, "host", "left")
     return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
