@@ -4,10 +4,9 @@ Every stage takes all that its predecessor kept and returns it with the columns
 ``documents``; the last returns (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
 * quality rules: documents that fail the base rules or the likelihood ratio go;
-* near-duplicates: of each group the document with the smallest id stays.  Fingerprints
-  are of the distinct two-word shingles and link at up to eight of 64 bits, which
-  covers texts that share 0.8 or more of their five-word shingles; those of unrelated
-  texts lie twice as far apart;
+* near-duplicates: of each group the document with the smallest id stays.  Documents link
+  if the Jaccard similarity of their five-word shingles is 0.8 or more, and no link is
+  missed or taken unverified;
 * decontamination: documents into which a benchmark item leaks go;
 * secrets: every span is replaced by the name of its kind, and ``n_chars`` is that of
   the new text;
@@ -23,9 +22,9 @@ from pyspark.sql import functions as F
 from sparkgauge.llm.bpe_codec import round_trip
 from sparkgauge.llm.common import read_table, stored
 from sparkgauge.llm.decontaminate import without_leaks
+from sparkgauge.llm.near_copies import one_of_each
 from sparkgauge.llm.quality_rules import accepted
 from sparkgauge.llm.secret_scan import redact
-from sparkgauge.llm.simhash import one_of_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs, words=2, most=8, distinct=True)
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
