@@ -36,7 +36,7 @@ RAW = frozenset("script style textarea noscript template iframe title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-LEFT_OUT_TAGS = frozenset("head nav header footer aside form button select script style noscript template iframe textarea title svg canvas object audio video dialog menu figcaption".split())
+LEFT_OUT_TAGS = frozenset("head nav header footer aside form button select script style noscript template iframe textarea title svg canvas object audio video dialog menu".split())
 #: Words that name menus, headers, footers, sidebars, notices, adverts, forms and comments in a class, an id or a role.
 FURNITURE = frozenset(
     "menu menubar nav navbar navigation breadcrumb breadcrumbs pagination toolbar skip tabs header masthead topbar footer colophon legal copyright sidebar aside complementary widget widgets related recommended recommendations trending teaser notice notices alert announcement cookie cookies consent gdpr disclaimer paywall popup modal newsletter subscribe subscription signup ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion form search login comment comments discussion disqus replies reply respond share sharing social".split()
@@ -45,7 +45,7 @@ MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 #: Beside these, a header is that of the article.
 OF_THE_ARTICLE = frozenset("article content entry post story".split())
-#: Pages on which a text must be the same to be taken for the template's.
+#: Distinct pages on which a text outside article and main must be the same to be taken for the template's.
 SAME_ON = 5
 #: The same for articles, of which a page's own may bear the other words.
 NOT_THE_ARTICLE = frozenset("ad ads advert comment comments promo related replies reply sponsored teaser".split())
@@ -125,14 +125,27 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper node is a list: label, flags (1 optional, 2 repeated), pages, characters of text,
+# A wrapper node is a list: label, flags (1 optional, 2 repeated), digests of up to SAME_ON distinct pages, characters of text,
 # of which in links, checksum of its text (-1 once it has changed), children.
 LABEL, FLAGS, PAGES, CHARS, LINKS, TEXT, KIDS = range(7)
 OPTIONAL, REPEATED = 1, 2
 
 
-def fold(node: Node, in_link: bool = False) -> list:
+def digest(node: Node) -> int:
+    """A checksum of the labels and texts of a page's tree."""
+    out, left = 0, [node]
+    while left:
+        n = left.pop()
+        out = zlib.crc32(f"\x00{n if isinstance(n, str) else n.label}".encode("utf-8", "replace"), out)
+        if not isinstance(n, str):
+            left.append("\x01")
+            left.extend(n.kids)
+    return out
+
+
+def fold(node: Node, in_link: bool = False, page: int | None = None) -> list:
     """The tree of one page as a wrapper; inline elements are part of the text of their block."""
+    page = digest(node) if page is None else page
     own, link, kids = [], 0, []
 
     def read(n: Node, linked: bool) -> None:
@@ -145,11 +158,11 @@ def fold(node: Node, in_link: bool = False) -> list:
             elif (tag := k.label.partition(".")[0]) in INLINE and not left_out(k.label):
                 read(k, linked or tag == "a")
             else:
-                kids.append(fold(k, linked))
+                kids.append(fold(k, linked, page))
 
     read(node, in_link)
     text = " ".join(w for w in own if w)
-    return [node.label, 0, 1, len(text), link, zlib.crc32(text.encode("utf-8", "replace")) if text else 0, repeated(kids)]
+    return [node.label, 0, [page], len(text), link, zlib.crc32(text.encode("utf-8", "replace")) if text else 0, repeated(kids)]
 
 
 def like(a: list, b: list) -> bool:
@@ -174,7 +187,8 @@ def repeated(kids: list[list]) -> list[list]:
 def merged(a: list, b: list, pages: bool = True) -> list:
     """Two nodes as one; ``pages`` tells that they come from different pages."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else -1
-    return [a[LABEL], a[FLAGS] | b[FLAGS], a[PAGES] + b[PAGES] if pages else max(a[PAGES], b[PAGES]), a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], text, align(a[KIDS], b[KIDS], pages)]
+    seen = a[PAGES] if a[PAGES] == b[PAGES] else sorted({*a[PAGES], *b[PAGES]})[:SAME_ON]
+    return [a[LABEL], a[FLAGS] | b[FLAGS], seen, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], text, align(a[KIDS], b[KIDS], pages)]
 
 
 def pairs(a: list[list], b: list[list]) -> list[tuple[int, int]]:
@@ -222,17 +236,20 @@ def mark_regions(wrapper: list) -> list:
     """The wrapper as [label, keep, children]: keep is 0 left out, 1 path to the main region, 2 the region itself."""
     sums: dict[int, int] = {}
 
-    def template(node: list, in_article: bool) -> bool:
+    def template(node: list, in_article: bool, in_text: bool) -> bool:
+        if in_text or left_out(node[LABEL], in_article):
+            return left_out(node[LABEL], in_article)
         all_, links = total(node, CHARS), total(node, LINKS)
-        fixed = node[TEXT] not in (0, -1) and not node[KIDS] and node[PAGES] >= SAME_ON and not re.match(r"h[1-6]\b", node[LABEL])
-        return left_out(node[LABEL], in_article) or fixed or all_ > 0 and links > 0.8 * all_ and not node[LABEL].startswith(("article", "main", "body", "html", "#root", "p"))
+        fixed = node[TEXT] not in (0, -1) and not node[KIDS] and len(node[PAGES]) >= SAME_ON and not re.match(r"h[1-6]\b", node[LABEL])
+        return fixed or all_ > 0 and links > 0.8 * all_ and not node[LABEL].startswith(("article", "main", "body", "html", "#root", "p"))
 
-    def mass(node: list, strict: bool, in_article: bool = False) -> int:
-        in_article = in_article or node[LABEL].partition(".")[0] == "article"
-        if template(node, in_article) if strict else left_out(node[LABEL], in_article):
+    def mass(node: list, strict: bool, in_article: bool = False, in_text: bool = False) -> int:
+        tag = node[LABEL].partition(".")[0]
+        in_article, in_text = in_article or tag == "article", in_text or tag in ("article", "main")
+        if template(node, in_article, in_text) if strict else left_out(node[LABEL], in_article):
             sums[id(node)] = 0
         else:
-            sums[id(node)] = (node[CHARS] - node[LINKS] // 2) + sum(mass(k, strict, in_article) for k in node[KIDS])
+            sums[id(node)] = (node[CHARS] - node[LINKS] // 2) + sum(mass(k, strict, in_article, in_text) for k in node[KIDS])
         return sums[id(node)]
 
     strict = mass(wrapper, True) > 0
@@ -240,12 +257,13 @@ def mark_regions(wrapper: list) -> list:
         mass(wrapper, False)
     region = find_region(wrapper, sums)
 
-    def marked(node: list, inside: bool, in_article: bool) -> list:
-        inside, in_article = inside or node is region, in_article or node[LABEL].partition(".")[0] == "article"
-        out = not sums.get(id(node)) and (template(node, in_article) if strict else left_out(node[LABEL], in_article))
-        return [node[LABEL], 0 if out else 2 if inside else 1, [] if out else [marked(k, inside, in_article) for k in node[KIDS]]]
+    def marked(node: list, inside: bool, in_article: bool, in_text: bool) -> list:
+        tag = node[LABEL].partition(".")[0]
+        inside, in_article, in_text = inside or node is region, in_article or tag == "article", in_text or tag in ("article", "main")
+        out = not sums.get(id(node)) and (template(node, in_article, in_text) if strict else left_out(node[LABEL], in_article))
+        return [node[LABEL], 0 if out else 2 if inside else 1, [] if out else [marked(k, inside, in_article, in_text) for k in node[KIDS]]]
 
-    return marked(wrapper, False, False)
+    return marked(wrapper, False, False, False)
 
 
 def total(node: list, field: int) -> int:
