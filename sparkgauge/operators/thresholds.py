@@ -1,7 +1,7 @@
 """Threshold rules: match, strictest, exceeded, and the filters that follow from them.
 
-Rules join by prefix and suffix, which is no equality; they are few, written by hand, and
-their number is checked before they go to every executor.
+Rules join by prefix and suffix, which is no equality; few go to every executor, and more
+meet all beginnings or, without a prefix, all ends of the names by equality.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules that go to every executor; more are folded into the plan rule by rule.
+#: Rules that go to every executor; more are joined by exchange.
 BROADCAST_RULES = 10_000
 
 
@@ -19,17 +19,30 @@ def matches(type_name: Column, prefix: Column, suffix: Column) -> Column:
     return given & (prefix.isNull() | F.startswith(type_name, prefix)) & (suffix.isNull() | F.endswith(type_name, suffix))
 
 
+def matched(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every name with every rule that holds for it."""
+    holds = matches(F.col("_type"), F.col("_prefix"), F.col("_suffix"))
+    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        return names.join(F.broadcast(rules), holds)
+    rules = rules.groupBy("_prefix", "_suffix").agg(F.min("_threshold").alias("_threshold"))
+
+    def met(side: str, rules: DataFrame) -> DataFrame:
+        parts = F.expr(f"transform(sequence(0, length(_type)), k -> {side}(_type, k))")
+        part = "_prefix" if side == "left" else "_suffix"
+        return names.select("_type", F.explode(parts).alias("_part")).join(rules, F.col("_part") == F.col(part)).where(holds).select("_type", "_threshold")
+
+    return met("left", rules.where("_prefix is not null")).unionByName(met("right", rules.where("_prefix is null")))
+
+
 def with_threshold(functions: DataFrame, rules: DataFrame | None, fallback: int | None = None, default: int | None = None, type_col: str = "enclosing_type") -> DataFrame:
     """Adds ``threshold``: the least of the matching rules, else the fallback, else the default, else null."""
     rest = F.coalesce(F.lit(fallback).cast("int"), F.lit(default).cast("int"))
     if rules is None:
         return functions.withColumn("threshold", rest)
-    if rules.limit(BROADCAST_RULES + 1).count() > BROADCAST_RULES:
-        raise ValueError(f"more than {BROADCAST_RULES} threshold rules")
     # distinct names meet the rules, so the product is with types, not with functions
     names = functions.select(F.col(type_col).alias("_type")).where("_type is not null").distinct()
     r = rules.select(F.col("prefix").alias("_prefix"), F.col("suffix").alias("_suffix"), F.col("threshold").alias("_threshold"))
-    strict = names.join(F.broadcast(r), matches(F.col("_type"), F.col("_prefix"), F.col("_suffix"))).groupBy("_type").agg(F.min("_threshold").alias("_strictest"))
+    strict = matched(names, r).groupBy("_type").agg(F.min("_threshold").alias("_strictest"))
     out = functions.join(strict, functions[type_col] == F.col("_type"), "left")
     return out.withColumn("threshold", F.coalesce(F.col("_strictest"), rest)).drop("_type", "_strictest")
 
