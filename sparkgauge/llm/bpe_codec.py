@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PIECES, Vocabulary, encode_matrix
+from .common import texts as texts_of
 from .ragged import gather, starts_of, text_groups
 
 #: Pieces, and ids of pieces, that a task remembers; beyond it the table starts anew.
-KNOWN_PIECES, KNOWN_IDS = 300_000, 3_000_000
+KNOWN_PIECES, KNOWN_IDS = 200_000, 2_000_000
 #: Characters that are encoded at once.
-GROUP = 2_000_000
+GROUP = 1_000_000
 
 
 class Codec:
@@ -94,7 +95,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids = pa.ListArray.from_arrays(pa.array(starts_of(counts).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0)[part.start : part.stop], ids], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -126,5 +127,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             n = np.concatenate(counts) if counts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(coded, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,12 +6,27 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of an Arrow batch; a longer text is a batch of its own.  Ten thousand rows, Spark's other bound, may be any number of bytes.
+BATCH = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold BATCH bytes at most, on both sides of the pipe to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) of every row, for Python to read in small batches."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -54,8 +69,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, df: DataFrame) -> None:
+def remove(df: DataFrame) -> None:
     """Delete the files of a table that ``stored`` made and nothing reads any more."""
+    spark = df.sparkSession
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/sparkgauge/" in parent:
             path, fs = hadoop(spark, parent)

@@ -1,25 +1,28 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies: SimHash candidates, held to the Jaccard similarity of five-word shingles.
 
-Two sets of sizes x <= y whose similarity is 0.8 or more share ceil(4 (x + y) / 9)
-members, so in any one order of all shingles they share one of the first
-``x - ceil(0.8 x) + 1`` of each.  Every distinct set is written under these, rare ones first
-(by a sketch of how many texts have each), and what meets under a shingle is a candidate
-unless sizes or places rule the pair out; no pair at or above 0.8 is missed.  Every candidate
-is then held against the whole sets, and only verified links make components.
+Each distinct text has a fingerprint of its distinct words.  The generalised pigeonhole search
+of ``simhash`` links fingerprints that differ in MOST bits or fewer, and what chains of such
+links connect is a cluster: outside a cluster nobody has a candidate.  Within clusters the
+verdict is that of the whole sets of shingles: two texts are linked if their similarity is
+LIKE or more.  Every cluster is gone through pair by pair, but a pair is measured only while
+nothing connects it yet, its sizes allow the similarity, and SKETCH one-bit minhashes do not
+rule it out (by four standard deviations); links of a task are a forest.
 
-Under a shingle with more than SMALL sets, first a leader meets all others, twice; after that
-all pairs that no verified link connects yet are compared, so dense groups of copies cost
-about as much as they have members.
+A cluster goes to tasks by blocks of at most BLOCK bytes: one task for each two blocks, so a
+group of copies of any size is spread, and no task holds more than two blocks.
+
+What can be lost are links at the edge of the similarity whose words differ so much that the
+fingerprints lie more than MOST bits apart on every chain; the README has figures.
 
 Defined results: a null or empty text, or one of white space, has an empty set, and all of
-these are copies of each other; a text of fewer than WORDS words is one shingle; a null id
-takes part but is never a component's id; an empty table gives an empty result.
+these are copies of each other; a text of fewer than WORDS words is one shingle; rows without
+an id stay; of rows with the same id and text one stays, while rows that share an id and
+differ in their text are judged each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +30,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, remove, stored
-from .components import components
-from .simhash import LOWER, mixed
+from .common import partitions, remove, small_batches, stored
+from .components import components, forest
+from .simhash import LOWER, links, mixed
 
-#: Words of a shingle; links need a similarity of 0.8, which the sums below hold as 4/5 and 4/9.
+#: Words of a shingle.
 WORDS = 5
-#: Cells of the sketch of how many texts have each shingle.
-CELLS = 1 << 16
-#: Sets of a shingle that are compared all with all at once.
-SMALL = 8
+#: Links need a similarity of 4/5, that is, of sets of sizes a and b 4/9 of a + b shingles in common.
+LIKE = 0.8
+#: Bits in which fingerprints of candidates differ at most.
+MOST = 10
+#: One-bit minhashes of a set, and how many must agree: 0.9 of them do at the least similarity.
+SKETCH = 256
+AGREE = int(SKETCH * (1 + LIKE) / 2 - 4 * (SKETCH * (1 + LIKE) * (1 - LIKE) / 4) ** 0.5)
+#: Bytes of a block of sets, and what a set counts besides its shingles.
+BLOCK, EACH = 8_000_000, 2_000
 #: Bits of the filter of sets that have a candidate, at most.
 FILTER_BITS = 1 << 27
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+SALTS = np.random.default_rng(20240301).integers(0, 2**63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Hashes of the distinct shingles of a text, in order."""
+def word_hashes(text: str | None) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not found:
-        return np.empty(0, np.uint64)
-    words = np.frombuffer(b"".join(map(xxhash.xxh64_digest, found)), ">u8").astype(np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, found)), ">u8").astype(np.uint64)
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of the distinct shingles, in order."""
+    if not len(words):
+        return words
     n = max(1, len(words) - WORDS + 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(WORDS, len(words))):
@@ -55,152 +67,64 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(out, 5))
 
 
+def fingerprint(words: np.ndarray) -> int:
+    """SimHash of the distinct words, as a signed number."""
+    distinct = np.unique(words)
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(distinct), 1 << 14):
+        votes += np.unpackbits(distinct[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(distinct)).tobytes(), "big", signed=True)
+
+
 def name(found: np.ndarray) -> int:
     """A signed 64-bit digest of a set."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the similarity of two sets is 0.8 or more."""
+    """Whether the similarity of two sets is LIKE or more."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 9 * both >= 4 * (len(a) + len(b))
 
 
-def first_of(found: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """The shingles of a set under which it is written, rare ones first."""
-    order = np.lexsort((found, cells[(found & np.uint64(CELLS - 1)).astype(np.int64)]))
-    return found[order[: len(found) - (4 * len(found) + 4) // 5 + 1]] if len(found) else found
+def minhashes(found: np.ndarray) -> np.ndarray:
+    """One bit of the smallest hash under each salt, packed."""
+    low = np.full(SKETCH, np.uint64(2**64 - 1))
+    for i in range(0, len(found), 1024):
+        np.minimum(low, (found[i : i + 1024, None] * SALTS).min(0), out=low)
+    return np.packbits(mixed(low, 9) >> np.uint64(63) != 0).view(np.uint64)
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """Texts by shingle, hashed into a fixed number of cells."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for b in batches:
-            for t in b.column(0):
-                np.add.at(cells, (shingles(t.as_py()) & np.uint64(CELLS - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
-
-    got = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cells = np.zeros(CELLS, np.int64)
-    cells[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return cells
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(node, low, size, fp): each distinct set of shingles, the row that stands for it, and its fingerprint.
 
-
-def distinct_sets(docs: DataFrame, cells: np.ndarray) -> DataFrame:
-    """(node, low, size, first): each distinct set, its smallest id and the shingles under which it is written."""
+    ``low`` is (doc_id, digest, n): the smallest id, the digest of its text, and how many rows have both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column(1)]
-            columns = [pa.array([name(s) for s in sets], pa.int64()), b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([first_of(s, cells).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "size", "first"])
-
-    rows = docs.mapInArrow(run, "node long, doc_id long, size int, first binary")
-    return rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("size").alias("size"), F.first("first").alias("first"))
+            out = []
+            for t in b.column(2):
+                words = word_hashes(t.as_py())
+                found = shingles(words)
+                out.append((name(found), len(found), fingerprint(words)))
+            node, size, fp = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64())], ["doc_id", "digest", "node", "size", "fp"])
 
+    rows = docs.where("doc_id is not null").mapInArrow(run, "doc_id long, digest long, node long, size int, fp long")
+    rows = rows.groupBy("node", "doc_id", "digest").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("fp").alias("fp"))
+    return rows.groupBy("node").agg(F.min(F.struct("doc_id", "digest", "n")).alias("low"), F.first("size").alias("size"), F.first("fp").alias("fp"))
 
-def by_key(rows: DataFrame, run: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``run`` on the columns of all rows that share a key, as many keys at a time as a batch holds."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # a key's rows may go on in the next batch: the last key of a batch waits
-        for b in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if held is not None:
-                new = [np.concatenate(x) for x in zip(held, new)]
-            cut = int(np.searchsorted(new[0], new[0][-1])) if len(new[0]) else 0
-            held = [x[cut:] for x in new]
-            if cut:
-                yield from run(*(x[:cut] for x in new))
-        if held is not None and len(held[0]):
-            yield from run(*held)
 
-    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(whole, schema)
+def clusters(sets: DataFrame) -> DataFrame:
+    """(node, size, cluster) of the sets that have a candidate."""
+    prints = stored(sets.groupBy("fp").agg(F.count("*").alias("n")), "fingerprints")
+    found = components(links(prints, MOST)).withColumnRenamed("node", "fp")
+    crowded = prints.join(found, "fp", "left").where("n > 1 or label is not null").select("fp", F.coalesce("label", "fp").alias("cluster"))
+    return stored(sets.join(crowded, "fp").select("node", "size", "cluster"), "clusters")
 
 
-def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each run of equal keys starts, and its length."""
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return first, np.diff(np.append(first, len(key)))
-
-
-def meeting(sets: DataFrame) -> DataFrame:
-    """(key, node, size, at, n): sets and their places under the shingles that n > 1 sets are written under."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                raw = [np.frombuffer(x.as_py(), np.int64) for x in part.column(2)]
-                n = np.array([len(x) for x in raw])
-                at = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-                columns = [np.concatenate(raw), np.repeat(part.column(0).to_numpy(), n), np.repeat(part.column(1).to_numpy(), n), at]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size", "at"])
-
-    def shared(key, node, size, at):
-        _, n = groups(key)
-        n = np.repeat(n, n)
-        columns = [x[n > 1] for x in (key, node, size, at, n)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size", "at", "n"])
-
-    rows = sets.select("node", "size", "first").mapInArrow(emit, "key long, node long, size int, at int")
-    return by_key(rows, shared, "key long, node long, size int, at int, n long")
-
-
-def possible(size: np.ndarray, at: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
-    """Whether set i can be alike to sets j, going by the places of a shingle that they share."""
-    both = np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j])
-    return 9 * both >= 4 * (size[i] + size[j])
-
-
-def at_least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shingles that alike sets of sizes a and b share at least among those that they are written under."""
-    return (4 * (a + b) + 8) // 9 - np.maximum((4 * a + 4) // 5, (4 * b + 4) // 5) + 1
-
-
-def summed(pairs: list[np.ndarray]) -> np.ndarray:
-    """Rows (a, b, least, k), with k summed for each pair."""
-    rows = np.concatenate([np.empty((0, 4), np.int64), *pairs])
-    out, at = np.unique(rows[:, :3], axis=0, return_inverse=True)
-    return np.column_stack((out, np.bincount(at.ravel(), rows[:, 3], len(out)).astype(np.int64)))
-
-
-def candidates(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b): pairs under a shingle that differ in their label; of more than SMALL sets those with a leader, or all in turn 2.
-
-    In turn 0, pairs that share too few of the shingles they are written under are left out.
-    One that seems to, as it also meets under a crowded shingle, comes again in turn 2.
-    """
-
-    def run(key, node, size, at, n_, label):
-        out = []
-        for first, n in zip(*(x.tolist() for x in groups(key))):
-            here = slice(first, first + n)
-            nodes, sizes, places, labels = node[here], size[here].astype(np.int64), at[here].astype(np.int64), label[here]
-            crowded = n_[first] > SMALL
-            if crowded and (labels == labels[0]).all():
-                continue
-            alone = crowded and turn < 2
-            for i in [int(np.argmin(mixed(nodes.view(np.uint64), 7 + turn)))] if alone else range(n - 1):
-                j = np.arange(n) if alone else np.arange(i + 1, n)
-                j = j[(labels[j] != labels[i]) & possible(sizes, places, i, j)]
-                if len(j):
-                    k = np.full(len(j), 1 << 32 if crowded else 1)
-                    out.append(np.column_stack((np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j]), at_least(sizes[i], sizes[j]), k)))
-            if len(out) > 4096:
-                out = [summed(out)]
-        pairs = summed(out)
-        for i in range(0, len(pairs), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs[i : i + (1 << 16)].T], ["a", "b", "least", "k"])
-
-    met = by_key(rows.select("key", "node", "size", "at", "n", "label"), run, "a long, b long, least long, k long")
-    return met.groupBy("a", "b").agg(F.sum("k").alias("k"), F.max("least").alias("least")).where("k >= least").select("a", "b")
-
-
-def needed_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def members_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, members) of at least the given sets; a filter of bits keeps most others from being moved."""
     spark, count = docs.sparkSession, nodes.count()
     bits = min(FILTER_BITS, 1 << max(10, (8 * count).bit_length()))
@@ -214,72 +138,82 @@ def needed_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for b in batches:
             found: dict[int, bytes] = {}
             for t in b.column(0):
-                s = shingles(t.as_py())
-                at = name(s) & (bits - 1)
+                s = shingles(word_hashes(t.as_py()))
+                node = name(s)
+                at = node & (bits - 1)
                 if int(words[at >> 6]) >> (at & 63) & 1:
-                    found[name(s)] = s.tobytes()
+                    found[node] = s.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), pa.array([*found.values()], pa.binary())], ["node", "members"])
 
-    return docs.select("text").mapInArrow(run, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
+
+
+def block_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what links of LIKE or more connect; of two blocks (``side`` 0 and 1) only those between them."""
+    n, one = len(nodes), not side.any()
+    label, size = np.arange(n), np.array([len(s) for s in sets], np.int64)
+    bits = np.stack([minhashes(s) for s in sets]) if n else np.empty((0, SKETCH // 64), np.uint64)
+    out = []
+    for i in range(n - 1):
+        others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not one:
+            others = others[side[others] != side[i]]
+        others = others[(5 * size[others] >= 4 * size[i]) & (5 * size[i] >= 4 * size[others])]
+        agree = SKETCH - np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
+        for j in others[agree >= AGREE][np.argsort(-agree[agree >= AGREE], kind="stable")].tolist():
+            if label[i] != label[j] and alike(sets[i], sets[j]):
+                label[label == label[j]] = label[i]
+                out.append((nodes[i], nodes[j]))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def verified(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): links among the sets of each cluster."""
+    spark = docs.sparkSession
+    weights = found.groupBy("cluster").agg(F.sum(F.expr(f"8L * size + {EACH}")).alias("weight"))
+    blocks = found.join(weights, "cluster").select("node", "cluster", F.expr(f"cast(ceil(weight / {BLOCK}) as int)").alias("blocks"))
+    rows = blocks.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).join(members_of(docs, found.select("node")), "node")
+    # a row for each two blocks that its own is one of, once with itself
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.expr("block > other").alias("side"), "node", "members")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray, bool]] = []
+        at = None
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are alike."""
+        def finish() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                a, b = block_links(np.array([x[0] for x in held], np.int64), [x[1] for x in held], np.array([x[2] for x in held]))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    whole = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-    return whole.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def near_labels(edges: DataFrame) -> DataFrame:
-    """(node, label): a node within two links; equal labels tell that nodes are connected."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    one = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    return one.join(one.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-
-
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b): verified links that connect all that links of 0.8 or more connect; ``rows`` are those of ``meeting``."""
-    tested: list[DataFrame] = []
-    found: list[DataFrame] = []
-    for turn in (0, 1, 2):
-        if turn == 0:
-            pairs = candidates(rows.withColumn("label", F.col("node")), 0)
-        else:
-            crowded = rows.where(F.col("n") > SMALL)
-            if crowded.isEmpty():
-                break
-            crowded = crowded.join(near_labels(reduce(DataFrame.unionByName, found or tested)), "node", "left").withColumn("label", F.coalesce("label", "node"))
-            pairs = candidates(crowded, turn).join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested.append(pairs)
-        if pairs.isEmpty():
-            continue
-        members = needed_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        found.append(stored(verified(pairs, members), "links"))  # both joins read one exchange of the sets
-    if not found:
-        return tested[0]
-    for df in tested:
-        remove(docs.sparkSession, df)
-    return reduce(DataFrame.unionByName, found)
+            keys = zip(*(b.column(k).to_pylist() for k in range(3)))
+            for key, side, node, members in zip(keys, b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5)):
+                if key != at:
+                    yield from finish()
+                    at, held = key, []
+                held.append((node, np.frombuffer(members.as_py(), np.uint64), side))
+        yield from finish()
 
+    dealt = rows.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    return dealt.mapInArrow(run, "a long, b long")
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that are linked, also over others, to a row with a smaller id.
 
-    Rows without an id stay; of rows that share an id one stays.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = stored(distinct_sets(rows, sketch(rows)), "sets")
-    lows = stored(sets.select("node", "low"), "lows")
-    met = stored(meeting(sets), "meeting")
-    remove(docs.sparkSession, sets)
-    found = components(links(rows, met))
-    lows = lows.join(found, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("low").alias("low"))
-    kept = stored(lows.where("low is not null").select(F.col("low").alias(id_col)).distinct(), "kept")
-    known = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return known.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that are linked, also over others, to a row with a smaller id."""
+    small_batches(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    sets = stored(distinct_texts(rows), "sets")
+    found = clusters(sets)
+    labels = components(verified(rows, found))
+    lows = sets.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("low").alias("low"))
+    kept = stored(lows.select(F.col("low.doc_id").alias("_id"), F.col("low.digest").alias("_digest"), F.col("low.n").alias("_n")), "kept")
+    remove(found)
+
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_digest"))
+    known = whole.where("_id is not null")
+    once = known.join(kept.where("_n = 1"), ["_id", "_digest"], "left_semi")
+    again = known.join(kept.where("_n > 1"), ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"])
+    return once.unionByName(again).unionByName(whole.where("_id is null")).select("row.*")

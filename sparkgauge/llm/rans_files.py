@@ -34,21 +34,22 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .common import new_path, partitions, remove, stored
+from .common import texts as texts_of
 from .ragged import gather, starts_of, text_groups
 
 #: Ids of a block, but a document is never cut.
-BLOCK = 1 << 20
-#: Words a task remembers; beyond it the table starts anew.
-KNOWN_WORDS = 1_000_000
+BLOCK = 1 << 19
+#: Words, and their letters, that a Python worker remembers from task to task; beyond either the table starts anew.
+KNOWN_WORDS, KNOWN_LETTERS = 600_000, 12_000_000
 #: Characters that are encoded at once.
-GROUP = 16_000_000
+GROUP = 4_000_000
 #: What needs the library's view of the whole text: separators that only some take for white space, special strings, letters whose lower case depends on their place.
 WHOLE = ("\u03a3", "\u0130")
 WHOLE_ASCII = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Characters of which a run is one piece, wherever it stands; behind letters it ends their piece.
 STOPS = string.punctuation
 
-PACKS = "part int, seq int, before long, n long, doc_ids array<long>, counts array<int>, ids binary"
+PACKS = "part int, seq int, before long, n long, doc_ids array<long>, counts array<int>, ids binary, totals binary"
 
 
 class WordCoder:
@@ -74,12 +75,14 @@ class WordCoder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.letters = 0
         self.ids, self.n_ids = np.empty(1 << 16, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), 0
         self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
 
     def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         at, n = len(self.index), len(self.index) + len(words)
         self.index.update(zip(words, range(at, n)))
+        self.letters += sum(map(len, words))
         self.ids, self.starts, self.counts = room(self.ids, self.n_ids + len(ids)), room(self.starts, n), room(self.counts, n)
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.starts[at:n] = starts_of(counts)[:-1] + self.n_ids
@@ -105,7 +108,7 @@ class WordCoder:
 
     def learn(self, words: pa.Array) -> bool:
         """Add distinct words that are not known; where they find no room, forget all known words instead and tell so."""
-        if self.index and len(self.index) + 2 * len(words) > KNOWN_WORDS:
+        if self.index and (len(self.index) + 2 * len(words) > KNOWN_WORDS or self.letters > KNOWN_LETTERS):
             self.forget()
             return False
         # a word of letters and a run of stops are two pieces: each is looked up alone
@@ -184,36 +187,38 @@ def unsqueeze(blob: bytes) -> np.ndarray:
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Packs of about BLOCK ids in ascending order of the document id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts_of(docs, id_col, text_col)
     ascending = F.col("doc_id").asc_nulls_first()
     rows = rows.repartitionByRange(partitions(docs.sparkSession), ascending).sortWithinPartitions(ascending, F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq, before, size = WordCoder.of(path), TaskContext.get().partitionId(), 0, 0, 0
         held: list[tuple[int | None, np.ndarray]] = []
+        totals = np.zeros(max(end_id + 1, len(coder.ends)), np.int64)  # of each id in the partition
 
-        def pack():
+        def pack(last: bool = False):
             counts = np.array([len(x) for _, x in held], np.int32)
             ids = np.concatenate([x for _, x in held])
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n": len(ids), "doc_ids": [i for i, _ in held], "counts": counts, "ids": squeeze(ids)}], SCHEMA)
+            totals[:] += np.bincount(ids, minlength=len(totals))
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n": len(ids), "doc_ids": [i for i, _ in held], "counts": counts, "ids": squeeze(ids), "totals": zstandard.ZstdCompressor(1).compress(totals.tobytes()) if last else None}], SCHEMA)
 
         for b in batches:
             sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
             for piece in text_groups(sizes, GROUP):
                 texts = [t or "" for t in b.column(1)[piece.start : piece.stop].to_pylist()]
                 for i, ids in zip(b.column(0)[piece.start : piece.stop].to_pylist(), coder.encode(texts)):
-                    held.append((i, np.append(ids, ids.dtype.type(end_id))))
-                    size += len(ids) + 1
-                    if size >= BLOCK:
+                    if size >= BLOCK:  # not before the next document: the last pack also carries the totals
                         yield pack()
                         seq, before, size, held = seq + 1, before + size, 0, []
+                    held.append((i, np.append(ids, ids.dtype.type(end_id))))
+                    size += len(ids) + 1
         if held:
-            yield pack()
+            yield pack(True)
 
     return rows.mapInArrow(run, PACKS)
 
 
-SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("ids", pa.binary())])
+SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("ids", pa.binary()), ("totals", pa.binary())])
 
 
 def histogram(packs: DataFrame) -> rans.Table:
@@ -222,11 +227,11 @@ def histogram(packs: DataFrame) -> rans.Table:
     def run(batches):
         for b in batches:
             for blob in b.column(0):
-                n = np.bincount(unsqueeze(blob.as_py()))
+                n = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.int64)
                 symbol = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(symbol, pa.int64()), pa.array(n[symbol], pa.int64())], ["symbol", "n"])
 
-    got = packs.select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
+    got = packs.where("totals is not null").select("totals").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
     return rans.Table(got.column("symbol").to_numpy(), got.column("n").to_numpy())
 
 
@@ -246,7 +251,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int, id_col: str = "
                 yield pa.RecordBatch.from_pylist([{**{k: r[k] for k in ("part", "seq", "doc_ids", "counts")}, "start": begin[r["part"]] + r["before"], "block": block}], BLOCK_SCHEMA)
 
     packs.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(f"{out}/blocks")
-    remove(spark, packs)
+    remove(packs)
 
 
 BLOCKS = "part int, seq int, doc_ids array<long>, counts array<int>, start long, block binary"

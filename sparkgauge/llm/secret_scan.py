@@ -24,7 +24,8 @@ from dataclasses import dataclass
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import small_batches, texts
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -144,12 +145,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 ["doc_id", *(f"n_{n}" for n in names), "base_sha256", "spans"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with every span replaced in the text; other values, nulls too, stay."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -7,12 +7,12 @@ the same partition; a dynamic programme picks the thresholds with the least esti
 work.  Each distinct fingerprint is written under the variants of its partitions;
 those that meet under a variant are compared on all bits, so no pair is missed.
 
-Variants under which more rows meet than a task should hold are refined before the
-exchange: of the other bits, cut into ``most + 1`` pieces, one at least must be equal, and
-each piece becomes a key of its own.  Under a key, fingerprints gather in balls around
-leaders; only those that could link two balls, by the triangle inequality, are compared
-further, and of the links a spanning forest is kept, so dense groups of copies cost about
-as much as they have members.
+Variants under which more than SPREAD rows meet are refined before the exchange, again and
+again while one has more: of the other bits, cut into ``most + 1`` pieces, one at least must
+be equal, and each piece becomes a key of its own.  Large keys are cut in the same way
+within their task.  What stays together gathers in balls around leaders; only those that
+could link two balls, by the triangle inequality, are compared further, and of the links a
+spanning forest is kept, so dense groups of copies cost about as much as they have members.
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero,
 linked like any other; equal ids are rows of their own that link like any others; a
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import partitions, stored, texts
 from .components import components, forest
 
 BITS = 64
@@ -41,10 +41,10 @@ ONE = np.uint64(1)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Rows of a key that may go to one task (16 bytes each); keys with more are refined.
 SPREAD = 1 << 20
-#: Rows of a key that are compared all with all; more gather in balls.
-SMALL = 64
-#: Cells of the sketch of how many rows each key has.
-CELLS = 1 << 14
+#: Rows of a key that are compared all with all; more are cut by further bits, or gather in balls.
+SMALL = 512
+#: Cells of the sketch of how many rows each key has, and the most times that keys are refined.
+CELLS, LEVELS = 1 << 18, 3
 #: Estimated seconds to write one variant and to compare one pair.
 ROW_COST, PAIR_COST = 2e-6, 1e-8
 
@@ -72,8 +72,7 @@ def fingerprints(docs: DataFrame, words: int = 3, distinct: bool = False, id_col
             raw = b"".join(fingerprint(t.as_py(), words, distinct) for t in b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
 @dataclass(frozen=True)
@@ -190,21 +189,31 @@ def signatures(fp: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.n
         for change in flips(mask, (t + 1) // 2):
             keys.append(mixed(value[:, None] ^ change[None, :], i + 1).ravel())
             fps.append(np.repeat(fp, len(change)))
-            parts.append(np.full(len(keys[-1]), i, np.int8))
-    return tuple(np.concatenate(x) if x else np.empty(0, d) for x, d in ((keys, np.uint64), (fps, np.uint64), (parts, np.int8)))
+            parts.append(np.full(len(keys[-1]), i, np.int32))
+    return tuple(np.concatenate(x) if x else np.empty(0, d) for x, d in ((keys, np.uint64), (fps, np.uint64), (parts, np.int32)))
 
 
-@lru_cache(64)
+@lru_cache(4096)
 def pieces(mask: int, most: int) -> list[int]:
     """The bits outside ``mask`` in most + 1 pieces."""
     rest = [i for i in range(BITS) if not mask >> i & 1]
     return [sum(1 << i for i in rest[k :: most + 1]) for k in range(most + 1)]
 
 
-def refined(key: np.ndarray, fp: np.ndarray, mask: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Finer keys, one row of them for each piece; and the index of each row."""
-    finer = [mixed(key ^ mixed(fp & np.uint64(m), 101 + j), 67) for j, m in enumerate(pieces(mask, most))]
-    return np.concatenate(finer), np.tile(np.arange(len(key)), len(finer))
+def refined(key: np.ndarray, fp: np.ndarray, part: np.ndarray, masks: list[int], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Finer keys, one row of them for each piece of the bits that a key doesn't fix yet.
+
+    ``part`` tells which of ``masks`` a row's key fixes; the outcome has longer rows and masks.
+    """
+    keys, fps, parts, masks = [key[:0]], [fp[:0]], [part[:0]], [*masks]
+    for p in np.unique(part).tolist():
+        at = part == p
+        for j, piece in enumerate(pieces(masks[p], most)):
+            keys.append(mixed(key[at] ^ mixed(fp[at] & np.uint64(piece), 101 + j), 67))
+            fps.append(fp[at])
+            parts.append(np.full(len(keys[-1]), len(masks), part.dtype))
+            masks.append(masks[p] | piece)
+    return np.concatenate(keys), np.concatenate(fps), np.concatenate(parts), masks
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -242,15 +251,34 @@ def ball_links(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return fp[moved], fp[label[moved]]
 
 
-def linked(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the rows that share a key; rows are sorted by key."""
+def cut_links(fp: np.ndarray, most: int, mask: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The same as ``ball_links``, by way of pieces of the bits outside ``mask``, of which one must be equal.
+
+    A piece that tells the rows apart leaves small groups, whatever the number of rows;
+    one that doesn't leaves rows that are alike, for which balls are cheap.
+    """
+    out_a, out_b = [fp[:0]], [fp[:0]]
+    for piece in pieces(mask, most):
+        value = fp & np.uint64(piece)
+        order = np.argsort(value, kind="stable")
+        a, b = linked(value[order], fp[order], most, mask | piece, len(fp))
+        out_a.append(a), out_b.append(b)
+    return forest(np.concatenate(out_a), np.concatenate(out_b))
+
+
+def linked(key: np.ndarray, fp: np.ndarray, most: int, mask: int = 0, of: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the rows that share a key; rows are sorted by key.
+
+    Large keys are cut again, unless few bits are left or ``of``, the rows that were cut last, are hardly more.
+    """
     if not len(key):
         return fp[:0], fp[:0]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(first, len(key)))
     out_a, out_b = [fp[:0]], [fp[:0]]
+    enough = (BITS - mask.bit_count()) // (most + 1) >= 8
     for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        a, b = ball_links(fp[at : at + n], most)
+        a, b = cut_links(fp[at : at + n], most, mask) if enough and (not of or 2 * n < of) else ball_links(fp[at : at + n], most)
         out_a.append(a), out_b.append(b)
     small = np.repeat(size <= SMALL, size)
     key, fp = key[small], fp[small]
@@ -283,48 +311,58 @@ def sketch(sigs: DataFrame) -> np.ndarray:
     return cells
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of batches that are sorted by the first one, cut so that rows of a key stay together."""
+    held: list[tuple[np.ndarray, ...]] = []  # a key's rows may go on in the next batch: the last key of a batch waits
+    for b in batches:
+        new = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
+        if not len(new[0]):
+            continue
+        if not held or new[0][-1] != held[-1][0][-1]:
+            cut = int(np.searchsorted(new[0], new[0][-1]))
+            ready = [*held, tuple(x[:cut] for x in new)]
+            yield tuple(np.concatenate(x) for x in zip(*ready))
+            held, new = [], tuple(x[cut:] for x in new)
+        held.append(new)
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def links(fps: DataFrame, most: int) -> DataFrame:
     """(a, b): links among distinct fingerprints ``fp`` that differ in 1 to ``most`` bits; a spanning forest per task."""
     plan = make_plan(fps, most)
     fields = "key long, fp long"
 
-    def emit(cells):
+    def emit(levels: list[np.ndarray]):
         def run(batches):
             for b in batches:
                 fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 for i in range(0, len(fp), 4096):
                     key, f, part = signatures(fp[i : i + 4096], plan)
-                    if cells is not None:
-                        hot = cells[(key & np.uint64(CELLS - 1)).astype(np.int64)] > SPREAD + 16 * cells.mean()
+                    masks = [*plan.masks]
+                    for cells in levels:
+                        hot = cells[(key & np.uint64(CELLS - 1)).astype(np.int64)] > SPREAD
                         if hot.any():
-                            kept = [(key[~hot], f[~hot])]
-                            for p in np.unique(part[hot]).tolist():
-                                at = np.flatnonzero(hot & (part == p))
-                                finer, row = refined(key[at], f[at], plan.masks[p], plan.most)
-                                kept.append((finer, f[at][row]))
-                            key, f = (np.concatenate(x) for x in zip(*kept))
+                            finer = refined(key[hot], f[hot], part[hot], masks, plan.most)
+                            key, f, part = (np.concatenate((x[~hot], y)) for x, y in zip((key, f, part), finer))
+                            masks = finer[3]
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(f.view(np.int64))], ["key", "fp"])
 
         return run
 
     def compare(batches):
-        # a key's rows may go on in the next batch: the last key of a batch waits
-        held: tuple[np.ndarray, ...] | None = None
-        for b in batches:
-            new = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            if held is not None:
-                new = tuple(np.concatenate(x) for x in zip(held, new))
-            cut = int(np.searchsorted(new[0], new[0][-1])) if len(new[0]) else 0
-            held = tuple(x[cut:] for x in new)
-            a, c = linked(*(x[:cut] for x in new), plan.most)
+        for key, fp in whole_keys(batches):
+            a, c = linked(key, fp.view(np.uint64), plan.most)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["a", "b"])
-        if held is not None:
-            a, c = linked(*held, plan.most)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["a", "b"])
 
-    cells = sketch(fps.select("fp").mapInArrow(emit(None), fields))
-    sigs = fps.select("fp").mapInArrow(emit(cells), fields)
+    levels: list[np.ndarray] = []
+    while len(levels) < LEVELS:
+        cells = sketch(fps.select("fp").mapInArrow(emit(levels), fields))
+        if cells.max(initial=0) <= SPREAD:
+            break
+        levels.append(cells)
+    sigs = fps.select("fp").mapInArrow(emit(levels), fields)
     return sigs.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
@@ -337,14 +375,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, distinct: bo
     lows = stored(nodes.groupBy("label").agg(F.min("low").alias("component_id")), "lows")  # read on its own, so that a join of a very large group can be split
     ids = nodes.join(lows, "label").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, words: int, most: int, distinct: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that have a near-duplicate with a smaller id.
-
-    Rows without an id stay; of rows that share an id one stays.
-    """
-    found = near_duplicates(docs, words, most, distinct, id_col, text_col)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return known.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, stored
+from .common import texts as texts_of
 
 LENGTH = 200
 LEFT, SEED, CONTEXT = 16, 32, 48  # bytes before a suffix, hashed for the choice, and of the short context after it
@@ -331,8 +332,7 @@ def make_packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if texts:
             yield pack()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, PACKS), "text-packs")
+    return stored(texts_of(docs, id_col, text_col).mapInArrow(run, PACKS), "text-packs")
 
 
 def opened(row: dict) -> Suffixes:

@@ -51,10 +51,56 @@ def texts():
     return [(i, " ".join(w)) for i, w in enumerate(out)]
 
 
-@pytest.mark.parametrize("small", [1, near_copies.SMALL])
-def test_stage_is_the_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(near_copies, "SMALL", small)
+def table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("block", [20_000, near_copies.BLOCK])
+def test_verdict_is_the_brute_force_where_all_are_candidates(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "clusters", lambda sets: sets.selectExpr("node", "size", "1L as cluster"))
     rows = texts()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()}
     assert got == survivors(rows)
+
+
+def test_stage_removes_only_true_copies_and_nearly_all(spark):
+    rows = texts()
+    got, want = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()}, survivors(rows)
+    assert got >= want
+    assert len(rows) - len(got) >= 0.95 * (len(rows) - len(want))
+
+
+def test_recall_by_kind_of_copy():
+    """Share of copies at or above the similarity whose fingerprint is near enough to the original's by itself."""
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(3000)]
+
+    def edited(base, share):
+        return [rng.choice(pool) if rng.random() < share else w for w in base]
+
+    kinds = {
+        "replaced words": lambda b: edited(b, rng.uniform(0.002, 0.025)),
+        "dropped words": lambda b: [w for w in b if rng.random() > 0.015],
+        "cut at the end": lambda b: b[: int(len(b) * rng.uniform(0.81, 0.99))],
+        "longer at the start": lambda b: rng.choices(pool, k=int(len(b) * rng.uniform(0.01, 0.23))) + b,
+    }
+    found = {}
+    for kind, change in kinds.items():
+        hits = []
+        for _ in range(300):
+            base = rng.choices(pool, k=rng.randint(60, 600))
+            a, b = (near_copies.word_hashes(" ".join(x)) for x in (base, change(base)))
+            if near_copies.alike(near_copies.shingles(a), near_copies.shingles(b)):
+                hits.append(((near_copies.fingerprint(a) ^ near_copies.fingerprint(b)) & 2**64 - 1).bit_count() <= near_copies.MOST)
+        assert len(hits) > 100
+        found[kind] = sum(hits) / len(hits)
+    print(found)
+    assert min(found["replaced words"], found["dropped words"]) >= 0.99 and min(found.values()) >= 0.75
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    a, b, c = (" ".join(random.Random(k).choices([f"w{i}" for i in range(500)], k=80)) for k in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, b), (2, c), (None, a), (None, a)]
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (2, c), (None, a), (None, a)], key=str)

@@ -9,6 +9,7 @@ import random
 import re
 import string
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -223,10 +224,6 @@ def test_near_duplicates(spark, docs, empty, words, most, distinct):
     fps = [int.from_bytes(simhash.fingerprint(t, words, distinct), "big") for _, t in every]
     want = collections.Counter((i, f"{f:016x}", g) for (i, _), f, g in zip(every, fps, groups([i for i, _ in every], fps, most)))
     assert rows_of(simhash.near_duplicates(df, words, most, distinct)) == want
-    stays = {i for i, _, g in want if i is not None and i == g}
-    left = simhash.one_of_each(df, words, most, distinct)
-    assert left.columns == df.columns
-    assert collections.Counter(r.doc_id for r in left.collect()) == collections.Counter([*stays, *(i for i, _ in every if i is None)])
     assert simhash.near_duplicates(empty, words, most, distinct).count() == 0
 
 
@@ -259,6 +256,31 @@ def test_balls_lose_no_link(most):
         assert dict(zip(*components.forest(*simhash.ball_links(fps, most)))) == true_labels(fps, most)
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_cutting_loses_no_link(monkeypatch, most):
+    monkeypatch.setattr(simhash, "SMALL", 8)
+    for seed in range(3):
+        fps = clustered(seed)
+        assert dict(zip(*simhash.cut_links(fps, most))) == true_labels(fps, most)
+
+
+def test_many_unlike_rows_of_a_key_take_seconds():
+    fps = np.unique(np.random.default_rng(3).integers(0, 2**63, 200_000, np.uint64))
+    near = fps[:500] ^ np.uint64(5)
+    began = time.process_time()
+    a, b = simhash.linked(np.zeros(len(fps) + 500, np.uint64), np.unique(np.concatenate((fps, near))), 2)
+    assert len(a) == 500 and time.process_time() - began < 20
+
+
+def test_refined_again_and_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPREAD", 12)
+    fps = clustered(9)
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    got = simhash.links(df, 2).toArrow()
+    a, b = (got.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+    assert dict(zip(*components.forest(a, b))) == true_labels(fps, 2)
+
+
 @pytest.mark.parametrize("most, m", [(2, 3), (4, 3), (8, 4)])
 def test_variants_and_refined_keys_lose_no_link(monkeypatch, most, m):
     monkeypatch.setattr(simhash, "SMALL", 20)
@@ -268,11 +290,10 @@ def test_variants_and_refined_keys_lose_no_link(monkeypatch, most, m):
     parts = simhash.group_bits(len(fps), both, m)
     plan = simhash.Plan(tuple(sum(1 << (63 - i) for i in g) for g in parts), simhash.allocate(len(fps), both, parts, most)[1], most)
     assert sum(plan.thresholds) == most - m + 1
-    key, fp, part = simhash.signatures(fps, plan)
-    every = [(key, fp)]
-    fine = [simhash.refined(key[part == p], fp[part == p], plan.masks[p], most) for p in range(m)]
-    every.append((np.concatenate([k for k, _ in fine]), np.concatenate([fp[part == p][row] for p, (_, row) in enumerate(fine)])))
-    for key, fp in every:
+    every = [simhash.signatures(fps, plan)]
+    once = simhash.refined(*every[0], [*plan.masks], most)
+    every += [once[:3], simhash.refined(*once, most)[:3]]
+    for key, fp, _ in every:
         order = np.argsort(key, kind="stable")
         a, b = simhash.linked(key[order], fp[order], most)
         assert dict(zip(*components.forest(a, b))) == true_labels(fps, most)
@@ -280,7 +301,7 @@ def test_variants_and_refined_keys_lose_no_link(monkeypatch, most, m):
 
 def test_components(spark):
     r = random.Random(2)
-    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(900, i) for i in range(901, 960)] + [(i, i + 1) for i in range(2000, 2040)]
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(5000, 5001 + i) for i in range(400)] + [(900, i) for i in range(901, 960)] + [(i, i + 1) for i in range(2000, 2040)]
     got = {x.node: x.label for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     a, b = (np.array([e[k] for e in edges if e[0] != e[1]]) for k in (0, 1))
     want = {n: n for n in {*a.tolist(), *b.tolist()}} | dict(zip(*(x.tolist() for x in components.forest(a, b))))
