@@ -79,17 +79,33 @@ def type_members(syntax: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return types, methods, properties
 
 
+def accessed(names: DataFrame, properties: DataFrame, key: list[str]) -> DataFrame:
+    """(key, id, property): which names in which methods (``id``) are those of properties of the same type, each once."""
+    return names.join(properties.select(*key, "name").distinct(), [*key, "name"], "left_semi").select(*key, "id", F.col("name").alias("property")).distinct()
+
+
 def syntax_lcom4(syntax: DataFrame) -> DataFrame:
     """(file_path, type_pos, lcom4) from names and calls in the bodies of methods."""
     _, methods, properties = type_members(syntax)
     names = syntax.where("row = 'node' and kind in ('ident', 'call')").select("file_path", "kind", "name", F.explode("fns").alias("id"))
     inside = names.join(methods.select(*KEY, "id", F.col("name").alias("method")), ["file_path", "id"])
-    accesses = inside.where("kind = 'ident'").join(properties.distinct(), [*KEY, "name"], "left_semi").select(*KEY, "id", F.col("name").alias("property")).distinct()
+    accesses = accessed(inside.where("kind = 'ident'"), properties, KEY)
     known = methods.select(*KEY, F.col("name").alias("callee")).distinct()
     calls = inside.where("kind = 'call'").select(*KEY, F.col("method").alias("name"), F.col("name").alias("callee")).join(known, [*KEY, "callee"], "left_semi").distinct()
     return lcom4(methods, properties, accesses, calls, KEY)
 
 
+def homes(symbols: DataFrame) -> DataFrame:
+    """(name, kind, parent_usr): the symbol of each class or struct, the first of equals."""
+    return symbols.where("kind in ('class', 'struct')").groupBy("name", "kind").agg(F.min("usr").alias("parent_usr"))
+
+
+def counted_members(methods: DataFrame, properties: DataFrame, key: list[str]) -> DataFrame:
+    """(key, method_count, property_count) of every key that has either."""
+    counts = [rows.groupBy(*key).agg(F.count("*").cast("int").alias(name)) for rows, name in ((methods, "method_count"), (properties, "property_count"))]
+    return counts[0].join(counts[1], key, "full").na.fill(0, ["method_count", "property_count"])
+
+
 def index_lcom4(types: DataFrame, symbols: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(file_path, type_pos, lcom4) of the types that a symbol index knows.
 
@@ -98,9 +114,7 @@ def index_lcom4(types: DataFrame, symbols: DataFrame, occurrences: DataFrame) ->
     """
     kind = F.when(F.col("type") == "struct", "struct").otherwise("class")
     wanted = types.select(*KEY, "name", kind.alias("kind"))
-    first = Window.partitionBy("name", "kind").orderBy("usr")
-    homes = symbols.where("kind in ('class', 'struct')").withColumn("rank", F.row_number().over(first)).where("rank = 1").select("name", "kind", F.col("usr").alias("parent_usr"))
-    found = wanted.join(homes, ["name", "kind"]).select(*KEY, "parent_usr")
+    found = wanted.join(homes(symbols), ["name", "kind"]).select(*KEY, "parent_usr")
     members = found.join(symbols.select("usr", "name", "kind", "parent_usr").distinct(), "parent_usr").drop("parent_usr")
     methods = members.where("kind in ('instanceMethod', 'constructor')").select(*KEY, "name", F.col("usr").alias("id"), F.lit(True).alias("has_body"))
     properties = members.where("kind = 'instanceProperty'").select(*KEY, "name", "usr")
@@ -120,10 +134,7 @@ def cohesions(syntax: DataFrame, symbols: DataFrame | None = None, occurrences:
     if symbols is not None and occurrences is not None:
         indexed = index_lcom4(types, symbols, occurrences).withColumnRenamed("lcom4", "indexed")
         scores = types.select(*KEY).join(scores, KEY, "left").join(indexed, KEY, "left").select(*KEY, F.coalesce("indexed", "lcom4").alias("lcom4"))
-    counts = [methods.groupBy(*KEY).agg(F.count("*").cast("int").alias("method_count")), properties.groupBy(*KEY).agg(F.count("*").cast("int").alias("property_count"))]
-    out = types.join(scores, KEY, "left")
-    for c in counts:
-        out = out.join(c, KEY, "left")
+    out = types.join(scores, KEY, "left").join(counted_members(methods, properties, KEY), KEY, "left")
     zero = F.lit(0)
     out = out.select("file_path", F.col("type_pos").alias("pos"), "name", "type", F.coalesce("lcom4", zero).alias("lcom4"), F.coalesce("method_count", zero).alias("method_count"), F.coalesce("property_count", zero).alias("property_count"), "line", "column")
     return out.withColumn("cohesion_level", cohesion_level(F.col("lcom4")))

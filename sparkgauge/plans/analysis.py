@@ -26,6 +26,19 @@ class Analysis:
     files: DataFrame
     functions: DataFrame
     cohesions: DataFrame | None = None
+    #: Syntax rows that stay on the executors for all tables of the analysis, until ``release``.
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        """Let go of what the executors keep; the tables can still be read, by parsing again."""
+        if self.held is not None:
+            self.held.unpersist()
+
+    def __enter__(self) -> Analysis:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
 
     @property
     def summary(self) -> DataFrame:
@@ -81,7 +94,7 @@ def analyze_sources(
     found = None
     if cohesion_from:
         found = cohesion.cohesions(rows, *((symbols, occurrences) if cohesion_from == "index" else (None, None)))
-    return Analysis(listed, metrics.function_metrics(rows, fold_operators), found)
+    return Analysis(listed, metrics.function_metrics(rows, fold_operators), found, rows)
 
 
 def analyze(
@@ -94,10 +107,21 @@ def analyze(
     symbols: DataFrame | None = None,
     occurrences: DataFrame | None = None,
 ) -> Analysis:
-    """Metrics of the source files of the paths."""
-    found = source_files.collect_files(spark, paths, recursive, exclude, exclude_globs)
-    log.info("%d source files", len(found))
-    return analyze_sources(source_files.read_files(spark, found), cohesion_from, symbols, occurrences)
+    """Metrics of the source files of the paths; those with a scheme are listed and read by Spark."""
+    paths = list(paths)
+    remote = [p for p in paths if source_files.is_remote(p)]
+    local = [p for p in paths if not source_files.is_remote(p)]
+    parts = []
+    if remote:
+        parts.append(source_files.scan(spark, remote, exclude, exclude_globs, recursive))
+    if local or not remote:
+        found = source_files.collect_files(spark, local, recursive, exclude, exclude_globs)
+        log.info("%d source files", len(found))
+        parts.append(source_files.read_files(spark, found))
+    sources = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if remote and sources.isEmpty():
+        raise source_files.NoSourceFilesError("no source files found")
+    return analyze_sources(sources, cohesion_from, symbols, occurrences)
 
 
 def analyze_code(spark: SparkSession, code: str, file_path: str = "<stdin>") -> Analysis:

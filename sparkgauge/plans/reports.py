@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import cohesion_severity, fixed, padded, severity, xml_escaped
-from ..sources.files import Rules, SourceError
+from ..functions.text import cohesion_severity, cohesion_summary_text, cohesion_text, fixed, function_text, padded, severity, xml_escaped
+from ..sources.files import Rules, SourceError, env_threshold
 from .analysis import Analysis
 
+# Titles, widths, element names and messages of the formats below are what readers of the reports expect.
 FORMATS = ("text", "json", "xml", "xcode")
 METRICS = {"both": ("cyclomatic", "cognitive"), "cyclomatic": ("cyclomatic",), "cognitive": ("cognitive",)}
 TITLES = {"cyclomatic": "Cyclomatic", "cognitive": "Cognitive "}
@@ -132,14 +133,27 @@ def type_diagnostic() -> Column:
 
 
 def diagnostics(result: Analysis, rules: Rules | None = None, threshold: int | None = None) -> DataFrame:
-    """(section, file_path, pos, message): functions strictly above their threshold, then types of low cohesion."""
-    functions = result.with_thresholds(rules, threshold).withColumn("threshold", F.coalesce("threshold", F.lit(FALLBACK_THRESHOLD)))
+    """(section, file_path, pos, message): functions strictly above their threshold, then types of low cohesion.
+
+    Where neither rules nor ``threshold`` give one, the environment's counts, or FALLBACK_THRESHOLD.
+    """
+    functions = result.with_thresholds(rules, threshold).withColumn("threshold", F.coalesce("threshold", F.lit(env_threshold(FALLBACK_THRESHOLD))))
     out = functions.where("greatest(cyclomatic, cognitive) > threshold").select(F.lit(0).alias("section"), "file_path", "pos", function_diagnostic().alias("message"))
     if result.cohesions is not None:
         out = out.unionByName(result.cohesions.where("cohesion_level = 'low'").select(F.lit(1).alias("section"), "file_path", "pos", type_diagnostic().alias("message")))
     return out
 
 
+def described(result: Analysis) -> DataFrame:
+    """(section, file_path, pos, text): a line for each function, then for each type, then a summary of the types of each file."""
+    out = result.functions.select(F.lit(0).alias("section"), "file_path", F.col("pos").cast("long").alias("pos"), function_text(F.col("name"), F.col("cyclomatic"), F.col("cognitive"), F.col("line"), F.col("column")).alias("text"))
+    if result.cohesions is None:
+        return out
+    types = result.cohesions.select(F.lit(1).alias("section"), "file_path", F.col("pos").cast("long").alias("pos"), cohesion_text(F.col("name"), F.col("type"), F.col("lcom4"), F.col("cohesion_level")).alias("text"))
+    totals = result.cohesion_summary.select(F.lit(2).alias("section"), "file_path", F.lit(0).cast("long").alias("pos"), cohesion_summary_text(F.col("total_classes"), F.col("avg_lcom4"), F.col("max_lcom4"), F.col("low_classes")).alias("text"))
+    return out.unionByName(types).unionByName(totals)
+
+
 def report_rows(result: Analysis, fmt: str = "text", rules: Rules | None = None, threshold: int | None = None, metrics: str = "both") -> DataFrame:
     """The report as rows that stand in any order; what to write where results are many."""
     if fmt not in FORMATS:

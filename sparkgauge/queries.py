@@ -1,32 +1,31 @@
 """Driver queries: the operators on the test tables, with the same in DuckDB's SQL.
 
-The test tables hold no source code, so the relational operators run on stand-ins: a
-customer is a file and their orders its functions, a part's brand is a type name, and so
-on.  Parser, metrics and reports run on the embedded sources of ``samples``.
+The test tables hold no source code, so the relational operators run on stand-ins for their
+inputs: a customer is a file and their orders its functions, a part's brand is a type name,
+and so on.  Parser, metrics and cohesion run on the sources of ``rule_cases`` and
+``samples``, whose oracles are the values that the rules give by hand.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import samples
+from . import rule_cases, samples
 from .functions import text as fmt
 from .operators import cohesion, metrics, summaries, thresholds
 from .operators.metrics import continued
-from .plans.analysis import batch_analyze
-from .plans.reports import report_rows
-from .sources.files import excluded
-from .sources.syntax import syntax
+from .plans.analysis import Analysis, analyze, analyze_code, analyze_sources, batch_analyze, rules_for
+from .plans.reports import described, read_results, report_rows
+from .sources.files import Rules, chosen, collect_files, excluded, strings
 
-RULES = [("Brand#1", None, 12), (None, "3", 5), ("Brand#2", "5", 15), (None, None, 1), ("Brand", "9", 40)]
-DEFAULT_THRESHOLD = 20
+RULES = [("Brand#1", None, 22), (None, "3", 8), ("Brand#2", "5", 31), (None, None, 2), ("Brand", "9", 44)]
+DEFAULT_THRESHOLD = 18
 RULES_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in RULES) + ") AS rules(prefix, suffix, threshold)"
 
 
-KEYWORDS = ("if", "guard", "while", "for", "repeat", "case", "catch", "in", "de", "und")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,15 +81,6 @@ def file_filter_recompute(spark, sf_dir):
     return summaries.file_summary(left, left)
 
 
-def diagnostics(spark, sf_dir):
-    rows = part_functions(spark, sf_dir).where("greatest(cyclomatic, cognitive) > threshold")
-    level = fmt.severity(F.col("cyclomatic"), F.col("cognitive"), F.col("threshold"))
-    text = F.format_string("Function '%s' has high complexity (Cyclomatic: %d, Cognitive: %d, Threshold: %d)", "name", "cyclomatic", "cognitive", "threshold")
-    functions = rows.select(F.lit(0).alias("section"), "p_partkey", F.concat_ws(": ", level, text).alias("message"))
-    low = table(spark, sf_dir, "part").where("p_size >= 45").select(F.lit(1).alias("section"), "p_partkey", F.concat_ws(": ", fmt.cohesion_severity(F.col("p_size") % 7), F.col("p_name")).alias("message"))
-    return functions.unionByName(low)
-
-
 def bands(spark, sf_dir):
     size = F.col("p_size")
     return table(spark, sf_dir, "part").select("p_partkey", fmt.ui_band(size).alias("ui_band"), fmt.risk_band(size).alias("risk_band"), fmt.cognitive_band(size).alias("cognitive_band"))
@@ -126,19 +116,6 @@ def cohesion_level_summary(spark, sf_dir):
     return summaries.cohesion_summary(scored).join(levels, "file_path")
 
 
-def property_sharing_edges(spark, sf_dir):
-    _, uses = shop_graph(spark, sf_dir)
-    other = uses.select("type_pos", F.col("src").alias("other"), "dst")
-    return uses.join(other, ["type_pos", "dst"]).where("src < other").select("type_pos", "src", "other").distinct()
-
-
-def method_access_semi(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    used = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    semi = orders.join(used, "o_orderkey", "left_semi").withColumn("accesses", F.lit(True))
-    return semi.unionByName(orders.join(used, "o_orderkey", "left_anti").withColumn("accesses", F.lit(False)))
-
-
 def logical_runs(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").isin("click", "view").alias("logical"))
     rows = events.select("user_id", continued(["user_id"], ["ts", "event_id"], F.col("logical")).alias("extra"))
@@ -150,13 +127,6 @@ def exclude_regex(spark, sf_dir):
     return pages.where(~excluded(F.col("url"), ["/de/", "[?]utm_", "*bad", r"\.org/"]))
 
 
-def path_union_sort(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    first, second = pages.where("url like 'https:%'").select("url"), pages.where("url like '%/en/%'").select("url")
-    paths = first.unionByName(second).distinct()
-    return paths.select("url", F.row_number().over(Window.partitionBy(F.substring_index("url", "/", 3)).orderBy("url")).alias("place"))
-
-
 def xml_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fmt.xml_escaped(F.col("html")).alias("escaped"))
 
@@ -168,93 +138,390 @@ def text_row_pad(spark, sf_dir):
     return rows.select("p_brand", "p_type", F.concat(fmt.padded(F.col("p_type"), 20), F.lit("|"), fmt.padded(F.col("total"), 10), F.lit("|"), fmt.fixed(average, 1), F.lit("|"), fmt.fixed(average, 2)).alias("line"))
 
 
-def nearest_enclosing(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return turns.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(before).alias("enclosing_turn"))
-
-
-def keyword_decisions(spark, sf_dir):
-    words = F.split("text", "[^A-Za-z]+")
-    return table(spark, sf_dir, "documents").select("doc_id", (1 + F.size(F.filter(words, lambda w: w.isin(*KEYWORDS)))).cast("long").alias("cyclomatic"))
-
-
 def trimmed_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(fmt.trimmed(F.concat(F.lit(" \t\n"), "text", F.lit("\n\t "), F.lit("\r")), " \t\n\r")).cast("long").alias("n"))
 
 
-def result_records(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("names"))
-    return table(spark, sf_dir, "region").join(nations, "r_regionkey", "left").select("r_regionkey", "r_name", F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n"), F.concat_ws(",", "names").alias("functions"))
+def cognitive_points(spark, sf_dir):
+    """The weights of nested control flow: event types stand for kinds, the value's units for depth."""
+    kinds = {"view": "if", "click": "while", "purchase": "guard", "signup": "switch"}
+    kind = F.coalesce(*(F.when(F.col("event_type") == e, F.lit(k)) for e, k in kinds.items()), F.lit("break"))
+    rows = table(spark, sf_dir, "events").select("user_id", kind.alias("kind"), F.lit(None).cast("string").alias("name"), (F.col("event_id") % 3 == 0).alias("is_else_if"), (F.floor("value") % 4).cast("int").alias("depth"))
+    points = rows.select("user_id", metrics.cyclomatic_points().cast("long").alias("cyclomatic"), metrics.cognitive_points(F.col("depth")).cast("long").alias("cognitive"))
+    return points.groupBy("user_id").agg((1 + F.sum("cyclomatic")).alias("cyclomatic"), F.sum("cognitive").alias("cognitive"))
 
 
 def member_counts(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem")
-    return items.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "N").alias("method_count"), F.count_if((F.col("l_linestatus") == "O") & (F.col("l_tax") > 0.04)).alias("property_count"))
+    items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "type_pos")
+    methods, properties = items.where("l_returnflag = 'N'"), items.where("l_linestatus = 'O' and l_tax > 0.04")
+    return cohesion.counted_members(methods, properties, ["type_pos"])
 
 
 def first_symbol(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").withColumn("rank", F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")))
-    return parts.where("rank = 1").select("p_brand", "p_type", F.col("p_partkey").alias("usr"))
+    """Parts as symbols: of those that share brand and type, the first."""
+    kind = F.when(F.col("p_size") % 2 == 0, "class").when(F.col("p_size") % 3 == 0, "struct").otherwise("enum")
+    return cohesion.homes(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("usr"), F.concat_ws("/", "p_brand", "p_type").alias("name"), kind.alias("kind")))
 
 
-def cognitive_points(spark, sf_dir):
-    """The weights of nested control flow: event types stand for kinds, the value's units for depth."""
-    kinds = {"view": "if", "click": "while", "purchase": "guard", "signup": "switch"}
-    kind = F.coalesce(*(F.when(F.col("event_type") == e, F.lit(k)) for e, k in kinds.items()), F.lit("break"))
-    rows = table(spark, sf_dir, "events").select("user_id", kind.alias("kind"), F.lit(None).cast("string").alias("name"), (F.col("event_id") % 3 == 0).alias("is_else_if"), (F.floor("value") % 4).cast("int").alias("depth"))
-    points = rows.select("user_id", metrics.cyclomatic_points().cast("long").alias("cyclomatic"), metrics.cognitive_points(F.col("depth")).cast("long").alias("cognitive"))
-    return points.groupBy("user_id").agg((1 + F.sum("cyclomatic")).alias("cyclomatic"), F.sum("cognitive").alias("cognitive"))
+def method_accesses(spark, sf_dir):
+    """Orders as methods that name the parts they hold; large parts are the properties of all their customers' types."""
+    _, uses = shop_graph(spark, sf_dir)
+    sized = table(spark, sf_dir, "part").where("p_size > 25").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"))
+    names = uses.select("type_pos", F.col("src").alias("id"), F.col("dst").alias("name"))
+    properties = names.select("type_pos", "name").distinct().join(sized, "name", "left_semi")
+    return cohesion.accessed(names, properties, ["type_pos"])
+
+
+def lcom4_of_shop(spark, sf_dir):
+    """Customers as types with orders as methods, of which urgent ones call ``m1``, and parts as properties."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("type_pos"), F.col("o_orderkey").alias("id"), F.concat(F.lit("m"), (F.col("o_orderkey") % 5).cast("string")).alias("name"), (F.col("o_orderkey") % 3 > 0).alias("has_body"), "o_orderpriority")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 40).cast("string").alias("property"))
+    accesses = orders.join(items.where("property <> '0'"), "id").select("type_pos", "id", "property").distinct()
+    properties = accesses.where("type_pos % 4 > 0").select("type_pos", F.col("property").alias("name")).distinct()
+    calls = orders.where("o_orderpriority like '1%'").select("type_pos", "name", F.lit("m1").alias("callee"))
+    known = orders.select("type_pos", F.col("name").alias("callee")).distinct()
+    return cohesion.lcom4(orders.drop("o_orderpriority"), properties, accesses, calls.join(known, ["type_pos", "callee"], "left_semi"), ["type_pos"])
+
+
+LCOM4_OF_SHOP = """
+WITH RECURSIVE method AS (
+  SELECT o_custkey AS t, o_orderkey AS id, 'm' || (o_orderkey % 5) AS name, o_orderkey % 3 > 0 AS has_body, o_orderpriority LIKE '1%' AS calls FROM orders
+), used AS (
+  SELECT DISTINCT t, id, l_partkey % 40 AS property FROM method JOIN lineitem ON l_orderkey = id WHERE l_partkey % 40 <> 0
+), owned AS (
+  SELECT t, count(DISTINCT property) AS properties FROM used WHERE t % 4 > 0 GROUP BY t
+), sized AS (
+  SELECT t, count(*) AS methods, coalesce(any_value(properties), 0) AS properties FROM method LEFT JOIN owned USING (t) GROUP BY t
+), speaking AS (
+  SELECT t, name, max(id) AS id FROM method WHERE has_body GROUP BY t, name
+), touch AS (
+  SELECT s.t, s.name, property FROM speaking s JOIN used u ON u.t = s.t AND u.id = s.id
+), called AS (
+  SELECT DISTINCT m.t, m.name FROM method m JOIN method o ON o.t = m.t AND o.name = 'm1' WHERE m.calls AND m.name <> 'm1'
+), link AS (
+  SELECT DISTINCT a.t, a.name AS x, b.name AS y FROM touch a JOIN touch b ON a.t = b.t AND a.property = b.property
+  UNION SELECT t, name, 'm1' FROM called UNION SELECT t, 'm1', name FROM called
+), reach(t, x, y) AS (
+  SELECT DISTINCT t, name, name FROM method UNION SELECT r.t, r.x, l.y FROM reach r JOIN link l ON l.t = r.t AND l.x = r.y
+), label AS (
+  SELECT t, count(DISTINCT low) AS components FROM (SELECT t, x, min(y) AS low FROM reach GROUP BY t, x) GROUP BY t
+)
+SELECT t AS type_pos, (CASE WHEN properties = 0 THEN 0 WHEN methods = 1 THEN 1 ELSE components END)::INT AS lcom4 FROM sized JOIN label USING (t)
+"""
+
+
+def chosen_paths(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    first, second = pages.where("url like 'https:%'").select(F.col("url").alias("file_path")), pages.where("url like '%/en/%'").select(F.col("url").alias("file_path"))
+    return chosen(first.unionByName(second), ["/de/", "*bad"], ["*7", "*[?]*"])
+
+
+# ---- customers as files, their orders as functions, suppliers as types: what reports are made of
 
 
-# ---- on embedded sources
+def shop_analysis(spark, sf_dir) -> Analysis:
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("<C>"), F.col("c_custkey").cast("string")).alias("file_path"), (F.col("c_custkey") % 3 == 0).alias("has_types"))
+    functions = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("<C>"), F.col("o_custkey").cast("string")).alias("file_path"),
+        F.col("o_orderkey").alias("pos"),
+        F.concat(F.lit("f"), (F.col("o_orderkey") % 7).cast("string")).alias("name"),
+        F.concat(F.lit("func f<T & '"), F.col("o_orderpriority"), F.lit("'>()")).alias("signature"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("cyclomatic"),
+        F.dayofmonth("o_orderdate").alias("cognitive"),
+        (F.col("o_orderkey") % 97 + 1).cast("int").alias("line"),
+        (F.col("o_orderkey") % 13 + 1).cast("int").alias("column"),
+        F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("Type"), F.col("o_orderstatus"))).alias("enclosing_type"),
+    )
+    types = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("<C>"), (F.col("s_suppkey") - F.col("s_suppkey") % 6 + 3).cast("string")).alias("file_path"),
+        F.col("s_suppkey").alias("pos"),
+        F.col("s_name").alias("name"),
+        F.element_at(F.array(F.lit("class"), F.lit("struct"), F.lit("actor")), F.col("s_nationkey") % 3 + 1).alias("type"),
+        (F.col("s_nationkey") % 7).alias("lcom4"),
+        (F.col("s_suppkey") % 10).cast("int").alias("method_count"),
+        (F.col("s_nationkey") % 5).alias("property_count"),
+        (F.col("s_suppkey") % 97 + 1).cast("int").alias("line"),
+        (F.col("s_suppkey") % 13 + 1).cast("int").alias("column"),
+    )
+    return Analysis(files, functions, types.withColumn("cohesion_level", cohesion.cohesion_level(F.col("lcom4"))))
+
+
+SHOP_FILES = "SELECT '<C>' || c_custkey AS file_path, c_custkey % 3 = 0 AS has_types FROM customer"
+SHOP_FUNCTIONS = """
+SELECT '<C>' || o_custkey AS file_path, o_orderkey AS pos, 'f' || (o_orderkey % 7) AS name, 'func f<T & ''' || o_orderpriority || '''>()' AS signature, o_orderpriority[1]::INT AS cyclomatic, day(o_orderdate)::INT AS cognitive,
+       (o_orderkey % 97 + 1)::INT AS line, (o_orderkey % 13 + 1)::INT AS "column", CASE WHEN o_orderstatus <> 'O' THEN 'Type' || o_orderstatus END AS enclosing_type FROM orders"""
+SHOP_TYPES = """
+SELECT *, CASE WHEN lcom4 <= 1 THEN 'high' WHEN lcom4 = 2 THEN 'moderate' ELSE 'low' END AS cohesion_level FROM (
+SELECT '<C>' || (s_suppkey - s_suppkey % 6 + 3) AS file_path, s_suppkey AS pos, s_name AS name, ['class', 'struct', 'actor'][s_nationkey % 3 + 1] AS type, (s_nationkey % 7)::INT AS lcom4,
+       (s_suppkey % 10)::INT AS method_count, (s_nationkey % 5)::INT AS property_count, (s_suppkey % 97 + 1)::INT AS line, (s_suppkey % 13 + 1)::INT AS "column" FROM supplier)"""
+SHOP_RULES = Rules((("TypeF", None, 12), (None, "P", 20)), 25)
+SHOP_THRESHOLD = "CASE WHEN enclosing_type LIKE 'TypeF%' AND enclosing_type LIKE '%P' THEN 12 WHEN enclosing_type LIKE 'TypeF%' THEN 12 WHEN enclosing_type LIKE '%P' THEN 20 ELSE 25 END"
+#: Files with the rows of their functions and types, as lists in order, and with their totals.
+SHOP = f"""
+WITH function AS ({SHOP_FUNCTIONS}), type AS ({SHOP_TYPES}), file AS ({SHOP_FILES}),
+of_functions AS (SELECT file_path, list(f ORDER BY pos) AS functions, count(*) AS n, avg(cyclomatic) AS avg_cyclomatic, avg(cognitive) AS avg_cognitive, max(cyclomatic) AS max_cyclomatic, max(cognitive) AS max_cognitive, sum(cyclomatic)::BIGINT AS total_cyclomatic, sum(cognitive)::BIGINT AS total_cognitive FROM function f GROUP BY file_path),
+of_types AS (SELECT file_path, list(t ORDER BY pos) AS types, count(*) AS n_types, avg(lcom4) AS avg_lcom4, max(lcom4) AS max_lcom4, count(*) FILTER (lcom4 >= 3) AS n_low FROM type t GROUP BY file_path),
+shop AS (SELECT * FROM file LEFT JOIN of_functions USING (file_path) LEFT JOIN of_types USING (file_path))
+"""
 
 
-def sample(spark: SparkSession, cohesion_from: str | None = "syntax"):
-    from .plans.analysis import analyze_sources
-    from .sources.files import strings
+def text_sql(metrics: tuple[str, ...]) -> str:
+    """The text report; ``metrics`` are the columns that it shows."""
+    nl = "chr(10)"
+    head = "| Function/Method      | " + " | ".join({"cyclomatic": "Cyclomatic", "cognitive": "Cognitive "}[m] for m in metrics) + " |"
+    line = "+----------------------+" + "------------+" * len(metrics)
+    cells = " || ' | ' || ".join(f"rpad(f.{m}::VARCHAR, 10, ' ')" for m in metrics)
+    averages = " || ".join(f"', Average {m.capitalize()}: ' || printf('%.1f', avg_{m})" for m in metrics)
+    classes = "| Class/Struct              | Type   | LCOM4 | Methods | Properties | Cohesion   |"
+    rule = "+---------------------------+--------+-------+---------+------------+------------+"
+    widths = (("name", 25), ("type", 6), ("lcom4", 5), ("method_count", 7), ("property_count", 10), ("cohesion_level", 10))
+    row = " || ' | ' || ".join(f"rpad(t.{c}::VARCHAR, {w}, ' ')" for c, w in widths)
+    return f"""{SHOP}
+SELECT file_path, concat_ws({nl}, 'File: ' || file_path,
+  CASE WHEN n > 0 THEN '{head}' || {nl} || '{line}' || {nl} || list_aggregate(list_transform(functions, lambda f: '| ' || rpad(f.name, 20, ' ') || ' | ' || {cells} || ' |' || {nl}), 'string_agg', '') || '{line}' || {nl} || 'Total: ' || n || ' functions' || {averages} || {nl} END,
+  CASE WHEN has_types THEN 'Class Cohesion (LCOM4):' || {nl} || '{classes}' || {nl} || '{rule}' || {nl} || coalesce(list_aggregate(list_transform(types, lambda t: '| ' || {row} || ' |' || {nl}), 'string_agg', ''), '') || '{rule}' || {nl} ||
+    'Total: ' || coalesce(n_types, 0) || ' classes, Average LCOM4: ' || printf('%.2f', coalesce(avg_lcom4, 0)) || ', Low cohesion: ' || coalesce(n_low, 0) || {nl} END) AS report
+FROM shop WHERE n > 0 OR has_types"""
+
+
+JSON_SQL = f"""{SHOP}
+SELECT file_path, replace(replace(to_json({{
+  'filePath': file_path,
+  'functions': coalesce(list_transform(functions, lambda f: {{'name': f.name, 'signature': f.signature, 'cyclomaticComplexity': f.cyclomatic, 'cognitiveComplexity': f.cognitive, 'location': {{'line': f.line, 'column': f."column"}}, 'enclosingTypeName': f.enclosing_type}}), []),
+  'summary': {{'totalFunctions': coalesce(n, 0), 'averageCyclomaticComplexity': coalesce(avg_cyclomatic, 0), 'averageCognitiveComplexity': coalesce(avg_cognitive, 0), 'maxCyclomaticComplexity': coalesce(max_cyclomatic, 0), 'maxCognitiveComplexity': coalesce(max_cognitive, 0), 'totalCyclomaticComplexity': coalesce(total_cyclomatic, 0), 'totalCognitiveComplexity': coalesce(total_cognitive, 0)}},
+  'classCohesions': CASE WHEN has_types THEN coalesce(list_transform(types, lambda t: {{'name': t.name, 'type': t.type, 'lcom4': t.lcom4, 'methodCount': t.method_count, 'propertyCount': t.property_count, 'location': {{'line': t.line, 'column': t."column"}}}}), []) END,
+  'cohesionSummary': CASE WHEN has_types THEN {{'totalClasses': coalesce(n_types, 0), 'averageLCOM4': coalesce(avg_lcom4, 0), 'maxLCOM4': coalesce(max_lcom4, 0), 'classesWithLowCohesion': coalesce(n_low, 0)}} END
+}})::VARCHAR, ',"enclosingTypeName":null', ''), ',"classCohesions":null,"cohesionSummary":null', '') AS report FROM shop"""
+
+
+def escaped_sql(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+def element_sql(name: str, value: str, last: bool = False) -> str:
+    return f"'      <{name}>' || {value} || '</{name}>' || chr(10)"
+
+
+XML_SQL = f"""{SHOP}
+SELECT file_path, '  <file path="' || {escaped_sql("file_path")} || '">' || chr(10) || coalesce(list_aggregate(list_transform(functions, lambda f:
+    '    <function name="' || f.name || '" signature="' || {escaped_sql("f.signature")} || '"' || coalesce(' enclosing-type="' || f.enclosing_type || '"', '') || ' line="' || f.line || '" column="' || f."column" || '">' || chr(10) ||
+    {element_sql("cyclomatic-complexity", "f.cyclomatic")} || {element_sql("cognitive-complexity", "f.cognitive")} || '    </function>' || chr(10)), 'string_agg', '') ||
+    '    <summary>' || chr(10) || {element_sql("total-functions", "n")} || {element_sql("average-cyclomatic-complexity", "avg_cyclomatic")} || {element_sql("average-cognitive-complexity", "avg_cognitive")} ||
+    {element_sql("max-cyclomatic-complexity", "max_cyclomatic")} || {element_sql("max-cognitive-complexity", "max_cognitive")} || '    </summary>' || chr(10), '') ||
+  CASE WHEN has_types THEN coalesce(list_aggregate(list_transform(types, lambda t:
+    '    <class name="' || t.name || '" type="' || t.type || '" line="' || t.line || '" column="' || t."column" || '">' || chr(10) || {element_sql("lcom4", "t.lcom4")} || {element_sql("method-count", "t.method_count")} ||
+    {element_sql("property-count", "t.property_count")} || {element_sql("cohesion-level", "t.cohesion_level")} || '    </class>' || chr(10)), 'string_agg', ''), '') ||
+    '    <cohesion-summary>' || chr(10) || {element_sql("total-classes", "coalesce(n_types, 0)")} || {element_sql("average-lcom4", "coalesce(avg_lcom4, 0)")} || {element_sql("max-lcom4", "coalesce(max_lcom4, 0)")} ||
+    {element_sql("low-cohesion-classes", "coalesce(n_low, 0)")} || '    </cohesion-summary>' || chr(10) ELSE '' END || '  </file>' || chr(10) AS report
+FROM shop"""
+
+DIAGNOSTIC_SQL = f"""
+SELECT 0 AS section, file_path, pos, file_path || ':' || line || ':' || "column" || CASE WHEN greatest(cyclomatic, cognitive) > 2 * threshold THEN ': error: ' ELSE ': warning: ' END ||
+       'Function ''' || name || ''' has high complexity (Cyclomatic: ' || cyclomatic || ', Cognitive: ' || cognitive || ', Threshold: ' || threshold || ')' AS message
+FROM (SELECT *, {SHOP_THRESHOLD} AS threshold FROM ({SHOP_FUNCTIONS})) WHERE greatest(cyclomatic, cognitive) > threshold
+UNION ALL
+SELECT 1, file_path, pos, file_path || ':' || line || ':' || "column" || CASE WHEN lcom4 >= 5 THEN ': error: ' ELSE ': warning: ' END ||
+       upper(type[1]) || type[2:] || ' ''' || name || ''' has low cohesion (LCOM4: ' || lcom4 || ', Level: ' || cohesion_level || ')' FROM ({SHOP_TYPES}) WHERE lcom4 >= 3"""
+
+DESCRIPTION_SQL = f"""
+SELECT 0 AS section, file_path, pos, name || ' - Cyclomatic: ' || cyclomatic || ', Cognitive: ' || cognitive || ' at ' || line || ':' || "column" AS text FROM ({SHOP_FUNCTIONS})
+UNION ALL SELECT 1, file_path, pos, name || ' (' || type || '): LCOM4=' || lcom4 || ', cohesion=' || cohesion_level FROM ({SHOP_TYPES})
+UNION ALL SELECT 2, file_path, 0, concat_ws(chr(10), 'Cohesion Summary:', '  Total classes: ' || count(*), '  Average LCOM4: ' || printf('%.2f', avg(lcom4)), '  Max LCOM4: ' || max(lcom4), '  Low cohesion classes: ' || count(*) FILTER (lcom4 >= 3)) FROM ({SHOP_TYPES}) GROUP BY file_path"""
+
+FILTERED_SQL = f"""
+WITH kept AS (SELECT * FROM ({SHOP_FUNCTIONS}) WHERE greatest(cyclomatic, cognitive) >= {SHOP_THRESHOLD}), chosen AS (
+  SELECT false AS all_types, file_path, lcom4 FROM ({SHOP_TYPES}) WHERE lcom4 >= 3 UNION ALL SELECT true, file_path, lcom4 FROM ({SHOP_TYPES})
+), wanted AS (
+  SELECT DISTINCT all_types, file_path FROM (SELECT all_types, file_path FROM chosen UNION ALL SELECT false, file_path FROM kept UNION ALL SELECT true, file_path FROM kept) SEMI JOIN ({SHOP_FILES}) USING (file_path)
+)
+SELECT file_path, all_types, coalesce((SELECT count(*) FROM kept k WHERE k.file_path = w.file_path), 0) AS total_functions, coalesce((SELECT sum(cognitive) FROM kept k WHERE k.file_path = w.file_path), 0)::BIGINT AS total_cognitive,
+       coalesce((SELECT count(*) FROM chosen c WHERE c.file_path = w.file_path AND c.all_types = w.all_types), 0) AS total_classes
+FROM wanted w"""
+
+EXIT_SQL = f"""
+SELECT 'rules' AS asked, bool_or(greatest(cyclomatic, cognitive) >= {SHOP_THRESHOLD}) AS exceeded FROM ({SHOP_FUNCTIONS})
+UNION ALL SELECT 'thirty-one', bool_or(greatest(cyclomatic, cognitive) >= 31) FROM ({SHOP_FUNCTIONS})
+UNION ALL SELECT 'thirty-two', bool_or(greatest(cyclomatic, cognitive) >= 32) FROM ({SHOP_FUNCTIONS})
+UNION ALL SELECT 'nothing', false UNION ALL SELECT 'no rules', false"""
+
+AGAIN_SQL = f"""
+SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY pos) - 1)::INT AS pos, name, cyclomatic, cognitive, line, "column" AS col, enclosing_type AS kind FROM ({SHOP_FUNCTIONS}) SEMI JOIN ({SHOP_FILES}) USING (file_path)
+UNION ALL
+SELECT file_path, (-row_number() OVER (PARTITION BY file_path ORDER BY pos))::INT, name, lcom4, method_count, line, "column", type FROM ({SHOP_TYPES}) SEMI JOIN (SELECT * FROM ({SHOP_FILES}) WHERE has_types) USING (file_path)"""
 
-    return analyze_sources(strings(spark, samples.SOURCES), cohesion_from)
 
+def text_report(spark, sf_dir):
+    return report_rows(shop_analysis(spark, sf_dir), "text")
 
-def parse_rows(spark, sf_dir):
-    rows = syntax(spark.createDataFrame(list(samples.SOURCES.items()), "file_path string, code string"))
-    return rows.groupBy("file_path", "row", "kind").agg(F.count("*").alias("n"))
+
+def text_report_of_one_metric(spark, sf_dir):
+    return report_rows(shop_analysis(spark, sf_dir), "text", metrics="cognitive")
+
+
+def json_report(spark, sf_dir):
+    return report_rows(shop_analysis(spark, sf_dir), "json")
+
+
+def xml_report(spark, sf_dir):
+    return report_rows(shop_analysis(spark, sf_dir), "xml")
+
+
+def diagnostic_report(spark, sf_dir):
+    return report_rows(shop_analysis(spark, sf_dir), "xcode", rules=SHOP_RULES)
+
+
+def descriptions(spark, sf_dir):
+    return described(shop_analysis(spark, sf_dir))
+
+
+def filtered_results(spark, sf_dir):
+    """What is left of every file after a filter, with its types of low cohesion and with all of them."""
+    out = None
+    for keep in (False, True):
+        left = shop_analysis(spark, sf_dir).filtered(SHOP_RULES, keep_all_cohesions=keep)
+        totals = left.summary.join(left.cohesion_summary, "file_path", "left").select("file_path", F.lit(keep).alias("all_types"), "total_functions", "total_cognitive", F.coalesce("total_classes", F.lit(0)).alias("total_classes"))
+        out = totals if out is None else out.unionByName(totals)
+    return out
+
+
+def exit_status(spark, sf_dir):
+    result = shop_analysis(spark, sf_dir)
+    asked = [("rules", SHOP_RULES, None), ("thirty-one", None, 31), ("thirty-two", None, 32), ("nothing", None, None), ("no rules", Rules(), None)]
+    return spark.createDataFrame([(name, result.exceeded(rules, threshold)) for name, rules, threshold in asked], "asked string, exceeded boolean")
+
+
+def results_read_again(spark, sf_dir):
+    """Functions and types of JSON reports that have been read again."""
+    reports = report_rows(shop_analysis(spark, sf_dir), "json").select(F.concat(F.lit('{"files":['), F.col("report"), F.lit("]}")).alias("value"))
+    again = read_results(spark, reports)
+    functions = again.functions.select("file_path", "pos", "name", "cyclomatic", "cognitive", "line", F.col("column").alias("col"), F.col("enclosing_type").alias("kind"))
+    types = again.cohesions.select("file_path", (-1 - F.col("pos")).alias("pos"), "name", F.col("lcom4").alias("cyclomatic"), F.col("method_count").alias("cognitive"), "line", F.col("column").alias("col"), F.col("type").alias("kind"))
+    return functions.unionByName(types)
+
+
+# ---- on sources
+
+
+def values(rows, columns: str) -> str:
+    """Rows as a table of constants."""
+
+    def constant(x) -> str:
+        return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(constant, r)) + ")" for r in rows) + f") AS v({columns})"
+
+
+def wrapped(bodies) -> dict[str, str]:
+    return {f"case {i}": f"func f() {{\n{body}\n}}" for i, body in enumerate(bodies)}
+
+
+def plain(rows: DataFrame) -> DataFrame:
+    """Without the position, and without a name that SQL reserves."""
+    return rows.drop("pos").withColumnRenamed("column", "col")
+
+
+def outermost(functions: DataFrame) -> DataFrame:
+    return functions.where("name = 'f'").select("file_path", "cyclomatic", "cognitive")
 
 
 def function_complexity(spark, sf_dir):
-    return batch_analyze(spark, samples.SOURCES).functions
+    return plain(batch_analyze(spark, samples.SOURCES).functions)
+
+
+def metric_rules(spark, sf_dir):
+    return outermost(batch_analyze(spark, wrapped(c[0] for c in rule_cases.METRICS)).functions)
+
+
+def folded_rules(spark, sf_dir):
+    return outermost(analyze_sources(strings(spark, wrapped(c[0] for c in rule_cases.FOLDED)), fold_operators=True).functions)
+
+
+def declarations(spark, sf_dir):
+    sources = {f"case {i}": code for i, (code, _) in enumerate(rule_cases.DECLARATIONS)}
+    return batch_analyze(spark, sources).functions.select("file_path", "name", "signature", "line", F.col("column").alias("col"), "enclosing_type")
+
+
+def snippets(spark, sf_dir):
+    """Summaries of one text and of an empty one."""
+    one, none = analyze_code(spark, "func f() { if a { } }\nfunc g() { }"), analyze_code(spark, "", "empty")
+    return one.summary.unionByName(none.summary)
 
 
 def type_cohesion(spark, sf_dir):
-    return sample(spark).cohesions
+    return plain(analyze_sources(strings(spark, samples.SOURCES), "syntax").cohesions)
 
 
 def index_cohesion(spark, sf_dir):
-    from .plans.analysis import analyze_sources
-    from .sources.files import strings
-
     symbols = spark.createDataFrame(samples.SYMBOLS, "usr string, name string, kind string, parent_usr string")
     occurrences = spark.createDataFrame(samples.OCCURRENCES, "usr string, role string, container_usr string")
-    return analyze_sources(strings(spark, samples.SOURCES), "index", symbols, occurrences).cohesions
+    return plain(analyze_sources(strings(spark, samples.SOURCES), "index", symbols, occurrences).cohesions)
 
 
-def text_report(spark, sf_dir):
-    return report_rows(sample(spark), "text")
+def member_rules(spark, sf_dir):
+    sources = {f"case {i}": f"class C {{\n{members}\n}}" for i, (members, *_) in enumerate(rule_cases.MEMBERS)}
+    return analyze_sources(strings(spark, sources), "syntax").cohesions.select("file_path", "lcom4", "method_count", "property_count", "cohesion_level")
 
 
-def json_report(spark, sf_dir):
-    return report_rows(sample(spark), "json")
+def level(lcom4: int) -> str:
+    return "high" if lcom4 <= 1 else "moderate" if lcom4 == 2 else "low"
 
 
-def xml_report(spark, sf_dir):
-    return report_rows(sample(spark), "xml")
+def type_values(place: int) -> str:
+    rows = [(*t[:3], t[place], *t[5:], level(t[place])) for t in rule_cases.TYPES]
+    return values(rows, 'file_path, name, type, lcom4, method_count, property_count, line, col, cohesion_level')
 
 
-def diagnostic_report(spark, sf_dir):
-    return report_rows(sample(spark), "xcode", threshold=2)
+#: Files that come with the package: a tree of sources and a rule file.
+EXAMPLES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "examples")
+
+
+def listed_files(spark, sf_dir):
+    """Listings of the example tree: alone, with what lies below, without tests or parts, and of overlapping paths."""
+    top = f"{EXAMPLES}/Shop"
+    asked = {
+        "alone": ([top], {}),
+        "below": ([top], {"recursive": True}),
+        "no tests": ([top], {"recursive": True, "exclude": ["Tests/"]}),
+        "no parts": ([top], {"recursive": True, "exclude_globs": ["*/Parts/*"]}),
+        "overlap": ([f"{top}/Cart.swift", f"{top}/notes.txt", top], {}),
+    }
+    rows = [(name, place, f.removeprefix(f"{top}/")) for name, (paths, more) in asked.items() for place, f in enumerate(collect_files(spark, paths, **more))]
+    return spark.createDataFrame(rows, "asked string, place int, file string")
 
 
+def listed_rows() -> list[tuple]:
+    every, alone = [n for n, _ in rule_cases.LISTED], [n for n, a in rule_cases.LISTED if a]
+    found = {"alone": alone, "below": every, "no tests": [n for n in every if "Tests/" not in n], "no parts": [n for n in every if "Parts/" not in n], "overlap": alone}
+    return [(name, place, n) for name, names in found.items() for place, n in enumerate(names)]
+
+
+def analyzed_files(spark, sf_dir):
+    """Files from disk, read and measured."""
+    functions = plain(analyze(spark, [f"{EXAMPLES}/Shop"], recursive=True, exclude=["Tests"]).functions)
+    return functions.withColumn("file_path", F.replace("file_path", F.lit(f"{EXAMPLES}/Shop/"), F.lit("")))
+
+
+def analyzed_rows() -> list[tuple]:
+    home = {"Sources/Shop/Cart.swift": "Cart.swift", "Sources/Shop/Rules.swift": "Parts/Rules.swift", "Sources/Shop/Store.swift": ".Store.swift"}
+    return [(home[f[0]], *f[1:]) for f in rule_cases.FUNCTIONS]
+
+
+def rule_file(spark, sf_dir):
+    """The rules of a folder and, without prefix and suffix, its default."""
+    rules = rules_for(None, EXAMPLES)
+    return spark.createDataFrame([*rules.rules, (None, None, rules.default)], "prefix string, suffix string, threshold int")
+
+
+def rule_thresholds(spark, sf_dir):
+    """Thresholds of types by the rules of a folder, without and with a fallback."""
+    rules = rules_for(None, EXAMPLES)
+    names = spark.createDataFrame([(n[0],) for n in rule_cases.NAMES], "enclosing_type string")
+    out = thresholds.with_threshold(names, rules.frame(spark), None, rules.default).withColumnRenamed("threshold", "own")
+    return thresholds.with_threshold(out, rules.frame(spark), 3, rules.default).withColumnRenamed("threshold", "with_fallback")
+
+
+FUNCTION_COLUMNS = 'file_path, name, signature, cyclomatic, cognitive, line, col, enclosing_type'
+
 SUMMARY = """count(pos) AS total_functions, coalesce(avg(cyclomatic), 0) AS avg_cyclomatic, coalesce(avg(cognitive), 0) AS avg_cognitive,
        coalesce(max(cyclomatic), 0)::INT AS max_cyclomatic, coalesce(max(cognitive), 0)::INT AS max_cognitive,
        coalesce(sum(cyclomatic), 0)::BIGINT AS total_cyclomatic, coalesce(sum(cognitive), 0)::BIGINT AS total_cognitive"""
@@ -265,10 +532,6 @@ WITH_ORACLE = {
     exceeded_functions: f"SELECT p_partkey, cyclomatic, cognitive, threshold FROM ({PART_FUNCTIONS}) WHERE greatest(cyclomatic, cognitive) >= threshold",
     any_exceeded: f"SELECT coalesce(bool_or(greatest(cyclomatic, cognitive) >= threshold), false) AS exceeded FROM ({PART_FUNCTIONS})",
     file_filter_recompute: f"SELECT file_path, {SUMMARY} FROM (SELECT l_orderkey AS file_path, l_linenumber AS pos, trunc(l_quantity)::INT AS cyclomatic, l_linenumber AS cognitive FROM lineitem) WHERE greatest(cyclomatic, cognitive) >= 40 GROUP BY file_path",
-    diagnostics: f"""
-SELECT 0 AS section, p_partkey, CASE WHEN greatest(cyclomatic, cognitive) > 2 * threshold THEN 'error' ELSE 'warning' END || ': Function ''' || name || ''' has high complexity (Cyclomatic: ' || cyclomatic || ', Cognitive: ' || cognitive || ', Threshold: ' || threshold || ')' AS message
-FROM ({PART_FUNCTIONS}) WHERE greatest(cyclomatic, cognitive) > threshold
-UNION ALL SELECT 1, p_partkey, CASE WHEN p_size % 7 >= 5 THEN 'error' ELSE 'warning' END || ': ' || p_name FROM part WHERE p_size >= 45""",
     bands: """
 SELECT p_partkey, CASE WHEN p_size > 10 THEN 'red' WHEN p_size > 5 THEN 'yellow' ELSE 'green' END AS ui_band,
        CASE WHEN p_size <= 10 THEN 'low' WHEN p_size <= 20 THEN 'moderate' WHEN p_size <= 50 THEN 'high' ELSE 'very high' END AS risk_band,
@@ -278,33 +541,44 @@ SELECT p_partkey, CASE WHEN p_size > 10 THEN 'red' WHEN p_size > 5 THEN 'yellow'
 SELECT c_nationkey AS file_path, count(*) AS total_classes, avg(components) AS avg_lcom4, max(components) AS max_lcom4, count(*) FILTER (components >= 3) AS low_classes,
        count(*) FILTER (components <= 1) AS n_high, count(*) FILTER (components = 2) AS n_moderate
 FROM ({COMPONENTS}) JOIN customer ON c_custkey = type_pos GROUP BY c_nationkey""",
-    property_sharing_edges: """
-SELECT DISTINCT a.o_custkey AS type_pos, a.o_orderkey::VARCHAR AS src, b.o_orderkey::VARCHAR AS other
-FROM orders a JOIN lineitem la ON la.l_orderkey = a.o_orderkey JOIN lineitem lb ON lb.l_partkey = la.l_partkey JOIN orders b ON b.o_orderkey = lb.l_orderkey AND b.o_custkey = a.o_custkey
-WHERE a.o_orderkey::VARCHAR < b.o_orderkey::VARCHAR""",
-    method_access_semi: "SELECT o_orderkey, o_custkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AS accesses FROM orders",
     logical_runs: """
 SELECT user_id, sum(CASE WHEN logical AND before THEN 1 ELSE 0 END)::BIGINT AS extra
 FROM (SELECT user_id, logical, lag(logical, 1, false) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM (SELECT *, event_type IN ('click', 'view') AS logical FROM events)) GROUP BY user_id""",
     exclude_regex: r"SELECT page_id, url FROM pages WHERE NOT (regexp_matches(url, '/de/') OR regexp_matches(url, '[?]utm_') OR regexp_matches(url, '\.org/'))",
-    path_union_sort: """
-SELECT url, row_number() OVER (PARTITION BY regexp_extract(url, '^([^/]*//[^/]*)', 1) ORDER BY url)::INT AS place
-FROM (SELECT url FROM pages WHERE url LIKE 'https:%' UNION SELECT url FROM pages WHERE url LIKE '%/en/%')""",
     xml_escape: """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM pages""",
     text_row_pad: "SELECT p_brand, p_type, rpad(p_type, 20, ' ') || '|' || rpad(sum(p_size)::VARCHAR, 10, ' ') || '|' || printf('%.1f', sum(p_size) / count(*)) || '|' || printf('%.2f', sum(p_size) / count(*)) AS line FROM part GROUP BY p_brand, p_type",
-    nearest_enclosing: "SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS enclosing_turn FROM conversations",
-    keyword_decisions: f"SELECT doc_id, (1 + len(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda w: w IN {KEYWORDS})))::BIGINT AS cyclomatic FROM documents",
     trimmed_text: r"SELECT conv_id, turn, length(trim(chr(32) || chr(9) || chr(10) || text || chr(10) || chr(9) || chr(32) || chr(13), chr(32) || chr(9) || chr(10) || chr(13)))::BIGINT AS n FROM conversations",
-    result_records: "SELECT r_regionkey, r_name, count(n_name) AS n, coalesce(string_agg(n_name, ',' ORDER BY n_name), '') AS functions FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name",
-    member_counts: "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') AS method_count, count(*) FILTER (l_linestatus = 'O' AND l_tax > 0.04) AS property_count FROM lineitem GROUP BY l_orderkey",
-    first_symbol: "SELECT p_brand, p_type, min(p_partkey) AS usr FROM part GROUP BY p_brand, p_type",
     cognitive_points: """
 SELECT user_id, (1 + count(*) FILTER (event_type IN ('view', 'click', 'purchase')))::BIGINT AS cyclomatic,
        sum(CASE event_type WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 1 ELSE 1 + floor(value) % 4 END WHEN 'click' THEN 1 + floor(value) % 4 WHEN 'signup' THEN 1 + floor(value) % 4 WHEN 'purchase' THEN 1 ELSE 0 END)::BIGINT AS cognitive
 FROM events GROUP BY user_id""",
+    member_counts: "SELECT l_orderkey AS type_pos, method_count::INT AS method_count, property_count::INT AS property_count FROM (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') AS method_count, count(*) FILTER (l_linestatus = 'O' AND l_tax > 0.04) AS property_count FROM lineitem GROUP BY l_orderkey) WHERE method_count + property_count > 0",
+    first_symbol: "SELECT name, kind, min(p_partkey) AS parent_usr FROM (SELECT p_partkey, p_brand || '/' || p_type AS name, CASE WHEN p_size % 2 = 0 THEN 'class' WHEN p_size % 3 = 0 THEN 'struct' END AS kind FROM part) WHERE kind IS NOT NULL GROUP BY name, kind",
+    method_accesses: "SELECT DISTINCT o_custkey AS type_pos, o_orderkey::VARCHAR AS id, 'p' || l_partkey AS property FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size > 25",
+    lcom4_of_shop: LCOM4_OF_SHOP,
+    chosen_paths: "SELECT DISTINCT url AS file_path FROM pages WHERE (url LIKE 'https:%' OR url LIKE '%/en/%') AND url NOT LIKE '%/de/%' AND url NOT LIKE '%7' AND NOT contains(url, '?')",
+    text_report: text_sql(("cyclomatic", "cognitive")),
+    text_report_of_one_metric: text_sql(("cognitive",)),
+    json_report: JSON_SQL,
+    xml_report: XML_SQL,
+    diagnostic_report: DIAGNOSTIC_SQL,
+    descriptions: DESCRIPTION_SQL,
+    filtered_results: FILTERED_SQL,
+    exit_status: EXIT_SQL,
+    results_read_again: AGAIN_SQL,
+    function_complexity: values(rule_cases.FUNCTIONS, FUNCTION_COLUMNS),
+    metric_rules: values([(f"case {i}", *c[1:]) for i, c in enumerate(rule_cases.METRICS)], "file_path, cyclomatic, cognitive"),
+    folded_rules: values([(f"case {i}", *c[1:]) for i, c in enumerate(rule_cases.FOLDED)], "file_path, cyclomatic, cognitive"),
+    declarations: values([(f"case {i}", *r) for i, (_, rows) in enumerate(rule_cases.DECLARATIONS) for r in rows], 'file_path, name, signature, line, col, enclosing_type'),
+    snippets: "SELECT '<stdin>' AS file_path, 2::BIGINT AS total_functions, 1.5::DOUBLE AS avg_cyclomatic, 0.5::DOUBLE AS avg_cognitive, 2 AS max_cyclomatic, 1 AS max_cognitive, 3::BIGINT AS total_cyclomatic, 1::BIGINT AS total_cognitive UNION ALL SELECT 'empty', 0, 0, 0, 0, 0, 0, 0",
+    type_cohesion: type_values(3),
+    index_cohesion: type_values(4),
+    member_rules: values([(f"case {i}", *m[1:], level(m[1])) for i, m in enumerate(rule_cases.MEMBERS)], "file_path, lcom4, method_count, property_count, cohesion_level"),
+    listed_files: values(listed_rows(), "asked, place, file"),
+    analyzed_files: values(analyzed_rows(), FUNCTION_COLUMNS),
+    rule_file: values(rule_cases.RULES, "prefix, suffix, threshold"),
+    rule_thresholds: values(rule_cases.NAMES, "enclosing_type, own, with_fallback"),
 }
 
-ON_SAMPLES = (parse_rows, function_complexity, type_cohesion, index_cohesion, text_report, json_report, xml_report, diagnostic_report)
-
-QUERIES = {f.__name__: f for f in (*WITH_ORACLE, *ON_SAMPLES)}
+QUERIES = {f.__name__: f for f in WITH_ORACLE}
 ORACLES = {f.__name__: sql for f, sql in WITH_ORACLE.items()}

@@ -1,8 +1,9 @@
 """Files of source text, result files, and rule files.
 
-Listing runs on the driver, as names that begin with a dot or an underscore count too and
-Spark's own file source leaves them out; ``scan`` is the distributed way for trees
-too large to list there.  Contents are read by Spark.
+Local paths are listed on the driver, as names that begin with a dot or an underscore count
+too and Spark's own file source leaves them out.  Paths with a scheme (``s3://``, ``hdfs://``
+and the like) are listed and read by Spark alone, which is also the way for trees too
+large to list on the driver.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 log = logging.getLogger("sparkgauge")
 
 SUFFIX = ".swift"
-#: Names of rule files that a folder may hold; those that end in yml come first.
-CONFIG_NAMES = (r"\.[\w-]*complexity\.yml", r"\.[\w-]*complexity\.yaml")
-#: Environment variables that set the threshold end so.
-THRESHOLD_VARIABLE = "COMPLEXITY_THRESHOLD"
+#: Names of the rule file that a folder may hold, the first that is there counts.
+CONFIG_NAMES = (".sparkgauge.yml", ".sparkgauge.yaml")
+#: The environment variable that sets the threshold where a caller gives none.
+THRESHOLD_VARIABLE = "SPARKGAUGE_THRESHOLD"
 SOURCES = "file_path string, code string"
 RULES = "prefix string, suffix string, threshold int"
 
@@ -45,6 +46,10 @@ class ReadError(SourceError):
     pass
 
 
+class ParseError(SourceError):
+    pass
+
+
 class RuleFileError(SourceError):
     pass
 
@@ -91,14 +96,22 @@ def excluded(column: Column, patterns: Iterable[str], globs: Iterable[str] = ())
     return out
 
 
+def chosen(paths: DataFrame, exclude: Iterable[str] = (), exclude_globs: Iterable[str] = ()) -> DataFrame:
+    """The paths that are not excluded, each once, in order."""
+    return paths.distinct().where(~excluded(F.col("file_path"), exclude, exclude_globs)).orderBy("file_path")
+
+
+def is_remote(path: str) -> bool:
+    return "://" in path
+
+
 def collect_files(spark: SparkSession, paths: Iterable[str], recursive: bool = False, exclude: Iterable[str] = (), exclude_globs: Iterable[str] = ()) -> list[str]:
     """The source files of all paths, without the excluded ones, each once, in order."""
     paths = list(paths)
     if not paths:
         raise SourceError("at least one path is needed")
     every = [(f,) for p in paths for f in find_files(p, recursive)]
-    rows = spark.createDataFrame(every, "file_path string").distinct()
-    files = [r.file_path for r in rows.where(~excluded(F.col("file_path"), exclude, exclude_globs)).orderBy("file_path").collect()]
+    files = [r.file_path for r in chosen(spark.createDataFrame(every, "file_path string"), exclude, exclude_globs).collect()]
     if not files:
         raise NoSourceFilesError("no source files found")
     return files
@@ -124,10 +137,10 @@ def read_files(spark: SparkSession, files: list[str], slices: int | None = None)
     return listed.repartition(slices or min(len(files), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(read, SOURCES)
 
 
-def scan(spark: SparkSession, folder: str, exclude: Iterable[str] = (), exclude_globs: Iterable[str] = ()) -> DataFrame:
-    """(file_path, code) of a tree in any store Spark reads, listed and read by the executors."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").option("recursiveFileLookup", "true").load(folder)
-    rows = rows.where(~excluded(F.col("path"), exclude, exclude_globs))
+def scan(spark: SparkSession, folders: str | list[str], exclude: Iterable[str] = (), exclude_globs: Iterable[str] = (), recursive: bool = True) -> DataFrame:
+    """(file_path, code) of trees or files in any store Spark reads, listed and read by the executors; hidden files are left out."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").option("recursiveFileLookup", str(recursive).lower()).load(folders)
+    rows = rows.where(~excluded(F.col("path"), exclude, exclude_globs)).dropDuplicates(["path"])
     return rows.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("code"))
 
 
@@ -181,21 +194,18 @@ def load_rules(path: str) -> Rules:
 
 
 def discover_rules(folder: str, names: Iterable[str] = CONFIG_NAMES) -> Rules | None:
-    """The rule file of a folder, if it has one under these names (regular expressions, in order)."""
-    listed = sorted(os.listdir(folder))
+    """The rule file of a folder, if it has one under these names, the first that is there."""
     for name in names:
-        for found in listed:
-            if re.fullmatch(name, found):
-                return load_rules(os.path.join(folder, found))
+        if os.path.exists(path := os.path.join(folder, name)):
+            return load_rules(path)
     return None
 
 
-def env_threshold(default: int = 10) -> int:
+def env_threshold(default: int = 10, variable: str = THRESHOLD_VARIABLE) -> int:
     """The threshold that the environment asks for."""
-    for name in sorted(os.environ):
-        if name.endswith(THRESHOLD_VARIABLE):
-            try:
-                return int(os.environ[name])
-            except ValueError:
-                log.warning("%s is not a number", name)
-    return default
+    asked = os.environ.get(variable)
+    try:
+        return default if asked is None else int(asked)
+    except ValueError:
+        log.warning("%s is not a number", variable)
+        return default

@@ -7,6 +7,7 @@ around it; every row carries them as plain numbers, so that metrics are joins an
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
@@ -997,5 +998,14 @@ class Parser:
 
 
 def parse(code: str, idents: bool = True) -> list[Row]:
-    """All rows of a source text, in source order."""
-    return Parser(code, idents).parse()
+    """All rows of a source text, in source order.
+
+    The descent is as deep as the text nests; Python's frames are not on the C stack, so the
+    bound on them may follow the text, whose every token opens a few calls at most.
+    """
+    known = sys.getrecursionlimit()
+    sys.setrecursionlimit(known + 40 * len(code))
+    try:
+        return Parser(code, idents).parse()
+    finally:
+        sys.setrecursionlimit(known)

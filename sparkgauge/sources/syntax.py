@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .parser import parse
+from .files import ParseError
 
 COLUMNS = {
     "row": "string",
@@ -52,7 +53,10 @@ def syntax(sources: DataFrame, idents: bool = True) -> DataFrame:
 
         for b in batches:
             for path, code in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = parse(code.as_py() or "", idents)
+                try:
+                    rows = parse(code.as_py() or "", idents)
+                except Exception as e:
+                    raise ParseError(f"cannot parse {path}: {type(e).__name__}: {e}") from e
                 paths += [path] * (len(rows) + 1)
                 for c, values in columns.items():
                     values.append("file" if c == "row" else [] if COLUMNS[c] == "array<int>" else None)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from sparkgauge import rule_cases
 from sparkgauge.sources.lexer import lex
 from sparkgauge.sources.parser import parse
 
@@ -40,46 +41,7 @@ def one(body):
     return metrics(f"func f() {{\n{body}\n}}")[0][1:]
 
 
-@pytest.mark.parametrize(
-    "body, expected",
-    [
-        ("", (1, 0)),
-        ("if a { }", (2, 1)),
-        ("if a { } else { }", (2, 2)),
-        ("if a { } else if b { } else { }", (3, 3)),
-        ("if a { if b { } }", (3, 3)),
-        ("if a { } else { if b { } }", (3, 3)),
-        ("guard let x = y else { return }", (2, 1)),
-        ("for i in 0..<3 where i > 1 { while i < 2 { } }", (3, 3)),
-        ("repeat { } while x", (2, 1)),
-        ("switch x { case 1, 2: a() \n case 3: if b { } \n default: c() }", (4, 3)),
-        ("do { try g() } catch let e as E { } catch { if x { } }", (4, 4)),
-        ("return a && b && c", (3, 1)),
-        ("return a && b || c", (3, 1)),
-        ("if a && b && c { }", (4, 1)),
-        ("while a && b && c { }", (4, 2)),
-        ("let x = a && b == c && d", (3, 0)),
-        ("let x = a && b\nlet y = c && d", (3, 1)),
-        ("let x = a && g(b && c) && d", (4, 1)),
-        ("let x = a ? b : c ?? d", (1, 0)),
-        ("let x = if a { 1 } else { 2 }", (2, 2)),
-        ("items.forEach { i in if i { } }", (2, 1)),
-        ("items.map { $0 > 1 }.filter { x, y in x && y }", (2, 0)),
-        ('print("{ if a \\(b && c ? "}" : "x") {")', (2, 0)),
-        ("let s = \"\"\"\n if a { \\(x || y)\n \"\"\"", (2, 0)),
-        ('let r = #"\\(a && b) if { "#', (1, 0)),
-        ("// if a { }\n/* while b { /* nested */ } */", (1, 0)),
-        ("#if DEBUG\nif a { }\n#else\nif b { }\n#endif", (3, 2)),
-        ("outer: for x in y { break outer }", (2, 1)),
-        ("if case .some(let x) = y, x > 1 { }", (2, 1)),
-        ("if let x = y.first(where: { $0 && a }) { }", (3, 1)),
-        ("let a = b < c && d > (e)", (2, 0)),
-        ("let a: Dictionary<String, Array<Int>> = x as? [Int: Int] ?? y", (1, 0)),
-        ("func g() { if a { } }", (2, 1)),
-        ("defer { if a { } }", (2, 1)),
-        ("let x = y / z; if a / b > c { }", (2, 1)),
-    ],
-)
+@pytest.mark.parametrize("body, expected", [(body, tuple(values)) for body, *values in rule_cases.METRICS])
 def test_rules(body, expected):
     assert one(body) == expected
 
@@ -127,3 +89,11 @@ def test_tokens_cover_the_text():
     code = 'a.b?.c!(1...2) == "x\\(y)" as? Z'
     assert [t.text for t in lex(code)][:5] == ["a", ".", "b", "?", "."]
     assert all(code[t.start : t.end] == t.text for t in lex(code))
+
+
+@pytest.mark.parametrize("opened, closed, within", [("(", ")", "let x = %s"), ("[", "]", "let x = %s"), ("if a { ", "} ", "%s"), ("g { ", "}", "%s"), ("[", "]", "var x: %s"), ("!", "", "let x = %sa"), ("if a { } else ", "", "%s { }")])
+def test_deep_texts(opened, closed, within):
+    code = "func f() { " + within % (opened * 100_000 + closed * 100_000) + " }"
+    rows = parse(code)
+    assert [r.name for r in rows if r.row == "function"] == ["f"]
+    assert sum(r.kind == "if" for r in rows) == 100_000 * opened.startswith("if")

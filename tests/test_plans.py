@@ -7,7 +7,7 @@ import pytest
 from test_parser import metrics
 
 import sparkgauge as sg
-from sparkgauge import samples
+from sparkgauge import rule_cases, samples
 from sparkgauge.operators.cohesion import count_components, union_find
 from sparkgauge.plans.analysis import analyze_sources
 from sparkgauge.sources import files
@@ -66,26 +66,7 @@ def cohesion(spark, code):
     return {r.name: (r.lcom4, r.method_count, r.property_count) for r in rows}
 
 
-@pytest.mark.parametrize(
-    "members, expected",
-    [
-        ("", (0, 0, 0)),
-        ("var a = 1", (0, 0, 1)),
-        ("func f() { }", (0, 1, 0)),
-        ("var a = 1; func f() { }", (1, 1, 1)),
-        ("func f() { }; func g() { }", (0, 2, 0)),
-        ("var a = 1; var b = 2\nfunc f() { a }\nfunc g() { self.b }", (2, 2, 2)),
-        ("var a = 1\nfunc f() { a }\nfunc g() { a }", (1, 2, 1)),
-        ("var a = 1\nfunc f() { g() }\nfunc g() { }", (1, 2, 1)),
-        ("var a = 1\nfunc f() { other.a }\nfunc g() { a }", (1, 2, 1)),
-        ("var a = 1\nfunc f() { x.g() }\nfunc g() { }", (1, 2, 1)),
-        ("var a = 1; var b = 2\nfunc f(x: Int) { a }\nfunc f(y: String) { b }\nfunc g() { b }", (1, 3, 2)),
-        ("var a = 1; var b = 2\nfunc f(x: Int) { a }\nfunc f(y: String) { b }\nfunc g() { a }", (2, 3, 2)),
-        ("static var a = 1; var b = 2\nstatic func f() { b }\nfunc g() { }\nfunc h() { b }", (2, 2, 1)),
-        ("var a = 1 { didSet { } }\nvar b: Int { 1 }\nvar c = 1\nfunc f() { a }\nfunc g() { a }", (2, 2, 1)),
-        ("var a = 1\ninit() { a = 2 }\ndeinit { a = 3 }", (1, 2, 1)),
-    ],
-)
+@pytest.mark.parametrize("members, expected", [(members, tuple(values)) for members, *values in rule_cases.MEMBERS])
 def test_cohesion(spark, members, expected):
     assert cohesion(spark, f"class C {{\n{members}\n}}") == {"C": expected}
 
@@ -117,19 +98,21 @@ def test_components_equal_label_propagation(spark):
         assert n == len(set(label.values())) == union_find([(a, b) for e, a, b in edges if e == k], [i for _, i in nodes[:30]])
 
 
-RULES = sg.Rules((("Toilet", None, 12), (None, "Repository", 5), (None, "UseCase", 15), (None, None, 1)), 10)
+RULES = sg.Rules((("Audit", None, 9), (None, "Ledger", 6), ("Audit", "Ledger", 4), ("Net", "Ledger", 8), (None, None, 2)), 11)
 
 
 def test_thresholds(spark):
-    code = "".join(f"struct {n} {{ func f() {{ }} }}\n" for n in ("ToiletRepository", "ToiletUseCase", "PaymentUseCase", "SomeService")) + "func f() { }"
-    result = sg.analyze_code(spark, code)
+    names = ("AuditTrail", "SalesLedger", "AuditLedger", "NetLedger", "LedgerBook", "audit")
+    result = sg.analyze_code(spark, "".join(f"struct {n} {{ func f() {{ }} }}\n" for n in names) + "func f() { }")
 
     def of(rules, threshold=None):
         return {r.enclosing_type: r.threshold for r in result.with_thresholds(rules, threshold).collect()}
 
-    assert of(RULES) == {"ToiletRepository": 5, "ToiletUseCase": 12, "PaymentUseCase": 15, "SomeService": 10, None: 10}
-    assert of(RULES, 3) == {"ToiletRepository": 5, "ToiletUseCase": 12, "PaymentUseCase": 15, "SomeService": 3, None: 3}
-    assert of(sg.Rules()) == dict.fromkeys(of(RULES)) and set(of(sg.Rules(), 8).values()) == {8}
+    own = {"AuditTrail": 9, "SalesLedger": 6, "AuditLedger": 4, "NetLedger": 6}
+    rest = ("LedgerBook", "audit", None)
+    assert of(RULES) == own | dict.fromkeys(rest, 11)
+    assert of(RULES, 7) == own | dict.fromkeys(rest, 7)
+    assert of(sg.Rules()) == dict.fromkeys([*names, None]) and set(of(sg.Rules(), 13).values()) == {13}
     assert result.exceeded(threshold=1) and not result.exceeded(threshold=2) and not result.exceeded()
 
 
@@ -191,7 +174,7 @@ def test_files(spark, tmp_path, caplog):
 
 def test_rule_files(tmp_path):
     assert files.discover_rules(str(tmp_path)) is None
-    path = tmp_path / ".team-complexity.yaml"
+    path = tmp_path / ".sparkgauge.yaml"
     path.write_text("rules:\n  - suffix: Repository\n    threshold: 5\n  - prefix: A\n    suffix: B\n    threshold: 7\n")
     assert files.discover_rules(str(tmp_path)) == sg.Rules(((None, "Repository", 5), ("A", "B", 7)), None)
     for bad in ("defaultThreshold: 3", "rules: 3", "rules: [{threshold: x}]", "rules: [", "rules: []\ndefaultThreshold: many"):
@@ -202,14 +185,50 @@ def test_rule_files(tmp_path):
         files.load_rules(str(tmp_path / "none.yml"))
 
 
-def test_rule_file_names_and_environment(tmp_path, monkeypatch):
-    (tmp_path / ".a-complexity.yaml").write_text("rules: []\ndefaultThreshold: 4")
-    (tmp_path / ".b-complexity.yml").write_text("rules: []\ndefaultThreshold: 3")
+def test_rule_file_names_and_environment(spark, tmp_path, monkeypatch):
+    (tmp_path / ".sparkgauge.yaml").write_text("rules: []\ndefaultThreshold: 4")
+    (tmp_path / "own.yml").write_text("rules: []\ndefaultThreshold: 5")
+    assert files.discover_rules(str(tmp_path)).default == 4
+    (tmp_path / ".sparkgauge.yml").write_text("rules: []\ndefaultThreshold: 3")
     assert files.discover_rules(str(tmp_path)).default == 3
-    assert files.discover_rules(str(tmp_path), [r"\.a.*"]).default == 4
+    assert files.discover_rules(str(tmp_path), ["own.yml"]).default == 5
     assert files.env_threshold() == 10
-    monkeypatch.setenv("MY_COMPLEXITY_THRESHOLD", "7")
-    assert files.env_threshold() == 7
+    result = analyze_sources(strings(spark, {"a.swift": "func f() { " + "if a { }; " * 4 + "}"}))
+    assert sg.render(result, "xcode") == ""
+    monkeypatch.setenv("SPARKGAUGE_THRESHOLD", "3")
+    assert files.env_threshold() == 3 and "Threshold: 3" in sg.render(result, "xcode") and sg.render(result, "xcode", threshold=9) == ""
+    monkeypatch.setenv("SPARKGAUGE_THRESHOLD", "many")
+    assert files.env_threshold() == 10
+    monkeypatch.setenv("MINE", "6")
+    assert files.env_threshold(variable="MINE") == 6
+
+
+def test_remote_paths_and_release(spark, tmp_path):
+    for name in ("a.swift", "sub/b.swift", "sub/bTests.swift"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("func f() { if a { } }")
+    top = f"file://{tmp_path}"
+    with sg.analyze(spark, [top, f"{top}/a.swift"], recursive=True, exclude=["Tests"]) as result:
+        assert sorted(r.file_path.rpartition("/")[2] for r in result.functions.collect()) == ["a.swift", "b.swift"]
+        assert result.held.storageLevel.useMemory
+    assert not result.held.storageLevel.useMemory and result.functions.count() == 2
+    assert sg.analyze(spark, [top, str(tmp_path / "sub")]).functions.count() == 3
+    with pytest.raises(sg.NoSourceFilesError):
+        sg.analyze(spark, [top], exclude=["swift"])
+
+
+def test_a_file_that_fails_is_named(spark, monkeypatch):
+    from sparkgauge.sources import syntax
+
+    frame = spark.createDataFrame([("x/odd.swift", 5)], "file_path string, code int")
+    assert syntax.syntax(frame).count() == 1  # a number is text too
+
+    def run(code, idents):
+        raise RecursionError("too deep")
+
+    monkeypatch.setattr(syntax, "parse", run)
+    with pytest.raises(Exception, match="cannot parse x/odd.swift: RecursionError: too deep"):
+        syntax.syntax(frame).count()
 
 
 def test_stream(spark, tmp_path):
