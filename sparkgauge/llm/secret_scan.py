@@ -5,6 +5,8 @@ only where one of its keywords begins, anchored there.  Hexadecimal runs have no
 keyword and are found by their own run expression.  Kinds with an embedded checksum
 or signature are kept only if it holds.
 
+Work is linear in the text: no expression goes over a stretch again after it has failed there.
+
 Defined results: a null or empty text has no spans (and the digest of the empty
 string); repeated rows and ids each give their own row; clashing extra columns are
 ignored by ``scan`` and kept by ``redact``; an empty table gives an empty result.
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame
 
 from .common import small_batches, texts
 
+#: Letters of the header of a signed token; real ones have some hundred.
+HEADER = 8192
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,12 +45,15 @@ def base62_crc(token: str) -> bool:
 
 
 def signed_header(token: str) -> bool:
-    """The first part of a signed web token is a JSON object that names its algorithm."""
+    """The first part of a signed web token is a JSON object that names its algorithm, of HEADER letters at most."""
     head = token.partition(".")[0]
+    if len(head) > HEADER:
+        return False
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, binascii.Error, TypeError):
+        found = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, binascii.Error, RecursionError):  # also where it is nested too deeply to be a header
         return False
+    return isinstance(found, dict) and isinstance(found.get("alg"), str)
 
 
 @dataclass(frozen=True)
@@ -56,6 +63,8 @@ class Kind:
     pattern: re.Pattern
     holds: Callable[[re.Match], bool]
     base: bool = False
+    #: Where a match fails at a hit, so it does at all further ones in this run.
+    run: re.Pattern | None = None
 
 
 #: In the order in which spans that begin together are listed.
@@ -71,7 +80,7 @@ KINDS = (
     Kind("hex", (), re.compile(r"[0-9a-f]{24,}"), lambda m: True, True),
     Kind("hosting", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"), lambda m: base62_crc(m[0])),
     Kind("package", ("npm_",), re.compile(r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])"), lambda m: base62_crc(m[0])),
-    Kind("signed", ("eyj",), re.compile(r"eyJ[\w-]+\.[\w-]+\.[\w-]+", re.ASCII), lambda m: signed_header(m[0])),
+    Kind("signed", ("eyj",), re.compile(r"eyJ[\w-]+\.[\w-]+\.[\w-]+", re.ASCII), lambda m: signed_header(m[0]), run=re.compile(r"[\w-]+", re.ASCII)),
     Kind("private", ("-----begin ",), re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----"), lambda m: True),
 )
 
@@ -102,10 +111,17 @@ class Scanner:
         ends = [0] * len(self.kinds)
         hits = sorted({(last - back, i) for last, (back, users) in self.automaton.iter(self.lowered(text)) for i in users})
         for start, i in hits:
-            if start >= ends[i] and (m := self.kinds[i].pattern.match(text, start)):
+            kind = self.kinds[i]
+            if start < ends[i]:
+                continue
+            m = kind.pattern.match(text, start)
+            if m and kind.holds(m):
+                found.append((start, i, m.end()))
+                ends[i] = m.end()
+            elif kind.run:
+                ends[i] = kind.run.match(text, start).end()
+            elif m:
                 ends[i] = m.end()
-                if self.kinds[i].holds(m):
-                    found.append((start, i, m.end()))
         for i in self.runs:
             found += [(m.start(), i, m.end()) for m in self.kinds[i].pattern.finditer(text) if self.kinds[i].holds(m)]
         found.sort()
