@@ -1,13 +1,14 @@
 r"""Quality rules by a hashed n-gram log-likelihood ratio, in DataFrame expressions only.
 
-The n-grams are the last three characters of each word, hashed into BUCKETS buckets.
-Two multinomials over the buckets, one of the trusted target (a bounded sample of the
-documents that labels call good) and one of the raw corpus, the former smoothed by the
-latter, give each bucket a weight: the
-logarithm of the ratio of its chances.  A document's score is the mean weight of its
-words; it is kept if it passes the base rules and its score reaches THRESHOLD.
+The n-grams are the words and the pairs of neighbouring words, hashed by CRC-32 into BUCKETS
+buckets for either length.  Two multinomials over the buckets of each length, one of the
+trusted target (all documents that labels call good) and one of the raw corpus scaled to the
+target's size, give each bucket a weight: the logarithm of the ratio of its counts, each
+raised by SMOOTH, so that what a small target happens not to hold weighs little.  A
+document's score is the sum of the weights of its n-grams for each of its words; it is kept
+if it passes the base rules and its score reaches THRESHOLD.
 
-Raw counts cover the whole corpus; what the driver holds is one row for each bucket.
+Counts cover all documents; what the driver holds is one row for each bucket.
 
 Defined results: a null or empty text has no words and fails the base rules; every row
 is judged by itself, so repeated rows and ids get the same verdict; without any trusted
@@ -21,13 +22,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Buckets of words, and as many of pairs.
 BUCKETS = 1 << 14
-#: Labelled documents that make up the target; the corpus is counted whole.
-TRUSTED = 20_000
-#: Words' worth of the raw corpus that smooth the target, so that a small target leans to the corpus.
-PRIOR = 1000
-#: Documents whose words are on average this much less likely in the target than in the corpus (natural logarithm) go.
-THRESHOLD = -0.5
+#: Ids of trusted documents that go to every executor (some 12 MB); more are joined by exchange.
+BROADCAST_IDS = 500_000
+#: What is added to the counts of words and of pairs.
+SMOOTH = (3, 30)
+#: Documents that are, by the word, this much less likely in the target than in the corpus (natural logarithm) go.
+THRESHOLD = -0.24
 SPACE = r"\x20\x09-\x0D"
 
 
@@ -35,9 +37,18 @@ def words(text: str) -> Column:
     return F.expr(rf"regexp_extract_all(coalesce({text}, ''), '([^{SPACE}]+)', 1)".replace("\\", "\\\\"))
 
 
-def bucket(end: str) -> str:
-    """Bucket of a word's last three characters: a polynomial of their code points, which SQL engines agree on."""
-    return f"(ascii({end}) * 961 + ascii(substr({end}, 2)) * 31 + ascii(substr({end}, 3))) % {BUCKETS}"
+def hashed(word: str) -> str:
+    return f"crc32(cast({word} as binary))"
+
+
+def pair(first: str, second: str) -> str:
+    """Bucket of two words in a row, by their hashes, behind those of single words."""
+    return f"cast({BUCKETS} + ({first} * 31 + {second}) % {BUCKETS} as int)"
+
+
+def fenced(expression: str) -> Column:
+    """The same, in a form below which no filter moves: there it would work out the nested arrays once for every mention."""
+    return F.expr(f"if(monotonically_increasing_id() >= 0, {expression}, null)")
 
 
 def base_measures(docs: DataFrame, text: str, w: str) -> DataFrame:
@@ -59,39 +70,48 @@ def base_measures(docs: DataFrame, text: str, w: str) -> DataFrame:
     none = "cast(array() as array<struct<h: bigint, i: int>>)"
     out = out.withColumn("_sorted", F.expr(f"if(size(array_distinct(_grams)) = size(_grams), {none}, sort_array(transform(_grams, (h, i) -> named_struct('h', h, 'i', i))))"))
     out = out.withColumn("_at", F.expr("sort_array(transform(filter(_sorted, (x, k) -> coalesce(get(_sorted, k - 1).h = x.h, false) or coalesce(get(_sorted, k + 1).h = x.h, false)), x -> x.i))"))
-    out = out.withColumn("n_repeat_words", F.expr("aggregate(transform(_at, (p, k) -> least(3, coalesce(get(_at, k + 1) - p, 3))), 0L, (a, x) -> a + x)"))
-    return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).drop("_lines", "_grams", "_sorted", "_at")
+    out = out.withColumn("n_repeat_words", fenced("aggregate(transform(_at, (p, k) -> least(3, coalesce(get(_at, k + 1) - p, 3))), 0L, (a, x) -> a + x)"))
+    return out.withColumn("base_failed", fenced("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).drop("_lines", "_grams", "_sorted", "_at")
 
 
-def trusted(labels: DataFrame, sample: int = TRUSTED) -> DataFrame:
-    """At most ``sample`` ids that labels call good, those of the smallest hashes."""
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("good", F.lit(1))
+def trusted(labels: DataFrame) -> DataFrame:
+    """The ids that labels call good; broadcast while their number is bounded."""
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("good", F.lit(1))
+    return F.broadcast(good) if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else good
 
 
 def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    """The weight of each bucket; the raw counts are over all documents."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(f"`{text_col}`").alias("w"))
-    rows = rows.join(F.broadcast(trusted(labels)), "doc_id", "left")  # at most TRUSTED ids
-    ends = rows.select("good", F.explode("w").alias("word")).groupBy(F.expr("substr(word, -3)").alias("end")).agg(F.count("*").alias("raw"), F.count("good").alias("target"))
-    found = ends.groupBy(F.expr(bucket("end")).alias("bucket")).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    counts = found.toArrow().to_pydict()
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
+    """The weight of each bucket, those of pairs behind those of words; counts are over all documents."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.join(trusted(labels), "doc_id", "left").select("good", words("text").alias("w"))
+    places = rows.select("good", "w", F.posexplode("w").alias("i", "word"))
+    one, two = f"cast({hashed('word')} % {BUCKETS} as int)", f"if(i + 1 < size(w), {pair(hashed('word'), hashed('get(w, i + 1)'))}, null)"
+    grams = places.select("good", F.explode(F.expr(f"array({one}, {two})")).alias("bucket")).where("bucket is not null")
+    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target")).toArrow().to_pydict()
+    raw, target = [0] * (2 * BUCKETS), [0] * (2 * BUCKETS)
     for b, r, t in zip(counts["bucket"], counts["raw"], counts["target"]):
         raw[b], target[b] = r, t
-    if not sum(target):
-        return [0.0] * BUCKETS
-    all_target, all_raw = sum(target), sum(raw) + BUCKETS
-    chance = [(r + 1) / all_raw for r in raw]
-    return [math.log((t + PRIOR * p) / (all_target + PRIOR)) - math.log(p) for t, p in zip(target, chance)]
+    out = []
+    for more, own in zip(SMOOTH, (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS))):
+        share = sum(target[own]) / max(1, sum(raw[own]))
+        out += [math.log((t + more) / (r * share + more)) if share else 0.0 for t, r in zip(target[own], raw[own])]
+    return out
 
 
 def judged(docs: DataFrame, weight: list[float], text_col: str = "text") -> DataFrame:
     """``docs`` with the words' columns, ``score`` and ``kept``."""
     out = base_measures(docs.withColumn("_w", words(f"`{text_col}`")), text_col, "_w")
-    spelled = "array(" + ", ".join(f"{x!r}D" for x in weight) + ")"
-    out = out.withColumn("score", F.expr(f"if(n_words = 0, 0D, aggregate(_w, 0D, (a, x) -> a + get({spelled}, {bucket('substr(x, -3)')})) / n_words)"))
-    return out.withColumn("kept", F.expr(f"not base_failed and score >= {THRESHOLD}D")).drop("_w")
+    constant = F.split(F.lit(",".join(map(repr, weight))), ",").cast("array<double>")  # the optimiser makes it one constant
+
+    def gain(h: Column, i: Column) -> Column:
+        after = F.get(F.col("_h"), i + 1)
+        both = F.get(constant, (BUCKETS + (h * 31 + after) % BUCKETS).cast("int"))
+        return F.get(constant, (h % BUCKETS).cast("int")) + F.coalesce(both, F.lit(0.0))
+
+    out = out.withColumn("_h", F.expr(f"transform(_w, x -> {hashed('x')})"))
+    out = out.withColumn("_gain", F.aggregate(F.transform("_h", gain), F.lit(0.0), lambda a, x: a + x))
+    out = out.withColumn("score", F.expr("if(n_words = 0, 0D, _gain / n_words)"))
+    return out.withColumn("kept", fenced(f"not base_failed and score >= {THRESHOLD}D")).drop("_w", "_h", "_gain")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,11 +125,20 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """The rows that pass, with the columns of ``docs``."""
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
     out = judged(whole, weights(docs, labels, id_col, text_col))
-    # the number, never below zero, is a barrier: a filter that moved below would work out the nested arrays once for every mention
-    return out.select("row", F.expr("kept and monotonically_increasing_id() >= 0").alias("stays")).where("stays").select("row.*")
+    return out.select("row", "kept").where("kept").select("row.*")
+
+
+def crc_table() -> list[int]:
+    """The remainders of the reflected polynomial of CRC-32, by byte."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
 
 
-#: The same for DuckDB, where all labelled good documents are fewer than TRUSTED.
+#: The same for DuckDB; distinct words are hashed there byte by byte.
 QUALITY_SQL = rf"""
 WITH doc AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') AS w FROM documents
@@ -125,14 +154,20 @@ WITH doc AS (
   SELECT rid, unnest(string_split(text, chr(10))) AS line FROM doc
 ), again AS (
   SELECT rid, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM line WHERE regexp_matches(line, '[^{SPACE}]') GROUP BY rid
+), coded AS (
+  SELECT word, list_transform(range(0, length(hex(encode(word))) // 2), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT) AS bytes FROM (SELECT DISTINCT word FROM word)
+), hashed AS (
+  SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, {crc_table()}[(xor(c, b) & 255) + 1]))) AS h FROM coded
+), lined AS (
+  SELECT rid, doc_id, h, lead(h) OVER (PARTITION BY rid ORDER BY i) AS after FROM word JOIN hashed USING (word)
 ), sized AS (
-  SELECT rid, (ascii(e) * 961 + ascii(substr(e, 2)) * 31 + ascii(substr(e, 3))) % {BUCKETS} AS bucket, doc_id FROM (SELECT rid, doc_id, right(word, 3) AS e FROM word)
+  SELECT rid, doc_id, 0 AS kind, h % {BUCKETS} AS bucket FROM lined UNION ALL SELECT rid, doc_id, 1, (h * 31 + after) % {BUCKETS} FROM lined WHERE after IS NOT NULL
 ), counted AS (
-  SELECT bucket, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)) AS target FROM sized GROUP BY bucket
+  SELECT kind, bucket, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)) AS target FROM sized GROUP BY kind, bucket
 ), chance AS (
-  SELECT bucket, target, sum(target) OVER () AS all_target, (raw + 1) / (sum(raw) OVER () + {BUCKETS}) AS p FROM counted
+  SELECT kind, bucket, target, raw * sum(target) OVER (PARTITION BY kind) / sum(raw) OVER (PARTITION BY kind) AS expected, [{SMOOTH[0]}, {SMOOTH[1]}][kind + 1] AS more, sum(target) OVER (PARTITION BY kind) AS trusted FROM counted
 ), score AS (
-  SELECT rid, avg(CASE WHEN all_target = 0 THEN 0 ELSE ln((target + {PRIOR} * p) / (all_target + {PRIOR})) - ln(p) END) AS score FROM sized JOIN chance USING (bucket) GROUP BY rid
+  SELECT rid, sum(CASE WHEN trusted = 0 THEN 0 ELSE ln((target + more) / (expected + more)) END) / count(*) FILTER (kind = 0) AS score FROM sized JOIN chance USING (kind, bucket) GROUP BY rid
 ), base AS (
   SELECT doc.rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, score
