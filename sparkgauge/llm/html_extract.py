@@ -1,14 +1,18 @@
 """Main text of web pages by union-free wrappers, one inferred for each host.
 
-Pages become trees of tags and text slots.  Runs of like siblings fold into repeated
-groups; the trees of a host's pages are aligned one after the other, and what only some
-have becomes optional, so that the outcome is an expression of tags, text slots,
-``(...)?`` and ``(...)+`` without unions, in which each node also counts its pages, its
-characters and whether its text ever changed.  Each task infers partial wrappers and
-those of a host are aligned once more, so a host with very many pages is spread like any
-other.  Nodes that are template (by name, by links, or by text that never changes) are
+Pages become nested streams of tags and text slots.  Runs of like siblings fold into repeated
+groups.  The streams of a host's pages are aligned one after the other: where two mismatch, the
+nearer of the two places at which they match again decides what was skipped, and that becomes
+an optional group, or one more round of a repeated one.  The outcome is an expression of tags,
+text slots, ``(...)?`` and ``(...)+`` without unions, in which each node also counts its
+pages, its characters and whether its text ever changed.  Each task infers partial wrappers,
+and those of a host are aligned in two steps, so a host with very many pages is spread like
+any other.  Nodes that are template (by name, by links, or by text that never changes) are
 left out; the main region is the node that holds most of the remaining text.
 
+Work is linear in a page however deep it nests and however broken its markup is: a tag that
+never ends is text, and behind one whose quotes never end tags end at the first ``>``.
+
 Defined results: a null or empty page, or one without tags or text, gives an empty text
 or its plain text; a url without a host shares the wrapper of the empty host; repeated
 ids give rows of their own; extra columns are ignored; an empty table gives an empty
@@ -20,11 +24,16 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +50,8 @@ LEFT_OUT_TAGS = frozenset("head nav header footer aside form button select scrip
 FURNITURE = frozenset(
     "menu menubar nav navbar navigation breadcrumb breadcrumbs pagination toolbar skip tabs header masthead topbar footer colophon legal copyright sidebar aside complementary widget widgets related recommended recommendations trending teaser notice notices alert announcement cookie cookies consent gdpr disclaimer paywall popup modal newsletter subscribe subscription signup ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion form search login comment comments discussion disqus replies reply respond share sharing social".split()
 )
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+OPENING = re.compile(r"</?[a-zA-Z][^\s/>]*|<!--|<[!?]")
+QUOTE_OR_END = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 #: Beside these, a header is that of the article.
 OF_THE_ARTICLE = frozenset("article content entry post story".split())
@@ -49,13 +59,15 @@ OF_THE_ARTICLE = frozenset("article content entry post story".split())
 SAME_ON = 5
 #: The same for articles, of which a page's own may bear the other words.
 NOT_THE_ARTICLE = frozenset("ad ads advert comment comments promo related replies reply sponsored teaser".split())
-#: Elements nested deeper than this count as text of what holds them.
-DEPTH = 150
 PLAIN = ("div", "span", "section", "table", "body", "html", "#root")
 
 
 #: Characters of all wrappers that go to every executor; more are joined by exchange.
 BROADCAST_CHARS = 16_000_000
+#: Nodes of the partial wrappers that a task holds before it hands them on.
+HELD_NODES = 200_000
+#: Partitions whose partial wrappers of a host are aligned in one group.
+TOGETHER = 32
 
 
 class Node:
@@ -85,41 +97,102 @@ def left_out(label: str, in_article: bool = False) -> bool:
     return tag in LEFT_OUT_TAGS or any(n in furniture for n in names)
 
 
+@contextmanager
+def deep() -> Iterator[None]:
+    """Recursion as deep as pages nest; Python's frames are not on the C stack."""
+    known = sys.getrecursionlimit()
+    sys.setrecursionlimit(50_000_000)
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(known)
+
+
+def end_of_tag(page: str, at: int) -> int:
+    """Behind the ``>`` that ends the tag whose attributes begin here, outside of quotes; -1 without one."""
+    while m := QUOTE_OR_END.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            break
+    return -1
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of tags in order, with ``/`` before the name of end tags; comments and declarations have no name.
+
+    The caller may send the place from which to go on.
+    """
+    at, loose = 0, False
+    while m := OPENING.search(page, at):
+        start = m.start()
+        if m[0] == "<!--":
+            end = page.find("-->", m.end()) + 3
+            sent = yield start, end if end > 2 else len(page), "", ""
+            at = sent or (end if end > 2 else len(page))
+            continue
+        end = -1 if loose or m[0] in ("<!", "<?") else end_of_tag(page, m.end())
+        if end < 0:
+            loose = loose or m[0] not in ("<!", "<?")
+            end = page.find(">", m.end()) + 1
+            if not end:
+                return  # nothing that follows can be a tag
+        name = "" if m[0] in ("<!", "<?") else m[0][1:].lower()
+        at = (yield start, end, name, page[m.end() : end - 1]) or end
+
+
 def parse(page: str) -> Node:
     """A tree of the page; unclosed elements end with their parent, stray end tags are skipped."""
     root = Node("#root")
     stack, tags, at = [root], ["#root"], 0
-    while m := MARKUP.search(page, at):
-        if m.start() > at:
-            stack[-1].kids.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in tags:
-                keep = len(tags) - 1 - tags[::-1].index(tag)
-                if keep:
-                    del stack[keep:], tags[keep:]
+    count = Counter(tags)
+
+    def close(keep: int) -> None:
+        count.subtract(tags[keep:])
+        del stack[keep:], tags[keep:]
+
+    found, go_on = tags_of(page), None
+    while True:
+        try:
+            start, end, name, attributes = found.send(go_on)
+        except StopIteration:
+            break
+        go_on = None
+        if start > at:
+            stack[-1].kids.append(page[at:start])
+        at = end
+        if not name:
             continue
-        if tag in CLOSES_P and "p" in tags:
-            last = len(tags) - 1 - tags[::-1].index("p")
-            if all(t in INLINE for t in tags[last + 1 :]):
-                del stack[last:], tags[last:]
-        if tag in SAME_CLOSES and tag in tags:
-            last = len(tags) - 1 - tags[::-1].index(tag)
-            if not any(t in SAME_CLOSES[tag] for t in tags[last + 1 :]):
-                del stack[last:], tags[last:]
-        if len(stack) > DEPTH and tag not in RAW:
+        if name[0] == "/":
+            if count[name[1:]]:
+                keep = len(tags) - 1
+                while tags[keep] != name[1:]:
+                    keep -= 1
+                close(keep)
             continue
-        node = Node(label_of(tag, m[3]))
+        if name in CLOSES_P and count["p"]:
+            last = len(tags) - 1
+            while tags[last] in INLINE:
+                last -= 1
+            if tags[last] == "p":
+                close(last)
+        if name in SAME_CLOSES and count[name]:
+            last = len(tags) - 1
+            while tags[last] != name and tags[last] not in SAME_CLOSES[name]:
+                last -= 1
+            if tags[last] == name:
+                close(last)
+        node = Node(label_of(name, attributes))
         stack[-1].kids.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+        if name in RAW:
+            over = re.compile(rf"</{re.escape(name)}\b", re.IGNORECASE).search(page, at)
+            at = (page.find(">", over.end()) + 1 if over else 0) or len(page)
+            go_on = at
+        elif name not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
-            tags.append(tag)
+            tags.append(name)
+            count[name] += 1
     if at < len(page):
         stack[-1].kids.append(page[at:])
     return root
@@ -192,22 +265,36 @@ def merged(a: list, b: list, pages: bool = True) -> list:
 
 
 def pairs(a: list[list], b: list[list]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two rows of siblings."""
+    """Which siblings of both sides match, in order.
+
+    At a mismatch either side may have more than the other: whichever finds its match sooner
+    on the other side is the one that goes on, and what it passes there is skipped.
+    """
     if len(a) == len(b) and all(x[LABEL] == y[LABEL] for x, y in zip(a, b)):
         return [(i, i) for i in range(len(a))]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = 1 + best[i + 1][j + 1] if a[i][LABEL] == b[j][LABEL] else max(best[i + 1][j], best[i][j + 1])
+    where: list[dict[str, list[int]]] = [{}, {}]
+    for places, side in zip(where, (a, b)):
+        for i, node in enumerate(side):
+            places.setdefault(node[LABEL], []).append(i)
+
+    def ahead(places: dict[str, list[int]], label: str, start: int) -> float:
+        found = places.get(label, ())
+        k = bisect_left(found, start)
+        return found[k] - start if k < len(found) else float("inf")
+
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i][LABEL] == b[j][LABEL]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+            continue
+        in_b, in_a = ahead(where[1], a[i][LABEL], j), ahead(where[0], b[j][LABEL], i)
+        if in_b <= in_a and in_b < float("inf"):
+            j += int(in_b)
+        elif in_a < float("inf"):
+            i += int(in_a)
         else:
-            j += 1
+            i, j = i + 1, j + 1
     return out
 
 
@@ -227,19 +314,62 @@ def align(a: list[list], b: list[list], pages: bool = True) -> list[list]:
 def expression(node: list) -> str:
     """The wrapper as text: tags, ``#text`` slots (fixed text in quotes is not kept), ``(...)?`` and ``(...)+``."""
     slot = "" if not node[CHARS] else "#text" if node[TEXT] == -1 else "#fixed"
-    body = f"<{node[LABEL]}>{slot}{''.join(map(expression, node[KIDS]))}</{node[LABEL].partition('.')[0]}>"
+    body = f"<{node[LABEL]}>{slot}{''.join([expression(k) for k in node[KIDS]])}</{node[LABEL].partition('.')[0]}>"
     mark = {0: "", OPTIONAL: "?", REPEATED: "+", 3: "*"}[node[FLAGS]]
     return f"({body}){mark}" if mark else body
 
 
+def flat(wrapper: list) -> str:
+    """The wrapper as JSON that does not nest: each node with the number of its children, parents first."""
+    out, left = [], [wrapper]
+    while left:
+        node = left.pop()
+        out.append([*node[:KIDS], len(node[KIDS])])
+        left.extend(reversed(node[KIDS]))
+    return json.dumps(out, separators=(",", ":"))
+
+
+def unflat(text: str) -> list:
+    above = [[None] * KIDS + [[]]]
+    missing = [1]
+    for *values, kids in json.loads(text):
+        node = [*values, []]
+        above[-1][KIDS].append(node)
+        missing[-1] -= 1
+        above.append(node)
+        missing.append(kids)
+        while len(above) > 1 and not missing[-1]:
+            above.pop(), missing.pop()
+    return above[0][KIDS][0]
+
+
+def size_of(wrapper: list) -> int:
+    n, left = 0, [wrapper]
+    while left:
+        n += 1
+        left.extend(left.pop()[KIDS])
+    return n
+
+
 def mark_regions(wrapper: list) -> list:
     """The wrapper as [label, keep, children]: keep is 0 left out, 1 path to the main region, 2 the region itself."""
     sums: dict[int, int] = {}
+    totals: dict[int, tuple[int, int]] = {}
+
+    def add_up(node: list) -> tuple[int, int]:
+        chars, links = node[CHARS], node[LINKS]
+        for k in node[KIDS]:
+            more = add_up(k)
+            chars, links = chars + more[0], links + more[1]
+        totals[id(node)] = chars, links
+        return chars, links
+
+    add_up(wrapper)
 
     def template(node: list, in_article: bool, in_text: bool) -> bool:
         if in_text or left_out(node[LABEL], in_article):
             return left_out(node[LABEL], in_article)
-        all_, links = total(node, CHARS), total(node, LINKS)
+        all_, links = totals[id(node)]
         fixed = node[TEXT] not in (0, -1) and not node[KIDS] and len(node[PAGES]) >= SAME_ON and not re.match(r"h[1-6]\b", node[LABEL])
         return fixed or all_ > 0 and links > 0.8 * all_ and not node[LABEL].startswith(("article", "main", "body", "html", "#root", "p"))
 
@@ -249,7 +379,10 @@ def mark_regions(wrapper: list) -> list:
         if template(node, in_article, in_text) if strict else left_out(node[LABEL], in_article):
             sums[id(node)] = 0
         else:
-            sums[id(node)] = (node[CHARS] - node[LINKS] // 2) + sum(mass(k, strict, in_article, in_text) for k in node[KIDS])
+            found = node[CHARS] - node[LINKS] // 2
+            for k in node[KIDS]:
+                found += mass(k, strict, in_article, in_text)
+            sums[id(node)] = found
         return sums[id(node)]
 
     strict = mass(wrapper, True) > 0
@@ -266,10 +399,6 @@ def mark_regions(wrapper: list) -> list:
     return marked(wrapper, False, False, False)
 
 
-def total(node: list, field: int) -> int:
-    return node[field] + sum(total(k, field) for k in node[KIDS])
-
-
 def find_region(wrapper: list, sums: dict[int, int]) -> list:
     """An article or main element with half of the text, else the deepest container with most of its parent's."""
     named, node = [], wrapper
@@ -330,16 +459,21 @@ def blocks(node: Node, regions: list | None, out: list[list[str]], keep: int) ->
 
 def matches(kids: list[Node], nodes: list[list]) -> list[list | None]:
     """The wrapper's node for each child, in order; repeated ones take several children."""
+    places: dict[str, list[int]] = {}
+    for i, node in enumerate(nodes):
+        places.setdefault(node[0], []).append(i)
     out: list[list | None] = []
     at = 0
     for kid in kids:
-        ahead = next((i for i in (*range(at, len(nodes)), *range(at)) if nodes[i][0] == kid.label), None)
-        out.append(nodes[ahead] if ahead is not None else None)
-        if ahead is not None:
-            at = ahead
-            follow = next((i for i in range(at + 1, len(nodes)) if nodes[i][0] == kid.label), None)
-            if follow is not None and kid.label in PLAIN:
-                at += 1
+        found = places.get(kid.label)
+        if found is None:
+            out.append(None)
+            continue
+        k = bisect_left(found, at) % len(found)  # behind the last one, from the start
+        out.append(nodes[found[k]])
+        at = found[k]
+        if kid.label in PLAIN and found[-1] > at:
+            at += 1
     return out
 
 
@@ -361,27 +495,42 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
-        for b in batches:
-            for h, page in zip(b.column(0).to_pylist(), b.column(1)):
-                tree = fold(parse(page.as_py() or ""))
-                found[h] = merged(found[h], tree) if h in found else tree
-        if found:
-            yield pa.RecordBatch.from_pydict({"host": [*found], "wrapper": [json.dumps(w, separators=(",", ":")) for w in found.values()]}, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+        size, part = 0, TaskContext.get().partitionId() // TOGETHER
+
+        def hand_on() -> pa.RecordBatch:
+            columns = {"host": [*found], "part": [part] * len(found), "wrapper": [flat(w) for w in found.values()]}
+            return pa.RecordBatch.from_pydict(columns, pa.schema([("host", pa.string()), ("part", pa.int32()), ("wrapper", pa.string())]))
+
+        with deep():
+            for b in batches:
+                for h, page in zip(b.column(0).to_pylist(), b.column(1)):
+                    tree = fold(parse(page.as_py() or ""))
+                    if h not in found:
+                        size += size_of(tree)
+                    found[h] = merged(found[h], tree) if h in found else tree
+                    if size > HELD_NODES:
+                        yield hand_on()
+                        size, found = 0, {}
+            if found:
+                yield hand_on()
 
     def combine(table: pa.Table) -> pa.Table:
-        rows = sorted(table.column("wrapper").to_pylist())
-        whole = json.loads(rows[0])
-        for w in rows[1:]:
-            whole = merged(whole, json.loads(w))
-        return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps(whole, separators=(",", ":"))]})
+        with deep():
+            rows = sorted(table.column("wrapper").to_pylist())
+            whole = unflat(rows[0])
+            for w in rows[1:]:
+                whole = merged(whole, unflat(w))
+            return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [flat(whole)]})
 
     rows = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(partial, "host string, wrapper string").groupBy("host").applyInArrow(combine, "host string, wrapper string")
+    found = rows.mapInArrow(partial, "host string, part int, wrapper string")
+    found = found.groupBy("host", "part").applyInArrow(combine, "host string, wrapper string")
+    return found.groupBy("host").applyInArrow(combine, "host string, wrapper string")
 
 
 @lru_cache(500)
 def regions_of(wrapper: str | None) -> list:
-    return mark_regions(json.loads(wrapper)) if wrapper else ["#root", 2, []]
+    return mark_regions(unflat(wrapper)) if wrapper else ["#root", 2, []]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -389,7 +538,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches):
         for b in batches:
-            texts = [extract(page.as_py(), regions_of(w)) for page, w in zip(b.column(2), b.column(3).to_pylist())]
+            with deep():
+                texts = [extract(page.as_py(), regions_of(w)) for page, w in zip(b.column(2), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     small_batches(pages.sparkSession)
