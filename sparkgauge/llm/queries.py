@@ -13,7 +13,7 @@ from .quality_classifier import scored
 from .quality_rules import QUALITY_SQL, quality
 from .rans_files import file_round_trip
 from .secret_scan import scan
-from .simhash import near_duplicates
+from .simhash import NEAR_DUPLICATES_SQL, near_duplicates
 from .suffix_dedup import DEDUPLICATED_SQL, deduplicated
 from .token_counts import token_counts
 
@@ -60,4 +60,4 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_token_counts, op4_simhash, op5_decontamination, op6_html_extract, op7_bpe_codec, op8_secret_scan, op9_quality_classifier, op10_id_files)}
 
-ORACLES: dict[str, str] = {"op1_suffix_dedup": DEDUPLICATED_SQL, "op2_quality_rules": QUALITY_SQL, "op5_decontamination": OVERLAPS_SQL}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": DEDUPLICATED_SQL, "op2_quality_rules": QUALITY_SQL, "op4_simhash": NEAR_DUPLICATES_SQL, "op5_decontamination": OVERLAPS_SQL}

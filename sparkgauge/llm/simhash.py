@@ -375,3 +375,84 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, distinct: bo
     lows = stored(nodes.groupBy("label").agg(F.min("low").alias("component_id")), "lows")  # read on its own, so that a join of a very large group can be split
     ids = nodes.join(lows, "label").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# The primes of XXH64.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def near_duplicates_sql(words: int = 3, most: int = 2, seed: int = 42) -> str:
+    """The same for DuckDB: XXH64 step by step on each distinct shingle, then all fingerprints with all.
+
+    A hash is a fold over steps {k, a}: xor with a, add a, times a, rotate left by log2(a), xor with itself shifted right by log2(a).
+    """
+    p1, p2, p3, p4, p5 = PRIMES
+    full = f"{1 << 64}::UHUGEINT"
+
+    def wide(x: str) -> str:
+        return f"({x})::UHUGEINT"
+
+    def number(x: int) -> str:
+        return f"{x % (1 << 64)}::UBIGINT"
+
+    def times(x: str, by: str) -> str:
+        return f"({wide(x)} * {by} % {full})::UBIGINT"
+
+    def turned(x: str, by: str) -> str:
+        return f"({wide(x)} * {by} % {full} + {wide(x)} * {by} // {full})::UBIGINT"
+
+    def step(k: int, a: str) -> str:
+        return f"{{'k': {k}, 'a': {a}}}"
+
+    def own_round(x: str) -> str:
+        return times(turned(times(x, str(p2)), str(1 << 31)), str(p1))
+
+    def fold(first: str, steps: str) -> str:
+        after = f"CASE o.k WHEN 0 THEN xor(q.a, o.a) WHEN 1 THEN (({wide('q.a')} + o.a) % {full})::UBIGINT WHEN 2 THEN {times('q.a', 'o.a')} WHEN 3 THEN {turned('q.a', 'o.a')} ELSE xor(q.a, q.a // o.a) END"
+        return f"list_reduce(list_prepend({step(0, first)}, {steps}), lambda q, o: {{'k': 0, 'a': {after}}}).a"
+
+    mixed_in = "[" + ", ".join((step(0, "@"), step(2, number(p1)), step(1, number(p4)))) + "]"
+    lane = "[" + ", ".join((step(0, own_round("x")), step(3, number(1 << 27)), step(2, number(p1)), step(1, number(p4)))) + "]"
+    four = "[" + ", ".join((step(0, times("x", str(p1))), step(3, number(1 << 23)), step(2, number(p2)), step(1, number(p3)))) + "]"
+    one = "[" + ", ".join((step(0, times("x", str(p5))), step(3, number(1 << 11)), step(2, number(p1)))) + "]"
+    last = "[" + ", ".join((step(4, number(1 << 33)), step(2, number(p2)), step(4, number(1 << 29)), step(2, number(p3)), step(4, number(1 << 32)))) + "]"
+    stripe = "[" + ", ".join((step(1, times("lanes[4 * t + @]", str(p2))), step(3, number(1 << 31)), step(2, number(p1)))) + "]"
+    begins = (seed + p1 + p2, seed + p2, seed, seed - p1)
+    none = "[]::STRUCT(k INTEGER, a UBIGINT)[]"
+    little = "('0x' || array_to_string(list_reverse({}), ''))::UBIGINT"
+    windows = f"CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i : i + {words - 1}], ' ')) END"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT rid, unnest({windows}) AS s FROM doc
+), spelled AS (
+  SELECT s, octet_length(encode(s)) AS n, list_transform(range(0, octet_length(encode(s))), lambda i: substr(hex(encode(s)), 2 * i + 1, 2)) AS b FROM (SELECT DISTINCT s FROM shingle)
+), laned AS (
+  SELECT *, n // 32 AS stripes, list_transform(range(0, n // 8), lambda i: {little.format("b[8 * i + 1 : 8 * i + 8]")}) AS lanes FROM spelled
+), striped AS (
+  SELECT *, {", ".join(fold(number(v), f"flatten(list_transform(range(0, stripes), lambda t: {stripe.replace("@", str(j + 1))}))") + f" AS v{j}" for j, v in enumerate(begins))} FROM laned
+), hashed AS (
+  SELECT s, {fold(f"CASE WHEN n < 32 THEN {number(seed + p5)} ELSE (({' + '.join(wide(turned(f'v{j}', str(1 << k))) for j, k in enumerate((1, 7, 12, 18)))}) % {full})::UBIGINT END",
+    f"CASE WHEN n < 32 THEN {none} ELSE flatten([{', '.join(mixed_in.replace('@', own_round(f'v{j}')) for j in range(4))}]) END || [{step(1, 'n::UBIGINT')}] || flatten(list_transform(lanes[4 * stripes + 1 :], lambda x: {lane}))"
+    f" || CASE WHEN n % 8 < 4 THEN {none} ELSE flatten(list_transform([{little.format('b[n - n % 8 + 1 : n - n % 8 + 4]')}], lambda x: {four})) END"
+    f" || flatten(list_transform(list_transform(b[n - n % 4 + 1 :], lambda y: ('0x' || y)::UBIGINT), lambda x: {one})) || {last}")} AS h FROM striped
+), counted AS (
+  SELECT rid, count(*) AS n, {", ".join(f"count(*) FILTER (h // {1 << k}::UBIGINT % 2 = 1) AS n{k}" for k in range(BITS))} FROM shingle JOIN hashed USING (s) GROUP BY rid
+), printed AS (
+  SELECT doc_id, coalesce({" + ".join(f"CASE WHEN 2 * n{k} > n THEN {1 << k}::UHUGEINT ELSE 0 END" for k in range(BITS))}, 0)::UBIGINT AS fp FROM doc LEFT JOIN counted USING (rid)
+), node AS (
+  SELECT fp, min(doc_id) AS low FROM printed GROUP BY fp
+), link AS (
+  SELECT a.fp AS x, b.fp AS y FROM node a JOIN node b ON bit_count(xor(a.fp, b.fp)) <= {most}
+), reach(x, y) AS (
+  SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y
+), label AS (
+  SELECT x AS fp, min(low) AS component_id FROM reach JOIN node ON node.fp = reach.y GROUP BY x
+)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM printed JOIN label USING (fp)
+"""
+
+
+NEAR_DUPLICATES_SQL = near_duplicates_sql()
