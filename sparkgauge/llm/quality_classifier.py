@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-#: Labelled rows that the fit takes, those of the smallest hashed ids.
-SAMPLE = 20_000
+#: Labelled rows that the fit takes, those of the smallest hashed ids, and their letters: a row that would go beyond these is left out with all after it.
+SAMPLE, LETTERS = 20_000, 150_000_000
 FOLDS = 5
 WORDS = 1 << 15
 BINS = 12
@@ -143,6 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "quality")  # at most ``sample`` rows of two numbers
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n"), F.xxhash64("doc_id").alias("h")).toPandas()  # and so are these
+    sizes = sizes.sort_values(["h", "doc_id"])
+    if sizes["n"].sum() > LETTERS:
+        few = sizes["doc_id"][sizes["n"].fillna(0).cumsum() <= LETTERS].tolist()
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in few], "doc_id long")), "doc_id", "left_semi")
     got = rows.mapInArrow(run, "doc_id long, quality int, ids array<int>, vals array<float>").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     ids, vals = got.column("ids").combine_chunks(), got.column("vals").combine_chunks()
