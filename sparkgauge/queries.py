@@ -8,6 +8,7 @@ and so on.  Parser, metrics and cohesion run on the sources of ``rule_cases`` an
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,10 @@ from . import rule_cases, samples
 from .functions import text as fmt
 from .operators import cohesion, metrics, summaries, thresholds
 from .operators.metrics import continued
+from .plans import service
 from .plans.analysis import Analysis, analyze, analyze_code, analyze_sources, batch_analyze, rules_for
 from .plans.reports import described, read_results, report_rows
-from .sources.files import Rules, chosen, collect_files, excluded, strings
+from .sources.files import Rules, chosen, collect_files, env_threshold, excluded, strings
 
 RULES = [("Brand#1", None, 22), (None, "3", 8), ("Brand#2", "5", 31), (None, None, 2), ("Brand", "9", 44)]
 DEFAULT_THRESHOLD = 18
@@ -520,6 +522,71 @@ def rule_thresholds(spark, sf_dir):
     return thresholds.with_threshold(out, rules.frame(spark), 3, rules.default).withColumnRenamed("threshold", "with_fallback")
 
 
+def tool_answers(spark, sf_dir):
+    """What tools answer to right and wrong arguments: whether it is an error, and how many functions it tells of."""
+    top = f"{EXAMPLES}/Shop"
+    asked = {
+        "paths": ("analyze_complexity", {"paths": [top], "recursive": True, "exclude": ["Tests"]}),
+        "wrong types": ("analyze_complexity", {"paths": [top, 7], "recursive": "yes", "threshold": "9", "exclude": "Cart"}),
+        "threshold": ("analyze_complexity", {"paths": [top], "recursive": True, "threshold": 5}),
+        "rule file": ("analyze_complexity", {"paths": [top], "recursive": True, "config_path": f"{EXAMPLES}/.sparkgauge.yml"}),
+        "code": ("analyze_code_string", {"code": "func f() { if a { } }"}),
+        "empty code": ("analyze_code_string", {"code": "", "file_name": "x"}),
+        "no code": ("analyze_code_string", {"code": 5}),
+        "no paths": ("analyze_complexity", None),
+        "empty paths": ("analyze_complexity", {"paths": []}),
+        "missing path": ("analyze_complexity", {"paths": [f"{top}/none"]}),
+        "no sources": ("analyze_complexity", {"paths": [f"{top}/notes.txt"]}),
+        "both metrics": ("analyze_complexity", {"paths": [top], "cyclomatic_only": True, "cognitive_only": True}),
+        "no index": ("analyze_complexity", {"paths": [top], "lcom4": True}),
+        "no rule file": ("analyze_complexity", {"paths": [top], "config_path": f"{top}/none.yml"}),
+        "no such tool": ("other", {}),
+    }
+    rows = []
+    for name, (tool, arguments) in asked.items():
+        found = service.call_tool(spark, tool, arguments)
+        rows.append((name, found.is_error, None if found.is_error else sum(len(f["functions"]) for f in json.loads(found.text)["files"])))
+    return spark.createDataFrame(rows, "asked string, is_error boolean, n_functions int")
+
+
+def web_answers(spark, sf_dir):
+    """What web requests answer: raw results by path, and reports in other formats."""
+    one, two = "func b() { if x { } }", "struct S { func a() { } }"
+    raw = service.analyze_response(spark, {"code": one, "fileName": "one"})["result"]
+    both = service.batch_response(spark, {"files": [{"code": two, "path": "two"}, {"code": one, "path": "one"}]})["results"]
+    text = service.analyze_response(spark, {"code": one, "fileName": "one", "format": "text", "showCognitiveOnly": True})["formatted"]
+    again = service.format_response(spark, {"results": both, "format": "xcode", "threshold": 1})["formatted"]
+    rows = [("raw", json.dumps(raw, sort_keys=True)), ("batch", ",".join(r["filePath"] for r in both)), ("text", text), ("xcode", again)]
+    return spark.createDataFrame(rows, "asked string, answer string")
+
+
+WEB_ANSWERS = [
+    (
+        "raw",
+        '{"filePath": "one", "functions": [{"cognitiveComplexity": 1, "cyclomaticComplexity": 2, "location": {"column": 1, "line": 1}, "name": "b", "signature": "func b()"}], '
+        '"summary": {"averageCognitiveComplexity": 1.0, "averageCyclomaticComplexity": 2.0, "maxCognitiveComplexity": 1, "maxCyclomaticComplexity": 2, "totalCognitiveComplexity": 1, "totalCyclomaticComplexity": 2, "totalFunctions": 1}}',
+    ),
+    ("batch", "one,two"),
+    (
+        "text",
+        "File: one\n| Function/Method      | Cognitive  |\n+----------------------+------------+\n| b                    | 1          |\n+----------------------+------------+\nTotal: 1 functions, Average Cognitive: 1.0",
+    ),
+    ("xcode", "one:1:1: warning: Function 'b' has high complexity (Cyclomatic: 2, Cognitive: 1, Threshold: 1)\n"),
+]
+
+
+def environment_thresholds(spark, sf_dir):
+    """The threshold that the environment asks for, under a name of its own."""
+    name, rows = "SPARKGAUGE_THRESHOLD_OF_QUERY", []
+    for value in (None, "7", "many"):
+        os.environ.pop(name, None)
+        if value is not None:
+            os.environ[name] = value
+        rows += [(value, default, env_threshold(default, name)) for default in (10, 4)]
+    os.environ.pop(name, None)
+    return spark.createDataFrame(rows, "value string, otherwise int, threshold int")
+
+
 FUNCTION_COLUMNS = 'file_path, name, signature, cyclomatic, cognitive, line, col, enclosing_type'
 
 SUMMARY = """count(pos) AS total_functions, coalesce(avg(cyclomatic), 0) AS avg_cyclomatic, coalesce(avg(cognitive), 0) AS avg_cognitive,
@@ -578,6 +645,9 @@ FROM events GROUP BY user_id""",
     analyzed_files: values(analyzed_rows(), FUNCTION_COLUMNS),
     rule_file: values(rule_cases.RULES, "prefix, suffix, threshold"),
     rule_thresholds: values(rule_cases.NAMES, "enclosing_type, own, with_fallback"),
+    tool_answers: values(rule_cases.TOOL_ANSWERS, "asked, is_error, n_functions"),
+    web_answers: values(WEB_ANSWERS, "asked, answer"),
+    environment_thresholds: values([(None, 10, 10), (None, 4, 4), ("7", 10, 7), ("7", 4, 7), ("many", 10, 10), ("many", 4, 4)], "value, otherwise, threshold"),
 }
 
 QUERIES = {f.__name__: f for f in WITH_ORACLE}

@@ -130,3 +130,22 @@ LISTED = [(".Store.swift", True), ("Cart.swift", True), ("Parts/Rules.swift", Fa
 #: Rules of ``examples/.sparkgauge.yml`` (with the default where none matches), and type names with the threshold of each, without and with a fallback of 3.
 RULES = [(None, "Ledger", 6), ("Audit", "Ledger", 4), ("Audit", None, 9), (None, None, 11)]
 NAMES = [("AuditLedger", 4, 4), ("AuditTrail", 9, 9), ("SalesLedger", 6, 6), ("LedgerBook", 11, 3), ("audit", 11, 3), (None, 11, 3)]
+
+#: What tools answer on ``examples/Shop``: whether it is an error, and the functions told of.
+TOOL_ANSWERS = [
+    ("paths", False, 19),
+    ("wrong types", False, 16),
+    ("threshold", False, 3),
+    ("rule file", False, 1),
+    ("code", False, 1),
+    ("empty code", False, 0),
+    ("no code", True, None),
+    ("no paths", True, None),
+    ("empty paths", True, None),
+    ("missing path", True, None),
+    ("no sources", True, None),
+    ("both metrics", True, None),
+    ("no index", True, None),
+    ("no rule file", True, None),
+    ("no such tool", True, None),
+]
