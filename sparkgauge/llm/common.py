@@ -16,14 +16,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on the session's Arrow batches hold BATCH bytes at most, on both sides of the pipe to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+def small_batches(spark: SparkSession, most: int = BATCH) -> None:
+    """From now on the session's Arrow batches hold so many bytes at most, on both sides of the pipe to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH) -> DataFrame:
     """(doc_id, text) of every row, for Python to read in small batches."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, batch)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="sparkgauge-")
     spark.conf.set("spark.checkpoint.dir", made)

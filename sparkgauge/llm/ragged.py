@@ -15,8 +15,9 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The rows ``flat[s:s + n]``, one after the other."""
     out = starts_of(lengths)
-    at = np.arange(out[-1], dtype=np.int64)
-    at += np.repeat(starts - out[:-1], lengths)
+    kind = np.int32 if max(out[-1], len(flat)) < 2**31 else np.int64
+    at = np.arange(out[-1], dtype=kind)
+    at += np.repeat((starts - out[:-1]).astype(kind), lengths)
     return flat[at]
 
 

@@ -22,7 +22,6 @@ import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +37,13 @@ from .common import texts as texts_of
 from .ragged import gather, starts_of, text_groups
 
 #: Ids of a block, but a document is never cut.
-BLOCK = 1 << 19
-#: Words, and their letters, that a Python worker remembers from task to task; beyond either the table starts anew.
-KNOWN_WORDS, KNOWN_LETTERS = 600_000, 12_000_000
-#: Characters that are encoded at once.
-GROUP = 4_000_000
+BLOCK = 1 << 20
+#: Words, and bytes of them, that a Python worker remembers from task to task; beyond either the table starts anew.
+KNOWN_WORDS, KNOWN_BYTES = 1_500_000, 32_000_000
+#: Characters that are encoded at once, and so the bytes of an Arrow batch: the more, the fewer words are looked up twice.
+GROUP = 8_000_000
+#: Tasks that add up the counts of ids.
+SUMMING = 8
 #: What needs the library's view of the whole text: separators that only some take for white space, special strings, letters whose lower case depends on their place.
 WHOLE = ("\u03a3", "\u0130")
 WHOLE_ASCII = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -53,7 +54,11 @@ PACKS = "part int, seq int, before long, n long, doc_ids array<long>, counts arr
 
 
 class WordCoder:
-    """Ids of texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
+    """Ids of texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
+
+    Known words are an Arrow array, some 12 bytes each; a word's place in it is its place in
+    the arrays of where its ids start and how many they are.
+    """
 
     kept: dict[str, WordCoder] = {}
 
@@ -74,15 +79,13 @@ class WordCoder:
         return cls.kept[path]
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.letters = 0
+        self.words = pa.array([], pa.string())
         self.ids, self.n_ids = np.empty(1 << 16, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), 0
-        self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        self.starts, self.counts = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
 
-    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        at, n = len(self.index), len(self.index) + len(words)
-        self.index.update(zip(words, range(at, n)))
-        self.letters += sum(map(len, words))
+    def add(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        at, n = len(self.words), len(self.words) + len(words)
+        self.words = pa.concat_arrays([self.words, words])
         self.ids, self.starts, self.counts = room(self.ids, self.n_ids + len(ids)), room(self.starts, n), room(self.counts, n)
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.starts[at:n] = starts_of(counts)[:-1] + self.n_ids
@@ -106,43 +109,46 @@ class WordCoder:
             return self.look_up(words)
         return ids, np.diff(last, prepend=-1)
 
-    def learn(self, words: pa.Array) -> bool:
-        """Add distinct words that are not known; where they find no room, forget all known words instead and tell so."""
-        if self.index and (len(self.index) + 2 * len(words) > KNOWN_WORDS or self.letters > KNOWN_LETTERS):
-            self.forget()
-            return False
+    def learn(self, words: pa.Array) -> None:
+        """Add distinct words that are not known."""
         # a word of letters and a run of stops are two pieces: each is looked up alone
         stems = pc.utf8_rtrim(words, characters=STOPS)
         letters = pc.utf8_is_alpha(stems)
         whole = pc.equal(stems, words)
-        plain, other = words.filter(pc.and_(letters, whole)), words.filter(pc.invert(letters))
         cut = pc.and_(letters, pc.invert(whole))
-        cuts, stems = words.filter(cut).to_pylist(), stems.filter(cut).to_pylist()
-        ends = [w[len(s) :] for w, s in zip(cuts, stems)]
-        plain, other = plain.to_pylist(), other.to_pylist()
-        plain += {s for s in stems if s not in self.index}.difference(plain)
-        other += {e for e in ends if e not in self.index}.difference(other)
-        if plain:
-            self.add(plain, *self.look_up_letters(plain))
-        if other:
-            self.add(other, *self.look_up(other))
-        if cuts:
-            halves = np.empty((len(cuts), 2), np.int64)
-            halves[:, 0] = np.fromiter(map(self.index.__getitem__, stems), np.int64, len(cuts))
-            halves[:, 1] = np.fromiter(map(self.index.__getitem__, ends), np.int64, len(cuts))
+        cuts, stems = words.filter(cut), stems.filter(cut)
+        ends = pa.array([w[len(s) :] for w, s in zip(cuts.to_pylist(), stems.to_pylist())], pa.string())
+        parts = pc.unique(pa.concat_arrays([stems, ends]))
+        known = found(parts, self.words)
+        fresh = parts.filter(pa.array(known < 0))
+        is_stem = pc.utf8_is_alpha(fresh)
+        begin, new = len(self.words), []
+        for mine, look in ((pa.concat_arrays([words.filter(pc.and_(letters, whole)), fresh.filter(is_stem)]), self.look_up_letters), (pa.concat_arrays([words.filter(pc.invert(letters)), fresh.filter(pc.invert(is_stem))]), self.look_up)):
+            mine = pc.unique(mine)
+            new.append(mine)
+            if len(mine):
+                self.add(mine, *look(mine.to_pylist()))
+        if len(cuts):
+            late = found(parts, pa.concat_arrays(new))
+            place = np.where(known < 0, late + begin, known)
+            halves = np.column_stack([place[found(x, parts)] for x in (stems, ends)])
             n = self.counts[halves]
             self.add(cuts, gather(self.ids, self.starts[halves].ravel(), n.ravel()), n.sum(1))
-        return True
 
     def places(self, words: pa.Array) -> np.ndarray:
-        """Where the distinct words stand in the table; unknown ones are learned."""
-        listed = words.to_pylist()
-        at = np.fromiter(map(self.index.get, listed, repeat(-1)), np.int64, len(listed))
-        missing = np.flatnonzero(at < 0)
-        if len(missing) and not self.learn(words.take(pa.array(missing))):
-            self.learn(words)
-            missing = np.arange(len(listed))
-        at[missing] = np.fromiter((self.index[listed[i]] for i in missing.tolist()), np.int64, len(missing))
+        """Where the distinct words stand in the table; unknown ones are learned, if need be in the place of all known ones."""
+        at = found(words, self.words)
+        missing = words.filter(pa.array(at < 0))
+        if not len(missing):
+            return at
+        if len(self.words) + 2 * len(missing) > KNOWN_WORDS or self.words.nbytes > KNOWN_BYTES:
+            self.forget()
+            missing = words
+        if len(missing) == len(words):
+            at[:] = -1
+        begin = len(self.words)  # what is learned stands behind this
+        self.learn(missing)
+        at[at < 0] = found(missing, self.words.slice(begin)) + begin
         return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -165,6 +171,11 @@ class WordCoder:
         return out
 
 
+def found(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """The place of each word in an array of distinct ones, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy(zero_copy_only=False).copy()
+
+
 def room(x: np.ndarray, n: int) -> np.ndarray:
     """The array, or a longer copy that holds n entries."""
     if n > len(x):
@@ -187,7 +198,7 @@ def unsqueeze(blob: bytes) -> np.ndarray:
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Packs of about BLOCK ids in ascending order of the document id."""
-    rows = texts_of(docs, id_col, text_col)
+    rows = texts_of(docs, id_col, text_col, GROUP)
     ascending = F.col("doc_id").asc_nulls_first()
     rows = rows.repartitionByRange(partitions(docs.sparkSession), ascending).sortWithinPartitions(ascending, F.xxhash64("text"))
 
@@ -225,13 +236,16 @@ def histogram(packs: DataFrame) -> rans.Table:
     """The shared table from the counts of all ids; as large as the vocabulary, whatever the corpus."""
 
     def run(batches):
+        n = np.zeros(0, np.int64)
         for b in batches:
             for blob in b.column(0):
-                n = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.int64)
-                symbol = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(symbol, pa.int64()), pa.array(n[symbol], pa.int64())], ["symbol", "n"])
+                more = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.int64)
+                n = np.pad(n, (0, len(more) - len(n))) + more if len(more) > len(n) else n + np.pad(more, (0, len(n) - len(more)))
+        symbol = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(symbol, pa.int64()), pa.array(n[symbol], pa.int64())], ["symbol", "n"])
 
-    got = packs.where("totals is not null").select("totals").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
+    # one row for each partition of the corpus, so a few tasks are enough
+    got = packs.where("totals is not null").select("totals").coalesce(SUMMING).mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
     return rans.Table(got.column("symbol").to_numpy(), got.column("n").to_numpy())
 
 
@@ -279,6 +293,25 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
     return documents_of(spark, out, "ids binary", lambda raw, ends: [pa.array([raw[a:e] for a, e in zip(ends, ends[1:])], pa.binary())])
 
 
+def read_range(spark: SparkSession, out: str, first: int, last: int) -> DataFrame:
+    """(place, id): the ids at places ``first`` to ``last`` - 1 of the whole sequence; of their blocks only the segments that hold them are decoded."""
+    rows = spark.read.parquet(f"{out}/table").toArrow()
+    table = rans.Table(rows.column("symbol").to_numpy(), rows.column("freq").to_numpy())
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                a, e = max(0, first - r["start"]), min(r["n"], last - r["start"])
+                while a < e:
+                    segment, begin = rans.segment_of(r["block"], a)
+                    ids = rans.decode(table, r["block"], segment)[a - begin : e - begin]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(ids)) + r["start"]), pa.array(ids)], ["place", "id"])
+                    a += len(ids)
+
+    blocks = spark.read.parquet(f"{out}/blocks").withColumn("n", F.expr("aggregate(counts, 0L, (a, x) -> a + x)"))
+    return blocks.where((F.col("start") < last) & (F.col("start") + F.col("n") > first)).select("start", "n", "block").mapInArrow(run, "place long, id long")
+
+
 def digests(spark: SparkSession, out: str) -> DataFrame:
     """What the files hold of each document: where its ids begin, how many they are, and their CRC-32."""
 
