@@ -19,7 +19,12 @@ its pack:
   themselves and go through a second family; of equal long contexts only one does.
 
 A pack contributes each digest once, so a passage in a third of all documents is one
-row for each pack.  Equality is that of 64-bit digests of random polynomials.
+row for each pack.  The number of buckets follows the bytes of the corpus, so that no task holds
+more than a bucket of bounded size.
+
+Equality is that of 128 bits: of the digests of the short and of the long context, or of two
+independent digests of a long context or a window, by random polynomials.  Over 10^12 places
+chance equates none.
 
 Defined results: a null or empty text has no bytes and loses none; texts under 200 bytes
 are kept whole; rows that share an id are documents of their own; repeated rows are
@@ -48,10 +53,15 @@ CHOICES = LENGTH - LEFT - CONTEXT + 1  # places of a window among which it choos
 PACK = 2_000_000
 STEP = 1 << 21
 
+#: Bytes of text to a bucket at most; what a task holds of a bucket is about half of them, however large the corpus.
+BUCKET = 64_000_000
+
 rng = np.random.default_rng(20240229)
 SYMBOLS = rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x5851F42D4C957F2D
-INVERSE = pow(BASE, -1, 1 << 64)
+CHECK_SYMBOLS = rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BASE, CHECK_BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
+#: Bits of the first digest of long contexts and windows; the second one is always whole.
+FIRST = np.uint64(2**64 - 1)
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -82,10 +92,10 @@ POWERS: dict[int, np.ndarray] = {}
 class Digests:
     """Digests of any stretch of some bytes, from prefix sums of a polynomial."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, symbols: np.ndarray = SYMBOLS, base: int = BASE):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(SYMBOLS[data] * powers(BASE, len(data) + 1)[:-1], out=self.sums[1:])
-        self.back = powers(INVERSE, len(data) + 1)
+        np.cumsum(symbols.take(data) * powers(base, len(data) + 1)[:-1], out=self.sums[1:])
+        self.back = powers(pow(base, -1, 1 << 64), len(data) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.back[start]
@@ -96,21 +106,23 @@ class Digests:
 
 
 class Suffixes:
-    """The sampled suffixes of a pack: place, short and long context, and the windows that chose each."""
+    """The sampled suffixes of a pack: place, short and long context (and its check), and the windows that chose each."""
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray):
         self.data = data
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
         self.n = len(data)
-        places, short, long_, first, last = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for at in range(0, self.n, STEP):
-            for column, part in zip((places, short, long_, first, last), self.step(at, min(self.n, at + STEP))):
-                column.append(part)
-        self.place, self.short, self.long, self.first, self.last = map(np.concatenate, (places, short, long_, first, last))
-        again = np.flatnonzero(self.place[1:] == self.place[:-1])  # the windows of one suffix lie on both sides of a step
-        self.last[again] = self.last[again + 1]
-        self.place, self.short, self.long, self.first, self.last = (np.delete(x, again + 1) for x in (self.place, self.short, self.long, self.first, self.last))
+        parts = [self.step(at, min(self.n, at + STEP)) for at in range(0, self.n, STEP)] or [self.nothing()]
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        place, last = columns[0], columns[5]
+        again = np.flatnonzero(place[1:] == place[:-1])  # the windows of one suffix lie on both sides of a step
+        last[again] = last[again + 1]
+        self.place, self.short, self.long, self.check, self.first, self.last = (np.delete(x, again + 1) for x in columns)
+
+    @staticmethod
+    def nothing() -> tuple[np.ndarray, ...]:
+        return np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 3, *[np.empty(0, np.int64)] * 2
 
     def step(self, start: int, stop: int) -> tuple[np.ndarray, ...]:
         """Suffixes chosen by windows that begin in start .. stop - 1."""
@@ -120,7 +132,7 @@ class Suffixes:
         doc = np.searchsorted(self.ends, window, "right")
         window = window[window + LENGTH <= self.ends[doc]]
         if not len(window):
-            return (window, *[np.empty(0, np.uint64)] * 2, window, window)
+            return self.nothing()
         # the smallest hash and, in the low bits, the leftmost place that has it
         order = mixed(view.all(SEED)) & ~np.uint64((1 << 24) - 1) | np.arange(high - low - SEED + 1, dtype=np.uint64)
         reach = 1
@@ -137,26 +149,30 @@ class Suffixes:
         doc = np.searchsorted(self.ends, place, "right")
         a, b = np.maximum(self.begins[doc], place - LENGTH), np.minimum(self.ends[doc], place + LENGTH)
         short = mixed(view.of(place - LEFT - low, place + CONTEXT - low), 1)
-        long_ = mixed(mixed(view.of(a - low, b - low), 2) ^ ((place - a) << 9 | (b - place)).astype(np.uint64) ^ short, 3)
-        return place, short, long_, window[head], window[tail]
+        shape = ((place - a) << 9 | (b - place)).astype(np.uint64)
+        long_ = mixed(mixed(view.of(a - low, b - low), 2) ^ shape ^ short, 3) & FIRST
+        check = mixed(Digests(self.data[low:high], CHECK_SYMBOLS, CHECK_BASE).of(a - low, b - low) ^ shape, 5)
+        return place, short, long_, check, window[head], window[tail]
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """The stretch of each suffix's long context."""
         doc = np.searchsorted(self.ends, self.place, "right")
         return np.maximum(self.begins[doc], self.place - LENGTH), np.minimum(self.ends[doc], self.place + LENGTH)
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and digest of every window that chose one of these suffixes."""
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, digest and check of every window that chose one of these suffixes."""
         count = self.last[which] - self.first[which] + 1
         offset = np.cumsum(count) - count
         start = np.arange(count.sum()) - np.repeat(offset - self.first[which], count)
-        digest = np.empty(len(start), np.uint64)
+        digest, check = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
         step = start // STEP
         for k in np.unique(step).tolist():
             at = np.flatnonzero(step == k)
             low, high = k * STEP, min(self.n, (k + 1) * STEP + LENGTH)
-            digest[at] = mixed(Digests(self.data[low:high]).of(start[at] - low, start[at] + LENGTH - low), 4)
-        return start, digest
+            begin = start[at] - low
+            digest[at] = mixed(Digests(self.data[low:high]).of(begin, begin + LENGTH), 4) & FIRST
+            check[at] = mixed(Digests(self.data[low:high], CHECK_SYMBOLS, CHECK_BASE).of(begin, begin + LENGTH), 6)
+        return start, digest, check
 
 
 MIXED = np.uint64(0)
@@ -165,67 +181,98 @@ MIXED = np.uint64(0)
 class Levels:
     """Sorted arrays of geometrically growing sizes; every entry knows whether its key has occurred more than once.
 
-    An entry has a key, ``many``, a value (MIXED once two differ) and the first pack that held it.
+    An entry has a key (two numbers, in order by the first), ``many``, a value (MIXED once two
+    differ) and the first pack that held it.
     """
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, key, many, value, first) -> None:
-        new = (key, many.copy(), value.copy(), first.copy())
+    def add(self, key, check, many, value, first) -> None:
+        new = (key, check, many.copy(), value.copy(), first.copy())
         for level in self.levels:
-            at, hit = find(level[0], key)
+            at, hit = find(level, key, check)
             if len(hit):
                 meet(level, at, new, hit)
         while self.levels and len(self.levels[-1][0]) <= len(new[0]):
             new = merge(self.levels.pop(), new)
         self.levels.append(new)
 
-    def look(self, key) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look(self, key, check) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """many, value and first of keys that have been added."""
         out = np.zeros(len(key), bool), np.zeros(len(key), np.uint64), np.zeros(len(key), np.int64)
         for level in self.levels:
-            at, hit = find(level[0], key)
-            for column, known in zip(out, level[1:]):
+            at, hit = find(level, key, check)
+            for column, known in zip(out, level[2:]):
                 column[hit] = known[at]
         return out
 
 
-def find(level: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def in_order(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """An order by key in which equal pairs of key and check stand together."""
+    order = np.argsort(key, kind="stable")
+    k, c = key[order], check[order]
+    if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():  # next to never
+        order = np.lexsort((check, key))
+    return order
+
+
+def heads(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Whether each of the ordered pairs is the first of its kind."""
+    return np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])))[: len(key)]
+
+
+def find(level: tuple[np.ndarray, ...], key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in a level of the keys that it has, and which they are."""
-    at = np.searchsorted(level, key)
-    hit = np.flatnonzero(level[np.minimum(at, len(level) - 1)] == key) if len(level) else np.empty(0, np.int64)
+    if not len(level[0]):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at, last = np.searchsorted(level[0], key), len(level[0]) - 1
+    open_ = np.flatnonzero(level[0][np.minimum(at, last)] == key)
+    hit = np.empty(0, np.int64)
+    while len(open_):
+        good = level[1][at[open_]] == check[open_]
+        hit, open_ = np.concatenate((hit, open_[good])), open_[~good]
+        at[open_] += 1  # the same first number with another second one
+        open_ = open_[at[open_] <= last]
+        open_ = open_[level[0][at[open_]] == key[open_]]
+    hit.sort()
     return at[hit], hit
 
 
 def meet(a, i, b, j) -> None:
     """Entries i of a and j of b have the same keys: both learn what the other knows."""
-    a[1][i] = b[1][j] = True
-    a[2][i] = b[2][j] = np.where(a[2][i] == b[2][j], a[2][i], MIXED)
-    a[3][i] = b[3][j] = np.minimum(a[3][i], b[3][j])
+    a[2][i] = b[2][j] = True
+    a[3][i] = b[3][j] = np.where(a[3][i] == b[3][j], a[3][i], MIXED)
+    a[4][i] = b[4][j] = np.minimum(a[4][i], b[4][j])
 
 
 def merge(a, b):
     """Two levels as one; equal keys have met before, so either entry will do."""
-    key = np.concatenate((a[0], b[0]))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    keep = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
-    return key[keep], *(np.concatenate((x, y))[order][keep] for x, y in zip(a[1:], b[1:]))
-
-
-def batch_of(key: np.ndarray, value: np.ndarray | None = None):
-    """One entry for each key of a pack, sorted: key, many, value."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+    both = [np.concatenate(x) for x in zip(a, b)]
+    order = in_order(both[0], both[1])
+    order = order[heads(both[0][order], both[1][order])]
+    return tuple(x[order] for x in both)
+
+
+def batch_of(key: np.ndarray, check: np.ndarray | None = None, value: np.ndarray | None = None):
+    """One entry for each key of a pack, in order: key, check, many, value."""
+    if check is None:
+        check = np.zeros(len(key), np.uint64)
+    order = in_order(key, check)
+    key, check = key[order], check[order]
+    head = np.flatnonzero(heads(key, check))
     size = np.diff(np.append(head, len(key)))
     if value is None:
-        return key[head], size > 1, np.ones(len(head), np.uint64)
+        return key[head], check[head], size > 1, np.ones(len(head), np.uint64)
     value = value[order] | np.uint64(1)
     low = np.minimum.reduceat(value, head) if len(head) else value[:0]
     high = np.maximum.reduceat(value, head) if len(head) else value[:0]
-    return key[head], size > 1, np.where(low == high, low, MIXED)
+    return key[head], check[head], size > 1, np.where(low == high, low, MIXED)
+
+
+def places(entries, key: np.ndarray, check: np.ndarray | None = None) -> np.ndarray:
+    """Where keys stand that are all among the entries."""
+    return find(entries, key, np.zeros(len(key), np.uint64) if check is None else check)[0]
 
 
 def bucket_bounds(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -234,13 +281,15 @@ def bucket_bounds(key: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(key, edges), len(key))
 
 
-def packed(key, many, value) -> bytes:
-    return b"".join(x.tobytes() for x in (key, value, many))
+def packed(kind: int, key, check, many, value) -> bytes:
+    """Short contexts have a value and no check, the others a check and no value."""
+    return b"".join(x.tobytes() for x in (key, value if kind == SHORT else check, many))
 
 
-def unpacked(blob: bytes):
+def unpacked(kind: int, blob: bytes):
     n = len(blob) // 17
-    return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, bool, n, 16 * n), np.frombuffer(blob, np.uint64, n, 8 * n)
+    key, other, many = np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint64, n, 8 * n), np.frombuffer(blob, bool, n, 16 * n)
+    return (key, np.zeros(n, np.uint64), many, other) if kind == SHORT else (key, other, many, np.ones(n, np.uint64))
 
 
 REQUEST = "bucket int, kind int, pack long, entries binary"
@@ -254,7 +303,7 @@ def requests(pack: int, kind: int, entries, buckets: int) -> Iterator[dict]:
     bounds = bucket_bounds(entries[0], buckets)
     for k in np.flatnonzero(np.diff(bounds)).tolist():
         part = slice(bounds[k], bounds[k + 1])
-        yield {"bucket": k, "kind": kind, "pack": pack, "entries": packed(*(x[part] for x in entries))}
+        yield {"bucket": k, "kind": kind, "pack": pack, "entries": packed(kind, *(x[part] for x in entries))}
 
 
 def told(replies, kind: int, key: np.ndarray, buckets: int) -> np.ndarray:
@@ -273,10 +322,10 @@ def answered(asked: DataFrame) -> DataFrame:
     def answer(rows: list[dict]) -> Iterator[dict]:
         family = Levels()
         for r in rows:
-            key, many, value = unpacked(r["entries"])
-            family.add(key, many, value, np.full(len(key), r["pack"], np.int64))
+            entries = unpacked(r["kind"], r["entries"])
+            family.add(*entries, np.full(len(entries[0]), r["pack"], np.int64))
         for r in rows:
-            many, value, first = family.look(unpacked(r["entries"])[0])
+            many, value, first = family.look(*unpacked(r["kind"], r["entries"])[:2])
             strong = value == MIXED if r["kind"] == SHORT else first == r["pack"]
             flags = np.where(many, np.where(strong, SPOKEN, REPEATED), ALONE).astype(np.uint8)
             if flags.any():
@@ -347,19 +396,19 @@ def row_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def contexts(s: Suffixes):
-    return batch_of(s.short, s.long), batch_of(s.long)
+    return batch_of(s.short, value=s.long ^ s.check), batch_of(s.long, s.check)
 
 
 def heard(s: Suffixes, replies, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes whose whole long context is repeated, and those whose windows speak for themselves."""
     short, long_ = contexts(s)
-    at_short, at_long = np.searchsorted(short[0], s.short), np.searchsorted(long_[0], s.long)
+    at_short, at_long = places(short, s.short), places(long_, s.long, s.check)
     short_told = told(replies, SHORT, short[0], buckets)[at_short] if len(short[0]) else np.empty(0, np.uint8)
     long_told = told(replies, LONG, long_[0], buckets)[at_long] if len(long_[0]) else np.empty(0, np.uint8)
     differ = short_told == SPOKEN
     whole = (short_told == REPEATED) | differ & (long_told != ALONE)
     first = np.zeros(len(s.long), bool)
-    first[np.unique(s.long, return_index=True)[1]] = True
+    first[np.unique(at_long, return_index=True)[1]] = True
     return whole, differ & ((long_told == ALONE) | (long_told == SPOKEN) & first)
 
 
@@ -370,10 +419,10 @@ def repeated_bytes(s: Suffixes, replies, buckets: int) -> np.ndarray:
     a, b = s.spans()
     np.add.at(edge, a[whole], 1)
     np.add.at(edge, b[whole], -1)
-    start, digest = s.windows(np.flatnonzero(own))
+    start, digest, check = s.windows(np.flatnonzero(own))
     if len(start):
-        key = batch_of(digest)[0]
-        start = start[told(replies, WINDOW, key, buckets)[np.searchsorted(key, digest)] != ALONE]
+        entries = batch_of(digest, check)
+        start = start[told(replies, WINDOW, entries[0], buckets)[places(entries, digest, check)] != ALONE]
         np.add.at(edge, start, 1)
         np.add.at(edge, start + LENGTH, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -387,8 +436,9 @@ def with_replies(packs: DataFrame, replies: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, kept binary, starts, ends): the remaining bytes of every document, and the maximal removed runs."""
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
     packs = make_packs(docs, id_col, text_col)
+    n_bytes = packs.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, n) -> a + n)"))).first()[0] or 0
+    buckets = max(4 * partitions(spark), -(-n_bytes // BUCKET))
 
     def ask(batches):
         def rows():
@@ -405,7 +455,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if any(x["kind"] == SHORT and SPOKEN in x["flags"] for x in r["replies"] or ()):
                     s = opened(r)
                     _, own = heard(s, r["replies"], buckets)
-                    yield from requests(r["pack"], WINDOW, batch_of(s.windows(np.flatnonzero(own))[1]), buckets)
+                    yield from requests(r["pack"], WINDOW, batch_of(*s.windows(np.flatnonzero(own))[1:]), buckets)
 
         yield from batches_of(rows(), REQUEST_SCHEMA)
 
