@@ -65,7 +65,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # unlike snappy, its writers keep no buffers outside the heap until a collection
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,8 +8,9 @@ LIKE or more.  Every cluster is gone through pair by pair, but a pair is measure
 nothing connects it yet, its sizes allow the similarity, and SKETCH one-bit minhashes do not
 rule it out (by four standard deviations); links of a task are a forest.
 
-A cluster goes to tasks by blocks of at most BLOCK bytes: one task for each two blocks, so a
-group of copies of any size is spread, and no task holds more than two blocks.
+A cluster goes to tasks by blocks of at most BLOCK bytes, or up to SPREAD smaller ones of PART
+bytes: one task for each two blocks, so a group of copies of any size is spread, and no task
+holds more than two blocks.
 
 What can be lost are links at the edge of the similarity whose words differ so much that the
 fingerprints lie more than MOST bits apart on every chain; the README has figures.
@@ -45,6 +46,8 @@ SKETCH = 256
 AGREE = int(SKETCH * (1 + LIKE) / 2 - 4 * (SKETCH * (1 + LIKE) * (1 - LIKE) / 4) ** 0.5)
 #: Bytes of a block of sets, and what a set counts besides its shingles.
 BLOCK, EACH = 8_000_000, 2_000
+#: Clusters that would need fewer blocks are spread to this many, unless these get smaller than PART.
+SPREAD, PART = 10, 256_000
 #: Bits of the filter of sets that have a candidate, at most.
 FILTER_BITS = 1 << 27
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -117,9 +120,15 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def clusters(sets: DataFrame) -> DataFrame:
-    """(node, size, cluster) of the sets that have a candidate."""
+    """(node, size, cluster) of the sets that have a candidate.
+
+    Sizes of links are at most a factor of 5/4 apart, so they fall into the same class of sizes
+    or into two neighbouring ones: each set stands in its own and in the next.
+    """
     prints = stored(sets.groupBy("fp").agg(F.count("*").alias("n")), "fingerprints")
-    found = components(links(prints, MOST)).withColumnRenamed("node", "fp")
+    own = F.expr("cast(floor(ln(greatest(size, 1)) / ln(1.25D)) as int)")
+    classes = stored(sets.select("fp", F.explode(F.array(own + 1, own + 2)).alias("class")).distinct(), "classes")
+    found = components(links(classes, MOST, "class")).withColumnRenamed("node", "fp")
     crowded = prints.join(found, "fp", "left").where("n > 1 or label is not null").select("fp", F.coalesce("label", "fp").alias("cluster"))
     return stored(sets.join(crowded, "fp").select("node", "size", "cluster"), "clusters")
 
@@ -172,7 +181,7 @@ def verified(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b): links among the sets of each cluster."""
     spark = docs.sparkSession
     weights = found.groupBy("cluster").agg(F.sum(F.expr(f"8L * size + {EACH}")).alias("weight"))
-    blocks = found.join(weights, "cluster").select("node", "cluster", F.expr(f"cast(ceil(weight / {BLOCK}) as int)").alias("blocks"))
+    blocks = found.join(weights, "cluster").select("node", "cluster", F.expr(f"cast(greatest(ceil(weight / {BLOCK}), least({SPREAD}, ceil(weight / {PART}))) as int)").alias("blocks"))
     rows = blocks.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).join(members_of(docs, found.select("node")), "node")
     # a row for each two blocks that its own is one of, once with itself
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))

@@ -126,8 +126,8 @@ def variants(width: int, radius: int) -> int:
     return sum(math.comb(width, r) for r in range(radius + 1)) if radius >= 0 else 0
 
 
-def allocate(n: int, both: np.ndarray, groups: list[list[int]], most: int) -> tuple[float, tuple[int, ...]]:
-    """Least estimated work and its thresholds, by a dynamic programme over the partitions."""
+def allocate(n: int, both: np.ndarray, groups: list[list[int]], most: int, same: float = 1.0) -> tuple[float, tuple[int, ...]]:
+    """Least estimated work and its thresholds, by a dynamic programme over the partitions; ``same`` is the share of pairs that may meet at all."""
     p = np.diag(both) / max(n, 1)
     m = len(groups)
     best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}  # sum of (threshold + 1) so far
@@ -141,7 +141,7 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], most: int) -> tu
         step: dict[int, tuple[float, tuple[int, ...]]] = {}
         for used, (cost, chosen) in best.items():
             for t in range(-1, min(most, 6, len(group)) + 1):
-                pairs = n * n / 2 * near[: t + 1].sum() * (variants(len(group), t // 2) if t > 0 else t == 0)
+                pairs = same * n * n / 2 * near[: t + 1].sum() * (variants(len(group), t // 2) if t > 0 else t == 0)
                 work = cost + ROW_COST * n * variants(len(group), (t + 1) // 2 if t >= 0 else -1) + PAIR_COST * pairs
                 key = used + t + 1
                 if key <= most + 1 and (key not in step or work < step[key][0]):
@@ -150,12 +150,15 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], most: int) -> tu
     return best.get(most + 1, (math.inf, (0,) * m))
 
 
-def make_plan(fps: DataFrame, most: int) -> Plan:
+def make_plan(fps: DataFrame, most: int, classes: str | None = None) -> Plan:
     n, both = bit_statistics(fps)
+    same = 1.0
+    if classes and n:
+        same = float((fps.groupBy(classes).count().toPandas()["count"].astype(float) ** 2).sum()) / n**2
     found = []
     for m in range(1, min(most, 7) + 2):
         groups = group_bits(n, both, m)
-        cost, thresholds = allocate(n, both, groups, most)
+        cost, thresholds = allocate(n, both, groups, most, same)
         found.append((cost, m, groups, thresholds))
     _, _, groups, thresholds = min(found, key=lambda x: x[:2])
     return Plan(tuple(sum(1 << (63 - i) for i in g) for g in groups), thresholds, most)
@@ -328,18 +331,27 @@ def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-def links(fps: DataFrame, most: int) -> DataFrame:
-    """(a, b): links among distinct fingerprints ``fp`` that differ in 1 to ``most`` bits; a spanning forest per task."""
-    plan = make_plan(fps, most)
+def links(fps: DataFrame, most: int, classes: str | None = None) -> DataFrame:
+    """(a, b): links among distinct fingerprints ``fp`` that differ in 1 to ``most`` bits; a spanning forest per task.
+
+    With a column of ``classes`` (few whole numbers), only fingerprints that share one are linked; a fingerprint may have several.
+    """
+    plan = make_plan(fps, most, classes)
     fields = "key long, fp long"
+    rows = fps.select("fp", (F.col(classes) if classes else F.lit(0)).cast("long").alias("class"))
 
     def emit(levels: list[np.ndarray]):
         def run(batches):
             for b in batches:
-                fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                for i in range(0, len(fp), 4096):
-                    key, f, part = signatures(fp[i : i + 4096], plan)
+                every = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                own = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                # class by class, as signatures come in another order than their fingerprints
+                for c, i in ((c, i) for c in np.unique(own).tolist() for i in range(0, int((own == c).sum()), 4096)):
+                    fp = every[own == c][i : i + 4096]
+                    key, f, part = signatures(fp, plan)
                     masks = [*plan.masks]
+                    if c:
+                        key = mixed(key, 1000 + c)
                     for cells in levels:
                         hot = cells[(key & np.uint64(CELLS - 1)).astype(np.int64)] > SPREAD
                         if hot.any():
@@ -358,11 +370,11 @@ def links(fps: DataFrame, most: int) -> DataFrame:
 
     levels: list[np.ndarray] = []
     while len(levels) < LEVELS:
-        cells = sketch(fps.select("fp").mapInArrow(emit(levels), fields))
+        cells = sketch(rows.mapInArrow(emit(levels), fields))
         if cells.max(initial=0) <= SPREAD:
             break
         levels.append(cells)
-    sigs = fps.select("fp").mapInArrow(emit(levels), fields)
+    sigs = rows.mapInArrow(emit(levels), fields)
     return sigs.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 

@@ -80,3 +80,78 @@ def test_queries(spark, name):
     got = queries.QUERIES[name](spark, SF)
     want = 50 if name.startswith("op6_") else 200
     assert got.count() == want or name.startswith("op5_")
+
+
+def test_quality_rules_on_a_fold_that_the_target_leaves_out(spark):
+    """Documents whose labels the target has not seen: nearly all good ones stay, nearly all bad ones go."""
+    from pyspark.sql import functions as F
+
+    from sparkgauge.llm import quality_rules
+
+    sf = "/root/testdata/sf0.01"
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    seen = quality_rules.quality(docs, labels.where(~held)).join(labels.where(held).select("doc_id", "quality"), "doc_id").where("not base_failed")
+    found = {(r.quality, r.kept): r.n for r in seen.groupBy("quality", "kept").agg(F.count("*").alias("n")).collect()}
+    print(found)
+    assert found.get((1, True), 0) >= 0.99 * (found.get((1, True), 0) + found.get((1, False), 0))
+    assert found.get((0, False), 0) >= 0.95 * (found.get((0, True), 0) + found.get((0, False), 0))
+
+
+def test_run_is_the_brute_force(spark, tmp_path):
+    """All stages by hand on a small corpus: counting, comparing all with all, sliding, scanning, the tokenizer's library."""
+    import base64
+    import hashlib
+    import random
+
+    import public_tokenizers
+    import tiktoken
+    from test_near_copies import survivors
+    from test_operators import base_rules, leaks, scores_by_hand
+
+    from sparkgauge.llm import quality_rules
+
+    r = random.Random(12)
+    pool = [f"word{i}" for i in range(700)]
+
+    def prose(n):
+        return r.choices(pool, k=n)
+
+    items = [(k, " ".join(prose(n))) for k, n in enumerate((6, 9, 20, 30))]
+    rows = [(i, " ".join(prose(r.randint(20, 200)))) for i in range(120)]
+    for i in range(30):  # near and exact copies
+        words = r.choice(rows)[1].split()
+        for _ in range(r.choice((0, 1, 1, 9))):
+            words[r.randrange(len(words))] = "edit"
+        rows.append((200 + i, " ".join(words)))
+    for i in range(20):  # leaks, secrets, junk
+        words = prose(80)
+        words[40:40] = items[i % 4][1].split() if i % 2 else ["token=abcdef123456", "AKIA" + "Q7" * 9, "deadbeef" * 4]
+        rows.append((300 + i, " ".join(words)))
+    rows += [(400 + i, " ".join(f"JUNK{r.randrange(30)}!" for _ in range(90))) for i in range(25)] + [(500, ""), (501, None), (502, "same words here " * 40)]
+    labels = [(i, 1, 0) for i, _ in rows[:100:2]] + [(400 + i, 0, 0) for i in range(9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    score = scores_by_hand(rows, {i for i, q, _ in labels if q})
+    left = [(i, t) for (i, t), s in zip(rows, score) if not base_rules(t or "")[5] and s >= quality_rules.THRESHOLD]
+    assert 0 < len(left) < len(rows)
+    stay = survivors(left)
+    assert 0 < len(stay) < len(left)
+    left = [(i, t) for i, t in left if i in stay]
+    leaked = {k[0] for k in leaks(left, items)}
+    assert leaked
+    scanner = secret_scan.Scanner()
+    left = [(i, scanner.redacted(t, scanner.spans(t))) for i, t in left if i not in leaked]
+    assert any("[access]" in t and "[hex]" in t for _, t in left)
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = set()
+    for i, t in left:
+        ids = library.encode_ordinary(t)
+        want.add((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    got = {tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want
