@@ -13,6 +13,7 @@ import json
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import regex
 
 from .ragged import gather, starts_of
@@ -23,11 +24,8 @@ LONG_PIECE = 2048
 #: Cells of one padded matrix or ragged batch.
 CELLS = 1 << 21
 
-# The published pattern that splits text before the merges.  White space is
-# written as the Unicode property, as the libraries understand it.
-PIECES = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
+#: The published pattern that splits text before the merges, with white space as the Unicode property, as the libraries understand it.
+PIECES = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
 class PairTable:
