@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import new_path, partitions, remove, stored
+from .common import new_path, partitions, remove, stored, tidy
 from .common import texts as texts_of
 from .ragged import gather, starts_of, text_groups
 
@@ -40,6 +40,8 @@ from .ragged import gather, starts_of, text_groups
 BLOCK = 1 << 20
 #: Words, and bytes of them, that a Python worker remembers from task to task; beyond either the table starts anew.
 KNOWN_WORDS, KNOWN_BYTES = 1_500_000, 32_000_000
+#: New words that the library sees at once; what it returns takes some hundred bytes a token.
+AT_ONCE = 20_000
 #: Characters that are encoded at once, and so the bytes of an Arrow batch: the more, the fewer words are looked up twice.
 GROUP = 8_000_000
 #: Tasks that add up the counts of ids.
@@ -103,11 +105,13 @@ class WordCoder:
 
     def look_up_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words of letters only, which are one piece each: a token that ends a piece ends a word."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
-        last = np.flatnonzero(self.ends[ids])
-        if len(last) != len(words):
-            return self.look_up(words)
-        return ids, np.diff(last, prepend=-1)
+        parts = []
+        for i in range(0, len(words), AT_ONCE):
+            some = words[i : i + AT_ONCE]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            last = np.flatnonzero(self.ends[ids])
+            parts.append((ids, np.diff(last, prepend=-1)) if len(last) == len(some) else self.look_up(some))
+        return tuple(map(np.concatenate, zip(*parts)))
 
     def learn(self, words: pa.Array) -> None:
         """Add distinct words that are not known."""
@@ -226,7 +230,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
         if held:
             yield pack(True)
 
-    return rows.mapInArrow(run, PACKS)
+    return rows.mapInArrow(tidy(run), PACKS)
 
 
 SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("ids", pa.binary()), ("totals", pa.binary())])
@@ -245,7 +249,7 @@ def histogram(packs: DataFrame) -> rans.Table:
         yield pa.RecordBatch.from_arrays([pa.array(symbol, pa.int64()), pa.array(n[symbol], pa.int64())], ["symbol", "n"])
 
     # one row for each partition of the corpus, so a few tasks are enough
-    got = packs.where("totals is not null").select("totals").coalesce(SUMMING).mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
+    got = packs.where("totals is not null").select("totals").coalesce(SUMMING).mapInArrow(tidy(run), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
     return rans.Table(got.column("symbol").to_numpy(), got.column("n").to_numpy())
 
 
@@ -264,7 +268,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int, id_col: str = "
                 block = rans.encode(table, unsqueeze(r["ids"]))
                 yield pa.RecordBatch.from_pylist([{**{k: r[k] for k in ("part", "seq", "doc_ids", "counts")}, "start": begin[r["part"]] + r["before"], "block": block}], BLOCK_SCHEMA)
 
-    packs.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(f"{out}/blocks")
+    packs.mapInArrow(tidy(run), BLOCKS).write.option("compression", "zstd").parquet(f"{out}/blocks")
     remove(packs)
 
 
@@ -285,7 +289,7 @@ def documents_of(spark: SparkSession, out: str, columns: str, of) -> DataFrame:
                 ends = starts_of(np.array(r["counts"], np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(ends[:-1] + r["start"]), *of(raw, (4 * ends).tolist())], names)
 
-    return spark.read.parquet(f"{out}/blocks").select("doc_ids", "counts", "start", "block").mapInArrow(run, f"doc_id long, start long, {columns}")
+    return spark.read.parquet(f"{out}/blocks").select("doc_ids", "counts", "start", "block").mapInArrow(tidy(run), f"doc_id long, start long, {columns}")
 
 
 def read_ids(spark: SparkSession, out: str) -> DataFrame:
@@ -309,7 +313,7 @@ def read_range(spark: SparkSession, out: str, first: int, last: int) -> DataFram
                     a += len(ids)
 
     blocks = spark.read.parquet(f"{out}/blocks").withColumn("n", F.expr("aggregate(counts, 0L, (a, x) -> a + x)"))
-    return blocks.where((F.col("start") < last) & (F.col("start") + F.col("n") > first)).select("start", "n", "block").mapInArrow(run, "place long, id long")
+    return blocks.where((F.col("start") < last) & (F.col("start") + F.col("n") > first)).select("start", "n", "block").mapInArrow(tidy(run), "place long, id long")
 
 
 def digests(spark: SparkSession, out: str) -> DataFrame:
