@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PIECES, Vocabulary, encode_matrix
+from .common import tidy
 from .common import texts as texts_of
 from .ragged import gather, starts_of, text_groups
 
@@ -95,7 +96,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids = pa.ListArray.from_arrays(pa.array(starts_of(counts).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0)[part.start : part.stop], ids], ["doc_id", "ids"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -109,7 +110,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
             counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codec.decode(flat, counts), pa.binary())], ["doc_id", "bytes"])
 
-    return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(tidy(run), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,4 +128,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             n = np.concatenate(counts) if counts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(coded, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

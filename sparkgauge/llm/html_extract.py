@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import small_batches, stored, tidy
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -523,7 +523,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [flat(whole)]})
 
     rows = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    found = rows.mapInArrow(partial, "host string, part int, wrapper string")
+    found = rows.mapInArrow(tidy(partial), "host string, part int, wrapper string")
     found = found.groupBy("host", "part").applyInArrow(combine, "host string, wrapper string")
     return found.groupBy("host").applyInArrow(combine, "host string, wrapper string")
 
@@ -548,4 +548,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     if (known.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS:
         known = F.broadcast(known)  # else pages and wrappers meet by exchange, where Spark splits large hosts
     joined = rows.withColumn("host", host(F.col("url"))).join(known, "host", "left")
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -1,10 +1,10 @@
 """Near copies: SimHash candidates, held to the Jaccard similarity of five-word shingles.
 
 Each distinct text has a fingerprint of its distinct words.  The generalised pigeonhole search
-of ``simhash`` links fingerprints that differ in MOST bits or fewer, and what chains of such
-links connect is a cluster: outside a cluster nobody has a candidate.  Within clusters the
-verdict is that of the whole sets of shingles: two texts are linked if their similarity is
-LIKE or more.  Every cluster is gone through pair by pair, but a pair is measured only while
+of ``simhash`` links fingerprints that differ in MOST bits or fewer, among texts whose numbers
+of shingles allow the similarity, and what chains of such links connect is a cluster: outside
+a cluster nobody has a candidate.  Within clusters the verdict is that of the whole sets of
+shingles: two texts are linked if their similarity is LIKE or more.  Every cluster is gone through pair by pair, but a pair is measured only while
 nothing connects it yet, its sizes allow the similarity, and SKETCH one-bit minhashes do not
 rule it out (by four standard deviations); links of a task are a forest.
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, remove, small_batches, stored
+from .common import partitions, remove, small_batches, stored, tidy
 from .components import components, forest
 from .simhash import LOWER, links, mixed
 
@@ -114,7 +114,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
             node, size, fp = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64())], ["doc_id", "digest", "node", "size", "fp"])
 
-    rows = docs.where("doc_id is not null").mapInArrow(run, "doc_id long, digest long, node long, size int, fp long")
+    rows = docs.where("doc_id is not null").mapInArrow(tidy(run), "doc_id long, digest long, node long, size int, fp long")
     rows = rows.groupBy("node", "doc_id", "digest").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("fp").alias("fp"))
     return rows.groupBy("node").agg(F.min(F.struct("doc_id", "digest", "n")).alias("low"), F.first("size").alias("size"), F.first("fp").alias("fp"))
 
@@ -154,7 +154,7 @@ def members_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     found[node] = s.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), pa.array([*found.values()], pa.binary())], ["node", "members"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
+    return docs.where("doc_id is not null").select("text").mapInArrow(tidy(run), "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
 
 
 def block_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ def verified(docs: DataFrame, found: DataFrame) -> DataFrame:
         yield from finish()
 
     dealt = rows.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, tidy
 
 #: Labelled rows that the fit takes, those of the smallest hashed ids, and their letters: a row that would go beyond these is left out with all after it.
 SAMPLE, LETTERS = 20_000, 150_000_000
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     if sizes["n"].sum() > LETTERS:
         few = sizes["doc_id"][sizes["n"].fillna(0).cumsum() <= LETTERS].tolist()
         rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in few], "doc_id long")), "doc_id", "left_semi")
-    got = rows.mapInArrow(run, "doc_id long, quality int, ids array<int>, vals array<float>").toArrow()
+    got = rows.mapInArrow(tidy(run), "doc_id long, quality int, ids array<int>, vals array<float>").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     ids, vals = got.column("ids").combine_chunks(), got.column("vals").combine_chunks()
     return fit([(ids[int(k)].values.to_numpy(), vals[int(k)].values.to_numpy()) for k in order], got.column("quality").to_numpy()[order].astype(np.float32))
@@ -170,4 +170,4 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             score = np.concatenate(scores) if scores else np.empty(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.withColumn("held_out", held_out(rows.doc_id)).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.withColumn("held_out", held_out(rows.doc_id)).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")

@@ -27,7 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts
+from .common import small_batches, texts, tidy
 
 #: Letters of the header of a signed token; real ones have some hundred.
 HEADER = 8192
@@ -161,7 +161,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 ["doc_id", *(f"n_{n}" for n in names), "base_sha256", "spans"],
             )
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -175,4 +175,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [t and scanner.redacted(t, scanner.spans(t)) for t in (x.as_py() for x in b.column(at))]
             yield b.set_column(at, b.schema.field(at).name, pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

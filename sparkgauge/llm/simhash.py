@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, texts
+from .common import partitions, stored, texts, tidy
 from .components import components, forest
 
 BITS = 64
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, words: int = 3, distinct: bool = False, id_col
             raw = b"".join(fingerprint(t.as_py(), words, distinct) for t in b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
             both += bits.T @ bits
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([both.ravel().tolist()], pa.list_(pa.float64()))], ["n", "both"])
 
-    rows = fps.select("fp").mapInArrow(run, "n long, both array<double>")
+    rows = fps.select("fp").mapInArrow(tidy(run), "n long, both array<double>")
     sums = rows.select("n", F.posexplode("both").alias("cell", "x")).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).toArrow()
     both = np.zeros(BITS * BITS)
     both[sums.column("cell").to_numpy()] = sums.column("x").to_numpy()
@@ -298,22 +298,6 @@ def linked(key: np.ndarray, fp: np.ndarray, most: int, mask: int = 0, of: int =
     return forest(a[a != b], b[a != b])
 
 
-def sketch(sigs: DataFrame) -> np.ndarray:
-    """Rows by key, hashed into a fixed number of cells."""
-
-    def run(batches):
-        cells = np.zeros(CELLS, np.int64)
-        for b in batches:
-            cells += np.bincount(b.column(0).to_numpy(zero_copy_only=False) & (CELLS - 1), minlength=CELLS)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
-
-    got = sigs.select("key").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cells = np.zeros(CELLS, np.int64)
-    cells[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return cells
-
-
 def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """The columns of batches that are sorted by the first one, cut so that rows of a key stay together."""
     held: list[tuple[np.ndarray, ...]] = []  # a key's rows may go on in the next batch: the last key of a batch waits
@@ -337,28 +321,45 @@ def links(fps: DataFrame, most: int, classes: str | None = None) -> DataFrame:
     With a column of ``classes`` (few whole numbers), only fingerprints that share one are linked; a fingerprint may have several.
     """
     plan = make_plan(fps, most, classes)
-    fields = "key long, fp long"
     rows = fps.select("fp", (F.col(classes) if classes else F.lit(0)).cast("long").alias("class"))
 
+    def keyed(batches, levels: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            every = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            own = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            # class by class, as signatures come in another order than their fingerprints
+            for c, i in ((c, i) for c in np.unique(own).tolist() for i in range(0, int((own == c).sum()), 4096)):
+                key, f, part = signatures(every[own == c][i : i + 4096], plan)
+                masks = [*plan.masks]
+                if c:
+                    key = mixed(key, 1000 + c)
+                for cells in levels:
+                    hot = cells[(key & np.uint64(CELLS - 1)).astype(np.int64)] > SPREAD
+                    if hot.any():
+                        finer = refined(key[hot], f[hot], part[hot], masks, plan.most)
+                        key, f, part = (np.concatenate((x[~hot], y)) for x, y in zip((key, f, part), finer))
+                        masks = finer[3]
+                yield key, f
+
+    def counted(levels: list[np.ndarray]) -> np.ndarray:
+        """Rows by key, hashed into a fixed number of cells."""
+
+        def run(batches):
+            cells = np.zeros(CELLS, np.int64)
+            for key, _ in keyed(batches, levels):
+                cells += np.bincount((key & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            at = np.flatnonzero(cells)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
+
+        got = rows.mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        cells = np.zeros(CELLS, np.int64)
+        cells[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+        return cells
+
     def emit(levels: list[np.ndarray]):
         def run(batches):
-            for b in batches:
-                every = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                own = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                # class by class, as signatures come in another order than their fingerprints
-                for c, i in ((c, i) for c in np.unique(own).tolist() for i in range(0, int((own == c).sum()), 4096)):
-                    fp = every[own == c][i : i + 4096]
-                    key, f, part = signatures(fp, plan)
-                    masks = [*plan.masks]
-                    if c:
-                        key = mixed(key, 1000 + c)
-                    for cells in levels:
-                        hot = cells[(key & np.uint64(CELLS - 1)).astype(np.int64)] > SPREAD
-                        if hot.any():
-                            finer = refined(key[hot], f[hot], part[hot], masks, plan.most)
-                            key, f, part = (np.concatenate((x[~hot], y)) for x, y in zip((key, f, part), finer))
-                            masks = finer[3]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(f.view(np.int64))], ["key", "fp"])
+            for key, f in keyed(batches, levels):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(f.view(np.int64))], ["key", "fp"])
 
         return run
 
@@ -370,12 +371,12 @@ def links(fps: DataFrame, most: int, classes: str | None = None) -> DataFrame:
 
     levels: list[np.ndarray] = []
     while len(levels) < LEVELS:
-        cells = sketch(rows.mapInArrow(emit(levels), fields))
+        cells = counted(levels)
         if cells.max(initial=0) <= SPREAD:
             break
         levels.append(cells)
-    sigs = rows.mapInArrow(emit(levels), fields)
-    return sigs.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    sigs = rows.mapInArrow(tidy(emit(levels)), "key long, fp long")
+    return sigs.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key").mapInArrow(tidy(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PIECES, Vocabulary, count_merged
+from .common import tidy
 from .common import texts as texts_of
 
 #: Pieces that a task remembers; beyond it the table starts anew.
@@ -85,4 +86,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
             size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
