@@ -22,9 +22,9 @@ A pack contributes each digest once, so a passage in a third of all documents is
 row for each pack.  The number of buckets follows the bytes of the corpus, so that no task holds
 more than a bucket of bounded size.
 
-Equality is that of 128 bits: of the digests of the short and of the long context, or of two
-independent digests of a long context or a window, by random polynomials.  Over 10^12 places
-chance equates none.
+Equality is that of 96 bits at least: of the digests of the short and of the long context, or
+of two independent digests of a long context or a window, by random polynomials.  Over 10^12
+places chance equates none.
 
 Defined results: a null or empty text has no bytes and loses none; texts under 200 bytes
 are kept whole; rows that share an id are documents of their own; repeated rows are
@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import partitions, stored, tidy
 from .common import texts as texts_of
 
 LENGTH = 200
@@ -60,8 +60,8 @@ rng = np.random.default_rng(20240229)
 SYMBOLS = rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 CHECK_SYMBOLS = rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE, CHECK_BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
-#: Bits of the first digest of long contexts and windows; the second one is always whole.
-FIRST = np.uint64(2**64 - 1)
+#: Bits of the first digest of long contexts and windows, and of the second one.
+FIRST, SECOND = np.uint64(2**64 - 1), np.uint64(2**32 - 1)
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -151,7 +151,7 @@ class Suffixes:
         short = mixed(view.of(place - LEFT - low, place + CONTEXT - low), 1)
         shape = ((place - a) << 9 | (b - place)).astype(np.uint64)
         long_ = mixed(mixed(view.of(a - low, b - low), 2) ^ shape ^ short, 3) & FIRST
-        check = mixed(Digests(self.data[low:high], CHECK_SYMBOLS, CHECK_BASE).of(a - low, b - low) ^ shape, 5)
+        check = mixed(Digests(self.data[low:high], CHECK_SYMBOLS, CHECK_BASE).of(a - low, b - low) ^ shape, 5) & SECOND
         return place, short, long_, check, window[head], window[tail]
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +171,7 @@ class Suffixes:
             low, high = k * STEP, min(self.n, (k + 1) * STEP + LENGTH)
             begin = start[at] - low
             digest[at] = mixed(Digests(self.data[low:high]).of(begin, begin + LENGTH), 4) & FIRST
-            check[at] = mixed(Digests(self.data[low:high], CHECK_SYMBOLS, CHECK_BASE).of(begin, begin + LENGTH), 6)
+            check[at] = mixed(Digests(self.data[low:high], CHECK_SYMBOLS, CHECK_BASE).of(begin, begin + LENGTH), 6) & SECOND
         return start, digest, check
 
 
@@ -283,12 +283,14 @@ def bucket_bounds(key: np.ndarray, buckets: int) -> np.ndarray:
 
 def packed(kind: int, key, check, many, value) -> bytes:
     """Short contexts have a value and no check, the others a check and no value."""
-    return b"".join(x.tobytes() for x in (key, value if kind == SHORT else check, many))
+    return b"".join(x.tobytes() for x in (key, value if kind == SHORT else check.astype(np.uint32), many))
 
 
 def unpacked(kind: int, blob: bytes):
-    n = len(blob) // 17
-    key, other, many = np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint64, n, 8 * n), np.frombuffer(blob, bool, n, 16 * n)
+    wide = np.uint64 if kind == SHORT else np.uint32
+    each = 8 + wide().itemsize
+    n = len(blob) // (each + 1)
+    key, other, many = np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, wide, n, 8 * n).astype(np.uint64), np.frombuffer(blob, bool, n, each * n)
     return (key, np.zeros(n, np.uint64), many, other) if kind == SHORT else (key, other, many, np.ones(n, np.uint64))
 
 
@@ -337,7 +339,7 @@ def answered(asked: DataFrame) -> DataFrame:
             yield from batches_of(answer(list(group)), REPLY_SCHEMA)
 
     dealt = asked.repartition(partitions(asked.sparkSession), "kind", "bucket").sortWithinPartitions("kind", "bucket", "pack")
-    return dealt.select("bucket", "kind", "pack", "entries").mapInArrow(run, REPLY)
+    return dealt.select("bucket", "kind", "pack", "entries").mapInArrow(tidy(run), REPLY)
 
 
 REQUEST_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("pack", pa.int64()), ("entries", pa.binary())])
@@ -381,7 +383,7 @@ def make_packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if texts:
             yield pack()
 
-    return stored(texts_of(docs, id_col, text_col).mapInArrow(run, PACKS), "text-packs")
+    return stored(texts_of(docs, id_col, text_col).mapInArrow(tidy(run), PACKS), "text-packs")
 
 
 def opened(row: dict) -> Suffixes:
@@ -473,9 +475,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "n_bytes", "kept", "starts", "ends"])
 
-    replies = stored(answered(packs.mapInArrow(ask, REQUEST)), "replies")
-    more = stored(answered(with_replies(packs, replies).mapInArrow(ask_windows, REQUEST)), "replies")
-    return with_replies(packs, replies.unionByName(more)).mapInArrow(finish, "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
+    replies = stored(answered(packs.mapInArrow(tidy(ask), REQUEST)), "replies")
+    more = stored(answered(with_replies(packs, replies).mapInArrow(tidy(ask_windows), REQUEST)), "replies")
+    return with_replies(packs, replies.unionByName(more)).mapInArrow(tidy(finish), "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -94,7 +94,7 @@ def test_both_merge_forms_agree_with_the_heap():
     assert bpe.count_merged(v, pieces).tolist() == counts.tolist()
 
 
-def test_id_files(spark, docs, empty, tmp_path):
+def test_id_files(spark, docs, empty, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -116,6 +116,13 @@ def test_id_files(spark, docs, empty, tmp_path):
     order = [r[0] for r in sorted(got, key=lambda r: r[1])]
     assert order == sorted(order, key=lambda i: (i is not None, i or 0))
     assert rans_files.file_round_trip(empty, path).count() == 0
+    monkeypatch.setattr(rans_files, "BLOCK", 3000)
+    out = str(tmp_path / "files")
+    rans_files.write_ids(docs, path, out, 2)
+    every = [i for r in sorted(rans_files.read_ids(spark, out).collect(), key=lambda r: r.start) for i in np.frombuffer(r.ids, "<u4").tolist()]
+    for first, last in ((0, 5), (2990, 3100), (4000, 4000), (0, len(every)), (len(every) - 3, len(every) + 9)):
+        got = sorted(map(tuple, rans_files.read_range(spark, out, first, last).collect()))
+        assert got == [*enumerate(every)][first:last]
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 300, 70_000])
@@ -124,6 +131,12 @@ def test_rans_round_trip(n):
     table = rans.Table(*np.unique(ids, return_counts=True))
     block = rans.encode(table, ids)
     assert (rans.decode(table, block) == ids).all()
+    _, _, segments, lanes, steps, _ = rans.HEAD.unpack_from(block)
+    parts = [rans.decode(table, block, k) for k in range(segments)]
+    assert np.concatenate(parts).tolist() == ids.tolist()
+    for place in {0, n // 2, n - 1} - {-1} if n else ():
+        k, begin = rans.segment_of(block, place)
+        assert parts[k][place - begin] == ids[place]
     if n > 300:
         assert table.freq.sum() == 1 << rans.SCALE
         with pytest.raises(ValueError):
@@ -156,8 +169,9 @@ def edited(x, r):
     return "".join(y)
 
 
-@pytest.mark.parametrize("pack, step", [(2_000_000, 1 << 21), (4000, 250)])
-def test_suffix_dedup(spark, empty, monkeypatch, tmp_path, pack, step):
+@pytest.mark.parametrize("pack, step, bits", [(2_000_000, 1 << 21, 64), (4000, 250, 64), (4001, 251, 6)])
+def test_suffix_dedup(spark, empty, monkeypatch, tmp_path, pack, step, bits):
+    """Also where first digests of a few bits equate nearly all: the second ones tell them apart."""
     r = random.Random(pack)
     base = ["".join(r.choice("abcdef é") for _ in range(r.randint(0, 1200))) for _ in range(25)]
     texts = [edited(r.choice(base), r) if r.random() < 0.6 else "".join(r.choice("xyzw") for _ in range(99)) + r.choice(base)[: r.randint(0, 500)] for _ in range(90)]
@@ -166,11 +180,11 @@ def test_suffix_dedup(spark, empty, monkeypatch, tmp_path, pack, step):
     module = suffix_dedup
     if step < 1 << 20:  # workers import the module themselves: give them one with other sizes
         with open(suffix_dedup.__file__, encoding="utf-8") as f:
-            code = f.read().replace("PACK = 2_000_000", f"PACK = {pack}").replace("STEP = 1 << 21", f"STEP = {step}").replace("from .", "from sparkgauge.llm.")
-        (tmp_path / "small_steps.py").write_text(code)
-        spark.sparkContext.addPyFile(str(tmp_path / "small_steps.py"))
-        spec = importlib.util.spec_from_file_location("small_steps", tmp_path / "small_steps.py")
-        module = sys.modules["small_steps"] = importlib.util.module_from_spec(spec)
+            code = f.read().replace("PACK = 2_000_000", f"PACK = {pack}").replace("STEP = 1 << 21", f"STEP = {step}").replace("BUCKET = 64_000_000", "BUCKET = 900").replace("FIRST, SECOND = np.uint64(2**64 - 1)", f"FIRST, SECOND = np.uint64(2**{bits} - 1)").replace("from .", "from sparkgauge.llm.")
+        (tmp_path / f"small_steps{bits}.py").write_text(code)
+        spark.sparkContext.addPyFile(str(tmp_path / f"small_steps{bits}.py"))
+        spec = importlib.util.spec_from_file_location(f"small_steps{bits}", tmp_path / f"small_steps{bits}.py")
+        module = sys.modules[f"small_steps{bits}"] = importlib.util.module_from_spec(spec)
         spec.loader.exec_module(module)
     got = {r[0]: tuple(r[1:]) for r in module.deduplicated(df).collect()}
     assert [got[i] for i in range(len(texts))] == removed([(t or "").encode() for t in texts])
@@ -181,15 +195,16 @@ def test_levels_learn_from_all_batches():
     r = np.random.default_rng(4)
     family, seen = suffix_dedup.Levels(), collections.defaultdict(list)
     for pack in range(40):
-        key = np.unique(r.integers(0, 600, r.integers(1, 60)).astype(np.uint64))
+        both = np.unique(r.integers(0, 600, r.integers(1, 60)).astype(np.uint64))
+        key, check = both // 7, both % 7  # several checks for each key
         value = r.integers(1, 3, len(key)).astype(np.uint64)
-        family.add(key, np.zeros(len(key), bool), value, np.full(len(key), pack))
-        for k, v in zip(key.tolist(), value.tolist()):
+        family.add(key, check, np.zeros(len(key), bool), value, np.full(len(key), pack))
+        for k, v in zip(both.tolist(), value.tolist()):
             seen[k].append((pack, v))
     sizes = [len(level[0]) for level in family.levels]
     assert sizes == sorted(sizes, reverse=True) and len(sizes) < 12
     keys = np.array(sorted(seen), np.uint64)
-    many, value, first = family.look(keys)
+    many, value, first = family.look(keys // 7, keys % 7)
     assert many.tolist() == [len(seen[k]) > 1 for k in keys.tolist()]
     assert first.tolist() == [seen[k][0][0] for k in keys.tolist()]
     assert [int(v) for v in value] == [seen[k][0][1] if len({v for _, v in seen[k]}) == 1 else 0 for k in keys.tolist()]
@@ -325,7 +340,32 @@ def base_rules(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), again, len(twice), len(w) < 50 or 100 * len(twice) > 50 * len(w)
 
 
-def test_quality_rules(spark, docs, empty):
+def scores_by_hand(rows, good):
+    """Log-likelihood ratio of words and pairs by the word, counted one by one."""
+    size = quality_rules.BUCKETS
+
+    def grams(t):
+        h = [zlib.crc32(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        return [x % size for x in h], [(x * 31 + y) % size for x, y in zip(h, h[1:])]
+
+    raw, target = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for i, t in rows:
+        for k, found in enumerate(grams(t)):
+            raw[k].update(found)
+            target[k].update(found if i in good else ())
+
+    def gain(k, x):
+        more = quality_rules.SMOOTH[k]
+        return np.log((target[k][x] + more) / (raw[k][x] * target[k].total() / raw[k].total() + more))
+
+    out = []
+    for _, t in rows:
+        found = grams(t)
+        out.append(sum(gain(k, x) for k in (0, 1) for x in found[k]) / max(1, len(found[0])))
+    return out
+
+
+def test_quality_rules(spark, docs, empty, monkeypatch):
     shout = " ".join(random.Random(i).choice(WORDS).upper() + "!!!" for i in range(90))
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(5000 + i, prose(150, random.Random(i))) for i in range(30)] + [(6000, shout), (6001, "one\ntwo\none\n \n\n" * 20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -333,11 +373,15 @@ def test_quality_rules(spark, docs, empty):
     got = quality_rules.quality(df, labels).collect()
     assert collections.Counter(tuple(r)[:7] for r in got) == collections.Counter((i, *base_rules(t or "")) for i, t in rows)
     weight = quality_rules.weights(df, labels)
+    by_hand = collections.Counter((i, round(s, 9), not base_rules(t or "")[5] and s >= quality_rules.THRESHOLD) for (i, t), s in zip(rows, scores_by_hand(rows, {5000 + i for i in range(30)})))
+    assert rows_of(quality_rules.judged(df, weight).selectExpr("doc_id", "round(score, 9)", "kept")) == by_hand
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 1)
+    assert quality_rules.weights(df, labels) == weight
     kept = {r.doc_id: r.kept for r in got}
     assert all(kept[5000 + i] for i in range(30) if not base_rules(rows[-32 + i][1])[5]) and not kept[6000]
-    assert not any(r.kept for r in got if r.base_failed) and len(weight) == quality_rules.BUCKETS
+    assert not any(r.kept for r in got if r.base_failed) and len(weight) == 2 * quality_rules.BUCKETS
     assert quality_rules.quality(empty, labels).count() == 0
-    assert quality_rules.weights(df, labels.where("false")) == [0.0] * quality_rules.BUCKETS
+    assert quality_rules.weights(df, labels.where("false")) == [0.0] * (2 * quality_rules.BUCKETS)
     assert quality_rules.accepted(docs, labels).columns == docs.columns
     assert rows_of(quality_rules.accepted(df, labels).select("doc_id")) == collections.Counter((r.doc_id,) for r in got if r.kept)
 
@@ -350,10 +394,11 @@ def leaks(texts, items):
         for k, item in items:
             q = split(item)
             best = 0
-            for d in range(-len(q), len(w) + 1) if len(q) >= 8 else ():
+            for d in range(-len(q), len(w) + 1) if q else ():
                 same = [0 <= d + j < len(w) and w[d + j] == q[j] for j in range(len(q))]
                 width = min(13, len(q))
-                if any(sum(same[s : s + width]) >= -(-8 * width // 10) for s in range(len(q) - width + 1)):
+                least = width if len(q) < 8 else -(-8 * width // 10)
+                if any(sum(same[s : s + width]) >= least for s in range(len(q) - width + 1)):
                     best = max(best, sum(same))
             if best:
                 out[i, k, best, len(q)] += 1
@@ -363,12 +408,12 @@ def leaks(texts, items):
 def test_decontamination(spark, docs, empty, monkeypatch):
     r = random.Random(8)
     vocabulary = ["w%d" % i for i in range(400)]
-    items = [(k, " ".join(r.choice(vocabulary) for _ in range(n))) for k, n in enumerate((3, 8, 12, 13, 20, 40))] + [(99, None), (98, "")]
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(n))) for k, n in enumerate((3, 8, 12, 13, 20, 40))] + [(99, None), (98, ""), (97, "w5"), (3, " ".join(vocabulary[:9]))]
     texts = []
     for i in range(80):
         w = [r.choice(vocabulary) for _ in range(r.randint(0, 60))]
         if i % 2:
-            part = (r.choice(items[1:6])[1]).split()
+            part = (r.choice(items[:6])[1]).split()
             a = r.randrange(max(1, len(part) - 13))
             part = part[a : a + r.randint(8, 40)]
             for _ in range(r.randint(0, 3)):
@@ -384,6 +429,10 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 3)
     assert rows_of(decontaminate.overlaps(df, bench)) == want
     assert decontaminate.without_leaks(df, bench).count() == len(texts) - len({k[0] for k in want})
+    monkeypatch.setattr(decontaminate, "BROADCAST_IDS", 1)
+    shared = spark.createDataFrame([(1, items[4][1]), (1, "clean words"), (None, items[5][1]), (None, "x"), (None, None)], "doc_id long, text string")
+    assert {(x.doc_id, x.text) for x in decontaminate.without_leaks(shared, bench).collect()} == {(1, "clean words"), (None, "x"), (None, None)}
+    assert rows_of(decontaminate.overlaps(shared, bench)) == leaks([(r.doc_id, r.text) for r in shared.collect()], items)
     assert decontaminate.overlaps(empty, bench).count() == 0 and decontaminate.without_leaks(df, bench.where("false")).count() == len(texts)
 
 
@@ -393,12 +442,34 @@ def F_lit(x):
     return F.lit(x)
 
 
-def test_masks_find_thirteen_tokens_with_two_replaced():
+def accepted_changes(n):
+    """Every choice of replaced tokens that the check at the hits accepts in an item of n tokens."""
     from itertools import combinations
 
-    shown = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
-    for gone in combinations(range(13), 2):
-        assert any(not {at + k for k in m} & {*gone} for m in shown for at in range(13 - decontaminate.SPAN + 1))
+    most = n - (n if n < 8 else -(-8 * n // 10))
+    return [gone for k in range(most + 1) for gone in combinations(range(n), k)]
+
+
+@pytest.mark.parametrize("n", range(1, 14))
+def test_masks_survive_every_accepted_change(n):
+    shown = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.masks_of(n)]
+    for gone in accepted_changes(n):
+        assert any(not {at + k for k in m} & {*gone} for m in shown for at in range(n - m[-1]))
+
+
+@pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
+def test_every_accepted_change_is_found(spark, monkeypatch, seeds):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", seeds)
+    items = [(n, " ".join(f"t{n}x{k}" for k in range(n))) for n in range(1, 16)]
+    texts, want = [], set()
+    for n, item in items:
+        for gone in accepted_changes(min(n, 13)):
+            words = ["other" if k in gone else w for k, w in enumerate(item.split())]
+            texts.append((len(texts), "before it " * (len(texts) % 2) + " ".join(words) + " and after" * (len(texts) % 3)))
+            want.add((texts[-1][0], n))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -440,6 +511,37 @@ def test_checksums_decide():
     assert scanner.redacted(f"a {good} b", scanner.spans(f"a {good} b")) == "a [hosting] b"
 
 
+def signed(header):
+    return base64.urlsafe_b64encode(header).decode().rstrip("=") + ".e30.abc"
+
+
+def test_added_kinds():
+    scanner = secret_scan.Scanner()
+
+    def kinds(t):
+        return [(scanner.kinds[i].name, t[a:b]) for a, i, b in scanner.spans(t)]
+
+    body = "Zz9" * 10
+    n, digits = zlib.crc32(body.encode()), ""
+    while n:
+        n, d = divmod(n, 62)
+        digits = secret_scan.BASE62[d] + digits
+    package = f"npm_{body}{digits:0>6}"
+    assert kinds(f"({package}) {package}x {package[:-1]}") == [("package", package)]
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIabc+/=\n-----END RSA PRIVATE KEY-----"
+    assert kinds(f"a {key} b -----BEGIN PRIVATE KEY----- none") == [("private", key)]
+    good = signed(b'{"alg":"HS256"}')
+    assert kinds(f"{good} {signed(b'[1]')} {signed(b'{"typ":"alg"}')} eyJ.{good} eyJx.{good}") == [("signed", good)] * 3
+    assert kinds(signed(b'{"a":"alg"}')) == kinds(signed(b'{"alg":1}')) == []
+
+
+@pytest.mark.parametrize("text", [signed(b'{"a":' + b"[" * 100_000), signed(b'{"a":' + b"[" * 3000), "eyJ" * 1_700_000, "eyJ." * 1_200_000, "eyJa.eyJ" * 600_000, "-----BEGIN " * 400_000, "-----BEGIN " + "A" * 3_000_000, "token " * 800_000, "token=" * 800_000, "a" * 5_000_000, "AKIA" * 1_200_000, "ghp_" * 1_200_000])
+def test_hostile_texts_take_seconds(text):
+    scanner, began = secret_scan.Scanner(), time.process_time()
+    spans = scanner.spans(text)
+    assert all(scanner.kinds[i].name in ("hex", "access", "assign") for _, i, _ in spans) and time.process_time() - began < 15
+
+
 # ---- pages, classifier
 
 PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><style>p{{}}</style></head><body><div id="cookie-banner">We use cookies</div>
@@ -508,6 +610,26 @@ def test_classifier(spark, docs, empty):
     assert np.mean([(r.doc_id < 1000) == r.predicted for r in held if r.doc_id < 5000]) > 0.95
     assert {r.score for r in quality_classifier.scored(df, labels.where("false")).collect()} == {0.5}
     assert quality_classifier.scored(empty, labels).count() == 0
+    # every row again, pair by pair
+    machine, make = quality_classifier.train(df, labels), quality_classifier.Features()
+    score = {r.doc_id: r.score for r in got}
+    for i, t in [*good[:40], *bad[:40], (5000, None), (5001, "")]:
+        ids, x = make.of(t)
+        pairs = sum(float(machine.factors[ids[a]] @ machine.factors[ids[b]]) * float(x[a] * x[b]) for a in range(len(ids)) for b in range(a))
+        assert abs(score[i] - 1 / (1 + np.exp(-(machine.bias + float(machine.weights[ids] @ x) + pairs)))) < 1e-4
+
+
+def test_classifier_sample_is_bounded_by_letters(spark, monkeypatch):
+    rows = [(i, "good words here " * 20 if i % 2 else "BAD!! " * 40) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    taken = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda found, marks: taken.append(len(found)))
+    for letters in (150_000_000, 10_000, 0):
+        monkeypatch.setattr(quality_classifier, "LETTERS", letters)
+        quality_classifier.train(df, labels)
+    outside = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200))
+    assert taken[0] == outside and 25 <= taken[1] <= 42 and taken[2] == 0
 
 
 def test_factorisation_identity():
