@@ -60,13 +60,11 @@ def components(edges: DataFrame) -> DataFrame:
             break  # each node has one edge, to one that has none: these are stars already
         seen = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n")), "low")
-        large = stored(with_low(both, low, 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "edges")
-        remove(low)
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n"))
+        large = with_low(both, low, 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
         small = with_low(large, low, total).where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         after = stored(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
-        remove(large)
         remove(now)
         now = after
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
