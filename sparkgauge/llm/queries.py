@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import round_trip
 from .common import read_table
+from .conversation_repair import damaged, repairs
 from .decontaminate import OVERLAPS_SQL, overlaps
 from .html_extract import main_text
+from .importance import resampled, resampled_sql
+from .lang_id import predicted
 from .quality_classifier import scored
-from .quality_rules import QUALITY_SQL, quality
+from .quality_rules import QUALITY_SQL, crc_table, quality
 from .rans_files import file_round_trip
 from .secret_scan import scan
 from .simhash import NEAR_DUPLICATES_SQL, near_duplicates
@@ -58,6 +61,41 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_token_counts, op4_simhash, op5_decontamination, op6_html_extract, op7_bpe_codec, op8_secret_scan, op9_quality_classifier, op10_id_files)}
-
-ORACLES: dict[str, str] = {"op1_suffix_dedup": DEDUPLICATED_SQL, "op2_quality_rules": QUALITY_SQL, "op4_simhash": NEAR_DUPLICATES_SQL, "op5_decontamination": OVERLAPS_SQL}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repairs(damaged(read_table(spark, sf_dir, "conversations")))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_quality_rules,
+        op3_token_counts,
+        op4_simhash,
+        op5_decontamination,
+        op6_html_extract,
+        op7_bpe_codec,
+        op8_secret_scan,
+        op9_quality_classifier,
+        op10_id_files,
+        op11_importance_resampling,
+        op12_conversation_repair,
+        op13_language_id,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": DEDUPLICATED_SQL,
+    "op2_quality_rules": QUALITY_SQL,
+    "op4_simhash": NEAR_DUPLICATES_SQL,
+    "op5_decontamination": OVERLAPS_SQL,
+    "op11_importance_resampling": resampled_sql(crc_table()),
+}
