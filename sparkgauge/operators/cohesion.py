@@ -2,47 +2,18 @@
 
 The plan runs on members, accesses and calls as tables, whether they come from syntax or
 from a symbol index.  Methods link to properties, not to each other, so their number of
-links is linear; components of all types are found at once, type by type in Arrow.
+links is linear; components of all types are found at once, type by type in Arrow, or by
+rounds over all tasks where a type is larger than one.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY = ["file_path", "type_pos"]
-
-
-def union_find(edges: list[tuple[str, str]], nodes: list[str]) -> int:
-    """Number of components among the nodes."""
-    parent = {n: n for n in nodes}
-
-    def root(x: str) -> str:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        parent[root(a)] = root(b)
-    return len({root(n) for n in nodes})
+from .components import count_components
 
-
-def count_components(vertices: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """(key, components): among the ``name`` of vertices, linked by edges ``src``, ``dst``; both ends of an edge may be helpers that no vertex bears."""
-    kinds = {f.name: f.dataType for f in vertices.schema}
-    rows = vertices.select(*key, F.col("name").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select(*key, "src", "dst"))
-
-    def run(table: pa.Table) -> pa.Table:
-        src, dst = table.column("src").to_pylist(), table.column("dst").to_pylist()
-        nodes = [s for s, d in zip(src, dst) if d is None]
-        count = union_find([(s, d) for s, d in zip(src, dst) if d is not None], nodes)
-        return pa.table({**{k: table.column(k).slice(0, 1) for k in key}, "components": pa.array([count], pa.int64())})
-
-    schema = ", ".join(f"{k} {kinds[k].simpleString()}" for k in key)
-    return rows.groupBy(*key).applyInArrow(run, f"{schema}, components long")
+KEY = ["file_path", "type_pos"]
 
 
 def lcom4(methods: DataFrame, properties: DataFrame, accesses: DataFrame, calls: DataFrame, key: list[str]) -> DataFrame:

@@ -2,8 +2,9 @@
 
 The test tables hold no source code, so the relational operators run on stand-ins for their
 inputs: a customer is a file and their orders its functions, a part's brand is a type name,
-and so on.  Parser, metrics and cohesion run on the sources of ``rule_cases`` and
-``samples``, whose oracles are the values that the rules give by hand.
+and so on; those of ``table_queries`` make syntax, symbols and source texts of them.  The
+``CASES`` run on the sources of ``rule_cases`` and ``samples``, with the values that the rules
+give by hand; they are tests, and no queries of the driver.
 """
 
 from __future__ import annotations
@@ -22,16 +23,14 @@ from .plans import service
 from .plans.analysis import Analysis, analyze, analyze_code, analyze_sources, batch_analyze, rules_for
 from .plans.reports import described, read_results, report_rows
 from .sources.files import Rules, chosen, collect_files, env_threshold, excluded, strings
+from .table_queries import WITH_ORACLE as ON_TABLES
+from .table_queries import table
 
 RULES = [("Brand#1", None, 22), (None, "3", 8), ("Brand#2", "5", 31), (None, None, 2), ("Brand", "9", 44)]
 DEFAULT_THRESHOLD = 18
 RULES_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in RULES) + ") AS rules(prefix, suffix, threshold)"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def order_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as functions of a file: priority as cyclomatic, days of the month as cognitive complexity."""
     return table(spark, sf_dir, "orders").select(
@@ -633,6 +632,10 @@ FROM events GROUP BY user_id""",
     filtered_results: FILTERED_SQL,
     exit_status: EXIT_SQL,
     results_read_again: AGAIN_SQL,
+}
+
+#: What runs on sources and requests of its own, not on the given tables: cases for tests, with the rows that the rules give by hand.
+CASES = {
     function_complexity: values(rule_cases.FUNCTIONS, FUNCTION_COLUMNS),
     metric_rules: values([(f"case {i}", *c[1:]) for i, c in enumerate(rule_cases.METRICS)], "file_path, cyclomatic, cognitive"),
     folded_rules: values([(f"case {i}", *c[1:]) for i, c in enumerate(rule_cases.FOLDED)], "file_path, cyclomatic, cognitive"),
@@ -650,5 +653,7 @@ FROM events GROUP BY user_id""",
     environment_thresholds: values([(None, 10, 10), (None, 4, 4), ("7", 10, 7), ("7", 4, 7), ("many", 10, 10), ("many", 4, 4)], "value, otherwise, threshold"),
 }
 
+WITH_ORACLE |= ON_TABLES
+
 QUERIES = {f.__name__: f for f in WITH_ORACLE}
 ORACLES = {f.__name__: sql for f, sql in WITH_ORACLE.items()}

@@ -8,7 +8,7 @@ from test_parser import metrics
 
 import sparkgauge as sg
 from sparkgauge import rule_cases, samples
-from sparkgauge.operators.cohesion import count_components, union_find
+from sparkgauge.operators.components import count_components, union_find
 from sparkgauge.plans.analysis import analyze_sources
 from sparkgauge.sources import files
 from sparkgauge.sources.files import strings

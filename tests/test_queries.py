@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from sparkgauge.queries import ORACLES, QUERIES
+from sparkgauge.queries import CASES, ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,11 +26,15 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+CASE_QUERIES = {f.__name__: (f, sql) for f, sql in CASES.items()}
+
+
+@pytest.mark.parametrize("name", sorted({**ORACLES, **CASE_QUERIES}))
 def test_oracle(spark, duck, name):
-    got = QUERIES[name](spark, SF)
+    query, oracle = CASE_QUERIES[name] if name in CASE_QUERIES else (QUERIES[name], ORACLES[name])
+    got = query(spark, SF)
     columns = sorted(got.columns)
-    want = duck.sql(ORACLES[name])
+    want = duck.sql(oracle)
     assert sorted(want.columns) == columns
     assert plain(got.select(columns).collect()) == plain(want.select(", ".join(columns)).fetchall())
 
