@@ -44,7 +44,7 @@ UNIT = 1 << 16
 KNOWN_WORDS = 200_000
 #: Cells of word, place and length that are worked on at once.
 CELLS = 1 << 21
-#: Words of a text that are held at once.
+#: Words of a text that are held at once, and characters of one whose words are found at once.
 SLICE = 1 << 17
 UNKNOWN = "und"
 
@@ -53,6 +53,9 @@ RUNS = re.compile(r"[^\W\d_]+")
 
 def words_of(text: str) -> Iterator[list[str]]:
     """The words of a text in small letters, some at a time."""
+    if len(text) <= SLICE:
+        yield RUNS.findall(text.lower())
+        return
     found = RUNS.finditer(text.lower())
     while words := [m[0] for m in islice(found, SLICE)]:
         yield words
@@ -65,13 +68,29 @@ def lettered(word: str) -> bool:
 class Pieces:
     """The pieces of a vocabulary, and all ways to find them in words."""
 
+    #: Of the polynomial that finds beginnings of pieces; what it finds is compared.
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if re.fullmatch("<0x[0-9A-F]{2}>", p)}
         self.ids = {p: i for i, p in enumerate(pieces) if not re.fullmatch("<.*>", p)}
         self.longest = max(map(len, self.ids), default=1)
-        #: Every beginning of a piece, with the piece's number or -1.
-        self.begins = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
+        begins: list[dict[str, int]] = [{} for _ in range(self.longest + 1)]  # of pieces, by length, with the piece's number or -1
+        for piece in self.ids:
+            for k in range(1, len(piece)):
+                begins[k].setdefault(piece[:k], -1)
+            begins[len(piece)][piece] = self.ids[piece]
+        self.begins = [self.sorted(k, found) for k, found in enumerate(begins)]
+
+    def sorted(self, k: int, found: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes in order, with numbers and characters."""
+        codes = np.array([*found], f"U{max(1, k)}").view(np.uint32).reshape(len(found), max(1, k))
+        hashes = np.zeros(len(found), np.uint64)
+        for i in range(k):
+            hashes = hashes * self.BASE + codes[:, i]
+        order = np.argsort(hashes)
+        return hashes[order], np.array([*found.values()], np.int32)[order], codes[order]
 
     @staticmethod
     @lru_cache(2)
@@ -84,28 +103,28 @@ class Pieces:
     def cells(self, words: list[str]) -> tuple[np.ndarray, list[list[int]]]:
         """For words of one length: the number of the piece that begins at each place with each length, or -1; numbers from ``size`` on are characters that are cut into bytes, listed with them."""
         n = len(words[0])
-        out = np.full((len(words), n, min(n, self.longest)), -1, np.int32)
-        at, value, spelled, known = [], [], [], {}
-        width, begins = out.shape[2], self.begins
-        for k, word in enumerate(words):
-            for i in range(n):
-                row = (k * n + i) * width
-                if word[i] not in self.ids:
-                    char = word[i]
-                    if char not in known:
-                        known[char] = self.size + len(spelled)
-                        spelled.append([self.bytes[b] for b in char.encode() if b in self.bytes])
-                    at.append(row)
-                    value.append(known[char])
-                for j in range(i + 1, min(n, i + width) + 1):
-                    piece = begins.get(word[i:j])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        at.append(row + j - i - 1)
-                        value.append(piece)
-        out.ravel()[at] = value
-        return out, spelled
+        codes = np.array(words, f"U{n}").view(np.uint32).reshape(len(words), n)
+        flat, width = codes.ravel(), min(n, self.longest)
+        out = np.full((len(words) * n, width), -1, np.int32)
+        at, place = np.arange(len(flat)), np.tile(np.arange(n), len(words))  # where pieces may begin that are longer than those found
+        h = np.zeros(len(flat), np.uint64)
+        for k in range(1, width + 1):
+            room = place + k <= n
+            at, place, h = at[room], place[room], h[room]
+            h = h * self.BASE + flat[at + k - 1]
+            hashes, numbers, begins = self.begins[k]
+            if not len(hashes) or not len(at):
+                break
+            row = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            same = hashes[row] == h
+            at, place, h, row = at[same], place[same], h[same], row[same]
+            same = (flat[at[:, None] + np.arange(k)] == begins[row]).all(1)
+            at, place, h, row = at[same], place[same], h[same], row[same]
+            out[at, k - 1] = numbers[row]
+        unknown = np.flatnonzero(out[:, 0] < 0)
+        chars, which = np.unique(flat[unknown], return_inverse=True)
+        out[unknown, 0] = self.size + which
+        return out.reshape(len(words), n, width), [[self.bytes[b] for b in chr(c).encode() if b in self.bytes] for c in chars]
 
     def batches(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray, list[list[int]]]]:
         """(places in ``words``, cells, spelled) of words of one length each; the begin of a word is marked."""
