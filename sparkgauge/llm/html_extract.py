@@ -6,8 +6,8 @@ nearer of the two places at which they match again decides what was skipped, and
 an optional group, or one more round of a repeated one.  The outcome is an expression of tags,
 text slots, ``(...)?`` and ``(...)+`` without unions, in which each node also counts its
 pages, its characters and whether its text ever changed.  Each task infers partial wrappers,
-and those of a host are aligned in two steps, so a host with very many pages is spread like
-any other.  Nodes that are template (by name, by links, or by text that never changes) are
+and those of a host are aligned in levels, so that no task has more than some of them at once,
+however many partitions a host is in.  Nodes that are template (by name, by links, or by text that never changes) are
 left out; the main region is the node that holds most of the remaining text.
 
 Work is linear in a page however deep it nests and however broken its markup is: a tag that
@@ -53,8 +53,13 @@ FURNITURE = frozenset(
 OPENING = re.compile(r"</?[a-zA-Z][^\s/>]*|<!--|<[!?]")
 QUOTE_OR_END = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-#: Beside these, a header is that of the article.
+#: Words that only place or size what the others name, and the beginnings of names of states.
+PLACING = frozenset("area bar block box bottom btn button buttons clearfix col column container first fixed flex fluid global grid group holder inner item items large last left lg link links list main md mini nofollow outer page panel posts primary region right row secondary section side site sm slot small space sub top unit wide wrap wrapper xl xs zone".split())
+STATES = frozenset("has is js no not with without".split())
+#: Words that name the text itself; beside these, a header is that of the article.
 OF_THE_ARTICLE = frozenset("article content entry post story".split())
+TEXT_WORDS = OF_THE_ARTICLE | frozenset("body text".split())
+HEADERS = frozenset("header masthead topbar".split())
 #: Distinct pages on which a text outside article and main must be the same to be taken for the template's.
 SAME_ON = 5
 #: The same for articles, of which a page's own may bear the other words.
@@ -79,27 +84,59 @@ class Node:
         self.label, self.kids = label, []
 
 
+def words_in(name: str) -> list[str]:
+    """The words of a name, without digits, as they number things, and without what varies it."""
+    return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name.partition("--")[0]).lower()) if w]
+
+
+def furniture_by(names: list[str]) -> str:
+    """What the names in one attribute say of an element: ``~`` furniture, ``~header`` a header, ``text`` the text itself, else nothing.
+
+    The first that says anything decides, as what follows it varies it.  A name is that of
+    furniture if each of its words names furniture, text or a place; another word makes it
+    that of something else, whatever the rest.
+    """
+    for name in names:
+        words = words_in(name)
+        telling = [w for w in words if w not in PLACING]
+        if not telling or words[0] in STATES:
+            continue
+        furniture = [w for w in telling if w in FURNITURE]
+        if not furniture or not all(w in FURNITURE or w in TEXT_WORDS for w in telling):
+            return "text" if not TEXT_WORDS.isdisjoint(telling) else "other"
+        if HEADERS.issuperset(furniture):
+            return "text" if len(telling) > len(furniture) else "~header"
+        return "~"
+    return ""
+
+
 @lru_cache(20_000)
 def label_of(tag: str, attributes: str) -> str:
-    """Tag and naming attributes; digits are dropped as they number things."""
-    names = {w for m in ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()) if w}
-    return ".".join([tag, *sorted(names)])
+    """Tag, the words of the naming attributes in order, and what these say."""
+    found = {m[1].lower(): (m[2] or m[3] or m[4] or "").split() for m in reversed([*ATTRIBUTE.finditer(attributes)])}
+    said = {a: furniture_by(found.get(a, [])) for a in ("role", "class", "id")}
+    says = next((said[a] for a in ("role", "class", "id") if said[a].startswith("~")), "")
+    if "text" in said.values():
+        says = ""
+    return ".".join([tag, *sorted({w for names in found.values() for name in names for w in words_in(name)}), *([says] if says else [])])
 
 
 @lru_cache(20_000)
 def left_out(label: str, in_article: bool = False) -> bool:
     """Whether a label names page furniture; within an article a header holds its title."""
-    tag, _, rest = label.partition(".")
-    names = {*rest.split(".")}
-    if tag == "header" and in_article or not OF_THE_ARTICLE.isdisjoint(names):
-        names, tag = names - {"header"}, "div" if tag == "header" else tag
-    furniture = {"html": (), "body": (), "main": (), "article": NOT_THE_ARTICLE}.get(tag, FURNITURE)
-    return tag in LEFT_OUT_TAGS or any(n in furniture for n in names)
+    tag, *names = label.split(".")
+    if tag in ("html", "body", "main"):
+        return False
+    says = names[-1] if names and names[-1].startswith("~") else ""
+    if tag == "article":
+        return bool(says) and not NOT_THE_ARTICLE.isdisjoint(names)
+    header = tag == "header" or says == "~header"
+    return tag in LEFT_OUT_TAGS - {"header"} or says == "~" or header and not in_article and OF_THE_ARTICLE.isdisjoint(names)
 
 
 @contextmanager
 def deep() -> Iterator[None]:
-    """Recursion as deep as pages nest; Python's frames are not on the C stack."""
+    """Recursion as deep as pages nest; from Python 3.11 on its frames are not on the C stack."""
     known = sys.getrecursionlimit()
     sys.setrecursionlimit(50_000_000)
     try:
@@ -204,6 +241,16 @@ LABEL, FLAGS, PAGES, CHARS, LINKS, TEXT, KIDS = range(7)
 OPTIONAL, REPEATED = 1, 2
 
 
+def with_text(node: Node) -> bool:
+    """Whether the element has text of its own."""
+    return any(isinstance(k, str) and not k.isspace() for k in node.kids)
+
+
+def flows(label: str, in_text: bool) -> bool:
+    """Whether an element is part of its block's text: inline ones are, unless one stands apart from text and is named as furniture."""
+    return label.partition(".")[0] in INLINE and (in_text or not left_out(label))
+
+
 def digest(node: Node) -> int:
     """A checksum of the labels and texts of a page's tree."""
     out, left = 0, [node]
@@ -221,19 +268,20 @@ def fold(node: Node, in_link: bool = False, page: int | None = None) -> list:
     page = digest(node) if page is None else page
     own, link, kids = [], 0, []
 
-    def read(n: Node, linked: bool) -> None:
+    def read(n: Node, linked: bool, in_text: bool) -> None:
         nonlocal link
+        in_text = in_text or with_text(n)
         for k in n.kids:
             if isinstance(k, str):
                 words = " ".join(html.unescape(k).split())
                 own.append(words)
                 link += len(words) * linked
-            elif (tag := k.label.partition(".")[0]) in INLINE and not left_out(k.label):
-                read(k, linked or tag == "a")
+            elif flows(k.label, in_text):
+                read(k, linked or k.label.partition(".")[0] == "a", in_text)
             else:
                 kids.append(fold(k, linked, page))
 
-    read(node, in_link)
+    read(node, in_link, False)
     text = " ".join(w for w in own if w)
     return [node.label, 0, [page], len(text), link, zlib.crc32(text.encode("utf-8", "replace")) if text else 0, repeated(kids)]
 
@@ -366,17 +414,33 @@ def mark_regions(wrapper: list) -> list:
 
     add_up(wrapper)
 
-    def template(node: list, in_article: bool, in_text: bool) -> bool:
-        if in_text or left_out(node[LABEL], in_article):
-            return left_out(node[LABEL], in_article)
+    titled: set[int] = set()
+
+    def find_titles(node: list) -> bool:
+        found = node[LABEL].partition(".")[0] in ("h1", "main")
+        for k in node[KIDS]:
+            found |= find_titles(k)
+        if found:
+            titled.add(id(node))
+        return found
+
+    find_titles(wrapper)
+
+    def named(node: list, in_article: bool) -> bool:
+        """Left out by its label; a name alone does not outweigh the page's title or its main element inside."""
+        return left_out(node[LABEL], in_article) and not (id(node) in titled and node[LABEL].endswith(".~") and node[LABEL].partition(".")[0] not in LEFT_OUT_TAGS)
+
+    def template(node: list, in_article: bool, in_text: bool, in_region: bool = False) -> bool:
+        if in_text or named(node, in_article):
+            return named(node, in_article)
         all_, links = totals[id(node)]
         fixed = node[TEXT] not in (0, -1) and not node[KIDS] and len(node[PAGES]) >= SAME_ON and not re.match(r"h[1-6]\b", node[LABEL])
-        return fixed or all_ > 0 and links > 0.8 * all_ and not node[LABEL].startswith(("article", "main", "body", "html", "#root", "p"))
+        return fixed or not in_region and all_ > 0 and links > 0.8 * all_ and not node[LABEL].startswith(("article", "main", "body", "html", "#root", "p"))
 
     def mass(node: list, strict: bool, in_article: bool = False, in_text: bool = False) -> int:
         tag = node[LABEL].partition(".")[0]
         in_article, in_text = in_article or tag == "article", in_text or tag in ("article", "main")
-        if template(node, in_article, in_text) if strict else left_out(node[LABEL], in_article):
+        if template(node, in_article, in_text) if strict else named(node, in_article):
             sums[id(node)] = 0
         else:
             found = node[CHARS] - node[LINKS] // 2
@@ -390,10 +454,14 @@ def mark_regions(wrapper: list) -> list:
         mass(wrapper, False)
     region = find_region(wrapper, sums)
 
+    begun = False  # the region's text; links before it are a menu, behind it they are the text's
+
     def marked(node: list, inside: bool, in_article: bool, in_text: bool) -> list:
+        nonlocal begun
         tag = node[LABEL].partition(".")[0]
         inside, in_article, in_text = inside or node is region, in_article or tag == "article", in_text or tag in ("article", "main")
-        out = not sums.get(id(node)) and (template(node, in_article, in_text) if strict else left_out(node[LABEL], in_article))
+        out = not sums.get(id(node)) and (template(node, in_article, in_text, inside and begun) if strict else named(node, in_article))
+        begun = begun or inside and not out and node[CHARS] > node[LINKS] and not re.match(r"h[1-6]\b", node[LABEL])
         return [node[LABEL], 0 if out else 2 if inside else 1, [] if out else [marked(k, inside, in_article, in_text) for k in node[KIDS]]]
 
     return marked(wrapper, False, False, False)
@@ -426,15 +494,16 @@ def blocks(node: Node, regions: list | None, out: list[list[str]], keep: int) ->
     """Text of the region, a list of parts for each block, in page order."""
     names: list[Node] = []
 
-    def listed(n: Node) -> None:
+    def listed(n: Node, in_text: bool) -> None:
+        in_text = in_text or with_text(n)
         for k in n.kids:
             if not isinstance(k, str):
-                if k.label.partition(".")[0] in INLINE and not left_out(k.label):
-                    listed(k)
+                if flows(k.label, in_text):
+                    listed(k, in_text)
                 else:
                     names.append(k)
 
-    listed(node)
+    listed(node, False)
     place = matches(names, regions[2]) if regions else [None] * len(names)
     found = dict(zip(map(id, names), place))
     out.append([])
@@ -495,7 +564,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
-        size, part = 0, TaskContext.get().partitionId() // TOGETHER
+        size, part = 0, TaskContext.get().partitionId()
 
         def hand_on() -> pa.RecordBatch:
             columns = {"host": [*found], "part": [part] * len(found), "wrapper": [flat(w) for w in found.values()]}
@@ -520,12 +589,16 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             whole = unflat(rows[0])
             for w in rows[1:]:
                 whole = merged(whole, unflat(w))
-            return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [flat(whole)]})
+            return pa.table({"host": [table.column("host")[0].as_py()], "part": pa.array([table.column("part")[0].as_py()], pa.int32()), "wrapper": [flat(whole)]})
 
     rows = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     found = rows.mapInArrow(tidy(partial), "host string, part int, wrapper string")
-    found = found.groupBy("host", "part").applyInArrow(combine, "host string, wrapper string")
-    return found.groupBy("host").applyInArrow(combine, "host string, wrapper string")
+    left = rows.rdd.getNumPartitions()
+    while left:  # a level takes the wrappers of TOGETHER groups at most
+        left = 0 if left <= TOGETHER else -(-left // TOGETHER)
+        found = found.withColumn("part", F.floor(F.col("part") / TOGETHER).cast("int") if left else F.lit(0))
+        found = found.groupBy("host", "part").applyInArrow(combine, "host string, part int, wrapper string")
+    return found.select("host", "wrapper")
 
 
 @lru_cache(500)
@@ -535,17 +608,20 @@ def regions_of(wrapper: str | None) -> list:
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
+    spark = pages.sparkSession
+    small_batches(spark)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host(F.col(url_col)).alias("host"))
+    known = stored(wrappers(pages, url_col, html_col), "wrappers")
+    few = (known.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS
+    # few go to the executors once, by host; else pages and wrappers meet by exchange, where Spark splits large hosts
+    shared = spark.sparkContext.broadcast({r.host: r.wrapper for r in known.collect()} if few else {})
+    rows = rows.withColumn("wrapper", F.lit(None).cast("string")) if few else rows.join(known, "host", "left")
 
     def run(batches):
         for b in batches:
             with deep():
-                texts = [extract(page.as_py(), regions_of(w)) for page, w in zip(b.column(2), b.column(3).to_pylist())]
+                wrapped = (w or shared.value.get(h) for h, w in zip(b.column(3).to_pylist(), b.column(4).to_pylist()))
+                texts = [extract(page.as_py(), regions_of(w)) for page, w in zip(b.column(2), wrapped)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    small_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
-    known = stored(wrappers(pages, url_col, html_col), "wrappers")
-    if (known.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS:
-        known = F.broadcast(known)  # else pages and wrappers meet by exchange, where Spark splits large hosts
-    joined = rows.withColumn("host", host(F.col("url"))).join(known, "host", "left")
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "host", "wrapper").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
