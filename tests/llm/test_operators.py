@@ -515,6 +515,12 @@ def signed(header):
     return base64.urlsafe_b64encode(header).decode().rstrip("=") + ".e30.abc"
 
 
+@pytest.mark.parametrize("letters", [100, 9_000, 300_000])
+def test_signed_token_with_a_header_of_any_length(letters):
+    token, scanner = signed(b'{"alg":"HS256","kid":"' + b"k" * letters + b'"}'), secret_scan.Scanner()
+    assert [(scanner.kinds[i].name, a, b) for a, i, b in scanner.spans(f"see {token} here")] == [("signed", 4, 4 + len(token))]
+
+
 def test_added_kinds():
     scanner = secret_scan.Scanner()
 
