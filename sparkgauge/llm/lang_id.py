@@ -41,7 +41,7 @@ SMOOTH = 0.05
 #: Expected pieces are counted in parts of 1 / UNIT.
 UNIT = 1 << 16
 #: Words that a task remembers; beyond it the table starts anew.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 600_000
 #: Cells of word, place and length that are worked on at once.
 CELLS = 1 << 21
 #: Words of a text that are held at once, and characters of one whose words are found at once.
