@@ -60,8 +60,3 @@ def any_exceeded(functions: DataFrame) -> DataFrame:
     """One row: whether any function exceeds its threshold."""
     hit = exceeds(F.col("cyclomatic"), F.col("cognitive"), F.col("threshold"))
     return functions.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("exceeded"))
-
-
-def kept_cohesions(cohesions: DataFrame, files: DataFrame, keep_all: bool) -> DataFrame:
-    """Low-cohesion types; with ``keep_all`` all types of the files that keep a function."""
-    return cohesions.join(files.select("file_path").distinct(), "file_path", "left_semi") if keep_all else cohesions.where("lcom4 >= 3")

@@ -56,20 +56,19 @@ class Analysis:
 
     def exceeded(self, rules: Rules | None = None, threshold: int | None = None) -> bool:
         """Whether any function reaches its threshold; what an exit status of 1 stands for."""
-        if rules is None and threshold is None:
+        if not rules and threshold is None:
             return False
         return thresholds.any_exceeded(self.with_thresholds(rules, threshold)).first().exceeded
 
     def filtered(self, rules: Rules | None = None, threshold: int | None = None, keep_all_cohesions: bool = False) -> Analysis:
         """Only exceeding functions, types of low cohesion (or all types of files that keep a function) and the files that still have either; summaries follow from what is left."""
-        if rules is None and threshold is None:
+        if not rules and threshold is None:
             return self
         functions = thresholds.exceeding(self.with_thresholds(rules, threshold)).drop("threshold")
         left, cohesions = functions.select("file_path"), self.cohesions
         if cohesions is not None:
-            low = cohesions.where("lcom4 >= 3")
-            cohesions = cohesions if keep_all_cohesions else low
-            left = left.unionByName((cohesions if keep_all_cohesions else low).select("file_path"))
+            cohesions = cohesions if keep_all_cohesions else cohesions.where("lcom4 >= 3")
+            left = left.unionByName(cohesions.select("file_path"))
         kept = self.files.join(left.distinct(), "file_path", "left_semi")
         return replace(self, files=kept, functions=functions, cohesions=cohesions)
 

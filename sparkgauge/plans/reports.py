@@ -34,37 +34,62 @@ def text_summary(metrics: str) -> Column:
     return F.concat(F.concat_ws(", ", *parts), F.lit("\n"))
 
 
-def text_report(result: Analysis, metrics: str = "both") -> DataFrame:
-    """(file_path, report) of every file with functions or types."""
-    if metrics not in METRICS:
-        raise SourceError(f"metrics are one of {', '.join(METRICS)}")
+def text_frame(metrics: str) -> tuple[str, str]:
+    """The heading of a file's table of functions, and the line below and above its rows."""
     columns = METRICS[metrics]
     head = "| " + " | ".join([f"{'Function/Method':<20}", *(TITLES[m] for m in columns)]) + " |\n"
-    rule = "+" + "-" * 22 + "+" + ("-" * 12 + "+") * len(columns) + "\n"
+    return head, "+" + "-" * 22 + "+" + ("-" * 12 + "+") * len(columns) + "\n"
+
+
+WIDTHS = (("name", 25), ("type", 6), ("lcom4", 5), ("method_count", 7), ("property_count", 10), ("cohesion_level", 10))
+CLASS_TITLES = ("Class/Struct", "Type", "LCOM4", "Methods", "Properties", "Cohesion")
+CLASS_HEAD = "Class Cohesion (LCOM4):\n| " + " | ".join(f"{t:<{w}}" for t, (_, w) in zip(CLASS_TITLES, WIDTHS)) + " |\n"
+CLASS_LINE = "+" + "".join("-" * (w + 2) + "+" for _, w in WIDTHS) + "\n"
+
+
+def class_row() -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *(padded(F.col(c), w) for c, w in WIDTHS)), F.lit(" |\n"))
+
+
+def class_total() -> Column:
+    return F.concat(F.lit("Total: "), F.coalesce("total_classes", F.lit(0)).cast("string"), F.lit(" classes, Average LCOM4: "), fixed(F.coalesce("avg_lcom4", F.lit(0.0)), 2), F.lit(", Low cohesion: "), F.coalesce("low_classes", F.lit(0)).cast("string"), F.lit("\n"))
+
+
+def metrics_named(metrics: str) -> str:
+    if metrics not in METRICS:
+        raise SourceError(f"metrics are one of {', '.join(METRICS)}")
+    return metrics
+
+
+def text_report(result: Analysis, metrics: str = "both") -> DataFrame:
+    """(file_path, report) of every file with functions or types."""
+    head, rule = text_frame(metrics_named(metrics))
     rows = joined(result.functions, text_row(metrics), "rows")
     out = result.files.join(rows, "file_path", "left").join(result.summary, "file_path")
     functions = F.when(F.col("rows").isNotNull(), F.concat(F.lit(head + rule), F.col("rows"), F.lit(rule), text_summary(metrics)))
     sections = [F.concat(F.lit("File: "), F.col("file_path")), functions]
     present = F.col("rows").isNotNull()
     if result.cohesions is not None:
-        widths = (("name", 25), ("type", 6), ("lcom4", 5), ("method_count", 7), ("property_count", 10), ("cohesion_level", 10))
-        titles = ("Class/Struct", "Type", "LCOM4", "Methods", "Properties", "Cohesion")
-        row = F.concat(F.lit("| "), F.concat_ws(" | ", *(padded(F.col(c), w) for c, w in widths)), F.lit(" |\n"))
-        top = "Class Cohesion (LCOM4):\n| " + " | ".join(f"{t:<{w}}" for t, (_, w) in zip(titles, widths)) + " |\n"
-        line = "+" + "".join("-" * (w + 2) + "+" for _, w in widths) + "\n"
-        total = F.concat(F.lit("Total: "), F.coalesce("total_classes", F.lit(0)).cast("string"), F.lit(" classes, Average LCOM4: "), fixed(F.coalesce("avg_lcom4", F.lit(0.0)), 2), F.lit(", Low cohesion: "), F.coalesce("low_classes", F.lit(0)).cast("string"), F.lit("\n"))
-        out = out.join(joined(result.cohesions, row, "classes"), "file_path", "left").join(result.cohesion_summary, "file_path", "left")
-        sections.append(F.when(F.col("has_types"), F.concat(F.lit(top + line), F.coalesce("classes", F.lit("")), F.lit(line), total)))
+        out = out.join(joined(result.cohesions, class_row(), "classes"), "file_path", "left").join(result.cohesion_summary, "file_path", "left")
+        sections.append(F.when(F.col("has_types"), F.concat(F.lit(CLASS_HEAD + CLASS_LINE), F.coalesce("classes", F.lit("")), F.lit(CLASS_LINE), class_total())))
         present = present | F.col("has_types")
     return out.where(present).select("file_path", F.concat_ws("\n", *sections).alias("report"))
 
 
-def json_report(result: Analysis) -> DataFrame:
-    """(file_path, report): each file as an object; what is null is left out."""
-    place = F.struct("line", "column").alias("location")
-    function = F.struct(F.col("pos"), F.struct("name", "signature", F.col("cyclomatic").alias("cyclomaticComplexity"), F.col("cognitive").alias("cognitiveComplexity"), place, F.col("enclosing_type").alias("enclosingTypeName")).alias("value"))
-    listed = result.functions.groupBy("file_path").agg(F.transform(F.array_sort(F.collect_list(function)), lambda x: x["value"]).alias("functions"))
-    summary = F.struct(
+def place() -> Column:
+    return F.struct("line", "column").alias("location")
+
+
+def function_value() -> Column:
+    return F.struct("name", "signature", F.col("cyclomatic").alias("cyclomaticComplexity"), F.col("cognitive").alias("cognitiveComplexity"), place(), F.col("enclosing_type").alias("enclosingTypeName"))
+
+
+def type_value() -> Column:
+    return F.struct("name", "type", "lcom4", F.col("method_count").alias("methodCount"), F.col("property_count").alias("propertyCount"), place())
+
+
+def summary_value() -> Column:
+    return F.struct(
         F.col("total_functions").alias("totalFunctions"),
         F.col("avg_cyclomatic").alias("averageCyclomaticComplexity"),
         F.col("avg_cognitive").alias("averageCognitiveComplexity"),
@@ -73,14 +98,25 @@ def json_report(result: Analysis) -> DataFrame:
         F.col("total_cyclomatic").alias("totalCyclomaticComplexity"),
         F.col("total_cognitive").alias("totalCognitiveComplexity"),
     )
-    out = result.files.join(listed, "file_path", "left").join(result.summary, "file_path")
-    fields = [F.col("file_path").alias("filePath"), F.coalesce("functions", F.array()).alias("functions"), summary.alias("summary")]
+
+
+def cohesion_value() -> Column:
+    return F.struct(F.coalesce("total_classes", F.lit(0)).alias("totalClasses"), F.coalesce("avg_lcom4", F.lit(0.0)).alias("averageLCOM4"), F.coalesce("max_lcom4", F.lit(0)).alias("maxLCOM4"), F.coalesce("low_classes", F.lit(0)).alias("classesWithLowCohesion"))
+
+
+def listed(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """(file_path, name): the values of a file in source order."""
+    item = F.struct("pos", value.alias("value"))
+    return rows.groupBy("file_path").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["value"]).alias(name))
+
+
+def json_report(result: Analysis) -> DataFrame:
+    """(file_path, report): each file as an object; what is null is left out."""
+    out = result.files.join(listed(result.functions, function_value(), "functions"), "file_path", "left").join(result.summary, "file_path")
+    fields = [F.col("file_path").alias("filePath"), F.coalesce("functions", F.array()).alias("functions"), summary_value().alias("summary")]
     if result.cohesions is not None:
-        kind = F.struct(F.col("pos"), F.struct("name", "type", "lcom4", F.col("method_count").alias("methodCount"), F.col("property_count").alias("propertyCount"), place).alias("value"))
-        types = result.cohesions.groupBy("file_path").agg(F.transform(F.array_sort(F.collect_list(kind)), lambda x: x["value"]).alias("types"))
-        out = out.join(types, "file_path", "left").join(result.cohesion_summary, "file_path", "left")
-        total = F.struct(F.coalesce("total_classes", F.lit(0)).alias("totalClasses"), F.coalesce("avg_lcom4", F.lit(0.0)).alias("averageLCOM4"), F.coalesce("max_lcom4", F.lit(0)).alias("maxLCOM4"), F.coalesce("low_classes", F.lit(0)).alias("classesWithLowCohesion"))
-        fields += [F.when(F.col("has_types"), F.coalesce("types", F.array())).alias("classCohesions"), F.when(F.col("has_types"), total).alias("cohesionSummary")]
+        out = out.join(listed(result.cohesions, type_value(), "types"), "file_path", "left").join(result.cohesion_summary, "file_path", "left")
+        fields += [F.when(F.col("has_types"), F.coalesce("types", F.array())).alias("classCohesions"), F.when(F.col("has_types"), cohesion_value()).alias("cohesionSummary")]
     return out.select("file_path", F.to_json(F.struct(*fields)).alias("report"))
 
 
@@ -93,28 +129,44 @@ def opening(indent: int, name: str, *attributes: tuple[str, Column], optional: t
     return F.concat(F.lit(f"{' ' * indent}<{name} "), F.concat_ws(" ", *parts), F.lit(">\n"))
 
 
-def xml_report(result: Analysis) -> DataFrame:
-    """(file_path, report): each file as an element."""
-    function = F.concat(
+def function_element() -> Column:
+    return F.concat(
         opening(4, "function", ("name", xml_escaped(F.col("name"))), ("signature", xml_escaped(F.col("signature"))), ("enclosing-type", xml_escaped(F.col("enclosing_type"))), ("line", F.col("line")), ("column", F.col("column"))),
         element(6, "cyclomatic-complexity", F.col("cyclomatic")),
         element(6, "cognitive-complexity", F.col("cognitive")),
         F.lit("    </function>\n"),
     )
-    out = result.files.join(joined(result.functions, function, "rows"), "file_path", "left").join(result.summary, "file_path")
+
+
+def summary_element() -> Column:
     names = (("total-functions", "total_functions"), ("average-cyclomatic-complexity", "avg_cyclomatic"), ("average-cognitive-complexity", "avg_cognitive"), ("max-cyclomatic-complexity", "max_cyclomatic"), ("max-cognitive-complexity", "max_cognitive"))
-    summary = F.concat(F.lit("    <summary>\n"), *(element(6, n, F.col(c)) for n, c in names), F.lit("    </summary>\n"))
-    parts = [F.concat(F.lit('  <file path="'), xml_escaped(F.col("file_path")), F.lit('">\n')), F.when(F.col("rows").isNotNull(), F.concat("rows", summary))]
+    return F.concat(F.lit("    <summary>\n"), *(element(6, n, F.col(c)) for n, c in names), F.lit("    </summary>\n"))
+
+
+def type_element() -> Column:
+    return F.concat(
+        opening(4, "class", ("name", xml_escaped(F.col("name"))), ("type", F.col("type")), ("line", F.col("line")), ("column", F.col("column"))),
+        *(element(6, n, F.col(c)) for n, c in (("lcom4", "lcom4"), ("method-count", "method_count"), ("property-count", "property_count"), ("cohesion-level", "cohesion_level"))),
+        F.lit("    </class>\n"),
+    )
+
+
+def cohesion_element() -> Column:
+    totals = (("total-classes", F.coalesce("total_classes", F.lit(0))), ("average-lcom4", F.coalesce("avg_lcom4", F.lit(0.0))), ("max-lcom4", F.coalesce("max_lcom4", F.lit(0))), ("low-cohesion-classes", F.coalesce("low_classes", F.lit(0))))
+    return F.concat(F.lit("    <cohesion-summary>\n"), *(element(6, n, c) for n, c in totals), F.lit("    </cohesion-summary>\n"))
+
+
+def file_element() -> Column:
+    return F.concat(F.lit('  <file path="'), xml_escaped(F.col("file_path")), F.lit('">\n'))
+
+
+def xml_report(result: Analysis) -> DataFrame:
+    """(file_path, report): each file as an element."""
+    out = result.files.join(joined(result.functions, function_element(), "rows"), "file_path", "left").join(result.summary, "file_path")
+    parts = [file_element(), F.when(F.col("rows").isNotNull(), F.concat("rows", summary_element()))]
     if result.cohesions is not None:
-        kind = F.concat(
-            opening(4, "class", ("name", xml_escaped(F.col("name"))), ("type", F.col("type")), ("line", F.col("line")), ("column", F.col("column"))),
-            *(element(6, n, F.col(c)) for n, c in (("lcom4", "lcom4"), ("method-count", "method_count"), ("property-count", "property_count"), ("cohesion-level", "cohesion_level"))),
-            F.lit("    </class>\n"),
-        )
-        out = out.join(joined(result.cohesions, kind, "classes"), "file_path", "left").join(result.cohesion_summary, "file_path", "left")
-        totals = (("total-classes", F.coalesce("total_classes", F.lit(0))), ("average-lcom4", F.coalesce("avg_lcom4", F.lit(0.0))), ("max-lcom4", F.coalesce("max_lcom4", F.lit(0))), ("low-cohesion-classes", F.coalesce("low_classes", F.lit(0))))
-        total = F.concat(F.lit("    <cohesion-summary>\n"), *(element(6, n, c) for n, c in totals), F.lit("    </cohesion-summary>\n"))
-        parts.append(F.when(F.col("has_types"), F.concat(F.coalesce("classes", F.lit("")), total)))
+        out = out.join(joined(result.cohesions, type_element(), "classes"), "file_path", "left").join(result.cohesion_summary, "file_path", "left")
+        parts.append(F.when(F.col("has_types"), F.concat(F.coalesce("classes", F.lit("")), cohesion_element())))
     return out.select("file_path", F.concat_ws("", *parts, F.lit("  </file>\n")).alias("report"))
 
 
@@ -155,7 +207,7 @@ def described(result: Analysis) -> DataFrame:
 
 
 def report_rows(result: Analysis, fmt: str = "text", rules: Rules | None = None, threshold: int | None = None, metrics: str = "both") -> DataFrame:
-    """The report as rows that stand in any order; what to write where results are many."""
+    """The report as rows that stand in any order, a row for each file."""
     if fmt not in FORMATS:
         raise SourceError(f"formats are {', '.join(FORMATS)}, not {fmt!r}")
     if fmt == "xcode":
@@ -164,7 +216,7 @@ def report_rows(result: Analysis, fmt: str = "text", rules: Rules | None = None,
 
 
 def render(result: Analysis, fmt: str = "text", rules: Rules | None = None, threshold: int | None = None, metrics: str = "both") -> str:
-    """The whole report as one text, files in order; for as much as a person reads."""
+    """The whole report as one text, files in order; for as much as a person reads, while ``report_sink`` writes any number of rows."""
     rows = report_rows(result, fmt, rules, threshold, metrics)
     if fmt == "xcode":
         lines = [r.message for r in rows.orderBy("section", "file_path", "pos").toLocalIterator()]

@@ -159,6 +159,10 @@ class Rules:
     rules: tuple[tuple[str | None, str | None, int], ...] = ()
     default: int | None = None
 
+    def __bool__(self) -> bool:
+        """Whether there is anything to hold functions against; rules without entries and default filter nothing."""
+        return bool(self.rules) or self.default is not None
+
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.rules), RULES)
 
