@@ -77,15 +77,16 @@ def counted_members(methods: DataFrame, properties: DataFrame, key: list[str]) -
     return counts[0].join(counts[1], key, "full").na.fill(0, ["method_count", "property_count"])
 
 
-def index_lcom4(types: DataFrame, symbols: DataFrame, occurrences: DataFrame) -> DataFrame:
+def index_lcom4(types: DataFrame, symbols: DataFrame, occurrences: DataFrame, own_types: DataFrame | None = None) -> DataFrame:
     """(file_path, type_pos, lcom4) of the types that a symbol index knows.
 
     ``symbols`` (usr, name, kind, parent_usr) and ``occurrences`` (usr, role, container_usr);
-    a type is found by name and kind, actors as classes, the first symbol of equals.
+    a type is found by name and kind, actors as classes, the first symbol of equals, among
+    ``own_types`` if the index has a table of these.
     """
     kind = F.when(F.col("type") == "struct", "struct").otherwise("class")
     wanted = types.select(*KEY, "name", kind.alias("kind"))
-    found = wanted.join(homes(symbols), ["name", "kind"]).select(*KEY, "parent_usr")
+    found = wanted.join(homes(symbols if own_types is None else own_types), ["name", "kind"]).select(*KEY, "parent_usr")
     members = found.join(symbols.select("usr", "name", "kind", "parent_usr").distinct(), "parent_usr").drop("parent_usr")
     methods = members.where("kind in ('instanceMethod', 'constructor')").select(*KEY, "name", F.col("usr").alias("id"), F.lit(True).alias("has_body"))
     properties = members.where("kind = 'instanceProperty'").select(*KEY, "name", "usr")

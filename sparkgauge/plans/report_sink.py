@@ -9,7 +9,7 @@ is lost or tried again leaves nothing behind, and the report is there as a whole
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import Rules, SourceError
@@ -122,11 +122,13 @@ def write_report(result: Analysis, path: str, fmt: str = "text", rules: Rules |
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(place, line): the lines of a written report by their places, from 1."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("name"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("at", "line"))
-    sizes = rows.groupBy("name").count().orderBy("name").collect()  # a row for each part file
+    block = ["name", "start"]
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*block).orderBy("id")))  # a block is read in order
+    sizes = rows.groupBy(*block).count().orderBy(*block).collect()  # a row for each block of a file
     begin, before = [], 0
     for r in sizes:
-        begin.append((r.name, before))
+        begin.append((r.name, r.start, before))
         before += r["count"]
-    starts = F.broadcast(spark.createDataFrame(begin, "name string, begin long"))
-    return rows.join(starts, "name").select((F.col("begin") + F.col("at") + 1).alias("place"), "line")
+    starts = F.broadcast(spark.createDataFrame(begin, "name string, start long, begin long"))
+    return rows.join(starts, block).select((F.col("begin") + F.col("at")).alias("place"), "line")

@@ -21,8 +21,10 @@ from .operators import cohesion, metrics, summaries, thresholds
 from .operators.metrics import continued
 from .plans import service
 from .plans.analysis import Analysis, analyze, analyze_code, analyze_sources, batch_analyze, rules_for
+from .plans.report_sink import read_lines, write_report
 from .plans.reports import described, read_results, report_rows
 from .sources.files import Rules, chosen, collect_files, env_threshold, excluded, strings
+from .sources.storage import new_path
 from .table_queries import WITH_ORACLE as ON_TABLES
 from .table_queries import table
 
@@ -592,6 +594,25 @@ SUMMARY = """count(pos) AS total_functions, coalesce(avg(cyclomatic), 0) AS avg_
        coalesce(max(cyclomatic), 0)::INT AS max_cyclomatic, coalesce(max(cognitive), 0)::INT AS max_cognitive,
        coalesce(sum(cyclomatic), 0)::BIGINT AS total_cyclomatic, coalesce(sum(cognitive), 0)::BIGINT AS total_cognitive"""
 
+def ordered_report(spark, sf_dir):
+    """The lines of a JSON report in files, as they follow each other."""
+    path = new_path(spark, "report")
+    write_report(shop_analysis(spark, sf_dir), path, "json")
+    return read_lines(spark, path)
+
+
+#: The file's line, its functions, the summary, its types and their totals.
+ORDERED_SQL = f"""{SHOP}, line AS (
+  SELECT 1 AS part, file_path, 0 AS section, 0 AS pos, CASE WHEN file_path = (SELECT min(file_path) FROM shop) THEN '' ELSE ',' END || '{{"filePath":"' || file_path || '","functions":[' AS line FROM shop
+  UNION ALL SELECT 1, file_path, 2, pos, CASE WHEN pos = min(pos) OVER (PARTITION BY file_path) THEN '' ELSE ',' END || '{{"name":"' || name || '","signature":"' || signature || '","cyclomaticComplexity":' || cyclomatic || ',"cognitiveComplexity":' || cognitive || ',"location":{{"line":' || line || ',"column":' || "column" || '}}' || coalesce(',"enclosingTypeName":"' || enclosing_type || '"', '') || '}}' FROM function
+  UNION ALL SELECT 1, file_path, 3, 0, '],"summary":' || to_json({{'totalFunctions': coalesce(n, 0), 'averageCyclomaticComplexity': coalesce(avg_cyclomatic, 0), 'averageCognitiveComplexity': coalesce(avg_cognitive, 0), 'maxCyclomaticComplexity': coalesce(max_cyclomatic, 0), 'maxCognitiveComplexity': coalesce(max_cognitive, 0), 'totalCyclomaticComplexity': coalesce(total_cyclomatic, 0), 'totalCognitiveComplexity': coalesce(total_cognitive, 0)}})::VARCHAR || CASE WHEN has_types THEN ',"classCohesions":[' ELSE '}}' END FROM shop
+  UNION ALL SELECT 1, file_path, 5, pos, CASE WHEN pos = min(pos) OVER (PARTITION BY file_path) THEN '' ELSE ',' END || '{{"name":"' || name || '","type":"' || type || '","lcom4":' || lcom4 || ',"methodCount":' || method_count || ',"propertyCount":' || property_count || ',"location":{{"line":' || line || ',"column":' || "column" || '}}}}' FROM type WHERE file_path IN (SELECT file_path FROM file WHERE has_types)
+  UNION ALL SELECT 1, file_path, 6, 0, '],"cohesionSummary":' || to_json({{'totalClasses': coalesce(n_types, 0), 'averageLCOM4': coalesce(avg_lcom4, 0), 'maxLCOM4': coalesce(max_lcom4, 0), 'classesWithLowCohesion': coalesce(n_low, 0)}})::VARCHAR || '}}' FROM shop WHERE has_types
+  UNION ALL SELECT 0, '', 0, 0, '{{"files":['
+  UNION ALL SELECT 2, '', 0, 0, ']}}'
+)
+SELECT row_number() OVER (ORDER BY part, file_path, section, pos) AS place, line FROM line"""
+
 WITH_ORACLE = {
     file_summary: f"SELECT c_custkey AS file_path, {SUMMARY} FROM customer LEFT JOIN ({ORDER_FUNCTIONS}) ON file_path = c_custkey GROUP BY c_custkey",
     strictest_threshold: f"SELECT p_partkey, enclosing_type, threshold FROM ({PART_FUNCTIONS})",
@@ -632,6 +653,7 @@ FROM events GROUP BY user_id""",
     filtered_results: FILTERED_SQL,
     exit_status: EXIT_SQL,
     results_read_again: AGAIN_SQL,
+    ordered_report: ORDERED_SQL,
 }
 
 #: What runs on sources and requests of its own, not on the given tables: cases for tests, with the rows that the rules give by hand.

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .operators import brackets, cohesion, components, containment, metrics
 from .plans.analysis import analyze_sources
+from .plans.symbol_index import SymbolIndex
+from .sources.storage import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -293,6 +295,16 @@ SELECT file_path, t AS type_pos, coalesce(lcom4, 0) AS lcom4 FROM home LEFT JOIN
 """
 
 
+def stored_index_cohesions(spark, sf_dir):
+    """The same from an index in buckets that two batches have filled."""
+    types, symbols, occurrences = order_index(spark, sf_dir)
+    index = SymbolIndex.open(spark, new_path(spark, "index"), 8)
+    for k in range(2):
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(2)) == k
+        index.append(symbols.where(part("usr")), occurrences.where(part("usr")), f"batch {k}")
+    return index.lcom4(types).select("file_path", "type_pos", "lcom4")
+
+
 # ---- source texts
 
 
@@ -338,5 +350,6 @@ WITH_ORACLE = {
     folded_event_metrics: metrics_sql(True),
     line_cohesions: LINE_COHESIONS,
     order_index_cohesions: ORDER_INDEX,
+    stored_index_cohesions: ORDER_INDEX,
     order_source_metrics: ORDER_SOURCES,
 }

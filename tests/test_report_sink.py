@@ -29,8 +29,9 @@ def test_written_report_is_the_rendered_one(spark, result, tmp_path, fmt, metric
     write_report(result, path, fmt, threshold=1, metrics=metrics)
     want = sg.render(result, fmt, threshold=1, metrics=metrics)
     assert json.loads(read(path)) == json.loads(want) if fmt == "json" else read(path).strip("\n") == want.strip("\n")
-    lines = [r.line for r in read_lines(spark, path).orderBy("place").collect()]
-    assert lines == read(path).removesuffix("\n").split("\n")
+    rows = read_lines(spark, path).orderBy("place").collect()
+    lines = [r.line for r in rows]
+    assert [r.place for r in rows] == list(range(1, len(rows) + 1)) and lines == read(path).removesuffix("\n").split("\n")
     assert glob.glob(f"{path}/_SUCCESS") and not glob.glob(f"{path}/_temporary*")
 
 
