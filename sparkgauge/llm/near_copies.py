@@ -1,19 +1,22 @@
-"""Near copies: SimHash candidates, held to the Jaccard similarity of five-word shingles.
-
-Each distinct text has a fingerprint of its distinct words.  The generalised pigeonhole search
-of ``simhash`` links fingerprints that differ in MOST bits or fewer, among texts whose numbers
-of shingles allow the similarity, and what chains of such links connect is a cluster: outside
-a cluster nobody has a candidate.  Within clusters the verdict is that of the whole sets of
-shingles: two texts are linked if their similarity is LIKE or more.  Every cluster is gone through pair by pair, but a pair is measured only while
-nothing connects it yet, its sizes allow the similarity, and SKETCH one-bit minhashes do not
-rule it out (by four standard deviations); links of a task are a forest.
+"""Near copies: candidates by SimHash and by bands, held to the Jaccard similarity of five-word shingles.
+
+Each distinct set of shingles has a fingerprint of its distinct words, which the generalised
+pigeonhole search of ``simhash`` links to those that differ in MOST bits or fewer, and BANDS
+keys, each of ROWS minhashes: sets that share a key are candidates too.  Both write a
+number of rows a set that does not grow with the number of sets.  What chains of candidates
+connect is a cluster.  Within clusters the verdict is that of the whole sets of shingles: two
+texts are linked if their similarity is LIKE or more.  Every cluster is gone through pair by
+pair, but a pair is measured only while nothing connects it yet, its sizes allow the
+similarity, and SKETCH one-bit minhashes do not rule it out (by four standard deviations, so
+some 3 in 100,000 links of the least similarity are lost there); links of a task are a forest.
 
 A cluster goes to tasks by blocks of at most BLOCK bytes, or up to SPREAD smaller ones of PART
 bytes: one task for each two blocks, so a group of copies of any size is spread, and no task
 holds more than two blocks.
 
-What can be lost are links at the edge of the similarity whose words differ so much that the
-fingerprints lie more than MOST bits apart on every chain; the README has figures.
+A pair of similarity s is a candidate by its bands with probability 1 - (1 - s^ROWS)^BANDS,
+that is 0.998 at 0.8 and more above, and a pair without common shingles never is, however many
+sets there are; at 0.3 it is one in 70.
 
 Defined results: a null or empty text, or one of white space, has an empty set, and all of
 these are copies of each other; a text of fewer than WORDS words is one shingle; rows without
@@ -39,8 +42,10 @@ from .simhash import LOWER, links, mixed
 WORDS = 5
 #: Links need a similarity of 4/5, that is, of sets of sizes a and b 4/9 of a + b shingles in common.
 LIKE = 0.8
-#: Bits in which fingerprints of candidates differ at most.
-MOST = 10
+#: Bits in which fingerprints of candidates differ at most; so few that chance does not link unlike texts.
+MOST = 2
+#: Keys of a set, and minhashes in each.
+BANDS, ROWS = 20, 6
 #: One-bit minhashes of a set, and how many must agree: 0.9 of them do at the least similarity.
 SKETCH = 256
 AGREE = int(SKETCH * (1 + LIKE) / 2 - 4 * (SKETCH * (1 + LIKE) * (1 - LIKE) / 4) ** 0.5)
@@ -98,8 +103,22 @@ def minhashes(found: np.ndarray) -> np.ndarray:
     return np.packbits(mixed(low, 9) >> np.uint64(63) != 0).view(np.uint64)
 
 
+BAND_SALTS = np.random.default_rng(20240302).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """The keys of a set, as signed numbers; those of different bands differ."""
+    low = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for i in range(0, len(found), 1024):
+        np.minimum(low, (found[i : i + 1024, None] * BAND_SALTS).min(0), out=low)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        out = mixed(out * FACTOR + column, 11)
+    return out.view(np.int64)
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(node, low, size, fp): each distinct set of shingles, the row that stands for it, and its fingerprint.
+    """(node, low, size, fp, bands): each distinct set of shingles, the row that stands for it, its fingerprint and its keys.
 
     ``low`` is (doc_id, digest, n): the smallest id, the digest of its text, and how many rows have both.
     """
@@ -110,27 +129,38 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
             for t in b.column(2):
                 words = word_hashes(t.as_py())
                 found = shingles(words)
-                out.append((name(found), len(found), fingerprint(words)))
-            node, size, fp = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64())], ["doc_id", "digest", "node", "size", "fp"])
+                out.append((name(found), len(found), fingerprint(words), bands(found).astype("<i8").tobytes()))
+            node, size, fp, keys = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "digest", "node", "size", "fp", "bands"])
 
-    rows = docs.where("doc_id is not null").mapInArrow(tidy(run), "doc_id long, digest long, node long, size int, fp long")
-    rows = rows.groupBy("node", "doc_id", "digest").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("fp").alias("fp"))
-    return rows.groupBy("node").agg(F.min(F.struct("doc_id", "digest", "n")).alias("low"), F.first("size").alias("size"), F.first("fp").alias("fp"))
+    rows = docs.where("doc_id is not null").mapInArrow(tidy(run), "doc_id long, digest long, node long, size int, fp long, bands binary")
+    own = [F.first(c).alias(c) for c in ("size", "fp", "bands")]
+    rows = rows.groupBy("node", "doc_id", "digest").agg(F.count("*").alias("n"), *own)
+    return rows.groupBy("node").agg(F.min(F.struct("doc_id", "digest", "n")).alias("low"), *own)
 
 
-def clusters(sets: DataFrame) -> DataFrame:
-    """(node, size, cluster) of the sets that have a candidate.
+def gathered(rows: DataFrame) -> DataFrame:
+    """(a, b): from every node of (key, node) to the least that has the same key."""
+    lows = rows.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(lows, "key").where("node != b").select(F.col("node").alias("a"), "b")
 
-    Sizes of links are at most a factor of 5/4 apart, so they fall into the same class of sizes
-    or into two neighbouring ones: each set stands in its own and in the next.
-    """
-    prints = stored(sets.groupBy("fp").agg(F.count("*").alias("n")), "fingerprints")
-    own = F.expr("cast(floor(ln(greatest(size, 1)) / ln(1.25D)) as int)")
-    classes = stored(sets.select("fp", F.explode(F.array(own + 1, own + 2)).alias("class")).distinct(), "classes")
-    found = components(links(classes, MOST, "class")).withColumnRenamed("node", "fp")
-    crowded = prints.join(found, "fp", "left").where("n > 1 or label is not null").select("fp", F.coalesce("label", "fp").alias("cluster"))
-    return stored(sets.join(crowded, "fp").select("node", "size", "cluster"), "clusters")
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """(a, b): links that connect all candidates."""
+    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), k -> cast(conv(hex(reverse(substring(bands, 8 * k + 1, 8))), 16, -10) as long))")
+    by_bands = gathered(sets.select(F.explode(keys).alias("key"), "node"))
+    prints = stored(sets.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    same = gathered(sets.select(F.col("fp").alias("key"), "node"))
+    near = links(prints.select("fp"), MOST)
+    ends = [prints.select(F.col("fp").alias(c), F.col("node").alias(f"_{c}")) for c in "ab"]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return by_bands.unionByName(same).unionByName(near)
+
+
+def clusters(sets: DataFrame) -> DataFrame:
+    """(node, size, cluster) of the sets that have a candidate."""
+    found = components(candidates(sets)).withColumnRenamed("label", "cluster")
+    return stored(sets.join(found, "node").select("node", "size", "cluster"), "clusters")
 
 
 def members_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
