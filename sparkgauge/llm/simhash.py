@@ -7,8 +7,8 @@ the same partition; a dynamic programme picks the thresholds with the least esti
 work.  Each distinct fingerprint is written under the variants of its partitions;
 those that meet under a variant are compared on all bits, so no pair is missed.
 
-Variants under which more than SPREAD rows meet are refined before the exchange, again and
-again while one has more: of the other bits, cut into ``most + 1`` pieces, one at least must
+Variants under which more than SPREAD rows meet are refined before the exchange, up to LEVELS
+times while one has more: of the other bits, cut into ``most + 1`` pieces, one at least must
 be equal, and each piece becomes a key of its own.  Large keys are cut in the same way
 within their task.  What stays together gathers in balls around leaders; only those that
 could link two balls, by the triangle inequality, are compared further, and of the links a
@@ -43,8 +43,10 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SPREAD = 1 << 20
 #: Rows of a key that are compared all with all; more are cut by further bits, or gather in balls.
 SMALL = 512
-#: Cells of the sketch of how many rows each key has, and the most times that keys are refined.
-CELLS, LEVELS = 1 << 18, 3
+#: Cells of the sketch of how many rows each key has, at least and at most, and the most times that keys are refined.
+CELLS, MOST_CELLS, LEVELS = 1 << 18, 1 << 24, 3
+#: A cell of the sketch holds a SPARE-th of SPREAD rows on average, so that it is full by a large key and not by many small ones.
+SPARE = 16
 #: Estimated seconds to write one variant and to compare one pair.
 ROW_COST, PAIR_COST = 2e-6, 1e-8
 
@@ -77,11 +79,17 @@ def fingerprints(docs: DataFrame, words: int = 3, distinct: bool = False, id_col
 
 @dataclass(frozen=True)
 class Plan:
-    """Bits (as masks) and threshold of each partition, and the allowed distance in all."""
+    """Bits (as masks) and threshold of each partition, the allowed distance in all, and how many rows all fingerprints are written as."""
 
     masks: tuple[int, ...]
     thresholds: tuple[int, ...]
     most: int
+    rows: int = 0
+
+    @property
+    def cells(self) -> int:
+        """Cells of the sketch: with the rows, and a power of two."""
+        return min(MOST_CELLS, max(CELLS, 1 << (SPARE * self.rows // SPREAD).bit_length()))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -161,7 +169,8 @@ def make_plan(fps: DataFrame, most: int, classes: str | None = None) -> Plan:
         cost, thresholds = allocate(n, both, groups, most, same)
         found.append((cost, m, groups, thresholds))
     _, _, groups, thresholds = min(found, key=lambda x: x[:2])
-    return Plan(tuple(sum(1 << (63 - i) for i in g) for g in groups), thresholds, most)
+    written = n * sum(variants(len(g), (t + 1) // 2) for g, t in zip(groups, thresholds) if t >= 0)
+    return Plan(tuple(sum(1 << (63 - i) for i in g) for g in groups), thresholds, most, written)
 
 
 @lru_cache(64)
@@ -334,7 +343,7 @@ def links(fps: DataFrame, most: int, classes: str | None = None) -> DataFrame:
                 if c:
                     key = mixed(key, 1000 + c)
                 for cells in levels:
-                    hot = cells[(key & np.uint64(CELLS - 1)).astype(np.int64)] > SPREAD
+                    hot = cells[(key & np.uint64(len(cells) - 1)).astype(np.int64)] > SPREAD
                     if hot.any():
                         finer = refined(key[hot], f[hot], part[hot], masks, plan.most)
                         key, f, part = (np.concatenate((x[~hot], y)) for x, y in zip((key, f, part), finer))
@@ -342,17 +351,17 @@ def links(fps: DataFrame, most: int, classes: str | None = None) -> DataFrame:
                 yield key, f
 
     def counted(levels: list[np.ndarray]) -> np.ndarray:
-        """Rows by key, hashed into a fixed number of cells."""
+        """Rows by key, hashed into cells."""
 
         def run(batches):
-            cells = np.zeros(CELLS, np.int64)
+            cells = np.zeros(plan.cells, np.int64)
             for key, _ in keyed(batches, levels):
-                cells += np.bincount((key & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                np.add.at(cells, (key & np.uint64(len(cells) - 1)).astype(np.int64), 1)
             at = np.flatnonzero(cells)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
 
         got = rows.mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(plan.cells, np.int64)
         cells[got.column("cell").to_numpy()] = got.column("n").to_numpy()
         return cells
 
