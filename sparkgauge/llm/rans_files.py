@@ -204,7 +204,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     """Packs of about BLOCK ids in ascending order of the document id."""
     rows = texts_of(docs, id_col, text_col, GROUP)
     ascending = F.col("doc_id").asc_nulls_first()
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), ascending).sortWithinPartitions(ascending, F.xxhash64("text"))
+    order = (ascending, F.xxhash64("text"))  # the second splits rows that share an id, or have none
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq, before, size = WordCoder.of(path), TaskContext.get().partitionId(), 0, 0, 0
