@@ -5,8 +5,8 @@ Every stage takes all that its predecessor kept and returns it with the columns
 
 * quality rules: documents that fail the base rules or the likelihood ratio go;
 * near-duplicates: of each group the document with the smallest id stays.  Documents link
-  if the Jaccard similarity of their five-word shingles is 0.8 or more, and no link is
-  missed or taken unverified;
+  if the Jaccard similarity of their five-word shingles is 0.8 or more; candidates come of
+  SimHash and of bands of minhashes, which miss few links at the edge, and every link is verified;
 * decontamination: documents into which a benchmark item leaks go;
 * secrets: every span is replaced by the name of its kind, and ``n_chars`` is that of
   the new text;
