@@ -1,16 +1,70 @@
 """Threshold rules: match, strictest, exceeded, and the filters that follow from them.
 
-Rules join by prefix and suffix, which is no equality; few go to every executor, and more
-meet all beginnings or, without a prefix, all ends of the names by equality.
+Rules hold for a type name by its prefix and suffix, which is no equality.  Up to TRIE letters
+of rules go to every executor as a trie of prefixes, at whose nodes tries of reversed suffixes
+hang; each node has the least threshold of its rules.  A name is walked once, and at each of
+its beginnings that bears suffixes once more from its end, whatever the number of rules.  More
+rules meet all beginnings or, without a prefix, all ends of the names by equality.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules that go to every executor; more are joined by exchange.
-BROADCAST_RULES = 10_000
+#: Letters of rules, and one for each rule, whose trie goes to every executor (some 130 bytes a letter); more are joined by exchange.
+TRIE = 1_500_000
+#: More than any character's number.
+CHARACTERS = 1 << 21
+
+
+class RuleTrie:
+    """The least threshold of the rules that hold for a name."""
+
+    def __init__(self, rules: Iterable[tuple[str | None, str | None, int]]):
+        self.next: dict[int, int] = {}  # by node and character as one number
+        self.least: list[int | None] = [None]
+        self.ends: dict[int, int] = {}  # where the suffixes of a node of prefixes begin
+        for prefix, suffix, threshold in rules:
+            if prefix is None and suffix is None:
+                continue
+            at = self.grown(0, prefix or "")
+            if suffix is not None:
+                if at not in self.ends:
+                    self.ends[at] = len(self.least)
+                    self.least.append(None)
+                at = self.grown(self.ends[at], reversed(suffix))
+            known = self.least[at]
+            self.least[at] = threshold if known is None else min(known, threshold)
+
+    def grown(self, at: int, letters: Iterable[str]) -> int:
+        for c in letters:
+            step = at * CHARACTERS + ord(c)
+            if step not in self.next:
+                self.next[step] = len(self.least)
+                self.least.append(None)
+            at = self.next[step]
+        return at
+
+    def walked(self, at: int, letters: Iterable[str]) -> Iterator[int]:
+        yield at
+        for c in letters:
+            found = self.next.get(at * CHARACTERS + ord(c))
+            if found is None:
+                return
+            at = found
+            yield at
+
+    def strictest(self, name: str) -> int | None:
+        found = []
+        for node in self.walked(0, name):
+            found.append(self.least[node])
+            if node in self.ends:
+                found += [self.least[end] for end in self.walked(self.ends[node], reversed(name))]
+        return min((x for x in found if x is not None), default=None)
 
 
 def matches(type_name: Column, prefix: Column, suffix: Column) -> Column:
@@ -19,19 +73,27 @@ def matches(type_name: Column, prefix: Column, suffix: Column) -> Column:
     return given & (prefix.isNull() | F.startswith(type_name, prefix)) & (suffix.isNull() | F.endswith(type_name, suffix))
 
 
-def matched(names: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every name with every rule that holds for it."""
+def strictest(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """(_type, _strictest): the least threshold of the rules that hold, for every name that has one; rules are (_prefix, _suffix, _threshold)."""
+    rules = rules.where("_threshold is not null and (_prefix is not null or _suffix is not null)").groupBy("_prefix", "_suffix").agg(F.min("_threshold").alias("_threshold"))
+    letters = F.sum(F.lit(1) + F.length(F.coalesce("_prefix", F.lit(""))) + F.length(F.coalesce("_suffix", F.lit(""))))
+    if (rules.agg(letters).first()[0] or 0) <= TRIE:
+        trie = names.sparkSession.sparkContext.broadcast(RuleTrie(map(tuple, rules.select("_prefix", "_suffix", "_threshold").collect())))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([trie.value.strictest(n) for n in b.column(0).to_pylist()], pa.int32())], ["_type", "_strictest"])
+
+        return names.select("_type").mapInArrow(run, "_type string, _strictest int").where("_strictest is not null")
     holds = matches(F.col("_type"), F.col("_prefix"), F.col("_suffix"))
-    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        return names.join(F.broadcast(rules), holds)
-    rules = rules.groupBy("_prefix", "_suffix").agg(F.min("_threshold").alias("_threshold"))
 
     def met(side: str, rules: DataFrame) -> DataFrame:
         parts = F.expr(f"transform(sequence(0, length(_type)), k -> {side}(_type, k))")
         part = "_prefix" if side == "left" else "_suffix"
         return names.select("_type", F.explode(parts).alias("_part")).join(rules, F.col("_part") == F.col(part)).where(holds).select("_type", "_threshold")
 
-    return met("left", rules.where("_prefix is not null")).unionByName(met("right", rules.where("_prefix is null")))
+    both = met("left", rules.where("_prefix is not null")).unionByName(met("right", rules.where("_prefix is null")))
+    return both.groupBy("_type").agg(F.min("_threshold").alias("_strictest"))
 
 
 def with_threshold(functions: DataFrame, rules: DataFrame | None, fallback: int | None = None, default: int | None = None, type_col: str = "enclosing_type") -> DataFrame:
@@ -39,11 +101,10 @@ def with_threshold(functions: DataFrame, rules: DataFrame | None, fallback: int
     rest = F.coalesce(F.lit(fallback).cast("int"), F.lit(default).cast("int"))
     if rules is None:
         return functions.withColumn("threshold", rest)
-    # distinct names meet the rules, so the product is with types, not with functions
+    # distinct names meet the rules, each once
     names = functions.select(F.col(type_col).alias("_type")).where("_type is not null").distinct()
     r = rules.select(F.col("prefix").alias("_prefix"), F.col("suffix").alias("_suffix"), F.col("threshold").alias("_threshold"))
-    strict = matched(names, r).groupBy("_type").agg(F.min("_threshold").alias("_strictest"))
-    out = functions.join(strict, functions[type_col] == F.col("_type"), "left")
+    out = functions.join(strictest(names, r), functions[type_col] == F.col("_type"), "left")
     return out.withColumn("threshold", F.coalesce(F.col("_strictest"), rest)).drop("_type", "_strictest")
 
 

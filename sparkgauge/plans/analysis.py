@@ -15,6 +15,7 @@ from ..operators import cohesion, metrics, summaries, thresholds
 from ..sources import files as source_files
 from ..sources.files import Rules, SourceError
 from ..sources.syntax import syntax
+from ..sources.tree import read_tree
 
 log = logging.getLogger("sparkgauge")
 
@@ -114,11 +115,9 @@ def analyze(
     if remote:
         parts.append(source_files.scan(spark, remote, exclude, exclude_globs, recursive))
     if local or not remote:
-        found = source_files.collect_files(spark, local, recursive, exclude, exclude_globs)
-        log.info("%d source files", len(found))
-        parts.append(source_files.read_files(spark, found))
+        parts.append(read_tree(spark, local, recursive, exclude, exclude_globs).drop("error"))
     sources = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if remote and sources.isEmpty():
+    if sources.isEmpty():
         raise source_files.NoSourceFilesError("no source files found")
     return analyze_sources(sources, cohesion_from, symbols, occurrences)
 

@@ -1,9 +1,8 @@
 """Files of source text, result files, and rule files.
 
-Local paths are listed on the driver, as names that begin with a dot or an underscore count
-too and Spark's own file source leaves them out.  Paths with a scheme (``s3://``, ``hdfs://``
-and the like) are listed and read by Spark alone, which is also the way for trees too
-large to list on the driver.
+Local paths are listed and read by the tasks of ``tree``, as names that begin with a dot or an
+underscore count too and Spark's own file source leaves them out.  Paths with a scheme
+(``s3://``, ``hdfs://`` and the like) are listed and read by Spark alone.
 """
 
 from __future__ import annotations
@@ -81,18 +80,24 @@ def find_files(path: str, recursive: bool) -> list[str]:
     return [path] if is_source(path) else []
 
 
-def excluded(column: Column, patterns: Iterable[str], globs: Iterable[str] = ()) -> Column:
-    """Whether any expression matches somewhere in the path; invalid ones match nothing."""
-    out = F.lit(False)
+def expressions(patterns: Iterable[str], globs: Iterable[str] = ()) -> list[str]:
+    """The expressions of which one must match somewhere in a path; invalid ones match nothing and are left out."""
+    out = []
     for p in patterns:
         try:
             re.compile(p)
         except re.error as e:
             log.warning("exclude pattern %r is not a regular expression (%s) and matches nothing", p, e)
         else:
-            out = out | column.rlike(p)
-    for g in globs:
-        out = out | column.rlike(fnmatch.translate(g).replace(r"\Z", r"\z"))
+            out.append(p)
+    return out + [fnmatch.translate(g) for g in globs]
+
+
+def excluded(column: Column, patterns: Iterable[str], globs: Iterable[str] = ()) -> Column:
+    """Whether any expression matches somewhere in the path; invalid ones match nothing."""
+    out = F.lit(False)
+    for p in expressions(patterns, globs):
+        out = out | column.rlike(p.replace(r"\Z", r"\z"))
     return out
 
 
@@ -117,30 +122,16 @@ def collect_files(spark: SparkSession, paths: Iterable[str], recursive: bool = F
     return files
 
 
-def read_files(spark: SparkSession, files: list[str], slices: int | None = None) -> DataFrame:
-    """(file_path, code); a file that cannot be read fails the job."""
-
-    def read(batches):
-        import pandas as pd
-
-        for b in batches:
-            texts = []
-            for path in b.file_path:
-                try:
-                    with open(path, encoding="utf-8", newline="") as f:
-                        texts.append(f.read())
-                except (OSError, UnicodeDecodeError) as e:
-                    raise ReadError(f"cannot read {path}: {e}") from e
-            yield pd.DataFrame({"file_path": b.file_path, "code": texts})
-
-    listed = spark.createDataFrame([(f,) for f in files], "file_path string")
-    return listed.repartition(slices or min(len(files), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(read, SOURCES)
-
-
 def scan(spark: SparkSession, folders: str | list[str], exclude: Iterable[str] = (), exclude_globs: Iterable[str] = (), recursive: bool = True) -> DataFrame:
-    """(file_path, code) of trees or files in any store Spark reads, listed and read by the executors; hidden files are left out."""
+    """(file_path, code) of trees or files in any store Spark reads, listed and read by the executors; hidden files are left out.
+
+    A folder that is there twice, or below another one, counts once.
+    """
+    folders = list(dict.fromkeys([folders] if isinstance(folders, str) else folders))
+    inside = (lambda f, g: f.startswith(g + "/")) if recursive else (lambda f, g: f.rpartition("/")[0] == g)
+    folders = [f for f in folders if not any(inside(f, g.rstrip("/")) for g in folders)]
     rows = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").option("recursiveFileLookup", str(recursive).lower()).load(folders)
-    rows = rows.where(~excluded(F.col("path"), exclude, exclude_globs)).dropDuplicates(["path"])
+    rows = rows.where(~excluded(F.col("path"), exclude, exclude_globs))
     return rows.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("code"))
 
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import brackets, cohesion, components, containment, metrics
+from .operators import brackets, cohesion, components, containment, metrics, thresholds
 from .plans.analysis import analyze_sources
 from .plans.symbol_index import SymbolIndex
 from .sources.storage import new_path
+from .sources.tree import read_tree
+from .streaming.summaries import follow
+from .streaming.summaries import summaries as followed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +125,40 @@ FROM orders LEFT JOIN label ON label.status = o_orderstatus AND node = 'o' || o_
 """
 
 
+# ---- many rules
+
+
+def part_name() -> Column:
+    return F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+
+
+def part_rules(spark, sf_dir) -> DataFrame:
+    """A rule for every part: beginnings and ends of its name, one or both."""
+    key, name = F.col("p_partkey"), part_name()
+    prefix = F.when(key % 4 < 3, F.substring(name, F.lit(1), (F.lit(6) + key % 9).cast("int")))
+    suffix = F.when(key % 4 > 0, F.right(name, (F.lit(2) + key % 3).cast("int")))
+    return table(spark, sf_dir, "part").select(prefix.alias("prefix"), suffix.alias("suffix"), (key % 89 + 1).cast("int").alias("threshold"))
+
+
+def name_thresholds(spark, sf_dir):
+    """Names of parts against as many rules."""
+    names = table(spark, sf_dir, "part").select("p_partkey", part_name().alias("enclosing_type"))
+    return thresholds.with_threshold(names, part_rules(spark, sf_dir), None, 99).select("p_partkey", "threshold")
+
+
+NAME_THRESHOLDS = """
+WITH named AS (
+  SELECT p_partkey, p_name || ' ' || p_partkey AS name FROM part
+), rule AS (
+  SELECT CASE WHEN p_partkey % 4 < 3 THEN left(name, 6 + p_partkey % 9) END AS prefix, CASE WHEN p_partkey % 4 > 0 THEN right(name, 2 + p_partkey % 3) END AS suffix, p_partkey % 89 + 1 AS threshold FROM named
+), least AS (
+  SELECT prefix, suffix, min(threshold) AS threshold FROM rule GROUP BY prefix, suffix
+)
+SELECT p_partkey, coalesce(min(threshold), 99)::INT AS threshold
+FROM named LEFT JOIN least ON (prefix IS NULL OR starts_with(name, prefix)) AND (suffix IS NULL OR ends_with(name, suffix)) GROUP BY p_partkey
+"""
+
+
 # ---- metrics of syntax rows
 
 #: Kind and operator of an event's node, by its id.
@@ -184,6 +221,32 @@ SELECT file_path, fn::INT AS pos, 'f' || fn AS name, cyclomatic::INT AS cyclomat
 """
 
 
+# ---- versions of files in a stream
+
+
+def followed_files(spark, sf_dir):
+    """Events as functions of their user's file, a version for every five days, some deletions; summaries that follow a stream of them."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    gone = (F.col("event_type") == "error") & (F.col("event_id") % 40 == 0)
+    metric = lambda m: F.when(~gone, F.col("event_id") % m + 1)
+    functions = events.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("file_path"), F.floor(micros() / (5 * 86_400_000_000)).alias("version"), metric(9).alias("cyclomatic"), metric(31).alias("cognitive"), gone.alias("deleted"))
+    out, checkpoint = new_path(spark, "summaries"), new_path(spark, "checkpoint")
+    follow(functions, out, checkpoint).awaitTermination()
+    return followed(spark, out)
+
+
+FOLLOWED_FILES = """
+WITH f AS (
+  SELECT 'user ' || user_id AS file_path, floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 432000000000)::BIGINT AS version, event_type = 'error' AND event_id % 40 = 0 AS deleted, event_id % 9 + 1 AS cyclomatic, event_id % 31 + 1 AS cognitive FROM events
+), latest AS (
+  SELECT * FROM f QUALIFY version = max(version) OVER (PARTITION BY file_path)
+)
+SELECT file_path, version, count(*) AS total_functions, sum(cyclomatic)::BIGINT AS total_cyclomatic, sum(cognitive)::BIGINT AS total_cognitive, max(cyclomatic) AS max_cyclomatic, max(cognitive) AS max_cognitive,
+       sum(cyclomatic) / count(*) AS avg_cyclomatic, sum(cognitive) / count(*) AS avg_cognitive
+FROM latest GROUP BY file_path, version HAVING NOT bool_or(deleted)
+"""
+
+
 # ---- cohesion of syntax rows and of an index
 
 
@@ -305,6 +368,19 @@ def stored_index_cohesions(spark, sf_dir):
     return index.lcom4(types).select("file_path", "type_pos", "lcom4")
 
 
+# ---- files of a tree
+
+
+def table_files(spark, sf_dir):
+    """What the tables' own folder holds, listed and read by the tasks; none of it is text."""
+    rows = read_tree(spark, [sf_dir], True, exclude=["/check_"], exclude_globs=["*/embeddings*"], tolerant=True, suffix=".parquet")
+    name = F.split_part(F.substring("file_path", len(sf_dir.rstrip("/")) + 2, 1 << 20), F.lit("/"), F.lit(1))
+    return rows.groupBy(name.alias("name")).agg(F.bool_and(F.col("code").isNull() & F.col("error").isNotNull()).alias("unreadable"))
+
+
+TABLE_FILES = "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS name, true AS unreadable"
+
+
 # ---- source texts
 
 
@@ -346,10 +422,13 @@ WITH_ORACLE = {
     nearest_spans: f"{SIGNUPS} SELECT event_id, span_id, opens FROM place LEFT JOIN (SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY opens DESC, closes, span_id) = 1) USING (event_id)",
     bracket_runs: BRACKETS,
     status_components: STATUS_COMPONENTS,
+    name_thresholds: NAME_THRESHOLDS,
+    followed_files: FOLLOWED_FILES,
     event_metrics: metrics_sql(False),
     folded_event_metrics: metrics_sql(True),
     line_cohesions: LINE_COHESIONS,
     order_index_cohesions: ORDER_INDEX,
     stored_index_cohesions: ORDER_INDEX,
+    table_files: TABLE_FILES,
     order_source_metrics: ORDER_SOURCES,
 }
