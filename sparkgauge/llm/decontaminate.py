@@ -121,8 +121,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, by: list[str], id_col: str, tex
         return verified(places.join(F.broadcast(known), "key").join(F.broadcast(named), same), by)
     # beyond that: places that may be seeds meet them, and only documents with hits fetch their tokens again
     lean = places.select("doc_id", "digest", "place", "key").where(possible(known, seeds))
-    hits = lean.join(known, "key").drop("key").distinct().join(named, same).drop("_id", "_digest")
-    whole = rows.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "words").dropDuplicates(["_id", "_digest"])
+    hits = stored(lean.join(known, "key").drop("key").distinct(), "hits")
+    hit = F.xxhash64("doc_id", "digest").alias("key")
+    ids = hits.select(hit).distinct()
+    hits = hits.join(named, same).drop("_id", "_digest")
+    whole = rows.select("*", hit).where(possible(ids, ids.count()))  # a filter of bits, so that the rest is not moved
+    whole = whole.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "words").dropDuplicates(["_id", "_digest"])
     return verified(hits.join(whole, F.expr("_id <=> doc_id and _digest = digest")), by)
 
 
