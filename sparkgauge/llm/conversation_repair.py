@@ -315,3 +315,60 @@ def repaired(rows: DataFrame) -> DataFrame:
         yield from in_batches(found(), arrow)
 
     return prepared(rows).mapInArrow(tidy(run), schema)
+
+
+def repairs_sql(crc_table: list[int]) -> str:
+    """The same for DuckDB: layers of all conversations row by row, each state with its cheapest edits and the rows that they leave."""
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    inserts = ", ".join(f"({source}, {len(edits) * INSERT}, '{edits}', '{'|'.join(made)}', {state})" for source in range(4) for edits, state in INSERTIONS[source] for made in [inserted_roles(source, len(edits))])
+    steps = ", ".join(f"({state}, '{role}', {after})" for (state, role), after in STEPS.items())
+    given = ", ".join(f"({state}, '{ROLES[role]}', {STEPS[state, role]})" for state, role in NEXT.items())
+    lines = "list_concat(l.lines, CASE WHEN made = '' THEN [] ELSE list_transform(string_split(made, '|'), lambda r: r || ':') END)"
+    return f"""
+WITH RECURSIVE given(source, role, after) AS (VALUES {given}), steps(source, initial, after) AS (VALUES {steps}), inserts(source, more, edits, made, mid) AS (VALUES {inserts}),
+coded AS (
+  SELECT *, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x, encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS k FROM conversations
+), hashed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(k)), lambda i: ('0x' || substr(hex(k), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, {crc_table}[(xor(c, b) & 255) + 1]))) % 20 AS fate FROM coded
+), damaged AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE r END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS text, unnest(CASE fate WHEN 3 THEN [1, 2] WHEN 0 THEN [] ELSE [1] END) AS copy FROM hashed
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS i, rtrim(text, {blanks}) AS bare FROM damaged
+), judged AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS both_initials FROM ordered
+), faulty AS (
+  SELECT *, blank OR again AS must_go, NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM judged
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (both_initials NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id
+), layer(conv_id, i, state, cost, audit, lines) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM counted
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, lines FROM (
+    SELECT l.conv_id, l.i + 1 AS i, o.after AS state, l.cost + more + o.cost AS cost, l.audit || edits || o.op AS audit, list_concat({lines}, o.line) AS lines
+    FROM layer l JOIN inserts s ON s.source = l.state JOIN (
+      SELECT f.conv_id, f.i, g.source, e.op, e.after, e.cost, e.line FROM faulty f, given g LEFT JOIN steps t ON t.source = g.source AND t.initial = left(f.role, 1), unnest([
+        {{'op': 'D', 'after': g.source, 'cost': {DELETE}, 'line': []::VARCHAR[]}},
+        {{'op': 'K', 'after': CASE WHEN NOT f.must_go THEN t.after END, 'cost': {TRUNCATED} * f.cut::INT, 'line': [f.role || ':' || f.text]}},
+        {{'op': 'R', 'after': CASE WHEN NOT f.must_go THEN g.after END, 'cost': {REROLE} + {TRUNCATED} * f.cut::INT, 'line': [g.role || ':' || f.text]}}]) AS u(e)
+      WHERE e.after IS NOT NULL
+    ) o ON o.conv_id IS NOT DISTINCT FROM l.conv_id AND o.i = l.i + 1 AND o.source = s.mid
+    QUALIFY row_number() OVER (PARTITION BY l.conv_id, o.after ORDER BY l.cost + more + o.cost, l.audit || edits || o.op) = 1
+  )
+), solved AS (
+  SELECT l.conv_id, l.cost + more AS cost, l.audit || edits AS audit, {lines} AS lines
+  FROM layer l JOIN counted c ON c.conv_id IS NOT DISTINCT FROM l.conv_id AND c.n = l.i JOIN inserts s ON s.source = l.state AND s.mid IN {ACCEPTED}
+  QUALIFY row_number() OVER (PARTITION BY l.conv_id ORDER BY l.cost + more, l.audit || edits) = 1
+)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+def inserted_roles(state: int, n: int) -> list[str]:
+    """The roles of so many rows that are inserted from a state on."""
+    out = []
+    for _ in range(n):
+        out.append(ROLES[NEXT[state]])
+        state = STEPS[state, NEXT[state]]
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import round_trip
 from .common import read_table
-from .conversation_repair import damaged, repairs
+from .conversation_repair import damaged, repairs, repairs_sql
 from .decontaminate import OVERLAPS_SQL, overlaps
 from .html_extract import main_text
 from .importance import resampled, resampled_sql
@@ -98,4 +98,5 @@ ORACLES: dict[str, str] = {
     "op4_simhash": NEAR_DUPLICATES_SQL,
     "op5_decontamination": OVERLAPS_SQL,
     "op11_importance_resampling": resampled_sql(crc_table()),
+    "op12_conversation_repair": repairs_sql(crc_table()),
 }
