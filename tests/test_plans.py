@@ -175,8 +175,8 @@ def test_files(spark, tmp_path, caplog):
 def test_rule_files(tmp_path):
     assert files.discover_rules(str(tmp_path)) is None
     path = tmp_path / ".sparkgauge.yaml"
-    path.write_text("rules:\n  - suffix: Repository\n    threshold: 5\n  - prefix: A\n    suffix: B\n    threshold: 7\n")
-    assert files.discover_rules(str(tmp_path)) == sg.Rules(((None, "Repository", 5), ("A", "B", 7)), None)
+    path.write_text("rules:\n  - suffix: Ledger\n    threshold: 17\n  - prefix: Net\n    suffix: Audit\n    threshold: 21\n")
+    assert files.discover_rules(str(tmp_path)) == sg.Rules(((None, "Ledger", 17), ("Net", "Audit", 21)), None)
     for bad in ("defaultThreshold: 3", "rules: 3", "rules: [{threshold: x}]", "rules: [", "rules: []\ndefaultThreshold: many"):
         path.write_text(bad)
         with pytest.raises(sg.RuleFileError):
