@@ -110,10 +110,16 @@ def furniture_by(names: list[str]) -> str:
     return ""
 
 
-@lru_cache(20_000)
 def label_of(tag: str, attributes: str) -> str:
     """Tag, the words of the naming attributes in order, and what these say."""
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "").split() for m in reversed([*ATTRIBUTE.finditer(attributes)])}
+    found = ATTRIBUTE.findall(attributes) if attributes else ()
+    return named_label(tag, tuple(found)) if found else tag
+
+
+@lru_cache(20_000)
+def named_label(tag: str, attributes: tuple[tuple[str, ...], ...]) -> str:
+    """The same of an element with naming attributes, each with its value in one of three forms."""
+    found = {a.lower(): (x or y or z).split() for a, x, y, z in reversed(attributes)}
     said = {a: furniture_by(found.get(a, [])) for a in ("role", "class", "id")}
     says = next((said[a] for a in ("role", "class", "id") if said[a].startswith("~")), "")
     if "text" in said.values():
