@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import texts, tidy
 
-#: Labelled rows that the fit takes, those of the smallest hashed ids, and their letters: a row that would go beyond these is left out with all after it.
+#: Labelled rows that the fit takes, those of the smallest hashed ids, and their letters: a row that would go beyond these is left out with all after it, and one longer than all of them is passed over.
 SAMPLE, LETTERS = 20_000, 150_000_000
 FOLDS = 5
 WORDS = 1 << 15
@@ -146,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     sizes = rows.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n"), F.xxhash64("doc_id").alias("h")).toPandas()  # and so are these
     sizes = sizes.sort_values(["h", "doc_id"])
     if sizes["n"].sum() > LETTERS:
+        sizes = sizes[sizes["n"].fillna(0) <= LETTERS]  # one that is too long by itself is passed over
         few = sizes["doc_id"][sizes["n"].fillna(0).cumsum() <= LETTERS].tolist()
         rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in few], "doc_id long")), "doc_id", "left_semi")
     got = rows.mapInArrow(tidy(run), "doc_id long, quality int, ids array<int>, vals array<float>").toArrow()

@@ -636,6 +636,10 @@ def test_classifier_sample_is_bounded_by_letters(spark, monkeypatch):
         quality_classifier.train(df, labels)
     outside = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200))
     assert taken[0] == outside and 25 <= taken[1] <= 42 and taken[2] == 0
+    monkeypatch.setattr(quality_classifier, "LETTERS", 150_000)
+    long = spark.createDataFrame([(i, "x" * (200_000 if zlib.crc32(str(i).encode()) % 3 == 0 else 50)) for i in range(200)], "doc_id long, text string")
+    quality_classifier.train(long, labels)  # whichever comes first, the short ones are taken
+    assert taken[3] == sum(zlib.crc32(str(i).encode()) % 5 != 0 and zlib.crc32(str(i).encode()) % 3 != 0 for i in range(200))
 
 
 def test_factorisation_identity():
