@@ -20,6 +20,8 @@ from ..sources.files import InvalidPathError
 from ..sources.storage import hadoop
 
 BUCKETS = 64
+#: Batches whose names go to all tasks (some 10 MB); with more of them the planner decides.
+BROADCAST_BATCHES = 100_000
 #: Columns and bucket keys of each table.
 TABLES = {
     "symbols": ("usr string, name string, kind string, parent_usr string", ["parent_usr"]),
@@ -75,8 +77,10 @@ class SymbolIndex:
         return rows.select(F.substring_index("batch", "/", 1).alias("batch"), F.col("batch").alias("attempt"))
 
     def table(self, name: str) -> DataFrame:
-        """The rows of the batches that count; batches are few, a row for each goes to all tasks."""
-        whole = F.broadcast(self.batches().select(F.col("attempt").alias("batch")))
+        """The rows of the batches that count."""
+        whole = self.batches().select(F.col("attempt").alias("batch"))
+        if whole.limit(BROADCAST_BATCHES + 1).count() <= BROADCAST_BATCHES:
+            whole = F.broadcast(whole)
         return self.spark.table(self.names[name]).join(whole, "batch", "left_semi").drop("batch")
 
     def lcom4(self, types: DataFrame) -> DataFrame:
