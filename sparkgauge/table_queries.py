@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .operators import brackets, cohesion, components, containment, metrics, thresholds
 from .plans.analysis import analyze_sources
 from .plans.symbol_index import SymbolIndex
-from .sources.storage import new_path
+from .sources.storage import new_path, partitions
 from .sources.tree import read_tree
 from .streaming.summaries import follow
 from .streaming.summaries import summaries as followed
@@ -398,7 +398,8 @@ def order_sources(spark, sf_dir) -> DataFrame:
         F.when(F.col("o_orderkey") % 3 == 0, "switch x { case 1: y()\ncase 2, 3: z()\ndefault: w() }\n").otherwise("repeat { do { try y() } catch { z() } } while p\n"),
         F.lit("return 0\n}\n}\n"),
     )
-    return table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("file_path"), text.alias("code"))
+    orders = table(spark, sf_dir, "orders").repartition(4 * partitions(spark))  # parsing is dear, and a file of orders is one task's
+    return orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("file_path"), text.alias("code"))
 
 
 def order_source_metrics(spark, sf_dir):
