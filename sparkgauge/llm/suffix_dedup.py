@@ -22,9 +22,11 @@ A pack contributes each digest once, so a passage in a third of all documents is
 row for each pack.  The number of buckets follows the bytes of the corpus, so that no task holds
 more than a bucket of bounded size.
 
-Equality is that of 96 bits at least: of the digests of the short and of the long context, or
-of two independent digests of a long context or a window, by random polynomials.  Over 10^12
-places chance equates none.
+Long contexts and windows are equal if three polynomials agree, each modulo the prime 2^31 - 1
+and at a base of its own: whatever two different strings of up to 400 bytes are, at most 400 of
+the bases equate them in one polynomial, so fewer than one choice of bases in 2^67 in all three,
+and for texts not made for it one pair in 2^93.  Over 10^12 places chance equates none.  Short
+contexts have a plain digest modulo 2^64: where it errs, windows speak for themselves.
 
 Defined results: a null or empty text has no bytes and loses none; texts under 200 bytes
 are kept whole; rows that share an id are documents of their own; repeated rows are
@@ -58,9 +60,12 @@ BUCKET = 64_000_000
 
 rng = np.random.default_rng(20240229)
 SYMBOLS = rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-CHECK_SYMBOLS = rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-BASE, CHECK_BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
-#: Bits of the first digest of long contexts and windows, and of the second one.
+BASE = 0x5851F42D4C957F2D
+#: The prime of the digests that tell equality, and their symbols and bases.
+BITS = np.uint64(31)
+PRIME = np.uint64(2**31 - 1)
+PROOFS = [(rng.integers(1, 2**31 - 1, 256, np.uint64), int(rng.integers(2**20, 2**31 - 1))) for _ in range(3)]
+#: Bits of the first digest of long contexts and windows, which has two of the polynomials, and of the second one, which has the third.
 FIRST, SECOND = np.uint64(2**64 - 1), np.uint64(2**32 - 1)
 
 
@@ -71,31 +76,64 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64."""
-    kept = POWERS.get(base)
+def powers(base: int, n: int, modulus: int = 1 << 64) -> np.ndarray:
+    """base**0 .. base**(n - 1) modulo 2**64 or the prime."""
+    kept = POWERS.get((base, modulus))
     if kept is None or len(kept) < n:
         out = np.empty(n, np.uint64)
         out[0] = 1
         done = 1
         while done < n:
             more = min(done, n - done)
-            np.multiply(out[:more], np.uint64(pow(base, done, 1 << 64)), out=out[done : done + more])
+            np.multiply(out[:more], np.uint64(pow(base, done, modulus)), out=out[done : done + more])
+            if modulus < 1 << 64:
+                out[done : done + more] %= np.uint64(modulus)
             done += more
-        kept = POWERS[base] = out
+        kept = POWERS[base, modulus] = out
     return kept[:n]
 
 
-POWERS: dict[int, np.ndarray] = {}
+POWERS: dict[tuple[int, int], np.ndarray] = {}
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """The same residue modulo the prime in fewer bits: 33 for 63, 32 for 54."""
+    high = x >> BITS
+    x &= PRIME
+    x += high
+    return x
+
+
+class Proof:
+    """Digests modulo the prime of any stretch of some bytes, 2**31 at most."""
+
+    def __init__(self, data: np.ndarray, symbols: np.ndarray, base: int):
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        terms = symbols.take(data)
+        terms *= powers(base, len(data) + 1, int(PRIME))[:-1]
+        np.cumsum(folded(terms), out=self.sums[1:])
+        self.back = powers(pow(base, -1, int(PRIME)), len(data) + 1, int(PRIME))
+
+    def of(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        x = folded(self.sums[end] - self.sums[start])
+        x *= self.back[start]
+        x = folded(folded(x))
+        return np.minimum(x, x - PRIME)  # what is below the prime is large without it
+
+
+def proofs(data: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+    """Two polynomials of every stretch in one number, and the third in another."""
+    one, two, three = (Proof(data, *p).of(start, end) for p in PROOFS)
+    return one | two << BITS, three
 
 
 class Digests:
-    """Digests of any stretch of some bytes, from prefix sums of a polynomial."""
+    """Digests of any stretch of some bytes, from prefix sums of a polynomial modulo 2**64."""
 
-    def __init__(self, data: np.ndarray, symbols: np.ndarray = SYMBOLS, base: int = BASE):
+    def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(symbols.take(data) * powers(base, len(data) + 1)[:-1], out=self.sums[1:])
-        self.back = powers(pow(base, -1, 1 << 64), len(data) + 1)
+        np.cumsum(SYMBOLS.take(data) * powers(BASE, len(data) + 1)[:-1], out=self.sums[1:])
+        self.back = powers(pow(BASE, -1, 1 << 64), len(data) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.back[start]
@@ -150,8 +188,9 @@ class Suffixes:
         a, b = np.maximum(self.begins[doc], place - LENGTH), np.minimum(self.ends[doc], place + LENGTH)
         short = mixed(view.of(place - LEFT - low, place + CONTEXT - low), 1)
         shape = ((place - a) << 9 | (b - place)).astype(np.uint64)
-        long_ = mixed(mixed(view.of(a - low, b - low), 2) ^ shape ^ short, 3) & FIRST
-        check = mixed(Digests(self.data[low:high], CHECK_SYMBOLS, CHECK_BASE).of(a - low, b - low) ^ shape, 5) & SECOND
+        digest, check = proofs(self.data[low:high], a - low, b - low)
+        long_ = mixed(mixed(digest, 2) ^ shape, 3) & FIRST
+        check = (check + shape * np.uint64(0x9E3779B1)) & SECOND
         return place, short, long_, check, window[head], window[tail]
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
@@ -165,14 +204,18 @@ class Suffixes:
         offset = np.cumsum(count) - count
         start = np.arange(count.sum()) - np.repeat(offset - self.first[which], count)
         digest, check = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
-        step = start // STEP
-        for k in np.unique(step).tolist():
-            at = np.flatnonzero(step == k)
-            low, high = k * STEP, min(self.n, (k + 1) * STEP + LENGTH)
-            begin = start[at] - low
-            digest[at] = mixed(Digests(self.data[low:high]).of(begin, begin + LENGTH), 4) & FIRST
-            check[at] = mixed(Digests(self.data[low:high], CHECK_SYMBOLS, CHECK_BASE).of(begin, begin + LENGTH), 6) & SECOND
-        return start, digest, check
+        # only the bytes of these windows, moved together: a window lies within one stretch of them
+        held = np.zeros(self.n, bool)
+        for a, b in zip(self.first[which].tolist(), self.last[which].tolist()):
+            held[a : b + LENGTH] = True
+        data, begin = self.data[held], (np.cumsum(held) - 1)[start]
+        for low in range(0, len(data), STEP):
+            part = slice(*np.searchsorted(begin, (low, low + STEP)))
+            view = data[low : low + STEP + LENGTH - 1]
+            both = proofs(view, slice(0, len(view) - LENGTH + 1), slice(LENGTH, None)) if part.start < part.stop else ()
+            for out, x in zip((digest, check), both):
+                out[part] = x[begin[part] - low]
+        return start, mixed(digest, 4) & FIRST, check & SECOND
 
 
 MIXED = np.uint64(0)

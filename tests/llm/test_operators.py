@@ -191,6 +191,31 @@ def test_suffix_dedup(spark, empty, monkeypatch, tmp_path, pack, step, bits):
     assert module.deduplicated(empty).count() == 0
 
 
+def test_digests_that_tell_equality():
+    """By plain arithmetic, and for words whose digests modulo a power of two agree in many bits."""
+    prime, data = int(suffix_dedup.PRIME), np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8)
+    for symbols, base in suffix_dedup.PROOFS:
+        proof = suffix_dedup.Proof(data, symbols, base)
+        assert all(pow(base, k, prime) != 1 for k in range(1, 401))
+        for a, b in ((0, 200), (17, 417), (2500, 3000), (5, 5), (0, 3000)):
+            assert proof.of(np.array([a]), np.array([b]))[0] == sum(int(symbols[data[i]]) * pow(base, i - a, prime) for i in range(a, b)) % prime
+        assert (proof.of(slice(0, 2801), slice(200, None)) == proof.of(np.arange(2801), np.arange(200, 3001))).all()
+    word = np.array([bin(i).count("1") & 1 for i in range(512)])
+    for n in (128, 200, 256, 400):
+        one, other = (suffix_dedup.proofs((97 + w[:n]).astype(np.uint8), np.array([0]), np.array([n])) for w in (word, 1 - word))
+        parts = [(x >> s) & suffix_dedup.PRIME for x, s in zip((one[0] ^ other[0], one[0] ^ other[0], one[1] ^ other[1]), np.array([0, 31, 0], np.uint64))]
+        assert all(int(x[0]) % 1024 for x in parts)
+
+
+def test_repeats_within_words_of_two_letters(spark):
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(700))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, word[:256], other[:256], word[100:350]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.deduplicated(df).collect()}
+    assert [got[i] for i in range(len(texts))] == removed([t.encode() for t in texts])
+
+
 def test_levels_learn_from_all_batches():
     r = np.random.default_rng(4)
     family, seen = suffix_dedup.Levels(), collections.defaultdict(list)
