@@ -19,8 +19,9 @@ its pack:
   themselves and go through a second family; of equal long contexts only one does.
 
 A pack contributes each digest once, so a passage in a third of all documents is one
-row for each pack.  The number of buckets follows the bytes of the corpus, so that no task holds
-more than a bucket of bounded size.
+entry for each pack.  Packs grow with the corpus, from 2 to 16 MB, so that there are few of them.
+The number of buckets follows the bytes of the corpus, so that no task holds more than a bucket of
+bounded size; as many packs make one batch of a bucket as have some thousands of entries in it.
 
 Long contexts and windows are equal if three polynomials agree, each modulo the prime 2^31 - 1
 and at a base of its own: whatever two different strings of up to 400 bytes are, at most 400 of
@@ -36,6 +37,7 @@ removed entirely (from 200 bytes on), as each repeats the other; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -51,9 +53,12 @@ from .common import texts as texts_of
 LENGTH = 200
 LEFT, SEED, CONTEXT = 16, 32, 48  # bytes before a suffix, hashed for the choice, and of the short context after it
 CHOICES = LENGTH - LEFT - CONTEXT + 1  # places of a window among which it chooses
-#: Bytes of text in a pack, unless one document has more; and in one step over a pack.
+#: Bytes of text in a pack, unless one document has more: at least, at most, and how many packs there are to be between; and in one step over a pack.
 PACK = 2_000_000
+LARGE_PACK, MANY_PACKS = 16_000_000, 100_000
 STEP = 1 << 21
+#: Entries that a bucket takes as one batch.
+BATCH_ENTRIES = 1 << 14
 
 #: Bytes of text to a bucket at most; what a task holds of a bucket is about half of them, however large the corpus.
 BUCKET = 64_000_000
@@ -318,10 +323,17 @@ def places(entries, key: np.ndarray, check: np.ndarray | None = None) -> np.ndar
     return find(entries, key, np.zeros(len(key), np.uint64) if check is None else check)[0]
 
 
-def bucket_bounds(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket of sorted keys begins: buckets are equal ranges of the key."""
-    edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(key, edges), len(key))
+@lru_cache(maxsize=4)
+def bucket_edges(buckets: int) -> np.ndarray:
+    """Where each bucket begins: buckets are equal ranges of the key."""
+    return np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+
+
+def bucket_parts(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys fall into, and where each one's keys begin, with the end of all."""
+    bucket = np.searchsorted(bucket_edges(buckets), key, "right") - 1
+    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))[: len(key)])
+    return bucket[begin], np.append(begin, len(key))
 
 
 def packed(kind: int, key, check, many, value) -> bytes:
@@ -345,41 +357,68 @@ ALONE, REPEATED, SPOKEN = 0, 1, 2
 
 
 def requests(pack: int, kind: int, entries, buckets: int) -> Iterator[dict]:
-    bounds = bucket_bounds(entries[0], buckets)
-    for k in np.flatnonzero(np.diff(bounds)).tolist():
-        part = slice(bounds[k], bounds[k + 1])
-        yield {"bucket": k, "kind": kind, "pack": pack, "entries": packed(kind, *(x[part] for x in entries))}
+    found, bounds = bucket_parts(entries[0], buckets)
+    for k, a, b in zip(found.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+        yield {"bucket": k, "kind": kind, "pack": pack, "entries": packed(kind, *(x[a:b] for x in entries))}
 
 
 def told(replies, kind: int, key: np.ndarray, buckets: int) -> np.ndarray:
     """The flags of a pack's sorted keys, put together from the replies of all buckets."""
     out = np.zeros(len(key), np.uint8)
-    bounds = bucket_bounds(key, buckets)
+    found, bounds = bucket_parts(key, buckets)
+    begin = dict(zip(found.tolist(), bounds.tolist()))
     for r in replies or ():
         if r["kind"] == kind:
-            out[bounds[r["bucket"]] : bounds[r["bucket"] + 1]] = np.frombuffer(r["flags"], np.uint8)
+            flags = np.frombuffer(r["flags"], np.uint8)
+            out[begin[r["bucket"]] :][: len(flags)] = flags
     return out
 
 
+def one_batch(parts: list[tuple[np.ndarray, ...]], packs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The entries of several packs as one batch: key, check, many, value and first pack."""
+    key, check, many, value = (np.concatenate(x) for x in zip(*parts))
+    order = in_order(key, check)
+    key, check, many, value, packs = (x[order] for x in (key, check, many, value, packs))
+    head = np.flatnonzero(heads(key, check))
+    size = np.diff(np.append(head, len(key)))
+    low, high = np.minimum.reduceat(value, head), np.maximum.reduceat(value, head)
+    return key[head], check[head], np.logical_or.reduceat(many, head) | (size > 1), np.where(low == high, low, MIXED), np.minimum.reduceat(packs, head)
+
+
+def gathered(rows: list[tuple[int, bytes]], kind: int) -> Iterator[tuple[list[int], list[tuple[np.ndarray, ...]]]]:
+    """Packs and their entries, as many at once as make a batch."""
+    packs, parts, n = [], [], 0
+    for pack, blob in rows:
+        packs.append(pack)
+        parts.append(unpacked(kind, blob))
+        n += len(parts[-1][0])
+        if n >= BATCH_ENTRIES:
+            yield packs, parts
+            packs, parts, n = [], [], 0
+    if parts:
+        yield packs, parts
+
+
 def answered(asked: DataFrame) -> DataFrame:
-    """Runs the family of each bucket over its batches, and answers each batch."""
+    """Runs the family of each bucket over its batches, and answers each pack."""
 
-    def answer(rows: list[dict]) -> Iterator[dict]:
+    def answer(kind: int, bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[dict]:
         family = Levels()
-        for r in rows:
-            entries = unpacked(r["kind"], r["entries"])
-            family.add(*entries, np.full(len(entries[0]), r["pack"], np.int64))
-        for r in rows:
-            many, value, first = family.look(*unpacked(r["kind"], r["entries"])[:2])
-            strong = value == MIXED if r["kind"] == SHORT else first == r["pack"]
+        for packs, parts in gathered(rows, kind):
+            family.add(*one_batch(parts, np.repeat(np.array(packs, np.int64), [len(p[0]) for p in parts])))
+        for packs, parts in gathered(rows, kind):
+            sizes = [len(p[0]) for p in parts]
+            many, value, first = family.look(*(np.concatenate(x) for x in zip(*(p[:2] for p in parts))))
+            strong = value == MIXED if kind == SHORT else first == np.repeat(np.array(packs, np.int64), sizes)
             flags = np.where(many, np.where(strong, SPOKEN, REPEATED), ALONE).astype(np.uint8)
-            if flags.any():
-                yield {"pack": r["pack"], "kind": r["kind"], "bucket": r["bucket"], "flags": flags.tobytes()}
+            for pack, part in zip(packs, np.split(flags, np.cumsum(sizes)[:-1])):
+                if part.any():
+                    yield {"pack": pack, "kind": kind, "bucket": bucket, "flags": part.tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in b.to_pylist())
-        for _, group in groupby(rows, lambda r: (r["kind"], r["bucket"])):
-            yield from batches_of(answer(list(group)), REPLY_SCHEMA)
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4))))
+        for (kind, bucket), group in groupby(rows, lambda r: (r[1], r[0])):
+            yield from batches_of(answer(kind, bucket, [(r[2], r[3]) for r in group]), REPLY_SCHEMA)
 
     dealt = asked.repartition(partitions(asked.sparkSession), "kind", "bucket").sortWithinPartitions("kind", "bucket", "pack")
     return dealt.select("bucket", "kind", "pack", "entries").mapInArrow(tidy(run), REPLY)
@@ -404,8 +443,9 @@ PACKS = "pack long, ids array<long>, sizes array<int>, texts binary"
 PACK_SCHEMA = pa.schema([("pack", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())])
 
 
-def make_packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def make_packs(docs: DataFrame, n_bytes: int) -> DataFrame:
     """(pack, ids, sizes, texts): documents in the order they are read, their bytes compressed together."""
+    most = max(PACK, min(LARGE_PACK, n_bytes // MANY_PACKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -417,7 +457,7 @@ def make_packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                if texts and size + len(t) > PACK:
+                if texts and size + len(t) > most:
                     yield pack()
                     number, ids, texts, size = number + 1, [], [], 0
                 ids.append(i)
@@ -426,7 +466,7 @@ def make_packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if texts:
             yield pack()
 
-    return stored(texts_of(docs, id_col, text_col).mapInArrow(tidy(run), PACKS), "text-packs")
+    return stored(docs.mapInArrow(tidy(run), PACKS), "text-packs")
 
 
 def opened(row: dict) -> Suffixes:
@@ -481,8 +521,9 @@ def with_replies(packs: DataFrame, replies: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, kept binary, starts, ends): the remaining bytes of every document, and the maximal removed runs."""
     spark = docs.sparkSession
-    packs = make_packs(docs, id_col, text_col)
-    n_bytes = packs.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, n) -> a + n)"))).first()[0] or 0
+    docs = texts_of(docs, id_col, text_col)
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    packs = make_packs(docs, n_bytes)
     buckets = max(4 * partitions(spark), -(-n_bytes // BUCKET))
 
     def ask(batches):

@@ -180,7 +180,7 @@ def test_suffix_dedup(spark, empty, monkeypatch, tmp_path, pack, step, bits):
     module = suffix_dedup
     if step < 1 << 20:  # workers import the module themselves: give them one with other sizes
         with open(suffix_dedup.__file__, encoding="utf-8") as f:
-            code = f.read().replace("PACK = 2_000_000", f"PACK = {pack}").replace("STEP = 1 << 21", f"STEP = {step}").replace("BUCKET = 64_000_000", "BUCKET = 900").replace("FIRST, SECOND = np.uint64(2**64 - 1)", f"FIRST, SECOND = np.uint64(2**{bits} - 1)").replace("from .", "from sparkgauge.llm.")
+            code = f.read().replace("PACK = 2_000_000", f"PACK = {pack}").replace("STEP = 1 << 21", f"STEP = {step}").replace("BUCKET = 64_000_000", "BUCKET = 900").replace("BATCH_ENTRIES = 1 << 14", f"BATCH_ENTRIES = {bits}").replace("PACK, MANY_PACKS = 16_000_000", "PACK, MANY_PACKS = 9000").replace("FIRST, SECOND = np.uint64(2**64 - 1)", f"FIRST, SECOND = np.uint64(2**{bits} - 1)").replace("from .", "from sparkgauge.llm.")
         (tmp_path / f"small_steps{bits}.py").write_text(code)
         spark.sparkContext.addPyFile(str(tmp_path / f"small_steps{bits}.py"))
         spec = importlib.util.spec_from_file_location(f"small_steps{bits}", tmp_path / f"small_steps{bits}.py")
@@ -191,6 +191,38 @@ def test_suffix_dedup(spark, empty, monkeypatch, tmp_path, pack, step, bits):
     assert module.deduplicated(empty).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 7, 96, 100_000])
+def test_buckets_of_sorted_keys(buckets):
+    r = np.random.default_rng(buckets)
+    for n in (0, 1, 5, 3000):
+        key = np.unique(np.concatenate((r.integers(0, 2**64, n, np.uint64), np.array([0, 2**63, 2**64 - 1], np.uint64)[: min(n, 3)])))
+        found, bounds = suffix_dedup.bucket_parts(key, buckets)
+        of = [max(b for b in (int(k) * buckets >> 64, (int(k) * buckets >> 64) + 1) if (b << 64) // buckets <= int(k)) for k in key]
+        assert [b for b, size in zip(found.tolist(), np.diff(bounds).tolist()) for _ in range(size)] == of
+        assert bounds[-1] == len(key) and (np.diff(found) > 0).all()
+
+
+def test_packs_as_one_batch():
+    r = random.Random(3)
+    packs = {p: {(r.randrange(9), r.randrange(2)): (r.random() < 0.2, r.choice([0, 5, 7])) for _ in range(r.randint(1, 6))} for p in range(8)}
+    parts = []
+    for entries in packs.values():
+        keys = sorted(entries)
+        key, check = np.array(keys, np.uint64).T
+        many, value = zip(*(entries[k] for k in keys))
+        parts.append((key, check, np.array(many), np.array(value, np.uint64)))
+    got = suffix_dedup.one_batch(parts, np.repeat(np.arange(8), [len(p[0]) for p in parts]))
+    want = {}
+    for p, entries in packs.items():
+        for k, (many, value) in entries.items():
+            if k in want:
+                value, first = value if value == want[k][1] else 0, want[k][2]
+                want[k] = (True, value, first)
+            else:
+                want[k] = (many, value, p)
+    assert {(int(k), int(c)): (bool(m), int(v), int(f)) for k, c, m, v, f in zip(*got)} == want
+
+
 def test_digests_that_tell_equality():
     """By plain arithmetic, and for words whose digests modulo a power of two agree in many bits."""
     prime, data = int(suffix_dedup.PRIME), np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8)
