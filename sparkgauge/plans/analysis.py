@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import cohesion, metrics, summaries, thresholds
 from ..sources import files as source_files
 from ..sources.files import Rules, SourceError
-from ..sources.syntax import syntax
+from ..sources.syntax import NOT_TEXT, UNPARSED, UNREADABLE, syntax
 from ..sources.tree import read_tree
 
 log = logging.getLogger("sparkgauge")
@@ -30,6 +30,26 @@ class Analysis:
     #: Syntax rows that stay on the executors for all tables of the analysis, until ``release``.
     held: DataFrame | None = None
 
+    @property
+    def counts(self) -> DataFrame:
+        """One row with the files, functions, types and members of the run, and its failures by kind: counted where the syntax rows are kept, not by reading sources again."""
+        kinds = {"files": "row = 'file'", "functions": "row = 'function'", "types": "row = 'type'", "members": "row = 'member'"}
+        kinds |= {kind: f"row = 'failed' and kind = '{kind}'" for kind in (NOT_TEXT, UNREADABLE, UNPARSED)}
+        return self.held.agg(*(F.count_if(F.expr(test)).alias(name) for name, test in kinds.items()))
+
+    @property
+    def failures(self) -> DataFrame:
+        """The files that a tolerant run left out, and why."""
+        return self.held.where("row = 'failed'").select("file_path", "kind", F.col("name").alias("reason"))
+
+    def check(self) -> dict[str, int]:
+        """The counts, also in the log; an error if there was no source file at all."""
+        out = self.counts.first().asDict()
+        log.info("%s", ", ".join(f"{name}: {n}" for name, n in out.items()))
+        if not out["files"] + out[NOT_TEXT] + out[UNREADABLE] + out[UNPARSED]:
+            raise source_files.NoSourceFilesError("no source files found")
+        return out
+
     def release(self) -> None:
         """Let go of what the executors keep; the tables can still be read, by parsing again."""
         if self.held is not None:
@@ -80,13 +100,14 @@ def analyze_sources(
     symbols: DataFrame | None = None,
     occurrences: DataFrame | None = None,
     fold_operators: bool = False,
+    tolerant: bool = False,
 ) -> Analysis:
-    """Metrics of (file_path, code).  ``cohesion_from`` is None, ``syntax`` or ``index``; the latter needs the index's tables."""
+    """Metrics of (file_path, code).  ``cohesion_from`` is None, ``syntax`` or ``index``; the latter needs the index's tables.  A ``tolerant`` run counts what it cannot parse, and any row with an ``error``, as ``failures``."""
     if cohesion_from not in (None, "syntax", "index"):
         raise SourceError(f"cohesion comes from 'syntax' or 'index', not {cohesion_from!r}")
     if cohesion_from == "index" and (symbols is None or occurrences is None):
         raise SourceError("cohesion from an index needs its symbols and occurrences")
-    rows = syntax(sources, idents=cohesion_from is not None).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = syntax(sources, cohesion_from is not None, tolerant).persist(StorageLevel.MEMORY_AND_DISK)
     listed = rows.where("row = 'file'").select("file_path").withColumn("has_types", F.lit(False))
     if cohesion_from:
         has = rows.where("row = 'type'").select("file_path").distinct().withColumn("any", F.lit(True))
@@ -106,8 +127,13 @@ def analyze(
     cohesion_from: str | None = None,
     symbols: DataFrame | None = None,
     occurrences: DataFrame | None = None,
+    tolerant: bool = False,
 ) -> Analysis:
-    """Metrics of the source files of the paths; those with a scheme are listed and read by Spark."""
+    """Metrics of the source files of the paths; those with a scheme are listed and read by Spark.
+
+    A ``tolerant`` analysis lists local files that cannot be read, and files that cannot be parsed, as ``failures``,
+    and starts no job for the guard against an empty input: ``check`` has it.
+    """
     paths = list(paths)
     remote = [p for p in paths if source_files.is_remote(p)]
     local = [p for p in paths if not source_files.is_remote(p)]
@@ -115,11 +141,11 @@ def analyze(
     if remote:
         parts.append(source_files.scan(spark, remote, exclude, exclude_globs, recursive))
     if local or not remote:
-        parts.append(read_tree(spark, local, recursive, exclude, exclude_globs).drop("error"))
-    sources = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if sources.isEmpty():
+        parts.append(read_tree(spark, local, recursive, exclude, exclude_globs, tolerant))
+    sources = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    if not tolerant and sources.isEmpty():
         raise source_files.NoSourceFilesError("no source files found")
-    return analyze_sources(sources, cohesion_from, symbols, occurrences)
+    return analyze_sources(sources, cohesion_from, symbols, occurrences, tolerant=tolerant)
 
 
 def analyze_code(spark: SparkSession, code: str, file_path: str = "<stdin>") -> Analysis:

@@ -37,10 +37,16 @@ ARROW_SCHEMA = pa.schema([("file_path", pa.string()), *((c, ARROW[t]) for c, t i
 BATCH = 20_000
 
 
-def syntax(sources: DataFrame, idents: bool = True) -> DataFrame:
+#: What the message of a file that is no UTF-8 text has in it.
+NO_TEXT = "codec can't decode"
+NOT_TEXT, UNREADABLE, UNPARSED = "not_text", "unreadable", "unparsed"
+
+
+def syntax(sources: DataFrame, idents: bool = True, tolerant: bool = False) -> DataFrame:
     """Rows of functions, types, members and nodes of (file_path, code); a ``file`` row for each source.
 
-    ``idents`` tells whether names and calls are wanted, which only cohesion needs.
+    ``idents`` tells whether names and calls are wanted, which only cohesion needs.  A source with an
+    ``error``, or that is ``tolerant``ly found not to parse, has one row ``failed`` of its kind and reason in place of all others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,11 +58,20 @@ def syntax(sources: DataFrame, idents: bool = True) -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, schema=ARROW_SCHEMA)
 
         for b in batches:
-            for path, code in zip(b.column(0).to_pylist(), b.column(1)):
+            for path, code, error in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                kind = None if error is None else NOT_TEXT if NO_TEXT in error else UNREADABLE
                 try:
-                    rows = parse(code.as_py() or "", idents)
+                    rows = [] if kind else parse(code.as_py() or "", idents)
                 except Exception as e:
-                    raise ParseError(f"cannot parse {path}: {type(e).__name__}: {e}") from e
+                    if not tolerant:
+                        raise ParseError(f"cannot parse {path}: {type(e).__name__}: {e}") from e
+                    kind, error = UNPARSED, f"{type(e).__name__}: {e}"
+                if kind:
+                    failed = {"row": "failed", "kind": kind, "name": error}
+                    paths.append(path)
+                    for c, values in columns.items():
+                        values.append(failed.get(c, [] if COLUMNS[c] == "array<int>" else None))
+                    continue
                 paths += [path] * (len(rows) + 1)
                 for c, values in columns.items():
                     values.append("file" if c == "row" else [] if COLUMNS[c] == "array<int>" else None)
@@ -67,4 +82,5 @@ def syntax(sources: DataFrame, idents: bool = True) -> DataFrame:
         if paths:
             yield batch()
 
-    return sources.select(F.col("file_path").cast("string"), F.col("code").cast("string")).mapInArrow(run, SCHEMA)
+    error = F.col("error").cast("string") if "error" in sources.columns else F.lit(None).cast("string")
+    return sources.select(F.col("file_path").cast("string"), F.col("code").cast("string"), error.alias("error")).mapInArrow(run, SCHEMA)

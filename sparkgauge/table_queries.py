@@ -418,6 +418,20 @@ SELECT 'o' || o_orderkey AS file_path, 'f' || o_orderkey AS name, 'func f' || o_
 FROM o
 """
 
+def run_counts(spark, sf_dir):
+    """What the run of that analysis met, where one order in seven has left nothing to read, or no text."""
+    key = F.col("file_path").substr(F.lit(2), F.length("file_path")).cast("long")
+    error = F.when(key % 7 == 1, F.when(key % 2 == 0, "'utf-8' codec can't decode byte 0xff").otherwise("no such file"))
+    with analyze_sources(order_sources(spark, sf_dir).withColumn("error", error), "syntax", tolerant=True) as result:
+        return result.counts
+
+
+RUN_COUNTS = """
+SELECT count(*) FILTER (o_orderkey % 7 <> 1) AS files, count(*) FILTER (o_orderkey % 7 <> 1) AS functions, 0::BIGINT AS types, count(*) FILTER (o_orderkey % 7 <> 1) AS members,
+       count(*) FILTER (o_orderkey % 7 = 1 AND o_orderkey % 2 = 0) AS not_text, count(*) FILTER (o_orderkey % 7 = 1 AND o_orderkey % 2 = 1) AS unreadable, 0::BIGINT AS unparsed
+FROM orders
+"""
+
 WITH_ORACLE = {
     span_containers: f"{SIGNUPS} SELECT event_id, span_id FROM held",
     nearest_spans: f"{SIGNUPS} SELECT event_id, span_id, opens FROM place LEFT JOIN (SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY opens DESC, closes, span_id) = 1) USING (event_id)",
@@ -432,4 +446,5 @@ WITH_ORACLE = {
     stored_index_cohesions: ORDER_INDEX,
     table_files: TABLE_FILES,
     order_source_metrics: ORDER_SOURCES,
+    run_counts: RUN_COUNTS,
 }
