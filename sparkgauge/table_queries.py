@@ -422,7 +422,7 @@ def run_counts(spark, sf_dir):
     """What the run of that analysis met, where one order in seven has left nothing to read, or no text."""
     key = F.col("file_path").substr(F.lit(2), F.length("file_path")).cast("long")
     error = F.when(key % 7 == 1, F.when(key % 2 == 0, "'utf-8' codec can't decode byte 0xff").otherwise("no such file"))
-    with analyze_sources(order_sources(spark, sf_dir).withColumn("error", error), "syntax", tolerant=True) as result:
+    with analyze_sources(order_sources(spark, sf_dir).withColumn("error", error), tolerant=True) as result:
         return result.counts
 
 
