@@ -9,7 +9,9 @@ behind that.  A prefix scan over the chunks' sums places their levels, and the f
 a sequence and level, in order of their chunks, carry scopes and runs from chunk to chunk.
 
 So no group is larger than a chunk, or has more than a row for each chunk.  Tokens are
-exchanged by sequence and chunk, and again only if the folded rows are too many to broadcast.
+exchanged by sequence and chunk, and again by level to meet the folded rows.  Their number, which
+is counted first, decides how many tasks share them, so that what one task sorts does not
+grow with the input.
 
 * ``depth``: how many open scopes hold the token, a bracket not in its own;
 * ``partner``: position of the other bracket, null if there is none;
@@ -26,8 +28,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import partitions
+
 #: Positions of a chunk.
 CHUNK = 100_000
+#: Tokens of a task.
+TASK = 250_000
 OPEN, CLOSE, LOGICAL, OTHER = "open", "close", "logical", "other"
 
 
@@ -47,9 +53,10 @@ def folded(cells: DataFrame, cell: list[str], at: str) -> DataFrame:
     return rows.where("head_first is not null or close_at is not null or open_at is not null")
 
 
-def carried(rows: DataFrame, sequence: list[str]) -> DataFrame:
+def carried(rows: DataFrame, sequence: list[str], tasks: int) -> DataFrame:
     """Folded rows with what comes to them from other chunks: the scope, its last operator, and the next closing."""
     order = [*sequence, "_absolute"]
+    rows = rows.repartition(tasks, *order)
     earlier = Window.partitionBy(*order).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*order).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     opened, closed = F.col("open_at").isNotNull(), F.col("close_at").isNotNull()
@@ -69,26 +76,29 @@ def carried(rows: DataFrame, sequence: list[str]) -> DataFrame:
 def matched(tokens: DataFrame, sequence: list[str], at: str = "at", chunk: int = CHUNK) -> DataFrame:
     """``tokens`` (sequence, at, kind) with ``depth``, ``partner``, ``scope`` and ``continued``."""
     cell = [*sequence, "_chunk"]
+    tasks = max(partitions(tokens.sparkSession), -(-tokens.count() // TASK))
     up = F.when(F.col("kind") == OPEN, 1).when(F.col("kind") == CLOSE, -1).otherwise(0)
-    rows = tokens.withColumns({"_chunk": F.floor(F.col(at) / chunk), "_up": up, "_logical": F.col("kind") == LOGICAL}).repartition(*cell)
+    rows = tokens.withColumns({"_chunk": F.floor(F.col(at) / chunk), "_up": up, "_logical": F.col("kind") == LOGICAL}).repartition(tasks, *cell)
     so_far = Window.partitionBy(*cell).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_sum", F.sum("_up").over(so_far)).withColumn("_low", F.min("_sum").over(so_far))
     rows = rows.withColumn("_level", F.col("_sum") + (F.col("kind") == CLOSE).cast("int"))
 
     ahead = Window.partitionBy(*cell, "_level").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy(*cell, "_level").orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, -1)
     bracket = F.when(F.col("_up") != 0, F.col(at))
     operator = F.when(F.col("_up") == 0, F.struct(at, "_logical"))
-    cells = rows.withColumns({"_before": F.last(bracket, True).over(ahead), "_operator": F.last(operator, True).over(ahead), "_after": F.last(bracket, True).over(behind)})
+    by = ", ".join(f"`{c}`" for c in [*cell, "_level"])
+    after = F.expr(f"lead(_bracket) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY `{at}`)")  # in the order of the others, so nothing is sorted again
+    cells = rows.withColumn("_bracket", bracket).withColumns({"_before": F.last("_bracket", True).over(ahead), "_operator": F.last(operator, True).over(ahead), "_after": after}).drop("_bracket")
 
     scan = Window.partitionBy(*sequence).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cells.groupBy(*cell).agg(F.sum("_up").alias("_net"), F.min("_sum").alias("_least"))
+    sums = rows.groupBy(*cell).agg(F.sum("_up").alias("_net"), F.min("_sum").alias("_least")).repartition(tasks, *sequence)
     sums = sums.withColumn("_base", F.coalesce(F.sum("_net").over(scan), F.lit(0)))
     sums = sums.withColumn("_floor", F.least(F.lit(0), F.coalesce(F.min(F.col("_base") + F.col("_least")).over(scan), F.lit(0)))).select(*cell, "_base", "_floor")
 
     left = folded(cells, cell, at).join(sums, cell).withColumn("_absolute", F.col("_base") + F.col("_level"))
-    links = carried(left, sequence).select(*cell, "_level", "open_at", "in_scope", "in_run", "next_close")
-    out = cells.join(sums, cell).join(links, [*cell, "_level"], "left")
+    links = carried(left, sequence, tasks).select(*cell, "_level", "open_at", "in_scope", "in_run", "next_close")
+    dealt = lambda rows: rows.repartition(tasks, *cell, "_level")
+    out = dealt(cells.join(sums, cell)).join(dealt(links), [*cell, "_level"], "left")
 
     is_open, is_close = F.col("kind") == OPEN, F.col("kind") == CLOSE
     outer = F.col("_before").isNull()

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkgauge.operators.brackets import matched
 
@@ -60,3 +61,12 @@ def test_no_group_is_a_whole_sequence(spark):
     out = matched(rows, ["doc"], "at", 1000)
     assert out.where("continued").count() == 25_000 - 1 and out.agg({"depth": "max"}).first()[0] == 1
     assert matched(rows.where("false"), ["doc"]).count() == 0
+
+
+def test_tasks_grow_with_the_tokens(spark, monkeypatch):
+    """However many tokens, no task gets more than its share of them, whatever the session's number of partitions."""
+    monkeypatch.setattr("sparkgauge.operators.brackets.TASK", 500, raising=False)
+    rows = spark.range(20_000).selectExpr("id % 7 as doc", "id div 7 as at", "element_at(array('open', 'logical', 'close', 'close'), cast(id % 4 as int) + 1) as kind")
+    out = matched(rows, ["doc"], "at", 20)
+    most = out.groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0]
+    assert out.count() == 20_000 and most < 2000
