@@ -2,10 +2,12 @@
 
 import os
 import random
+import tracemalloc
 
 import pytest
 
 import sparkgauge as sg
+from sparkgauge.sources import tree as tree_module
 from sparkgauge.sources.tree import LOOKED_AT, files_of, parts_of, read_tree
 
 
@@ -65,3 +67,37 @@ def test_strict_and_tolerant(spark, tree):
         read_tree(spark, [])
     with pytest.raises(sg.NoSourceFilesError):
         sg.analyze(spark, [tree], True, exclude=["."])
+
+
+def test_what_is_no_text_is_not_read_whole(tmp_path):
+    """A large file that is no text costs a task the piece that shows it, not its size."""
+    path = tmp_path / "big.swift"
+    with open(path, "wb") as f:
+        f.write(b"PAR1\xff")
+        f.truncate(256 << 20)
+    reader = tree_module.TreeReader({"paths": str(tmp_path), "mode": "tolerant"})
+    tracemalloc.start()
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["file_path"], r["code"], r["error"]) for r in rows] == [(str(path), None, "'utf-8' codec can't decode byte 0xff in position 4: invalid start byte")]
+    assert peak < 32 << 20
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 1 << 20])
+def test_pieces_are_the_whole(tmp_path, monkeypatch, piece):
+    """Any pieces give the text, or the error, of the whole: letters of several bytes, line ends, marks, cut and wrong bytes."""
+    monkeypatch.setattr(tree_module, "PIECE", piece)
+    for data in ("", "a\r\nb\rc\n", "\ufeffä€😀x", b"a\xe2\x82", b"ab\xe2\x28\xa1", b"abc\xf0\x9f\x98z", b"\xc3", b"\xed\xa0\x80", b"ok \x80"):
+        data = data.encode() if isinstance(data, str) else data
+        path = tmp_path / "f"
+        path.write_bytes(data)
+        try:
+            want = data.decode("utf-8")
+        except UnicodeDecodeError as e:
+            want = str(e)
+        try:
+            got = tree_module.text_of(str(path))
+        except sg.SourceError as e:
+            got = str(e)
+        assert got == want, data
