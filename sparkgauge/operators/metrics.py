@@ -1,7 +1,8 @@
 """Cyclomatic and cognitive complexity of every function, as joins and sums over syntax rows.
 
 Each row brings its depth and its run for every function around it, so nothing is joined:
-functions and their nodes meet in one exchange, and window and sums run where they are.
+functions and their nodes come from one reading of the rows, meet as points in one exchange, and
+window and sums run where they are.
 """
 
 from __future__ import annotations
@@ -46,23 +47,26 @@ def function_metrics(syntax: DataFrame, fold_operators: bool = False) -> DataFra
     A node counts for every function whose body contains it.  Cognitive complexity never
     sees what stands in the condition of an ``if`` within the function.
     """
-    info = F.struct("name", "signature", "line", "column", F.col("enclosing").alias("enclosing_type")).alias("info")
-    functions = syntax.where("row = 'function'").select("file_path", F.col("pos").alias("fn_pos"), "pos", info)
-    nodes = syntax.where("row = 'node' and kind not in ('ident', 'call')")
-    nodes = nodes.select("file_path", "pos", "kind", "name", "is_else_if", F.explode(F.arrays_zip("fns", "depths", "runs")).alias("f"))
-    nodes = nodes.select("file_path", F.col("f.fns").alias("fn_pos"), "pos", "kind", "name", "is_else_if", F.col("f.depths").alias("depth"), F.col("f.runs").alias("scope"))
-    rows = functions.unionByName(nodes, allowMissingColumns=True).repartition("file_path", "fn_pos")
-    seen = F.col("depth") >= 0
-    # only operators that are seen take part in runs; the rest gets a run of its own
-    in_run = F.coalesce((F.col("kind") == "binop") & seen, F.lit(False))
+    is_function = F.col("row") == "function"
+    own = F.array(F.struct(F.col("pos").alias("fns"), F.lit(0).alias("depths"), F.lit(0).alias("runs")))  # a function is among its own nodes
+    rows = syntax.where("row = 'function' or row = 'node' and kind not in ('ident', 'call')")
+    rows = rows.withColumn("f", F.explode(F.when(is_function, own).otherwise(F.arrays_zip("fns", "depths", "runs"))))
+    is_node, depth = ~is_function, F.col("f.depths")
+    seen = is_node & (depth >= 0)
+    in_run = F.coalesce(seen & (F.col("kind") == "binop"), F.lit(False))  # only operators that are seen take part in runs; the rest gets a run of its own
     points = rows.select(
         "file_path",
-        "fn_pos",
-        "info",
-        cyclomatic_points(fold_operators).cast("int").alias("cyclomatic"),
-        F.when(seen, cognitive_points(F.col("depth"), fold_operators)).otherwise(0).alias("cognitive"),
-        F.when(in_run, continued(["file_path", "fn_pos", in_run, "scope"], ["pos"], is_logical())).otherwise(0).alias("run"),
-    )
+        F.col("f.fns").alias("fn_pos"),
+        F.when(is_function, F.struct("name", "signature", "line", "column", F.col("enclosing").alias("enclosing_type"))).alias("info"),
+        F.when(is_node, cyclomatic_points(fold_operators)).otherwise(False).cast("int").alias("cyclomatic"),
+        F.when(seen, cognitive_points(depth, fold_operators)).otherwise(0).alias("cognitive"),
+        in_run.alias("in_run"),
+        F.when(in_run, F.col("f.runs")).alias("scope"),
+        F.when(in_run, F.col("pos")).alias("pos"),
+        (in_run & F.coalesce(is_logical(), F.lit(False))).alias("logical"),
+    ).repartition("file_path", "fn_pos")
+    run = F.when(F.col("in_run"), continued(["file_path", "fn_pos", "in_run", "scope"], ["pos"], F.col("logical"))).otherwise(0)
+    points = points.withColumn("run", run)
     sums = points.groupBy("file_path", "fn_pos").agg(F.max("info").alias("info"), F.sum("cyclomatic").alias("cyclomatic"), F.sum(F.col("cognitive") + F.col("run")).alias("cognitive"))
     return sums.select(
         "file_path",
