@@ -11,6 +11,10 @@ of the bound, so their minima go to all tasks and their edges stay where they ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +23,8 @@ from ..sources.storage import remove, stored
 
 #: Vertices and edges of a graph that one task takes; some hundred MB.
 TASK = 2_000_000
+#: Graphs whose counts are one batch.
+BATCH = 10_000
 #: Nodes with more than a HUBS-th of all edge ends are hubs.
 HUBS = 1000
 #: Rounds; the logarithm of the longest path is enough, so that more is an error.
@@ -42,17 +48,43 @@ def union_find(edges: list[tuple[str, str]], nodes: list[str]) -> int:
 
 
 def counted_in_tasks(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key, components) of graphs that fit a task and have vertices, which are rows without ``dst``."""
+    """(key, components) of graphs that fit a task and have vertices, which are rows without ``dst``.
+
+    A task takes its graphs one after the other from one stream in the order of the key, as a call for each would
+    cost more than most of them.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
-        src, dst = table.column("src").to_pylist(), table.column("dst").to_pylist()
-        nodes = [s for s, d in zip(src, dst) if d is None]
-        count = union_find([(s, d) for s, d in zip(src, dst) if d is not None], nodes)
-        return pa.table({**{k: table.column(k).slice(0, 1) for k in key}, "components": pa.array([count], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+
+        def ends() -> Iterator[tuple]:
+            for b in batches:
+                types[:] = b.schema.types[: len(key)]
+                *keys, src, dst = (c.to_pylist() for c in b.columns)
+                yield from zip(zip(*keys), src, dst)
+
+        def made(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), [*types, pa.int64()])], [*key, "components"])
+
+        found = []
+        for k, graph in groupby(ends(), itemgetter(0)):
+            nodes, edges = [], []
+            for _, s, d in graph:
+                if d is None:
+                    nodes.append(s)
+                else:
+                    edges.append((s, d))
+            found.append((*k, union_find(edges, nodes)))
+            if len(found) == BATCH:
+                yield made(found)
+                found = []
+        if found:
+            yield made(found)
 
     kinds = {f.name: f.dataType for f in rows.schema}
     schema = ", ".join(f"`{k}` {kinds[k].simpleString()}" for k in key)
-    return rows.groupBy(*key).applyInArrow(run, f"{schema}, components long").where("components > 0")
+    dealt = rows.select(*key, "src", "dst").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, f"{schema}, components long").where("components > 0")
 
 
 def least_around(both: DataFrame, key: list[str]) -> DataFrame:

@@ -45,3 +45,19 @@ def test_labels_are_the_least_nodes(spark):
 def test_no_graphs(spark):
     v, e = spark.createDataFrame([], "t long, name string"), spark.createDataFrame([], "t long, src string, dst string")
     assert components.count_components(v, e, ["t"]).count() == 0 and components.count_components(v, e, ["t"], -1).count() == 0
+
+
+def test_graphs_stream_through_tasks(spark, monkeypatch):
+    """Graphs that reach over batches, with keys of several columns; no call for each of them."""
+    monkeypatch.setattr(components, "BATCH", 2)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    vertices, edges = graphs(11)
+    rows = [(t % 3, f"k{t}", a, None) for t, a in vertices] + [(t % 3, f"k{t}", a, b) for t, a, b in edges if b]
+    random.Random(2).shuffle(rows)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        found = components.counted_in_tasks(spark.createDataFrame(rows, "part int, name string, src string, dst string"), ["part", "name"])
+        assert {r.name: r.components for r in found.collect()} == {f"k{t}": n for t, n in expected(vertices, edges).items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
