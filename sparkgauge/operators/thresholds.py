@@ -4,7 +4,8 @@ Rules hold for a type name by its prefix and suffix, which is no equality.  Up t
 of rules go to every executor as a trie of prefixes, at whose nodes tries of reversed suffixes
 hang; each node has the least threshold of its rules.  A name is walked once, and at each of
 its beginnings that bears suffixes once more from its end, whatever the number of rules.  More
-rules meet all beginnings or, without a prefix, all ends of the names by equality.
+rules are met by equality of both parts at once: for each pair of lengths that rules have, a name brings its
+beginning and its end, so that it never meets a rule that does not hold.
 """
 
 from __future__ import annotations
@@ -85,14 +86,13 @@ def strictest(names: DataFrame, rules: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([trie.value.strictest(n) for n in b.column(0).to_pylist()], pa.int32())], ["_type", "_strictest"])
 
         return names.select("_type").mapInArrow(run, "_type string, _strictest int").where("_strictest is not null")
-    holds = matches(F.col("_type"), F.col("_prefix"), F.col("_suffix"))
-
-    def met(side: str, rules: DataFrame) -> DataFrame:
-        parts = F.expr(f"transform(sequence(0, length(_type)), k -> {side}(_type, k))")
-        part = "_prefix" if side == "left" else "_suffix"
-        return names.select("_type", F.explode(parts).alias("_part")).join(rules, F.col("_part") == F.col(part)).where(holds).select("_type", "_threshold")
-
-    both = met("left", rules.where("_prefix is not null")).unionByName(met("right", rules.where("_prefix is null")))
+    prefix, suffix = F.coalesce("_prefix", F.lit("")), F.coalesce("_suffix", F.lit(""))  # an empty part holds for every name, like none
+    rules = rules.groupBy(prefix.alias("_prefix"), suffix.alias("_suffix")).agg(F.min("_threshold").alias("_threshold"))
+    pairs = rules.groupBy(F.length("_prefix").alias("_m")).agg(F.collect_set(F.length("_suffix")).alias("_ends"))  # a row for each length of prefixes
+    sizes = names.select("_type", F.explode(F.expr("sequence(0, length(_type))")).alias("_m")).join(F.broadcast(pairs), "_m")
+    parts = sizes.select("_type", "_m", F.explode("_ends").alias("_n")).where("_n <= length(_type)")
+    parts = parts.select("_type", F.expr("left(_type, _m)").alias("_prefix"), F.expr("right(_type, _n)").alias("_suffix"))
+    both = parts.join(rules, ["_prefix", "_suffix"])
     return both.groupBy("_type").agg(F.min("_threshold").alias("_strictest"))
 
 

@@ -45,3 +45,24 @@ def test_work_follows_the_letters_of_names():
 
     few = seconds(1000)
     assert seconds(100_000) < 12 * few + 0.1
+
+
+def test_exchanged_rules_meet_only_names_for_which_they_hold(spark, monkeypatch):
+    """1500 names that begin alike, and as many rules of their beginning with ends of their own: no join makes a row for every pair."""
+    monkeypatch.setattr(thresholds, "TRIE", 2)
+    names = spark.range(1500).selectExpr("concat('large ring ', id + 1000) as enclosing_type", "id")
+    rules = spark.range(1500).selectExpr("'large r' as prefix", "cast(id + 1000 as string) as suffix", "cast(id % 50 + 1 as int) as threshold")
+    out = thresholds.with_threshold(names, rules)
+    assert all(r.threshold == r.id % 50 + 1 for r in out.collect())
+    plan, made = [out._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            plan.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            plan.append(node.plan())
+        children = node.children()
+        plan += [children.apply(k) for k in range(children.size())]
+        if node.metrics().contains("numOutputRows"):
+            made.append(node.metrics().apply("numOutputRows").value())
+    assert made and max(made) < 100_000
