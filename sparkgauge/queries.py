@@ -24,7 +24,7 @@ from .plans.analysis import Analysis, analyze, analyze_code, analyze_sources, ba
 from .plans.report_sink import read_lines, write_report
 from .plans.reports import described, read_results, report_rows
 from .sources.files import Rules, chosen, collect_files, env_threshold, excluded, strings
-from .sources.storage import new_path
+from .sources.storage import new_path, stored
 from .table_queries import WITH_ORACLE as ON_TABLES
 from .table_queries import table
 
@@ -113,7 +113,8 @@ SELECT t AS type_pos, count(DISTINCT label) AS components FROM low GROUP BY t
 
 
 def cohesion_level_summary(spark, sf_dir):
-    rows = component_count(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("type_pos"), F.col("c_nationkey").alias("file_path")), "type_pos")
+    counts = stored(component_count(spark, sf_dir), "components")  # two sums read them
+    rows = counts.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("type_pos"), F.col("c_nationkey").alias("file_path")), "type_pos")
     scored = rows.select("file_path", F.col("components").alias("lcom4")).withColumn("level", cohesion.cohesion_level(F.col("lcom4")))
     levels = scored.groupBy("file_path").agg(F.count_if(F.col("level") == "high").alias("n_high"), F.count_if(F.col("level") == "moderate").alias("n_moderate"))
     return summaries.cohesion_summary(scored).join(levels, "file_path")

@@ -61,3 +61,11 @@ def test_graphs_stream_through_tasks(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_levels_read_counts_that_are_there(spark):
+    """Two sums over the counts of components do not count twice."""
+    from sparkgauge.queries import cohesion_level_summary
+
+    out = cohesion_level_summary(spark, "/root/testdata/sf0.001")
+    assert "InArrow" not in out._jdf.queryExecution().toString() and out.count() > 0
