@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from .components import count_components
 
 KEY = ["file_path", "type_pos"]
@@ -82,21 +83,23 @@ def index_lcom4(types: DataFrame, symbols: DataFrame, occurrences: DataFrame, ow
 
     ``symbols`` (usr, name, kind, parent_usr) and ``occurrences`` (usr, role, container_usr);
     a type is found by name and kind, actors as classes, the first symbol of equals, among
-    ``own_types`` if the index has a table of these.
+    ``own_types`` if the index has a table of these.  Types that find the same symbol share its
+    graph, which is counted once; members and their uses are read once and written.
     """
     kind = F.when(F.col("type") == "struct", "struct").otherwise("class")
     wanted = types.select(*KEY, "name", kind.alias("kind"))
     found = wanted.join(homes(symbols if own_types is None else own_types), ["name", "kind"]).select(*KEY, "parent_usr")
-    members = found.join(symbols.select("usr", "name", "kind", "parent_usr").distinct(), "parent_usr").drop("parent_usr")
-    methods = members.where("kind in ('instanceMethod', 'constructor')").select(*KEY, "name", F.col("usr").alias("id"), F.lit(True).alias("has_body"))
-    properties = members.where("kind = 'instanceProperty'").select(*KEY, "name", "usr")
-    uses = occurrences.select("usr", "role", F.col("container_usr").alias("id"))
-    used = methods.select(*KEY, "id", F.col("name").alias("method")).join(uses, "id")
-    accesses = used.where("role = 'reference'").join(properties.select(*KEY, "usr", F.col("name").alias("property")), [*KEY, "usr"]).select(*KEY, "id", "property").distinct()
-    callees = methods.select(*KEY, F.col("id").alias("usr"), F.col("name").alias("callee"))
-    calls = used.where("role = 'call' and usr != id").join(callees, [*KEY, "usr"]).select(*KEY, F.col("method").alias("name"), "callee").distinct()
-    none = types.join(found, KEY, "left_semi").select(*KEY)
-    return none.join(lcom4(methods, properties, accesses, calls, KEY), KEY, "left").select(*KEY, F.coalesce("lcom4", F.lit(0)).alias("lcom4"))
+    home = ["parent_usr"]
+    members = symbols.where("kind in ('instanceMethod', 'constructor', 'instanceProperty')").join(found.select(*home).distinct(), home, "left_semi")
+    members = stored(members.select("usr", "name", "kind", *home).distinct(), "members")
+    methods = members.where("kind != 'instanceProperty'").select(*home, "name", F.col("usr").alias("id"), F.lit(True).alias("has_body"))
+    properties = members.where("kind = 'instanceProperty'").select(*home, "name", "usr")
+    uses = occurrences.where("role in ('reference', 'call')").select("usr", "role", F.col("container_usr").alias("id"))
+    used = stored(methods.select(*home, "id", F.col("name").alias("method")).join(uses, "id").distinct(), "uses")
+    accesses = used.where("role = 'reference'").join(properties.select(*home, "usr", F.col("name").alias("property")), [*home, "usr"]).select(*home, "id", "property").distinct()
+    callees = methods.select(*home, F.col("id").alias("usr"), F.col("name").alias("callee"))
+    calls = used.where("role = 'call' and usr != id").join(callees, [*home, "usr"]).select(*home, F.col("method").alias("name"), "callee").distinct()
+    return found.join(lcom4(methods, properties, accesses, calls, home), home, "left").select(*KEY, F.coalesce("lcom4", F.lit(0)).alias("lcom4"))
 
 
 def cohesions(syntax: DataFrame, symbols: DataFrame | None = None, occurrences: DataFrame | None = None) -> DataFrame:

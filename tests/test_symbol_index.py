@@ -92,3 +92,17 @@ def test_a_folder_of_something_else(spark, tmp_path):
     (tmp_path / "file").write_text("x")
     with pytest.raises(InvalidPathError):
         SymbolIndex.open(spark, str(tmp_path))
+
+
+def test_types_of_one_symbol_share_its_graph(spark, monkeypatch):
+    """Many types that find the same symbol make one graph, and answers as by one each."""
+    from sparkgauge.operators import cohesion
+
+    symbols, uses = (spark.createDataFrame(r, s) for r, s in zip(rows(14), (SYMBOLS, USES)))
+    graphs, count = [], cohesion.count_components
+    monkeypatch.setattr(cohesion, "count_components", lambda v, e, key: graphs.append((v.select(*key).distinct().count(), e.count())) or count(v, e, key))
+    once = {r.type_pos % 9: r.lcom4 for r in index_lcom4(types(spark), symbols, uses).collect()}
+    many = types(spark).crossJoin(spark.range(20)).selectExpr("file_path", "id * 9 + type_pos as type_pos", "name", "type")
+    found = index_lcom4(many, symbols, uses).collect()
+    assert len(found) == 20 * len(once) and all(r.lcom4 == once[r.type_pos % 9] for r in found)
+    assert graphs[0] == graphs[1] and graphs[0][0] <= len(once)
