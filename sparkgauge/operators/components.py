@@ -1,12 +1,13 @@
 """Connected components of many graphs at once, whatever the size of one.
 
 Graphs are told apart by a key.  The edges of a graph that fits a task meet there, and a
-union-find counts its components.  Larger graphs are contracted by all tasks together: edges
-turn by rounds into stars around the smallest node of each component.  A round links every
-larger neighbour of a node to the least of its neighbourhood, and then every smaller one; minima
-are combined before they are exchanged.  Nodes with very many edges would be one task's
-work in the join with their minimum: there are fewer than HUBS of these by the definition
-of the bound, so their minima go to all tasks and their edges stay where they are.
+union-find counts its components.  Larger graphs are contracted by all tasks together: in each
+round a node goes to the one of its neighbours and itself that a hash of the round puts first,
+and edges go along.  Such a round leaves a fixed part of the nodes, so all rounds together read and write
+little more than the first; what is left of a graph that fits a task then is
+settled there.  Nodes with very many edges would be one task's work in the join with
+where they go: there are fewer than HUBS of these by the definition of the bound, so
+that goes to all tasks and their edges stay where they are.
 """
 
 from __future__ import annotations
@@ -27,24 +28,34 @@ TASK = 2_000_000
 BATCH = 10_000
 #: Nodes with more than a HUBS-th of all edge ends are hubs.
 HUBS = 1000
-#: Rounds; the logarithm of the longest path is enough, so that more is an error.
+#: Rounds; a few times the logarithm of the number of nodes is enough, so that more is an error.
 ROUNDS = 100
 
 
-def union_find(edges: list[tuple[str, str]], nodes: list[str]) -> int:
-    """Number of components among the nodes."""
-    parent = {n: n for n in nodes}
+class Sets:
+    """Disjoint sets of names."""
+
+    def __init__(self, names=()):
+        self.parent = {n: n for n in names}
 
-    def root(x: str) -> str:
+    def root(self, x: str) -> str:
+        parent = self.parent
         parent.setdefault(x, x)
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    for a, b in edges:
-        parent[root(a)] = root(b)
-    return len({root(n) for n in nodes})
+    def link(self, edges: list[tuple[str, str]]) -> None:
+        for a, b in edges:
+            self.parent[self.root(a)] = self.root(b)
+
+
+def union_find(edges: list[tuple[str, str]], nodes: list[str]) -> int:
+    """Number of components among the nodes."""
+    sets = Sets(nodes)
+    sets.link(edges)
+    return len({sets.root(n) for n in nodes})
 
 
 def counted_in_tasks(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -87,40 +98,76 @@ def counted_in_tasks(rows: DataFrame, key: list[str]) -> DataFrame:
     return dealt.mapInArrow(run, f"{schema}, components long").where("components > 0")
 
 
-def least_around(both: DataFrame, key: list[str]) -> DataFrame:
-    """(key, u, v, least): the edges from ``u``, with the least of ``u`` and its neighbours."""
-    least = both.groupBy(*key, "u").agg(F.least(F.col("u"), F.min("v")).alias("least"), F.count("*").alias("n"))
-    most = max(1, both.count() // HUBS)
-    hubs = F.broadcast(least.where(F.col("n") > most).drop("n").withColumnRenamed("least", "at_hub"))  # fewer than HUBS rows
-    dealt = both.join(hubs, [*key, "u"], "left")
-    rest = dealt.where("at_hub is null").drop("at_hub").join(least.where(F.col("n") <= most).drop("n"), [*key, "u"])
-    return rest.unionByName(dealt.where("at_hub is not null").withColumnRenamed("at_hub", "least"))
+def led_in_tasks(edges: DataFrame, key: list[str]) -> DataFrame:
+    """(key, node, label) as ``led`` gives them, of graphs (key, u, v) that fit a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
 
-def contracted(edges: DataFrame, key: list[str]) -> DataFrame:
-    """(key, node, label): every node that is not the least of its component, with the least."""
-    turned = lambda rows: rows.unionByName(rows.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
-    pair = lambda rows, a, b: rows.select(*key, F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v")
-    state = stored(pair(edges, F.col("src"), F.col("dst")).distinct(), "edges")  # u over v
-    seen = None
-    for _ in range(ROUNDS):
-        large = stored(pair(least_around(turned(state), key).where("v > u"), F.col("v"), F.col("least")).distinct(), "edges")
-        small = least_around(large, key)  # of each node only smaller neighbours
-        links = small.select(*key, "u", F.col("least").alias("v")).unionByName(small.where("v != least").select(*key, F.col("v").alias("u"), F.col("least").alias("v")))
-        after = stored(links.distinct(), "edges")
+        def ends() -> Iterator[tuple]:
+            for b in batches:
+                types[:] = b.schema.types
+                *keys, u, v = (c.to_pylist() for c in b.columns)
+                yield from zip(zip(*keys), u, v)
+
+        for k, graph in groupby(ends(), itemgetter(0)):
+            sets = Sets()
+            sets.link([(u, v) for _, u, v in graph])
+            found = [(*k, n, r) for n in [*sets.parent] if (r := sets.root(n)) != n]
+            for i in range(0, len(found), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[i : i + BATCH]), types)], [*key, "node", "label"])
+
+    kinds = {f.name: f.dataType for f in edges.schema}
+    schema = ", ".join(f"`{k}` {kinds[k].simpleString()}" for k in key)
+    return edges.select(*key, "u", "v").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, f"{schema}, node string, label string")
+
+
+def moved(rows: DataFrame, steps: DataFrame, key: list[str], end: str, most: int) -> DataFrame:
+    """The edges with an end of theirs where its step leads; ends with more than ``most`` edges meet their steps by broadcast."""
+    hubs = F.broadcast(steps.where(F.col("n") > most).select(*key, F.col("node").alias(end), F.col("goal").alias("at_hub")))  # fewer than HUBS rows
+    others = steps.where(F.col("n") <= most).select(*key, F.col("node").alias(end), "goal")
+    dealt = rows.join(hubs, [*key, end], "left")
+    rest = dealt.where("at_hub is null").drop("at_hub").join(others, [*key, end])
+    return rest.unionByName(dealt.where("at_hub is not null").withColumnRenamed("at_hub", "goal")).drop(end).withColumnRenamed("goal", end)
+
+
+def led(edges: DataFrame, key: list[str], task: int = TASK) -> DataFrame:
+    """(key, node, label): every node but one of each component, with that one."""
+    pair = lambda rows, a, b: rows.select(*key, F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct()
+    state, levels = stored(pair(edges, "src", "dst"), "edges"), []
+    while True:
+        total, largest = state.groupBy(*key).count().agg(F.sum("count"), F.max("count")).first()
+        if not total or largest <= task:
+            break
+        if len(levels) == ROUNDS:
+            raise RuntimeError("the components did not settle")
+        ranked = lambda c: F.struct(F.xxhash64(F.lit(len(levels)), *key, c).alias("rank"), F.col(c).alias("name"))
+        both = state.unionByName(state.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
+        first = both.groupBy(*key, "u").agg(F.min(ranked("v")).alias("first"), F.count("*").alias("n"))
+        steps = stored(first.select(*key, F.col("u").alias("node"), F.least("first", ranked("u"))["name"].alias("goal"), "n"), "steps")
+        most = max(1, 2 * total // HUBS)
+        after = stored(pair(moved(moved(state, steps, key, "u", most), steps, key, "v", most), "u", "v"), "edges")
         remove(state)
-        remove(large)
         state = after
-        now = state.agg(F.count("*"), F.sum(F.xxhash64(*key, "u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return state.select(*key, F.col("u").alias("node"), F.col("v").alias("label"))
-        seen = now
-    raise RuntimeError("the components did not settle")
+        levels.append(steps)
+    labels = led_in_tasks(state, key)
+    for steps in reversed(levels):  # names of a round are those of groups: a node may go while others come to its name
+        goals = stored(labels, "labels").withColumnRenamed("node", "goal")
+        labels = steps.join(goals, [*key, "goal"], "left").select(*key, "node", F.coalesce("label", "goal").alias("label"))
+    return labels.where("node != label")
+
+
+def contracted(edges: DataFrame, key: list[str], task: int = TASK) -> DataFrame:
+    """(key, node, label): every node that is not the least of its component, with the least."""
+    found = stored(led(edges, key, task), "labels")
+    lows = stored(found.groupBy(*key, "label").agg(F.least(F.col("label"), F.min("node")).alias("low")), "lows")
+    whole = found.join(lows, [*key, "label"]).select(*key, "node", "low").unionByName(lows.select(*key, F.col("label").alias("node"), "low"))
+    return whole.where("node != low").withColumnRenamed("low", "label")
 
 
-def counted_by_stars(rows: DataFrame, key: list[str]) -> DataFrame:
+def counted_by_rounds(rows: DataFrame, key: list[str], task: int = TASK) -> DataFrame:
     """(key, components) of graphs of any size; vertices are rows without ``dst``."""
-    labels = contracted(rows.where("dst is not null"), key)
+    labels = led(rows.where("dst is not null"), key, task)
     nodes = rows.where("dst is null").select(*key, F.col("src").alias("node")).distinct()
     label = F.coalesce("label", "node").alias("label")
     return nodes.join(labels, [*key, "node"], "left").select(*key, label).distinct().groupBy(*key).agg(F.count("*").alias("components"))
@@ -133,8 +180,9 @@ def count_components(vertices: DataFrame, edges: DataFrame, key: list[str], task
     """
     rows = vertices.select(*key, F.col("name").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.where("src is not null and dst is not null").select(*key, "src", "dst"))
     rows = stored(rows, "graphs")
-    sizes = rows.groupBy(*key).count().where(F.col("count") > task).select(*key)
+    sizes = stored(rows.groupBy(*key).count().where(F.col("count") > task).select(*key), "sizes")
     if sizes.isEmpty():
         return counted_in_tasks(rows, key)
+    sizes = F.broadcast(sizes)  # a row for each so many of the rows at most, so that no graph is exchanged by its key
     large, rest = rows.join(sizes, key, "left_semi"), rows.join(sizes, key, "left_anti")
-    return counted_in_tasks(rest, key).unionByName(counted_by_stars(stored(large, "graphs"), key))
+    return counted_in_tasks(rest, key).unionByName(counted_by_rounds(large, key, task))

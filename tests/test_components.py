@@ -69,3 +69,27 @@ def test_levels_read_counts_that_are_there(spark):
 
     out = cohesion_level_summary(spark, "/root/testdata/sf0.001")
     assert "InArrow" not in out._jdf.queryExecution().toString() and out.count() > 0
+
+
+def test_labels_of_rounds_and_tasks(spark):
+    """Every bound gives the same least nodes, and rounds leave edges that get fewer."""
+    _, edges = graphs(5)
+    rows = spark.createDataFrame([e for e in edges if e[2]], "t long, src string, dst string")
+    found = [{(r.t, r.node): r.label for r in components.contracted(rows, ["t"], task).collect()} for task in (components.TASK, 40, 0)]
+    assert found[0] == found[1] == found[2] and found[0][7, "m:00599"] == "m:00000"
+
+
+def test_rounds_shrink(spark, monkeypatch):
+    """What a round leaves is a part of what it was given: all rounds write little more than the first."""
+    sizes, stored = [], components.stored
+
+    def counted(df, tag):
+        out = stored(df, tag)
+        if tag == "edges":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "stored", counted)
+    chain = spark.range(2000).selectExpr("1 as t", "concat('m', id) as src", "concat('m', id + 1) as dst")
+    assert components.led(chain, ["t"], 0).count() == 2000
+    assert sizes[0] == 2000 and sum(sizes) < 4 * sizes[0] and all(a > b for a, b in zip(sizes, sizes[1:]))
